@@ -11,6 +11,7 @@ from scanweave.operators.signal import (block_bootstrap, ci_overlap, cross_corre
                                         peak, pooled, resample_linear, signal_pair, weighted_slope, zscore)
 from scanweave.operators.timeline import row_position
 from scanweave.plans.registry import query
+from scanweave.session import stored
 from scanweave.plans.views import telemetry, TEL
 
 STEP, GAP, DAY = 3600, 3 * 3600, 86400
@@ -69,7 +70,7 @@ def streams(spark, sf):
 
 def pair(spark, sf):
     a, b = streams(spark, sf)
-    return signal_pair(a, b, ["session_id"], "us", "value", STEP, GAP, DAY)
+    return stored(signal_pair(a, b, ["session_id"], "us", "value", STEP, GAP, DAY))
 
 
 def peak_cols():
@@ -161,7 +162,7 @@ def drift(spark, sf):
           .filter("c = 120 AND m <= 0.25 AND sa >= 0.001 AND sb >= 0.001").select(*keys))
     d = zscore(d.join(ok, keys, "left_semi"), keys, ["z_a", "z_b"])
     p = peak(cross_correlation(d, keys, 24, 256), keys, 4).filter("rho_peak >= 0.1")
-    return p.withColumn("center", (F.col("win") * 120 + 59.5) / 24.0)
+    return stored(p.withColumn("center", (F.col("win") * 120 + 59.5) / 24.0))
 
 
 @query("w17_tumbling_window_lags", f"""
@@ -232,7 +233,6 @@ SELECT session_id, count(*) AS n_reps, round(stddev_samp(tau), 6) AS sigma, roun
   round(quantile_cont(tau, 0.975), 6) AS ci_hi, round(sqrt(avg((tau - t0)*(tau - t0))), 6) AS rmse_about_point,
   round(avg(CASE WHEN abs(tau - t0) <= 2 THEN 1.0 ELSE 0.0 END), 6) AS modal_fraction FROM peaks JOIN pt USING (session_id) GROUP BY 1""")
 def a32(spark, sf):
-    from scanweave.session import stored
     b = stored(block_bootstrap(pair(spark, sf), ["session_id"], 20, 48, 24, 4, "blocks", 512).select("session_id", "rep", "tau"))
     q = exact_quantiles(b, ["session_id"], "tau", {"ci_lo": 0.025, "t0": 0.5, "ci_hi": 0.975}, bins=2)
     dev = F.col("tau") - F.col("t0")
