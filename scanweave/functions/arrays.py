@@ -20,3 +20,89 @@ def dissimilarity(a: str | Column, b: str | Column, sensor_max: float) -> Column
     total = F.aggregate(diffs, F.lit(0).cast("long"), lambda s, d: s + d)
     return F.struct(F.size(diffs).alias("n"),
                     F.when(F.size(diffs) > 0, total / F.size(diffs)).alias("mean"))
+
+
+class Beams:
+    """Beam layout of a scanner: first angle, step and number of active slots.
+
+    Angular limits are turned into slot numbers once, so no float comparison
+    decides which beam belongs to a cone or sector.
+    """
+
+    def __init__(self, start_deg: float, step_deg: float, active: int):
+        self.start, self.step, self.active = start_deg, step_deg, active
+
+    def angle(self, slot: Column) -> Column:
+        return F.lit(self.start) + F.lit(self.step) * slot
+
+    def angles(self) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(self.active - 1)), lambda i: self.angle(i))
+
+    def slots_between(self, lo_deg: float, hi_deg: float) -> tuple[int, int]:
+        """First and last slot with lo <= angle <= hi."""
+        hit = [i for i in range(self.active) if lo_deg - 1e-9 <= self.start + self.step * i <= hi_deg + 1e-9]
+        return hit[0], hit[-1]
+
+    def part(self, d: Column, lo_deg: float, hi_deg: float) -> Column:
+        a, b = self.slots_between(lo_deg, hi_deg)
+        return F.slice(d, a + 1, b - a + 1)
+
+    def sectors(self, d: Column, n: int) -> list[Column]:
+        """The active slots cut in ``n`` neighbouring sectors."""
+        cuts = [-(-s * self.active // n) for s in range(n + 1)]
+        return [F.slice(d, a + 1, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def readings(d: str | Column) -> Column:
+    """Valid readings of a scan, sentinels removed."""
+    return F.filter(col(d), lambda x: valid(x))
+
+
+def masked(d: str | Column) -> Column:
+    """Scan with sentinels replaced by null."""
+    return F.transform(col(d), lambda x: F.when(valid(x), x))
+
+
+def array_mean(a: Column) -> Column:
+    return F.when(F.size(a) > 0, F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x) / F.size(a))
+
+
+def share(a: Column, cond, denominator: Column | None = None) -> Column:
+    n = F.size(a) if denominator is None else denominator
+    return F.size(F.filter(a, cond)) / F.when(n > 0, n)
+
+
+def array_quantile(sorted_: Column, p: float) -> Column:
+    """Linear-interpolation quantile of a sorted array without nulls."""
+    pos = F.lit(p) * (F.size(sorted_) - 1)
+    lo = F.floor(pos).cast("int")
+    a, b = F.get(sorted_, lo), F.get(sorted_, F.ceil(pos).cast("int"))
+    return F.when(F.size(sorted_) > 0, a + (b - a) * (pos - lo))
+
+
+def cone_share(d: Column, beams: Beams, bearing_deg: Column, half_deg: float, near_mm: int) -> Column:
+    """Share of valid readings below ``near_mm`` within a cone around the bearing.
+
+    Bearings lie inside the scanner's view, so the cone is one run of slots.
+    """
+    lo = F.greatest(F.ceil((bearing_deg - half_deg - beams.start) / beams.step), F.lit(0)).cast("int")
+    hi = F.least(F.floor((bearing_deg + half_deg - beams.start) / beams.step), F.lit(beams.active - 1)).cast("int")
+    cone = readings(F.slice(d, lo + 1, F.greatest(hi - lo + 1, F.lit(0))))
+    return share(cone, lambda x: x < near_mm)
+
+
+def cosine(a: str | Column, b: str | Column) -> Column:
+    dot = lambda x, y: F.aggregate(F.zip_with(col(x), col(y), lambda p, q: p.cast("double") * q.cast("double")),
+                                   F.lit(0.0), lambda s, v: s + v)
+    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def rmse(a: str | Column, b: str | Column) -> Column:
+    sq = F.zip_with(col(a), col(b), lambda p, q: (p.cast("double") - q.cast("double")) ** 2)
+    return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda s, v: s + v) / F.size(sq))
+
+
+def bearing(x: Column, y: Column, heading: Column, ax: Column, ay: Column) -> Column:
+    """Direction to a point in the body frame, radians in [-pi, pi)."""
+    from scanweave.functions.exprs import wrap_angle
+    return wrap_angle(F.atan2(ay - y, ax - x) - heading)
