@@ -8,3 +8,54 @@ from pyspark.sql import Column, functions as F
 def profile_gate(cosine: Column, rmse: Column, floor_mm: Column) -> Column:
     return (F.when((cosine > 0.95) & (rmse < 6 * floor_mm), "GREEN")
             .when((cosine < 0.7) | (rmse > 12 * floor_mm), "RED").otherwise("YELLOW"))
+
+
+def removable(full: Column, without_a: Column, without_b: Column, margin: float) -> Column:
+    """Which of two feature blocks the full model could do without."""
+    both = (full < without_a - margin) & (full < without_b - margin)
+    return (F.when(full.isNull() | without_a.isNull() | without_b.isNull(), "incomplete").when(both, "complementary")
+            .when(F.abs(full - without_a) < margin, "scan_removable")
+            .when(F.abs(full - without_b) < margin, "geometry_removable").otherwise("unclear"))
+
+
+def majority(judgements, column: str, needed: int, order: tuple[str, ...], default: str):
+    """One row: the first label of ``order`` with enough votes."""
+    votes = {v: F.count_if(F.col(column) == v) for v in order}
+    rule = F.lit(default)
+    for v in reversed(order):
+        rule = F.when(votes[v] >= needed, F.lit(v)).otherwise(rule)
+    return judgements.agg(*[votes[v].alias(f"n_{v}") for v in order], rule.alias("verdict"))
+
+
+def share_verdict(share: Column, low: float = 0.05, high: float = 0.20) -> Column:
+    return (F.when(share.isNull(), "incomplete").when(share < low, "negligible").when(share < high, "bounded").otherwise("large"))
+
+
+def count_verdict(passes: Column, all_: int, names: tuple[str, str, str]) -> Column:
+    """All pass, none passes, or some pass."""
+    return F.when(passes == all_, names[0]).when(passes == 0, names[2]).otherwise(names[1])
+
+
+def fit_gate(r2: list[Column], moved: list[Column], limit: float = 3.0) -> tuple[Column, Column]:
+    """Gate on fits that explain nearly everything, and a flag for a moved transmitter."""
+    every = r2[0] > 0.85
+    for r in r2[1:]:
+        every = every & (r > 0.85)
+    far = moved[0] > limit
+    for m in moved[1:]:
+        far = far | (m > limit)
+    return F.when(every, "YELLOW").otherwise("GREEN"), far
+
+
+def view_gate(valid_fraction: Column, width_deg: Column) -> Column:
+    return F.when(valid_fraction < 0.30, "RED").when(width_deg < 120.0, "YELLOW").otherwise("GREEN")
+
+
+def correlation_gate(n_strong: Column, n_demoted: Column, n_some: Column) -> Column:
+    """Strong rank correlation in two sessions; demoted where the fit explains nothing."""
+    return (F.when((n_strong >= 2) & (n_demoted == 0), "GREEN").when(n_strong >= 2, "YELLOW")
+            .when(n_some >= 1, "YELLOW").otherwise("RED"))
+
+
+def level_gate(value: Column, good: float, fair: float) -> Column:
+    return F.when(value < good, "GREEN").when(value < fair, "YELLOW").otherwise("RED")

@@ -26,11 +26,11 @@ def sample_exact(df: DataFrame, keys: list[str], seed: str, row_id: str, size: i
 
 
 def evenly_spaced(df: DataFrame, keys: list[str], order: list[str], chunk: str | Column, size: int) -> DataFrame:
-    """``size`` rows at evenly spaced positions from the first to the last."""
+    """``size`` rows per key at evenly spaced positions from the first to the last."""
     d = row_position(df, keys, order, chunk)
     step = (F.col("n") - 1) / (size - 1)
-    i = F.round((F.col("rn") - 1) / F.when(step > 0, step))
-    hit = F.coalesce(F.floor(i * step).cast("long") == F.col("rn") - 1, F.lit(False))
+    near = F.floor((F.col("rn") - 1) / F.when(step > 0, step))
+    hit = F.exists(F.array(near, near + 1), lambda i: (i < size) & (F.floor(i * (F.col("n") - 1) / (size - 1)) == F.col("rn") - 1))
     return d.filter((F.col("n") <= size) | hit).drop("rn", "n")
 
 
@@ -76,14 +76,18 @@ def random_validation(df: DataFrame, keys: list[str], seed: str, row_id: str, va
     return d.withColumn("split", F.when(F.col("rn") <= n_val, "val").otherwise("train")).drop("rn", "n")
 
 
-def region_out_folds(df: DataFrame, region: str, row_id: str, seed: str, val_frac: float = 0.10) -> DataFrame:
-    """One frame of (fold, split): each region is held out once, validation is random."""
-    names = df.select(F.col(region).alias("_r")).distinct().withColumn("fold", F.concat(F.lit("R-"), F.col("_r")))
-    d = df.join(names, F.lit(True))  # a handful of regions: one copy of the rows per fold is the result itself
+def region_out_folds(df: DataFrame, region: str, labels: list[int], row_id: str, seed: str,
+                     val_frac: float = 0.10) -> DataFrame:
+    """One frame of (fold, split): each region is held out once, validation is random.
+
+    Every fold uses every row, so the result is one copy of the rows per label.
+    """
+    d = df.withColumn("_r", F.explode(F.array(*[F.lit(r) for r in labels])))
+    d = d.withColumn("fold", F.concat(F.lit("R-"), F.col("_r").cast("string")))
     test = d.filter(F.col(region) == F.col("_r")).withColumn("split", F.lit("test"))
     pool = d.filter(F.col(region) != F.col("_r")).withColumn("_id", F.concat_ws("|", "fold", F.col(row_id).cast("string")))
-    pool = random_validation(pool, ["fold"], seed, "_id", val_frac)
-    return test.withColumn("_id", F.lit(None).cast("string")).unionByName(pool).drop("_r", "_id")
+    pool = random_validation(pool, ["fold"], seed, "_id", val_frac).drop("_id")
+    return test.unionByName(pool).drop("_r")
 
 
 def block_shuffle(df: DataFrame, keys: list[str], seed: str, row_id: str, block: list[str]) -> DataFrame:
@@ -101,7 +105,8 @@ def block_shuffle(df: DataFrame, keys: list[str], seed: str, row_id: str, block:
 def equal_chunks(df: DataFrame, along: str, row_id: str, parts: int, bins: int = 32) -> DataFrame:
     """Labels 1..parts of equal size along a value; the first parts take the remainder."""
     cuts = df.agg(F.percentile_approx(along, [i / bins for i in range(1, bins)], bins * 8).alias("c")).scalar()
-    d = row_position(df, [], [along, row_id], F.size(F.filter(cuts, lambda c: c < F.col(along))).cast("long"))
+    d = df.withColumn("_cuts", cuts).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col(along))).cast("long"))
+    d = row_position(d.drop("_cuts"), [], [along, row_id], "_bin").drop("_bin")
     base, extra = F.floor(F.col("n") / parts), F.col("n") % parts
     big = extra * (base + 1)
     part = F.when(F.col("rn") <= big, F.ceil(F.col("rn") / (base + 1))).otherwise(

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from scanweave.functions.exprs import clip, hash_unit
+from scanweave.functions.exprs import clip, hash_order
 from scanweave.operators.quantiles import average_ranks
 
 # Cumulative Poisson(1) probabilities.
@@ -87,10 +87,15 @@ def with_replicates(df: DataFrame, row_id: str, reps: int, seed: str) -> DataFra
     """Each row once per replicate with its resampling weight; zero weights are gone.
 
     The weight depends on (seed, replicate, row id) alone, so paired errors of
-    two models share it and nothing is shuffled to draw it.
+    two models share it and nothing is shuffled to draw it. One md5 serves four
+    replicates.
     """
-    return (df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-            .withColumn("w", poisson_weight(hash_unit(seed, "rep", row_id))).filter("w > 0"))
+    d = df.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // 4))))
+    d = d.withColumn("_h", hash_order(seed, "_blk", row_id))
+    units = F.array(*[F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("double") / 4294967296.0 for i in range(4)])
+    return (d.select(*df.columns, "_blk", F.posexplode(units).alias("_i", "_u"))
+            .withColumn("rep", F.col("_blk") * 4 + F.col("_i") + 1).withColumn("w", poisson_weight(F.col("_u")))
+            .filter(f"w > 0 AND rep <= {reps}").drop("_blk", "_i", "_u"))
 
 
 def value_histogram(df: DataFrame, value: str, lo: int, hi: int, flag: str | None = None) -> DataFrame:

@@ -131,7 +131,7 @@ def a11(spark, sf):
                     rnd(-F.col("b") / 10, 4).alias("exponent"), rnd("r2", 4).alias("r2"), (~ok).alias("fell_back"))
 
 
-W8 = "CAST(('0x' || substr(md5(concat_ws('|', '{seed}', rep, joint_idx)), 1, 8)) AS UBIGINT)/4294967296.0"
+W8 = "CAST(('0x' || substr(md5(concat_ws('|', '{seed}', (rep-1)//4, joint_idx)), 1 + 8*((rep-1)%4), 8)) AS UBIGINT)/4294967296.0"
 POIS = "(CASE " + " ".join(f"WHEN u < {c!r}::DOUBLE THEN {i}" for i, c in enumerate(
     __import__("scanweave.operators.stats", fromlist=["POISSON1"]).POISSON1)) + " ELSE 9 END)"
 
