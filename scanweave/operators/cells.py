@@ -52,13 +52,17 @@ def semivariogram(df: DataFrame, keys: list[str], value: str, lags: list[float],
         F.col("x_m").alias("x2"), F.col("y_m").alias("y2"), F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("q").alias("q2"))
     pairs = p.join(near, [*keys, "cx", "cy"]).filter("x_m < x2 OR (x_m = x2 AND y_m < y2)")
     d = F.hypot(F.col("x_m") - F.col("x2"), F.col("y_m") - F.col("y2"))
-    bands = F.filter(F.array(*[F.lit(float(h)) for h in lags]),
-                     lambda h: (F.col("_d") >= h - band * h) & (F.col("_d") <= h + band * h))
-    pairs = pairs.withColumn("_d", d).withColumn("lag", F.explode(bands))
-    sq = F.col("n2") * F.col("q") + F.col("n") * F.col("q2") - 2 * F.col("s") * F.col("s2")
-    out = pairs.groupBy(*keys, "lag").agg(F.sum(F.col("n") * F.col("n2")).alias("n_pairs"), F.sum(sq).alias("_sq"))
+    pairs = pairs.withColumn("_d", d).withColumn("_w", F.col("n") * F.col("n2")).withColumn(
+        "_q", F.col("n2") * F.col("q") + F.col("n") * F.col("q2") - 2 * F.col("s") * F.col("s2"))
+    sums = []
+    for i, h in enumerate(lags):
+        hit = (F.col("_d") >= h - band * h) & (F.col("_d") <= h + band * h)
+        sums += [F.sum(F.when(hit, F.col("_w"))).alias(f"_w{i}"), F.sum(F.when(hit, F.col("_q"))).alias(f"_q{i}")]
+    out = pairs.groupBy(*keys).agg(*sums).select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(float(h)).alias("lag"), F.col(f"_w{i}").alias("n_pairs"), F.col(f"_q{i}").alias("_q"))
+        for i, h in enumerate(lags)]))).filter("n_pairs IS NOT NULL")
     return out.select(*keys, "lag", "n_pairs", F.when(
-        F.col("n_pairs") >= min_pairs, F.col("_sq") / F.col("n_pairs") / 2).alias("gamma"))
+        F.col("n_pairs") >= min_pairs, F.col("_q") / F.col("n_pairs") / 2).alias("gamma"))
 
 
 def variogram_range(gamma: DataFrame, keys: list[str], share: float = 0.95) -> DataFrame:

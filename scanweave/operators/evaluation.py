@@ -23,13 +23,28 @@ def stratified_metrics(preds: DataFrame, keys: list[str], y: str = "y", p: str =
         F.when(sst > 0, 1 - sse / sst).alias("r2"), F.avg(e).alias("bias"))
 
 
-def bootstrap_rmse(preds: DataFrame, keys: list[str], row_id: str, reps: int, seed: str, y: str = "y",
-                   p: str = "p", in_view: str = "in_view") -> DataFrame:
+def _leaf(in_view: str) -> Column:
+    return F.when(F.col(in_view), F.lit("in_view")).otherwise(F.lit("out_of_view"))
+
+
+def _replicate_sums(d: DataFrame, keys: list[str], row_id: str, reps: int, seed: int, columns: list[str]) -> DataFrame:
+    """Weighted sums per replicate and stratum.
+
+    Rows are drawn once, under their view stratum; 'overall' adds the two up.
+    """
+    sums = [F.sum(F.col("w") * F.col(c)).alias(c) for c in columns]
+    leaf = (with_replicates(d.select(*keys, row_id, _leaf("in_view").alias("stratum"), *columns), row_id, reps, seed)
+            .groupBy(*keys, "stratum", "rep").agg(F.sum("w").alias("w"), *sums))
+    up = leaf.withColumn("stratum", F.explode(F.array(F.lit("overall"), F.col("stratum"))))
+    return up.groupBy(*keys, "stratum", "rep").agg(F.sum("w").alias("w"), *[F.sum(c).alias(c) for c in columns])
+
+
+def bootstrap_rmse(preds: DataFrame, keys: list[str], row_id: str, reps: int, seed: int, y: str = "y",
+                   p: str = "p") -> DataFrame:
     """Percentile interval of the RMSE. A group of the last step holds ``reps`` numbers."""
     e = F.col(y) - F.col(p)
-    d = _strata(preds.withColumn("_e2", e * e), in_view).select(*keys, "stratum", row_id, "_e2")
-    r = with_replicates(d, row_id, reps, seed).groupBy(*keys, "stratum", "rep").agg(
-        F.sqrt(F.sum(F.col("w") * F.col("_e2")) / F.sum("w")).alias("_r"))
+    r = _replicate_sums(preds.withColumn("_e2", e * e), keys, row_id, reps, seed, ["_e2"]).withColumn(
+        "_r", F.sqrt(F.col("_e2") / F.col("w")))
     return r.groupBy(*keys, "stratum").agg(F.percentile("_r", F.lit(0.025)).alias("rmse_ci_lo"),
                                            F.percentile("_r", F.lit(0.975)).alias("rmse_ci_hi"))
 
@@ -41,13 +56,12 @@ def pair_errors(preds: DataFrame, keys: list[str], row_id: str, a: str, b: str,
     return one(a, "ea").join(one(b, "eb"), [*keys, row_id])
 
 
-def paired_delta(pairs: DataFrame, keys: list[str], row_id: str, reps: int, seed: str) -> DataFrame:
+def paired_delta(pairs: DataFrame, keys: list[str], row_id: str, reps: int, seed: int) -> DataFrame:
     """RMSE(a) - RMSE(b) with a paired percentile interval."""
     d = _strata(pairs, "in_view")
     point = d.groupBy(*keys, "stratum").agg(F.count("*").alias("n"), F.sqrt(F.avg("ea")).alias("rmse_a"), F.sqrt(F.avg("eb")).alias("rmse_b"))
-    w = F.col("w")
-    r = with_replicates(d.select(*keys, "stratum", row_id, "ea", "eb"), row_id, reps, seed).groupBy(*keys, "stratum", "rep").agg(
-        (F.sqrt(F.sum(w * F.col("ea")) / F.sum(w)) - F.sqrt(F.sum(w * F.col("eb")) / F.sum(w))).alias("_d"))
+    r = _replicate_sums(pairs, keys, row_id, reps, seed, ["ea", "eb"]).withColumn(
+        "_d", F.sqrt(F.col("ea") / F.col("w")) - F.sqrt(F.col("eb") / F.col("w")))
     ci = r.groupBy(*keys, "stratum").agg(F.percentile("_d", F.lit(0.025)).alias("ci_lo"), F.percentile("_d", F.lit(0.975)).alias("ci_hi"))
     return point.withColumn("delta", F.col("rmse_a") - F.col("rmse_b")).join(ci, [*keys, "stratum"])
 

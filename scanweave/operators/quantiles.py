@@ -1,63 +1,108 @@
 """Exact quantiles and average ranks without collecting a group in one task.
 
-``percentile`` keeps a group's distinct values in one hash map. Here rough cut
-points split each group into bins of about equal weight, bin counts locate the
-wanted ranks, and only the bins that hold a wanted rank are sorted. The cut
-points steer the work; the result is exact whatever their error.
+``percentile`` keeps a group's distinct values in one hash map. Here an
+approximate pass only steers the work: it brackets the wanted ranks, or cuts a
+group into bins of about equal weight. What is returned is exact.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import math
 
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-def _with_bins(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
-    cuts = df.groupBy(*keys).agg(
-        F.percentile_approx(value, [i / bins for i in range(1, bins)], bins * 8).alias("_cuts"))
+ACCURACY = 10_000  # percentile_approx is off by at most n / ACCURACY ranks
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Linear-interpolation quantiles per key; ``probs`` maps output name to level.
+
+    For each level two approximate quantiles a safe distance apart enclose the
+    wanted ranks. One pass counts the rows below each bracket, and only the rows
+    inside (a few in ten thousand, folded by value) are shuffled and ranked. A
+    group of at most ACCURACY rows is its own bracket.
+    """
+    src = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    levels, safe = list(probs.values()), 3 / ACCURACY
+    edges = [e for p in levels for e in (max(p - safe, 0.0), min(p + safe, 1.0))]
+    cuts = src.groupBy(*keys).agg(F.percentile_approx("_v", edges, ACCURACY).alias("_c"), F.min("_v").alias("_lo"),
+                                  F.max("_v").alias("_hi"), (F.count("*") <= ACCURACY).alias("_small"))
+    fields = []
+    for i, p in enumerate(levels):
+        lo = F.lit(True) if p - safe <= 0 else F.col("_small")
+        hi = F.lit(True) if p + safe >= 1 else F.col("_small")
+        lo = F.when(lo, F.col("_lo")).otherwise(F.get("_c", F.lit(2 * i)))
+        hi = F.when(hi, F.col("_hi")).otherwise(F.get("_c", F.lit(2 * i + 1)))
+        fields += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
+    cuts = cuts.select(*keys, *fields)
     if keys:
-        d = df.join(cuts, keys)
+        d = src.join(cuts, keys)
     else:
-        d = df.withColumn("_cuts", cuts.scalar())
-    return d.select(*keys, value, F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_bin"))
+        one = cuts.select(F.struct("*").alias("s")).scalar()
+        d = src.withColumn("_s", one).select("_v", "_s.*")
+    inside = lambda i: (F.col("_v") >= F.col(f"_lo{i}")) & (F.col("_v") <= F.col(f"_hi{i}"))
+    below = d.groupBy(*keys).agg(F.count("*").alias("_n"), *[
+        F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_b{i}") for i in range(len(levels))])
+    hit = F.array(*[F.when(inside(i), F.lit(i)) for i in range(len(levels))])
+    near = inside(0)
+    for i in range(1, len(levels)):
+        near = near | inside(i)
+    vals = (d.filter(near).select(*keys, "_v", F.explode(hit).alias("_i")).filter("_i IS NOT NULL")
+            .groupBy(*keys, "_i", "_v").agg(F.count("*").alias("_k")))
+    run = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    vals = vals.withColumn("_cum", F.sum("_k").over(run))
+    if keys:
+        vals = vals.join(below, keys)
+    else:
+        vals = vals.withColumn("_s", below.select(F.struct("*").alias("s")).scalar()).select("_i", "_v", "_k", "_cum", "_s.*")
+    out = []
+    for i, (name, p) in enumerate(probs.items()):
+        pos = F.lit(p) * (F.col("_n") - 1)
+        first, last = F.col(f"_b{i}") + F.col("_cum") - F.col("_k"), F.col(f"_b{i}") + F.col("_cum")
+        at = lambda r: F.max(F.when((F.col("_i") == i) & (r >= first) & (r < last), F.col("_v")))
+        lo, hi = at(F.floor(pos)), at(F.ceil(pos))
+        frac = F.max(pos - F.floor(pos))
+        out.append((lo + (hi - lo) * frac).alias(name))
+    return vals.groupBy(*keys).agg(*out)
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    bins: int = 32) -> DataFrame:
-    """Linear-interpolation quantiles per key; ``probs`` maps output name to level."""
-    d = _with_bins(df.select(*keys, value).filter(F.col(value).isNotNull()), keys, value, bins)
-    counts = d.groupBy(*keys, "_bin").agg(F.count("*").alias("_c"))
-    upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    counts = (counts.withColumn("_base", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
-              .withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys))))
-    ranks = F.array(*[f(F.lit(p) * (F.col("_n") - 1)).cast("long")
-                      for p in probs.values() for f in (F.floor, F.ceil)])
-    wanted = (counts.withColumn("_ranks", F.array_distinct(ranks))
-              .withColumn("_ranks", F.expr("filter(_ranks, r -> r >= _base AND r < _base + _c)"))
-              .filter(F.size("_ranks") > 0).drop("_c"))
-    by_value = (d.join(wanted, [*keys, "_bin"])
-                .groupBy(*keys, "_bin", value)
-                .agg(F.count("*").alias("_c"), F.first("_base").alias("_base"),
-                     F.first("_n").alias("_n"), F.first("_ranks").alias("_ranks")))
-    run = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    by_value = (by_value.withColumn("_hi", F.col("_base") + F.sum("_c").over(run))
-                .withColumn("_rank", F.explode(F.expr(
-                    "filter(_ranks, r -> r >= _hi - _c AND r < _hi)"))))
+def default_bins(spark: SparkSession) -> int:
+    """One bin per shuffle partition, so bins keep their size as cluster and data grow."""
+    return max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def at(p, f):
-        return F.max(F.when(F.col("_rank") == f(F.lit(p) * (F.col("_n") - 1)), F.col(value)))
 
-    out = []
-    for name, p in probs.items():
-        lo, hi = at(p, F.floor), at(p, F.ceil)
-        frac = F.lit(p) * (F.max("_n") - 1) - F.floor(F.lit(p) * (F.max("_n") - 1))
-        out.append((lo + (hi - lo) * frac).alias(name))
-    return by_value.groupBy(*keys).agg(*out)
+def _locate(cuts: str, n: int, value: str) -> str:
+    """SQL for how many of ``n`` sorted cut points lie below the value, as a binary decision."""
+    def step(lo, hi):
+        if lo == hi:
+            return str(lo)
+        mid = (lo + hi) // 2
+        return f"IF(get({cuts}, {mid}) < {value}, {step(mid + 1, hi)}, {step(lo, mid)})"
+    return step(0, n)
+
+
+def with_value_bins(df: DataFrame, keys: list[str], value: str, bins: int, name: str = "_bin") -> DataFrame:
+    """Rank-ordered bin of each value between per-key cut points, searched in two levels."""
+    m = max(2, math.isqrt(bins))
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(
+        value, [i / (m * m) for i in range(1, m * m)], max(ACCURACY, 8 * m * m)).alias("_c"))
+    coarse = F.array(*[F.get("_c", F.lit(i * m - 1)) for i in range(1, m)])
+    fine = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda b: F.slice("_c", b * m + 1, m - 1))
+    cuts = cuts.select(*keys, coarse.alias("_coarse"), fine.alias("_fine"))
+    if keys:
+        d = df.join(cuts, keys)
+    else:
+        d = df.withColumn("_s", cuts.select(F.struct("*").alias("s")).scalar()).select(*df.columns, "_s.*")
+    v = f"`{value}`"
+    d = d.selectExpr("*", f"{_locate('_coarse', m - 1, v)} AS _b0").selectExpr("*", "get(_fine, _b0) AS _part")
+    return d.selectExpr(*[f"`{c}`" for c in df.columns], f"CAST(_b0 * {m} + {_locate('_part', m - 1, v)} AS BIGINT) AS {name}")
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, name: str, bins: int = 32) -> DataFrame:
+def average_ranks(df: DataFrame, keys: list[str], value: str, name: str, bins: int | None = None) -> DataFrame:
     """(keys, value, average rank) for each distinct value; copies share one rank."""
     src = df.select(*keys, value).filter(F.col(value).isNotNull())
-    d = _with_bins(src, keys, value, bins).groupBy(*keys, "_bin", value).agg(F.count("*").alias("_c"))
+    d = (with_value_bins(src, keys, value, bins or default_bins(df.sparkSession))
+         .groupBy(*keys, "_bin", value).agg(F.count("*").alias("_c")))
     per_bin = d.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_s"))
     upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     per_bin = per_bin.select(*keys, "_bin", F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_base"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scanweave.functions.exprs import col, hash_order
+from scanweave.operators.quantiles import default_bins, with_value_bins
 from scanweave.operators.timeline import row_position
 
 
 def hash_rank(df: DataFrame, keys: list[str], seed: str, row_id: str, name: str = "rn", total: str = "n",
-              digits: int = 2) -> DataFrame:
+              digits: int = 3) -> DataFrame:
     """Position of each row in its key's pseudo-random order.
 
     The leading hex digits of the hash are the chunks of the two-level rank, so
@@ -102,11 +103,10 @@ def block_shuffle(df: DataFrame, keys: list[str], seed: str, row_id: str, block:
     return ranked.drop(*block).join(donors, [*keys, "_rn"]).drop("_rn").select(*df.columns)
 
 
-def equal_chunks(df: DataFrame, along: str, row_id: str, parts: int, bins: int = 32) -> DataFrame:
+def equal_chunks(df: DataFrame, along: str, row_id: str, parts: int) -> DataFrame:
     """Labels 1..parts of equal size along a value; the first parts take the remainder."""
-    cuts = df.agg(F.percentile_approx(along, [i / bins for i in range(1, bins)], bins * 8).alias("c")).scalar()
-    d = df.withColumn("_cuts", cuts).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col(along))).cast("long"))
-    d = row_position(d.drop("_cuts"), [], [along, row_id], "_bin").drop("_bin")
+    d = with_value_bins(df, [], along, default_bins(df.sparkSession))
+    d = row_position(d, [], [along, row_id], "_bin").drop("_bin")
     base, extra = F.floor(F.col("n") / parts), F.col("n") % parts
     big = extra * (base + 1)
     part = F.when(F.col("rn") <= big, F.ceil(F.col("rn") / (base + 1))).otherwise(

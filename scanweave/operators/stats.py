@@ -6,8 +6,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from scanweave.functions.exprs import clip, hash_order
+from scanweave.functions.exprs import clip
 from scanweave.operators.quantiles import average_ranks
+from scanweave.session import spread
 
 # Cumulative Poisson(1) probabilities.
 POISSON1 = [sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) for i in range(9)]
@@ -75,27 +76,36 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, min_n: int = 2) ->
     return g.select(*keys, "n", F.when((n >= min_n) & (var > 0), cov / F.sqrt(var)).alias("rho"))
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) count from a uniform number."""
-    w = F.lit(len(POISSON1))
-    for i in reversed(range(len(POISSON1))):
-        w = F.when(u < POISSON1[i], i).otherwise(w)
-    return w
+def poisson_weight(u: str) -> str:
+    """SQL for the Poisson(1) count of a uniform number: how many cumulative probabilities it passes."""
+    return " + ".join(f"IF({u} >= {c!r}D, 1, 0)" for c in POISSON1)
 
 
-def with_replicates(df: DataFrame, row_id: str, reps: int, seed: str) -> DataFrame:
-    """Each row once per replicate with its resampling weight; zero weights are gone.
+PRIME = 2_147_483_647
 
-    The weight depends on (seed, replicate, row id) alone, so paired errors of
-    two models share it and nothing is shuffled to draw it. One md5 serves four
-    replicates.
+
+def mixed_unit(df: DataFrame, row_id: str, rep: str, seed: int, name: str) -> DataFrame:
+    """Pseudo-random number in [0, 1) from (seed, row, replicate) by quadratic mixing.
+
+    Plain 64-bit arithmetic stays inside generated code; a text hash per row and
+    replicate would dominate the bootstrap. Numbers below PRIME never overflow.
+    """
+    d = df.selectExpr("*", f"((CAST(`{row_id}` AS BIGINT) % {PRIME}) * 48271 + {rep} * 69621 + {seed}) % {PRIME} AS _u1")
+    d = d.selectExpr("*", f"(_u1 * _u1 + {rep} * 16807 + 12345) % {PRIME} AS _u2")
+    d = d.selectExpr("*", f"(_u2 * _u2 + _u1 * 39373 + 1013904223) % {PRIME} AS _u3")
+    return d.selectExpr(*[f"`{c}`" for c in df.columns], f"((_u3 * _u3 + _u2) % {PRIME}) / {PRIME} AS {name}")
+
+
+def with_replicates(df: DataFrame, row_id: str, reps: int, seed: int) -> DataFrame:
+    """Each row once per replicate with its resampling weight ``w``, which may be zero.
+
+    Zero weights are kept: a filter would be pushed down and compute every weight
+    twice, and they add nothing to a weighted sum. The weight depends on (seed, replicate, row id) alone, so paired errors of
+    two models share it and nothing is shuffled to draw it.
     """
-    d = df.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // 4))))
-    d = d.withColumn("_h", hash_order(seed, "_blk", row_id))
-    units = F.array(*[F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("double") / 4294967296.0 for i in range(4)])
-    return (d.select(*df.columns, "_blk", F.posexplode(units).alias("_i", "_u"))
-            .withColumn("rep", F.col("_blk") * 4 + F.col("_i") + 1).withColumn("w", poisson_weight(F.col("_u")))
-            .filter(f"w > 0 AND rep <= {reps}").drop("_blk", "_i", "_u"))
+    d = spread(df).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    d = mixed_unit(d, row_id, "rep", seed, "_u")
+    return d.selectExpr(*df.columns, "rep", f"{poisson_weight('_u')} AS w")
 
 
 def value_histogram(df: DataFrame, value: str, lo: int, hi: int, flag: str | None = None) -> DataFrame:

@@ -234,7 +234,7 @@ SELECT session_id, count(*) AS n_reps, round(stddev_samp(tau), 6) AS sigma, roun
   round(avg(CASE WHEN abs(tau - t0) <= 2 THEN 1.0 ELSE 0.0 END), 6) AS modal_fraction FROM peaks JOIN pt USING (session_id) GROUP BY 1""")
 def a32(spark, sf):
     b = stored(block_bootstrap(pair(spark, sf), ["session_id"], 20, 48, 24, 4, "blocks", 512).select("session_id", "rep", "tau"))
-    q = exact_quantiles(b, ["session_id"], "tau", {"ci_lo": 0.025, "t0": 0.5, "ci_hi": 0.975}, bins=2)
+    q = exact_quantiles(b, ["session_id"], "tau", {"ci_lo": 0.025, "t0": 0.5, "ci_hi": 0.975})
     dev = F.col("tau") - F.col("t0")
     return b.join(q, "session_id").groupBy("session_id").agg(
         F.count("*").alias("n_reps"), rnd(F.stddev_samp("tau")).alias("sigma"), rnd(F.first("ci_lo")).alias("ci_lo"),

@@ -15,7 +15,7 @@ from scanweave.operators.sampling import (block_shuffle, decimate, equal_chunks,
 from scanweave.operators.stats import spearman
 from scanweave.plans.registry import query
 from scanweave.plans.spatial import REGION_SQL, STATS, regions, stats
-from scanweave.plans.statistics import POIS
+from scanweave.plans.statistics import POIS, draw_sql
 from scanweave.plans.views import TEL, telemetry
 from scanweave.session import stored
 
@@ -64,11 +64,10 @@ def a09(spark, sf):
 
 
 def boot_sql(src, cols, reps, seed):
-    u = f"CAST(('0x' || substr(md5(concat_ws('|', '{seed}', (rep-1)//4, joint_idx)), 1 + 8*((rep-1)%4), 8)) AS UBIGINT)/4294967296.0"
-    return f"bw AS (SELECT *, {POIS} AS w FROM (SELECT {cols}, rep, {u} AS u FROM {src}, (SELECT unnest(range(1, {reps + 1})) AS rep)))"
+    return f"bw AS (SELECT *, {POIS} AS w FROM ({draw_sql(src, cols, reps, seed)}))"
 
 
-BOOT = boot_sql("sx", "fold, variant, stratum, joint_idx, (y-p)*(y-p) AS e2", 40, "ci") + """,
+BOOT = boot_sql("sx", "fold, variant, stratum, joint_idx, (y-p)*(y-p) AS e2", 40, 11) + """,
 br AS (SELECT fold, variant, stratum, rep, sqrt(sum(w*e2)/sum(w)) AS r FROM bw GROUP BY 1, 2, 3, 4),
 ci AS (SELECT fold, variant, stratum, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM br GROUP BY 1, 2, 3)"""
 
@@ -76,7 +75,7 @@ ci AS (SELECT fold, variant, stratum, quantile_cont(r, 0.025) AS lo, quantile_co
 @query("a30_bootstrap_rmse_interval", f"""
 WITH {TEL}, {METRICS}, {BOOT} SELECT fold, variant, stratum, round(lo, 6) AS rmse_ci_lo, round(hi, 6) AS rmse_ci_hi FROM ci""")
 def a30(spark, sf):
-    b = bootstrap_rmse(preds(spark, sf), ["fold", "variant"], "joint_idx", 40, "ci")
+    b = bootstrap_rmse(preds(spark, sf), ["fold", "variant"], "joint_idx", 40, 11)
     return b.select("fold", "variant", "stratum", rnd("rmse_ci_lo").alias("rmse_ci_lo"), rnd("rmse_ci_hi").alias("rmse_ci_hi"))
 
 
@@ -86,7 +85,7 @@ SELECT variant, stratum, max(t) FILTER (fold = 's0') AS s0, max(t) FILTER (fold
 def m15(spark, sf):
     p = preds(spark, sf)
     keys = ["fold", "variant"]
-    d = stratified_metrics(p, keys).join(bootstrap_rmse(p, keys, "joint_idx", 40, "ci"), [*keys, "stratum"])
+    d = stratified_metrics(p, keys).join(bootstrap_rmse(p, keys, "joint_idx", 40, 11), [*keys, "stratum"])
     d = d.withColumn("t", F.format_string("%.3f [%.3f, %.3f]", "rmse", "rmse_ci_lo", "rmse_ci_hi"))
     return d.groupBy("variant", "stratum").pivot("fold", ["s0", "s1", "s2"]).agg(F.max("t"))
 
@@ -99,14 +98,14 @@ dp AS (SELECT fold, stratum, count(*) AS n, sqrt(avg(ea)) AS rmse_a, sqrt(avg(eb
 
 
 @query("j06_m10_paired_ablation_delta", f"""
-WITH {TEL}, {PREDS}, {DELTA}, {boot_sql("ps", "fold, stratum, joint_idx, ea, eb", 40, "pair")},
+WITH {TEL}, {PREDS}, {DELTA}, {boot_sql("ps", "fold, stratum, joint_idx, ea, eb", 40, 13)},
 d AS (SELECT fold, stratum, rep, sqrt(sum(w*ea)/sum(w)) - sqrt(sum(w*eb)/sum(w)) AS d FROM bw GROUP BY 1, 2, 3),
 c AS (SELECT fold, stratum, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM d GROUP BY 1, 2)
 SELECT fold, stratum, n, round(rmse_a, 6) AS rmse_a, round(rmse_b, 6) AS rmse_b, round(rmse_a - rmse_b, 6) AS delta, round(lo, 6) AS ci_lo, round(hi, 6) AS ci_hi
 FROM dp JOIN c USING (fold, stratum)""")
 def m10(spark, sf):
     e = pair_errors(preds(spark, sf), ["fold"], "joint_idx", "noscan", "full")
-    return paired_delta(e, ["fold"], "joint_idx", 40, "pair").select(
+    return paired_delta(e, ["fold"], "joint_idx", 40, 13).select(
         "fold", "stratum", "n", *[rnd(c).alias(c) for c in ("rmse_a", "rmse_b", "delta", "ci_lo", "ci_hi")])
 
 

@@ -219,7 +219,7 @@ def half_noise(spark, sf):
 WITH {JOINT}, {LOW}, {SPLIT} SELECT count(*) AS n_cells, round(median(rmse), 5) AS noise_floor FROM hc""")
 def a22(spark, sf):
     h = stored(half_noise(spark, sf).select(F.lit(1).alias("k"), "rmse"))
-    q = exact_quantiles(h, ["k"], "rmse", {"m": 0.5}, bins=4)
+    q = exact_quantiles(h, ["k"], "rmse", {"m": 0.5})
     return h.groupBy("k").agg(F.count("*").alias("n_cells")).join(q, "k").select("n_cells", rnd("m", 5).alias("noise_floor"))
 
 
@@ -231,8 +231,8 @@ def m14z(spark, sf):
     from scanweave.operators.rules import profile_gate
     p = stored(pair_profiles(spark, sf).select(F.lit(1).alias("k"), "rmse", "cosine"))
     h = stored(half_noise(spark, sf).select(F.lit(1).alias("k"), "rmse"))
-    m = (exact_quantiles(p, ["k"], "rmse", {"r": 0.5}, 4).join(exact_quantiles(p, ["k"], "cosine", {"c": 0.5}, 4), "k")
-         .join(exact_quantiles(h, ["k"], "rmse", {"f": 0.5}, 4), "k").withColumn("f", F.greatest("f", F.lit(100.0))))
+    m = (exact_quantiles(p, ["k"], "rmse", {"r": 0.5}).join(exact_quantiles(p, ["k"], "cosine", {"c": 0.5}), "k")
+         .join(exact_quantiles(h, ["k"], "rmse", {"f": 0.5}), "k").withColumn("f", F.greatest("f", F.lit(100.0))))
     return m.select(rnd("r", 5).alias("median_rmse"), rnd("c").alias("median_cosine"), rnd("f", 5).alias("floor_mm"),
                     profile_gate(F.col("c"), F.col("r"), F.col("f")).alias("gate"))
 

@@ -11,7 +11,7 @@ from scanweave.operators.stats import (choose_threshold, fit_position, histogram
 from scanweave.plans.registry import query
 from scanweave.plans.sequences import DISC, disc
 from scanweave.plans.views import AP, table, telemetry, transmitters, TEL
-from scanweave.session import stored
+from scanweave.session import spread, stored
 
 SUMMARY = """session_id, count(DISTINCT run_id) AS n_runs, count(*) AS n, round((max(us) - min(us))/3600e6, 6) AS duration_h, round(max(speed), 6) AS speed_max,
   round(avg(CASE WHEN speed > 0.05 THEN 1.0 ELSE 0.0 END), 6) AS motion_fraction, round(avg(signal), 6) AS signal_mean,
@@ -131,25 +131,31 @@ def a11(spark, sf):
                     rnd(-F.col("b") / 10, 4).alias("exponent"), rnd("r2", 4).alias("r2"), (~ok).alias("fell_back"))
 
 
-W8 = "CAST(('0x' || substr(md5(concat_ws('|', '{seed}', (rep-1)//4, joint_idx)), 1 + 8*((rep-1)%4), 8)) AS UBIGINT)/4294967296.0"
+def draw_sql(src, columns, reps, seed):
+    """Rows x replicates with the uniform number u of ``mixed_unit``."""
+    p = 2147483647
+    return f"""SELECT {columns}, rep, ((u3*u3 + u2) % {p})/{p} AS u FROM (SELECT *, (u2*u2 + u1*39373 + 1013904223) % {p} AS u3 FROM
+  (SELECT *, (u1*u1 + rep*16807 + 12345) % {p} AS u2 FROM (SELECT *, ((joint_idx % {p})*48271 + rep*69621 + {seed}) % {p} AS u1 FROM {src}, (SELECT unnest(range(1, {reps + 1})) AS rep))))"""
+
+
 POIS = "(CASE " + " ".join(f"WHEN u < {c!r}::DOUBLE THEN {i}" for i, c in enumerate(
     __import__("scanweave.operators.stats", fromlist=["POISSON1"]).POISSON1)) + " ELSE 9 END)"
 
 
 @query("a31_bootstrap_fit_parameters", f"""
-WITH {TEL}, {AP}, {FIT}, r AS (SELECT session_id, signal AS s, logd AS l, rep, {W8.format(seed="fit")} AS u FROM ld, (SELECT unnest(range(1, 41)) AS rep)),
+WITH {TEL}, {AP}, {FIT}, r AS ({draw_sql("ld", "session_id, signal AS s, logd AS l", 40, 7)}),
 w AS (SELECT *, {POIS} AS w FROM r), m AS (SELECT session_id, rep, sum(w) AS n, sum(w*l) AS sx, sum(w*s) AS sy, sum(w*l*l) AS sxx, sum(w*l*s) AS sxy FROM w GROUP BY 1, 2),
 b AS (SELECT session_id, (n*sxy - sx*sy)/(n*sxx - sx*sx) AS slope, (sy - (n*sxy - sx*sy)/(n*sxx - sx*sx)*sx)/n AS icept FROM m)
 SELECT session_id, round(quantile_cont(slope, 0.025), 6) AS slope_lo, round(quantile_cont(slope, 0.975), 6) AS slope_hi,
   round(stddev_samp(icept), 6) AS intercept_sd FROM b GROUP BY 1""")
 def a31(spark, sf):
-    d = with_replicates(with_logd(spark, sf).select("session_id", "joint_idx", "signal", "logd"), "joint_idx", 40, "fit")
+    d = with_replicates(with_logd(spark, sf).select("session_id", "joint_idx", "signal", "logd"), "joint_idx", 40, 7)
     w, l, s = F.col("w"), F.col("logd"), F.col("signal")
     m = d.groupBy("session_id", "rep").agg(F.sum(w).alias("n"), F.sum(w * l).alias("sx"), F.sum(w * s).alias("sy"),
                                            F.sum(w * l * l).alias("sxx"), F.sum(w * l * s).alias("sxy"))
     slope = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
     b = stored(m.select("session_id", slope.alias("slope"), ((F.col("sy") - slope * F.col("sx")) / F.col("n")).alias("icept")))
-    q = exact_quantiles(b, ["session_id"], "slope", {"slope_lo": 0.025, "slope_hi": 0.975}, bins=2)
+    q = exact_quantiles(b, ["session_id"], "slope", {"slope_lo": 0.025, "slope_hi": 0.975})
     sd = b.groupBy("session_id").agg(rnd(F.stddev_samp("icept")).alias("intercept_sd"))
     return q.join(sd, "session_id").select("session_id", rnd("slope_lo").alias("slope_lo"), rnd("slope_hi").alias("slope_hi"), "intercept_sd")
 
@@ -186,7 +192,7 @@ sp AS (SELECT session_id, stratum, feature, count(*) AS n, CASE WHEN count(*) >=
 
 
 def strata(spark, sf):
-    t = telemetry(spark, sf)
+    t = spread(telemetry(spark, sf))
     s = t.withColumn("stratum", F.explode(F.array_compact(F.array(
         F.lit("all"), F.when(F.col("speed") > 0.5, "moving"), F.when(F.col("x_m") < 1, "edge")))))
     lng = s.select("session_id", "stratum", F.col("signal").alias("y"), F.inline(F.array(*[
@@ -225,12 +231,13 @@ SELECT {keys}, bin, count(*) AS n, round(quantile_cont({y}, 0.25), 4) AS q1, rou
 
 def binned(df, keys, x, y, nb):
     """Conditional quartiles of y over equal-width, right-closed bins of x."""
-    lim = exact_quantiles(df, keys, x, {"lo": 0.01, "hi": 0.99})
+    df = spread(df)
+    lim = stored(exact_quantiles(df, keys, x, {"lo": 0.01, "hi": 0.99}))
     w = (F.col("hi") - F.col("lo")) / nb
     b = df.join(lim, keys).filter((F.col(x) > F.col("lo")) & (F.col(x) <= F.col("hi")))
     b = b.withColumn("bin", (F.ceil((F.col(x) - F.col("lo")) / w) - 1).cast("long"))
     keys = [*keys, "bin"]
-    q = exact_quantiles(b, keys, y, {"q1": 0.25, "med": 0.5, "q3": 0.75}, bins=8)
+    q = exact_quantiles(b, keys, y, {"q1": 0.25, "med": 0.5, "q3": 0.75})
     return b.groupBy(*keys).agg(F.count("*").alias("n")).join(q, keys).select(
         *keys, "n", *[rnd(c, 4).alias(c) for c in ("q1", "med", "q3")])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scanweave.functions.exprs import micros
+from scanweave.session import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -44,7 +45,7 @@ tel AS (SELECT base.*, CAST(-30 AS DOUBLE) - CAST(12 AS DOUBLE)*log10(greatest(
 
 def scan(spark: SparkSession, sf: str) -> DataFrame:
     """Range scans of 64 slots in millimetres; 0 and 65535 are sentinels."""
-    return table(spark, sf, "embeddings").select(
+    return spread(table(spark, sf, "embeddings")).select(
         F.col("vec_id").alias("scan_row"), "label", F.expr(
             "transform(embedding, (e, i) -> CASE WHEN (vec_id*64+i) % 17 = 0 THEN 0 "
             "WHEN (vec_id*64+i) % 23 = 0 THEN 65535 "
@@ -63,7 +64,7 @@ def joint(spark: SparkSession, sf: str) -> DataFrame:
     """Telemetry with the scan each row refers to."""
     n = table(spark, sf, "embeddings").select(F.count("*")).scalar()
     t = telemetry(spark, sf).withColumn("scan_row", F.col("joint_idx") % n)
-    return t.join(scan(spark, sf).drop("label"), "scan_row")
+    return spread(t).join(scan(spark, sf).drop("label"), "scan_row")
 
 
 JOINT = TEL + "," + SCAN + """,

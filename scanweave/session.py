@@ -20,6 +20,7 @@ def build_session(master: str | None = None, app: str = "scanweave",
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no stack trace per expression
          .config("spark.ui.enabled", "false"))
     if master:
         b = b.master(master).config("spark.driver.memory", driver_memory)
@@ -47,3 +48,13 @@ def stored(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df):
+    """Rebalance a frame whose input has fewer splits than the session has cores.
+
+    Only a small input (a single file) is affected; a table with enough splits
+    is returned as it is and never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
