@@ -23,7 +23,9 @@ def build_session(master: str | None = None, app: str = "scanweave",
          .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no stack trace per expression
          .config("spark.ui.enabled", "false"))
     if master:
-        b = b.master(master).config("spark.driver.memory", driver_memory)
+        b = (b.master(master).config("spark.driver.memory", driver_memory)
+             # small local data: keep a core busy per shuffle partition
+             .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
