@@ -40,9 +40,13 @@ def unique_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def payload_differences(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Per left key: found, and per column whether any row of the key matches within tolerance."""
-    r = right.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_hit"))
-    j = left.select(*keys, *columns).join(r, keys, "left")
+    """Per left key: found, and per column whether any row of the key matches within tolerance.
+
+    Copies are folded on both sides first, so a key with many equal rows does
+    not multiply.
+    """
+    r = right.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns]).distinct().withColumn("_hit", F.lit(True))
+    j = left.select(*keys, *columns).distinct().join(r, keys, "left")
     return j.groupBy(*keys).agg(F.bool_or(F.coalesce("_hit", F.lit(False))).alias("found"),
                                 *[F.bool_or(F.coalesce("_hit", F.lit(False)) & near(c, f"_{c}")).alias(f"ok_{c}") for c in columns])
 

@@ -184,12 +184,25 @@ def a29(spark, sf):
             .select("session_id", "n", *[rnd(c).alias(c) for c in ("slope", "intercept", "slope_se")]))
 
 
-@query("a29_slope_p_value")
+T_TAIL = """
+nodes AS (SELECT unnest(range(0, 20001))/20000 AS u),
+tp AS (SELECT {k}, round(greatest(0, 1 - 2*sum(CASE WHEN u IN (0, 1) THEN 0.5 ELSE 1 END * top/20000 * exp(lgamma((df+1)/2) - lgamma(df/2))/sqrt(pi()) * power(cos(top*u), df - 1))), 6) AS p
+  FROM (SELECT *, atan(abs(t)/sqrt(df)) AS top FROM {src}), nodes GROUP BY {k})"""
+SLOPE = """
+dw AS (SELECT session_id, center AS x, tau AS y, rho_peak*rho_peak AS w FROM drift), dc AS (SELECT session_id, sum(w*x)/sum(w) AS xm, sum(w*y)/sum(w) AS ym FROM dw GROUP BY 1),
+dm AS (SELECT session_id, count(*) AS n, sum(w*(x-xm)*(x-xm)) AS sxx, sum(w*(x-xm)*(y-ym)) AS sxy, sum(w*(y-ym)*(y-ym)) AS syy FROM dw JOIN dc USING (session_id) GROUP BY 1),
+ds AS (SELECT session_id, n, sxy/sxx AS slope, sqrt(greatest(syy - sxy/sxx*sxy, 0)/(n-2)/sxx) AS se FROM dm WHERE n >= 3),
+dt AS (SELECT *, slope/greatest(se, 1e-12) AS t, n - 2.0 AS df FROM ds)"""
+
+
+@query("a29_slope_p_value", f"""
+WITH {DRIFT}, {SLOPE}, {T_TAIL.format(k="session_id", src="dt")} SELECT session_id, n, round(slope, 6) AS slope, round(se, 6) AS slope_se, p FROM dt JOIN tp USING (session_id)""")
 def a29p(spark, sf):
     d = drift(spark, sf).withColumn("w", F.col("rho_peak") * F.col("rho_peak"))
     s = weighted_slope(d, ["session_id"], "center", "tau", "w").filter("slope_se IS NOT NULL")
     t = F.abs("slope") / F.greatest("slope_se", F.lit(1e-12))
-    return s.select("session_id", "n", "slope", "slope_se", t_two_sided(t, F.col("n") - 2).alias("p"))
+    return s.select("session_id", "n", rnd("slope").alias("slope"), rnd("slope_se").alias("slope_se"),
+                    rnd(t_two_sided(t, F.col("n") - 2)).alias("p"))
 
 
 def halves(spark, sf):
@@ -263,11 +276,16 @@ def a27(spark, sf):
     return p.select("session_id", "n", "df", *[rnd(c).alias(c) for c in ("tau_bar", "se", "ci_lo", "ci_hi", "q", "i2")])
 
 
-@query("a27_homogeneity_p_value")
+@query("a27_homogeneity_p_value", f"""
+WITH {RUNS}, ok AS (SELECT *, 1/(sigma*sigma) AS w FROM rv WHERE sigma > 0), m AS (SELECT session_id, count(*) AS n, sum(w*tau)/sum(w) AS tb FROM ok GROUP BY 1),
+q AS (SELECT session_id, any_value(n) - 1.0 AS df, sum(w*(tau - tb)*(tau - tb)) AS q FROM ok JOIN m USING (session_id) GROUP BY 1),
+nodes AS (SELECT unnest(range(0, 20001))/20000 AS u),
+pv AS (SELECT session_id, greatest(0, 1 - sum(CASE WHEN u IN (0, 1) THEN 0.5 ELSE 1 END * sqrt(q)/20000 * 2*exp(-(df/2)*ln(2) - lgamma(df/2)) * power(sqrt(q)*u, df - 1) * exp(-q*u*u/2))) AS p FROM q, nodes GROUP BY 1)
+SELECT session_id, round(q, 6) AS q, CAST(df AS BIGINT) AS df, round(greatest((q - df)/q, 0)*100, 6) AS i2, round(p, 6) AS p, greatest((q - df)/q, 0)*100 < 25 AND p > 0.05 AS homogeneous FROM q JOIN pv USING (session_id)""")
 def a27p(spark, sf):
     p = pooled(run_means(spark, sf), ["session_id"], "tau", "sigma")
     pv = chi2_upper("q", "df")
-    return p.select("session_id", "q", "df", "i2", pv.alias("p"),
+    return p.select("session_id", rnd("q").alias("q"), "df", rnd("i2").alias("i2"), rnd(pv).alias("p"),
                     ((F.col("i2") < 25.0) & (pv > 0.05)).alias("homogeneous"))
 
 

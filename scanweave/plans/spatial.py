@@ -173,7 +173,17 @@ def j08(spark, sf):
     return outside_radius(t.filter("event_type <> 'error'"), held, ["session_id"], 1.0).select("joint_idx", "session_id")
 
 
-@query("o04_farthest_first_cells")
+def farthest_sql(steps):
+    ctes, chosen = [], "SELECT cx, cy FROM f1"
+    for i in range(2, steps + 1):
+        ctes.append(f"f{i} AS (SELECT cx, cy FROM (SELECT c.cx, c.cy, min(sqrt((c.cx-h.cx)*(c.cx-h.cx)+(c.cy-h.cy)*(c.cy-h.cy))) AS g FROM ok c, ({chosen}) h GROUP BY 1, 2) WHERE g > 0 ORDER BY g DESC, cx, cy LIMIT 1)")
+        chosen += f" UNION ALL SELECT cx, cy FROM f{i}"
+    union = " UNION ALL ".join(f"SELECT CAST({i} AS INT) AS step, cx, cy FROM f{i}" for i in range(1, steps + 1))
+    return f"""WITH {TEL}, {STATS}, ok AS (SELECT DISTINCT cx, cy FROM cs WHERE n >= 20),
+f1 AS (SELECT cx, cy FROM ok ORDER BY abs(cx) + abs(cy) DESC, cx, cy LIMIT 1), {", ".join(ctes)} {union}"""
+
+
+@query("o04_farthest_first_cells", farthest_sql(6))
 def o04(spark, sf):
     from scanweave.operators.sampling import farthest_first
     return farthest_first(stats(spark, sf).filter("n >= 20").select("cx", "cy").distinct(), 6)

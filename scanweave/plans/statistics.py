@@ -8,6 +8,7 @@ from scanweave.functions.exprs import rnd
 from scanweave.operators.quantiles import exact_quantiles
 from scanweave.operators.stats import (choose_threshold, fit_position, histogram_saddle, line_fit, log_distance,
                                        mixture_crossover, mixture_em, roc_sweep, spearman, value_histogram, with_replicates)
+from scanweave.plans.clocks import T_TAIL
 from scanweave.plans.registry import query
 from scanweave.plans.sequences import DISC, disc
 from scanweave.plans.views import AP, table, telemetry, transmitters, TEL
@@ -206,12 +207,14 @@ def a14(spark, sf):
     return strata(spark, sf).withColumn("rho", rnd("rho"))
 
 
-@query("a14_spearman_p_value")
+@query("a14_spearman_p_value", f"""
+WITH {TEL}, {STRATA}, ts AS (SELECT *, rho*sqrt((n-2)/(1-rho*rho)) AS t, n - 2.0 AS df FROM sp WHERE rho IS NOT NULL AND abs(rho) < 1), {T_TAIL.format(k="session_id, stratum, feature", src="ts")}
+SELECT session_id, stratum, feature, n, round(rho, 6) AS rho, p FROM ts JOIN tp USING (session_id, stratum, feature)""")
 def a14p(spark, sf):
     from scanweave.functions.tails import t_two_sided
     r = strata(spark, sf).filter("rho IS NOT NULL AND abs(rho) < 1")
     t = F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))
-    return r.withColumn("p", t_two_sided(t, F.col("n") - 2))
+    return r.select("session_id", "stratum", "feature", "n", rnd("rho").alias("rho"), rnd(t_two_sided(t, F.col("n") - 2)).alias("p"))
 
 
 @query("w29_headline_feature", f"""
@@ -328,12 +331,30 @@ def mixture(spark, sf):
     return mixture_em(h, "bin", "c", float(m.q[0]), float(m.q[1]), (m.sq - m.mean ** 2) ** 0.5, 60)
 
 
-@query("a25_two_component_mixture")
+EM = """
+hv AS (SELECT CAST(bin AS DOUBLE) AS x, c FROM hb WHERE c > 0),
+h0 AS (SELECT quantile_cont(cv, 0.25) AS q1, quantile_cont(cv, 0.75) AS q3, greatest(0.5*stddev_pop(cv), 1) AS s FROM shaped WHERE cv IS NOT NULL),
+em AS (SELECT 0 AS i, q1 AS m0, q3 AS m1, s AS s0, s AS s1, CAST(0.5 AS DOUBLE) AS p0, CAST(0.5 AS DOUBLE) AS p1, CAST('-Infinity' AS DOUBLE) AS ll, CAST('-Infinity' AS DOUBLE) AS pl FROM h0
+UNION ALL
+SELECT i + 1, xa/na, xb/nb, greatest(sqrt(greatest(qa/na - (xa/na)*(xa/na), 0)), 0.5), greatest(sqrt(greatest(qb/nb - (xb/nb)*(xb/nb), 0)), 0.5), na/(na+nb), nb/(na+nb), l, ll FROM
+ (SELECT i, ll, sum(c*a/t) AS na, sum(c*b/t) AS nb, sum(c*a/t*x) AS xa, sum(c*b/t*x) AS xb, sum(c*a/t*x*x) AS qa, sum(c*b/t*x*x) AS qb, sum(c*ln(t)) AS l FROM
+  (SELECT *, greatest(a + b, 1e-300) AS t FROM (SELECT e.i, e.ll, x, c, p0*exp(-0.5*((x-m0)/s0)*((x-m0)/s0))/(sqrt(2*pi())*s0) AS a, p1*exp(-0.5*((x-m1)/s1)*((x-m1)/s1))/(sqrt(2*pi())*s1) AS b
+    FROM em e, hv WHERE e.i < 60 AND (e.i < 2 OR abs(e.ll - e.pl) >= 1e-6))) GROUP BY i, ll))"""
+
+
+@query("a25_two_component_mixture", f"""
+WITH RECURSIVE {TEL}, {DISC}, {SHAPED}, {HIST.split("sm AS")[0].rstrip().rstrip(",")}, {EM}, f AS (SELECT * FROM em ORDER BY i DESC LIMIT 1),
+o AS (SELECT least(m0, m1) AS lo, greatest(m0, m1) AS hi, CASE WHEN m0 <= m1 THEN s0 ELSE s1 END AS slo, CASE WHEN m0 <= m1 THEN s1 ELSE s0 END AS shi, CASE WHEN m0 <= m1 THEN p0 ELSE p1 END AS plo, CASE WHEN m0 <= m1 THEN p1 ELSE p0 END AS phi FROM f),
+gr AS (SELECT i*0.01 AS x, i FROM (SELECT unnest(range(0, 10001)) AS i)),
+gp AS (SELECT x, i, abs(a/greatest(a+b, 1e-300) - 0.5) AS gap FROM (SELECT x, i, plo*exp(-0.5*((x-lo)/slo)*((x-lo)/slo))/slo AS a, phi*exp(-0.5*((x-hi)/shi)*((x-hi)/shi))/shi AS b FROM gr, o))
+SELECT (SELECT round(x, 3)::DOUBLE FROM gp ORDER BY gap, i LIMIT 1) AS threshold, round(lo, 4) AS mu0, round(hi, 4) AS mu1, round(slo, 4) AS sd0, round(shi, 4) AS sd1, round(plo, 5) AS pi0, round(phi, 5) AS pi1,
+  round(least(slo, shi)/greatest(hi - lo, 1e-9), 5) AS overlap_ratio FROM o""")
 def a25(spark, sf):
     fit = mixture(spark, sf)
     t = mixture_crossover(spark, fit)
-    return t.select("threshold", *[F.lit(float(v)).alias(k) for k, v in fit.items()],
-                    F.lit(min(fit["sd0"], fit["sd1"]) / max(abs(fit["mu1"] - fit["mu0"]), 1e-9)).alias("overlap_ratio"))
+    lit = lambda v, d: rnd(F.lit(float(v)), d)
+    return t.select(rnd("threshold", 3).alias("threshold"), *[lit(fit[k], 5 if k.startswith("pi") else 4).alias(k) for k in ("mu0", "mu1", "sd0", "sd1", "pi0", "pi1")],
+                    lit(min(fit["sd0"], fit["sd1"]) / max(abs(fit["mu1"] - fit["mu0"]), 1e-9), 5).alias("overlap_ratio"))
 
 
 @query("a26_threshold_decision", f"""

@@ -21,6 +21,7 @@ def build_session(master: str | None = None, app: str = "scanweave",
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no stack trace per expression
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.ui.enabled", "false"))
     if master:
         b = (b.master(master).config("spark.driver.memory", driver_memory)
@@ -52,11 +53,12 @@ def stored(df):
     return df.checkpoint()
 
 
-def spread(df):
-    """Rebalance a frame whose input has fewer splits than the session has cores.
+def spread(df, bytes_per_core: int = 16 << 20):
+    """Rebalance a frame whose estimated size would leave cores idle (one small file).
 
-    Only a small input (a single file) is affected; a table with enough splits
-    is returned as it is and never shuffled.
+    Decided from the optimizer's size estimate, so nothing runs; a table with
+    enough data for every core is returned as it is and never shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * bytes_per_core else df
