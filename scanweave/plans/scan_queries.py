@@ -215,24 +215,28 @@ def half_noise(spark, sf):
     return profile_distance(a, b, ["cx", "cy"], 20)
 
 
+def floor_of(halves):
+    """Median split-half distance; 1000 mm where no cell qualifies."""
+    return F.coalesce(exact_quantiles(halves, [], "rmse", {"m": 0.5}).scalar(), F.lit(1000.0))
+
+
 @query("a22_split_half_noise_floor", f"""
-WITH {JOINT}, {LOW}, {SPLIT} SELECT count(*) AS n_cells, round(median(rmse), 5) AS noise_floor FROM hc""")
+WITH {JOINT}, {LOW}, {SPLIT} SELECT count(*) AS n_cells, round(coalesce(median(rmse), 1000), 5) AS noise_floor FROM hc""")
 def a22(spark, sf):
-    h = stored(half_noise(spark, sf).select(F.lit(1).alias("k"), "rmse"))
-    q = exact_quantiles(h, ["k"], "rmse", {"m": 0.5})
-    return h.groupBy("k").agg(F.count("*").alias("n_cells")).join(q, "k").select("n_cells", rnd("m", 5).alias("noise_floor"))
+    h = stored(half_noise(spark, sf).select("rmse"))
+    return h.agg(F.count("*").alias("n_cells")).withColumn("noise_floor", rnd(floor_of(h), 5))
 
 
 @query("m14_gate_zero_profiles", f"""
-WITH {JOINT}, {PROFILE}, {SPLIT}, z AS (SELECT (SELECT median(rmse) FROM cmp) AS r, (SELECT median(cosine) FROM cmp) AS c, greatest((SELECT median(rmse) FROM hc), 100) AS f)
+WITH {JOINT}, {PROFILE}, {SPLIT}, z AS (SELECT (SELECT median(rmse) FROM cmp) AS r, (SELECT median(cosine) FROM cmp) AS c, greatest(coalesce((SELECT median(rmse) FROM hc), 1000), 100) AS f)
 SELECT round(r, 5) AS median_rmse, round(c, 6) AS median_cosine, round(f, 5) AS floor_mm,
   CASE WHEN c > 0.95 AND r < 6*f THEN 'GREEN' WHEN c < 0.7 OR r > 12*f THEN 'RED' ELSE 'YELLOW' END AS gate FROM z""")
 def m14z(spark, sf):
     from scanweave.operators.rules import profile_gate
-    p = stored(pair_profiles(spark, sf).select(F.lit(1).alias("k"), "rmse", "cosine"))
-    h = stored(half_noise(spark, sf).select(F.lit(1).alias("k"), "rmse"))
-    m = (exact_quantiles(p, ["k"], "rmse", {"r": 0.5}).join(exact_quantiles(p, ["k"], "cosine", {"c": 0.5}), "k")
-         .join(exact_quantiles(h, ["k"], "rmse", {"f": 0.5}), "k").withColumn("f", F.greatest("f", F.lit(100.0))))
+    p = stored(pair_profiles(spark, sf).select("rmse", "cosine"))
+    h = stored(half_noise(spark, sf).select("rmse"))
+    m = exact_quantiles(p, [], "rmse", {"r": 0.5}).withColumn("c", exact_quantiles(p, [], "cosine", {"c": 0.5}).scalar())
+    m = m.withColumn("f", F.greatest(floor_of(h), F.lit(100.0)))
     return m.select(rnd("r", 5).alias("median_rmse"), rnd("c").alias("median_cosine"), rnd("f", 5).alias("floor_mm"),
                     profile_gate(F.col("c"), F.col("r"), F.col("f")).alias("gate"))
 

@@ -39,7 +39,7 @@ def a03l(spark, sf):
 
 @query("a04_within_cell_noise_floor", f"""
 WITH {TEL}, {STATS} SELECT coalesce(session_id, 'all') AS session_id, count(*) AS n_cells, round(avg(sd), 6) AS sigma FROM cs
-WHERE n >= 20 GROUP BY ROLLUP(session_id)""")
+WHERE n >= 20 GROUP BY ROLLUP(session_id) HAVING count(*) > 0""")
 def a04(spark, sf):
     s = stats(spark, sf).filter("n >= 20").rollup("session_id").agg(F.count("*").alias("n_cells"), rnd(F.avg("sd")).alias("sigma"))
     return s.select(F.coalesce("session_id", F.lit("all")).alias("session_id"), "n_cells", "sigma")
