@@ -9,7 +9,7 @@ from scanweave.functions.exprs import time_bucket
 
 def asof_nearest(left: DataFrame, right: DataFrame, on: list[str], us: str, left_id: str,
                  right_id: str, tolerance_s: float, payload: list[str] | None = None,
-                 bucket_s: float | None = None, keep_unmatched: bool = False) -> DataFrame:
+                 bucket_s: float | None = None, keep_unmatched: bool = False, salts: int = 1) -> DataFrame:
     """For each left row the right row nearest in time, at most ``tolerance_s`` away.
 
     Both clocks are the microsecond column ``us``. Equal gaps take the earlier
@@ -17,7 +17,9 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: list[str], us: str, left
     lowest on the later side. Time is cut into buckets at least one tolerance
     wide and a right row within one tolerance of a border is copied to the
     neighbour, so one shuffle on (on, bucket) is enough and a hot key is spread
-    over its buckets. Adds ``right_us``, ``<right_id>``, ``delta_t_s`` (left
+    over its buckets. Where a single bucket of a key may still be too large,
+    ``salts`` splits its left rows and copies its right rows to every part.
+    Adds ``right_us``, ``<right_id>``, ``delta_t_s`` (left
     minus right) and the payload columns.
     """
     payload = payload or []
@@ -27,15 +29,17 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: list[str], us: str, left
     lcols = [c for c in left.columns if c not in on]
     match = F.struct(F.col(us).alias("right_us"), F.col(right_id), *payload)
     lo, hi = F.floor((F.col(us) - tol) / width), F.floor((F.col(us) + tol) / width)
-    r = right.select(*on, F.explode(F.sequence(lo, hi)).alias("_b"), F.col(us).alias("_us"),
+    r = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))) if salts > 1 else right.withColumn("_salt", F.lit(0))
+    r = r.select(*on, "_salt", F.explode(F.sequence(lo, hi)).alias("_b"), F.col(us).alias("_us"),
                      F.lit(0).alias("_side"), F.col(right_id).cast("long").alias("_id"),
                      F.lit(None).cast(left.select(F.struct(*lcols).alias("s")).schema["s"].dataType)
                      .alias("_l"), match.alias("_r"))
-    l = left.select(*on, time_bucket(us, width_s).alias("_b"), F.col(us).alias("_us"),
+    salt = F.pmod(F.xxhash64(left_id), F.lit(salts)).cast("int") if salts > 1 else F.lit(0)
+    l = left.select(*on, salt.alias("_salt"), time_bucket(us, width_s).alias("_b"), F.col(us).alias("_us"),
                     F.lit(1).alias("_side"), F.col(left_id).cast("long").alias("_id"),
                     F.struct(*lcols).alias("_l"),
                     F.lit(None).cast(r.schema["_r"].dataType).alias("_r"))
-    win = (f"OVER (PARTITION BY {', '.join([*on, '_b'])} ORDER BY _us, _side, _id)")
+    win = (f"OVER (PARTITION BY {', '.join([*on, '_b', '_salt'])} ORDER BY _us, _side, _id)")
     u = (l.unionByName(r)
          .withColumn("_back", F.expr(f"lag(_r) IGNORE NULLS {win}"))
          .withColumn("_fwd", F.expr(f"lead(_r) IGNORE NULLS {win}"))

@@ -182,7 +182,7 @@ def x01(spark, sf):
         rnd(F.log10(F.col("value") + 1)).alias("lg"), rnd(F.radians(F.degrees(h))).alias("rad"), rnd(F.sqrt("value")).alias("rt"), F.signum(h).alias("sg"))
 
 
-@query("x02_x04_wrap_bin_clip", f"""
+@query("x02_x03_x04_wrap_bin_clip", f"""
 WITH {TEL} SELECT joint_idx, round(3*heading_rad + pi() - 2*pi()*floor((3*heading_rad + pi())/(2*pi())) - pi(), 6) AS wrapped, CAST(floor((x_m - 10)/0.5) AS BIGINT) AS bin,
   CAST(floor(degrees(heading_rad)/30) AS BIGINT) AS hb, round(least(greatest(heading_rad, -1), 1), 6) AS clipped FROM tel""")
 def x02(spark, sf):

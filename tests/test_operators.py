@@ -83,6 +83,8 @@ def test_asof_against_pandas_on_a_hot_key(spark):
     want = pd.merge_asof(l, r.assign(t=r.us), on="us", by="k", direction="nearest", tolerance=200_000)
     got = asof.asof_nearest(spark.createDataFrame(l), spark.createDataFrame(r), ["k"], "us", "id", "rid", 0.2).select("id", "rid")
     assert rows(got, "id") == [(int(a), int(b)) for a, b in zip(want.id, want.rid) if not math.isnan(b)]
+    salted = asof.asof_nearest(spark.createDataFrame(l), spark.createDataFrame(r), ["k"], "us", "id", "rid", 0.2, salts=4).select("id", "rid")
+    assert rows(salted, "id") == rows(got, "id")
 
 
 def test_interval_overlap_last_wins_and_bounds_are_closed(spark):

@@ -19,6 +19,16 @@ def test_sql_keys_are_queries():
     assert set(SQL) <= set(QUERIES)
 
 
+def test_inventory_is_covered():
+    """Every row of the survey's operator inventory leads or follows in a query name."""
+    import re
+    seen = set()
+    for name in QUERIES:
+        seen |= set(re.findall(r"(?:^|_)([a-z]\d\d)(?=b?_)", name))
+    sizes = {"s": 16, "f": 15, "j": 18, "a": 44, "w": 32, "o": 7, "u": 5, "x": 12, "v": 7, "m": 16, "q": 14}
+    assert {f"{c}{i:02d}" for c, n in sizes.items() for i in range(1, n + 1)} - seen == set()
+
+
 def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "retention" in df.columns
