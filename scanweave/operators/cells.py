@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scanweave.functions.exprs import cell
+from scanweave.operators.timeline import ordered_pairs
 
 
 def with_cells(df: DataFrame, width: float, x: str = "x_m", y: str = "y_m") -> DataFrame:
@@ -24,8 +25,7 @@ def cell_overlap(df: DataFrame, group: str, width: float) -> DataFrame:
     size = cells.groupBy(group).agg(F.count("*").alias("n"))
     a, b = cells.withColumnRenamed(group, "a"), cells.withColumnRenamed(group, "b")
     both = a.join(b, ["cx", "cy"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    pairs = (size.select(F.col(group).alias("a"), F.col("n").alias("n_a"))
-             .join(size.select(F.col(group).alias("b"), F.col("n").alias("n_b")), F.col("a") < F.col("b"))
+    pairs = (ordered_pairs(size, group).withColumnsRenamed({f"{group}_a": "a", f"{group}_b": "b"})
              .join(both, ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0))))
     union = F.col("n_a") + F.col("n_b") - F.col("shared")
     return pairs.select("a", "b", "n_a", "n_b", "shared", union.alias("n_union"),

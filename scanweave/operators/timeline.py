@@ -126,3 +126,16 @@ def islands(df: DataFrame, keys: list[str], order: list[str], label: str | Colum
             chunk: str | Column, name: str = "island") -> DataFrame:
     """Number the maximal runs of equal ``label``."""
     return neighbours(df, keys, order, [], chunk, "", label, name)
+
+
+def ordered_pairs(summary: DataFrame, key: str) -> DataFrame:
+    """Every pair of rows with a lower and a higher key, columns suffixed ``_a`` and ``_b``.
+
+    For summary tables with one row per key: each row names the ranks of its
+    partners, and partners meet by an equality join.
+    """
+    w, every = Window.orderBy(key), Window.partitionBy(F.lit(1))
+    d = summary.withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count("*").over(every).cast("int"))
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in summary.columns]
+    a = d.filter("_i < _n").select(*side("a"), F.explode(F.sequence(F.col("_i") + 1, F.col("_n"))).alias("_i"))
+    return a.join(d.select(*side("b"), "_i"), "_i").drop("_i")

@@ -9,7 +9,7 @@ from scanweave.functions.tails import chi2_upper, t_two_sided
 from scanweave.operators.quantiles import exact_quantiles
 from scanweave.operators.signal import (block_bootstrap, ci_overlap, cross_correlation, fill_linear, grid_bounds,
                                         peak, pooled, resample_linear, signal_pair, weighted_slope, zscore)
-from scanweave.operators.timeline import row_position
+from scanweave.operators.timeline import ordered_pairs, row_position
 from scanweave.plans.registry import query
 from scanweave.session import stored
 from scanweave.plans.views import telemetry, TEL
@@ -304,10 +304,9 @@ WITH {SESS} SELECT a.session_id AS a, b.session_id AS b, round(b.tau - a.tau, 6)
   NOT (a.tau + 1.96*a.sigma < b.tau - 1.96*b.sigma OR b.tau + 1.96*b.sigma < a.tau - 1.96*a.sigma) AS overlap
 FROM sv a JOIN sv b ON a.session_id < b.session_id""")
 def a28(spark, sf):
-    s = session_means(spark, sf)
-    return s.alias("a").join(s.alias("b"), F.col("a.session_id") < F.col("b.session_id")).select(
-        F.col("a.session_id").alias("a"), F.col("b.session_id").alias("b"), rnd(F.col("b.tau") - F.col("a.tau")).alias("delta"),
-        ci_overlap("a.tau", "a.sigma", "b.tau", "b.sigma").alias("overlap"))
+    p = ordered_pairs(session_means(spark, sf).select("session_id", "tau", "sigma"), "session_id")
+    return p.select(F.col("session_id_a").alias("a"), F.col("session_id_b").alias("b"), rnd(F.col("tau_b") - F.col("tau_a")).alias("delta"),
+                    ci_overlap("tau_a", "sigma_a", "tau_b", "sigma_b").alias("overlap"))
 
 
 @query("w31_consecutive_day_deltas", f"""

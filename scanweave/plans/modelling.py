@@ -73,12 +73,12 @@ def m04(spark, sf):
 def m05(spark, sf):
     rows = fold_table(spark, sf).filter("fold = 'F-B'")
     p = ablation(rows, ["F-B"], {"full": VARIANTS["full"]}, "signal", KEEP, {"main": QUICK, "shallow": Settings(2, 0.3, 5, 1.0)})
-    t = rows.withColumn("_one", F.lit(1))
-    held = t.filter("split = 'test' AND x_m BETWEEN 4 AND 9 AND y_m < 6")
-    buffered = outside_radius(t.filter("split <> 'test'"), held, ["_one"], 1.0).unionByName(t.filter("split = 'test'")).drop("_one")
+    test = rows.filter("split = 'test'")
+    held = test.filter("x_m BETWEEN 4 AND 9 AND y_m < 6")
+    buffered = outside_radius(rows.filter("split <> 'test'"), held, [], 1.0).unionByName(test)
     b = ablation(buffered, ["F-B"], {"full": VARIANTS["full"]}, "signal", KEEP, {"buffer": QUICK})
     placebo = block_shuffle(rows.filter("split <> 'test'"), ["session_id", "split"], "placebo", "joint_idx", SCAN_FEATURES)
-    c = ablation(placebo.unionByName(rows.filter("split = 'test'")), ["F-B"], {"full": VARIANTS["full"]}, "signal", KEEP, {"placebo": QUICK})
+    c = ablation(placebo.unionByName(test), ["F-B"], {"full": VARIANTS["full"]}, "signal", KEEP, {"placebo": QUICK})
     return metric_rows(p.unionByName(b).unionByName(c), ["fold", "variant", "config"])
 
 

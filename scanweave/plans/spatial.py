@@ -8,9 +8,11 @@ from scanweave.functions.exprs import cell, rnd
 from scanweave.operators.cells import (cell_overlap, cell_stats, nearest_of, outside_radius, semivariogram,
                                        variogram_range, with_cells)
 from scanweave.operators.quantiles import exact_quantiles
+from scanweave.operators.rules import level_gate
 from scanweave.operators.sequence import sample_gaps
 from scanweave.plans.registry import query
 from scanweave.plans.views import table, telemetry, TEL
+from scanweave.session import stored
 
 W = 2.0
 CELLS = "CAST(floor(x_m/2) AS BIGINT) AS cx, CAST(floor(y_m/2) AS BIGINT) AS cy"
@@ -111,11 +113,11 @@ WITH {TEL}, {DELTAS}, q AS (SELECT count(*) AS n_cells, quantile_cont(abs(delta)
 SELECT n_cells, round(med, 6) AS median_abs, round(q1, 6) AS q1, round(q3, 6) AS q3,
   CASE WHEN med < 0.5 THEN 'GREEN' WHEN med < 2 THEN 'YELLOW' ELSE 'RED' END AS gate FROM q""")
 def a07(spark, sf):
-    d = deltas(spark, sf).filter("n_a >= 5 AND n_b >= 5").select(F.lit(1).alias("k"), F.abs("delta").alias("d"))
-    q = exact_quantiles(d, ["k"], "d", {"q1": 0.25, "median_abs": 0.5, "q3": 0.75})
-    gate = F.when(F.col("median_abs") < 0.5, "GREEN").when(F.col("median_abs") < 2, "YELLOW").otherwise("RED")
-    return q.join(d.groupBy("k").agg(F.count("*").alias("n_cells")), "k").select(
-        "n_cells", rnd("median_abs").alias("median_abs"), rnd("q1").alias("q1"), rnd("q3").alias("q3"), gate.alias("gate"))
+    d = stored(deltas(spark, sf).filter("n_a >= 5 AND n_b >= 5").select(F.abs("delta").alias("d")))
+    q = exact_quantiles(d, [], "d", {"q1": 0.25, "median_abs": 0.5, "q3": 0.75})
+    return q.withColumn("n_cells", d.select(F.count("*")).scalar()).select(
+        "n_cells", rnd("median_abs").alias("median_abs"), rnd("q1").alias("q1"), rnd("q3").alias("q3"),
+        level_gate(F.col("median_abs"), 0.5, 2.0).alias("gate"))
 
 
 @query("j11_semi_join_qualifying_cells", f"""
@@ -158,7 +160,6 @@ def a18(spark, sf):
 WITH {TEL}, {VARIO}, m AS (SELECT session_id, max(gamma) AS g FROM gam GROUP BY 1)
 SELECT session_id, round(g, 5) AS gamma_max, min(lag) FILTER (gamma >= 0.95*g) AS range_m FROM gam JOIN m USING (session_id) GROUP BY 1, g""")
 def a18r(spark, sf):
-    from scanweave.session import stored
     g = stored(semivariogram(telemetry(spark, sf), ["session_id"], "signal", LAGS))
     return variogram_range(g, ["session_id"]).select("session_id", rnd("gamma_max", 5).alias("gamma_max"), "range_m")
 
