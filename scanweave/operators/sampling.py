@@ -114,14 +114,15 @@ def equal_chunks(df: DataFrame, along: str, row_id: str, parts: int) -> DataFram
     return d.withColumn("part", part.cast("int")).drop("rn", "n")
 
 
-def principal_axis(df: DataFrame, x: str = "x_m", y: str = "y_m") -> tuple[Column, DataFrame]:
-    """Projection on the first principal axis (x component not negative) and its parameters."""
-    m = df.agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.covar_pop(x, x).alias("cxx"),
-               F.covar_pop(y, y).alias("cyy"), F.covar_pop(x, y).alias("cxy"))
+def principal_axis(df: DataFrame, x: str = "x_m", y: str = "y_m") -> tuple[Column, tuple]:
+    """Projection on the first principal axis (x component not negative) and its parameters.
+
+    One aggregate; four numbers reach the driver.
+    """
     a = 0.5 * F.atan2(2 * F.col("cxy"), F.col("cxx") - F.col("cyy"))
-    m = m.select("mx", "my", F.cos(a).alias("ux"), F.sin(a).alias("uy"))
-    get = lambda c: m.select(c).scalar()
-    return (F.col(x) - get("mx")) * get("ux") + (F.col(y) - get("my")) * get("uy"), m
+    m = df.agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.covar_pop(x, x).alias("cxx"),
+               F.covar_pop(y, y).alias("cyy"), F.covar_pop(x, y).alias("cxy")).select("mx", "my", F.cos(a).alias("ux"), F.sin(a).alias("uy")).first()
+    return (F.col(x) - m.mx) * m.ux + (F.col(y) - m.my) * m.uy, (m.mx, m.my, m.ux, m.uy)
 
 
 def farthest_first(cells: DataFrame, n: int) -> DataFrame:
