@@ -23,3 +23,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op5_simhash_near_dedup(spark, sf_dir):
     from scanweave.llm.simhash import simhash_components
     return simhash_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_mix_sources(spark, sf_dir):
+    from scanweave.llm.mixing import mix
+    return mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_best_fit_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from scanweave.llm.packing import pack
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _sql() -> None:
+    from scanweave.llm.mixing import OP2_SQL
+    SQL["op2_mix_sources"] = OP2_SQL
+
+
+_sql()
