@@ -45,3 +45,23 @@ def _sql() -> None:
 
 
 _sql()
+
+
+@query
+def op7_language_id(spark, sf_dir):
+    from scanweave.llm.base import fold
+    from scanweave.llm.langid import predict, train
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, fold(F.col("doc_id"), 4) != 2)
+    return predict(docs.select("doc_id", "text", (fold(F.col("doc_id"), 4) == 2).alias("held_out")), model).drop("text")
+
+
+@query
+def op8_toxicity(spark, sf_dir):
+    from scanweave.llm import langid, toxicity
+    from scanweave.llm.base import fold
+    docs = table(spark, sf_dir, "documents")
+    usable = fold(F.col("doc_id"), 4) != 2
+    langs = langid.train(docs, usable)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), usable, langs)
+    return toxicity.score(docs.select("doc_id", "text", (fold(F.col("doc_id"), 4) == 2).alias("held_out")), model, langs).drop("text")
