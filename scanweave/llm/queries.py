@@ -65,3 +65,9 @@ def op8_toxicity(spark, sf_dir):
     langs = langid.train(docs, usable)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), usable, langs)
     return toxicity.score(docs.select("doc_id", "text", (fold(F.col("doc_id"), 4) == 2).alias("held_out")), model, langs).drop("text")
+
+
+@query
+def op10_lm_scores(spark, sf_dir):
+    from scanweave.llm.lm import score
+    return score(table(spark, sf_dir, "documents"))
