@@ -71,3 +71,15 @@ def op8_toxicity(spark, sf_dir):
 def op10_lm_scores(spark, sf_dir):
     from scanweave.llm.lm import score
     return score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_balanced_list_search(spark, sf_dir):
+    from scanweave.llm.ann import nearest
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op6_pivot_near_dedup(spark, sf_dir):
+    from scanweave.llm.pivots import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
