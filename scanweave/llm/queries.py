@@ -83,3 +83,11 @@ def op1_balanced_list_search(spark, sf_dir):
 def op6_pivot_near_dedup(spark, sf_dir):
     from scanweave.llm.pivots import near_duplicates
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_word_piece_counts(spark, sf_dir):
+    import public_tokenizers
+
+    from scanweave.llm.wordpieces import token_counts
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
