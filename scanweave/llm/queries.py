@@ -91,3 +91,9 @@ def op3_word_piece_counts(spark, sf_dir):
 
     from scanweave.llm.wordpieces import token_counts
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op9_suffix_dedup(spark, sf_dir):
+    from scanweave.llm.substrings import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
