@@ -39,14 +39,6 @@ def op4_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def _sql() -> None:
-    from scanweave.llm.mixing import OP2_SQL
-    SQL["op2_mix_sources"] = OP2_SQL
-
-
-_sql()
-
-
 @query
 def op7_language_id(spark, sf_dir):
     from scanweave.llm.base import fold
@@ -97,3 +89,12 @@ def op3_word_piece_counts(spark, sf_dir):
 def op9_suffix_dedup(spark, sf_dir):
     from scanweave.llm.substrings import remove_repeats
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def _sql() -> None:
+    from scanweave.llm.mixing import OP2_SQL
+    from scanweave.llm.substrings import OP9_SQL
+    SQL.update(op2_mix_sources=OP2_SQL, op9_suffix_dedup=OP9_SQL)
+
+
+_sql()

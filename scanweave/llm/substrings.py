@@ -496,3 +496,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         schema = schema.add(f"+{name}", kind)
     out = all_rows.unionByName(spans).repartition(parts, "part").mapInArrow(_cut(len(kept), schema.names), schema)
     return out.select(*[F.col(f"`__{i}`").alias(c) for i, c in enumerate(kept)], *[F.col(f"`+{n}`").alias(n) for n in extra])
+
+
+OP9_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, k, substr(h, CAST(2 * k + 1 AS BIGINT), 100) AS s FROM d, unnest(range(0, greatest(n - 49, 0))) AS u(k)),
+least AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, k FROM w JOIN least USING (s) WHERE m < doc_id),
+edge AS (SELECT doc_id, k, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 50 THEN 0 ELSE 1 END AS new
+         FROM (SELECT DISTINCT doc_id, k FROM hit)),
+span AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS z FROM (SELECT doc_id, k, sum(new) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM edge) GROUP BY doc_id, g),
+gap AS (SELECT doc_id, z AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM span
+        UNION ALL SELECT doc_id, 0, min(a) FROM span GROUP BY doc_id),
+kept AS (SELECT g.doc_id, string_agg(substr(h, CAST(2 * g.a + 1 AS BIGINT), CAST(2 * (coalesce(g.z, d.n) - g.a) AS BIGINT)), '' ORDER BY g.a) AS h FROM gap g JOIN d USING (doc_id) GROUP BY g.doc_id),
+total AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM span GROUP BY doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(t.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(t.spans, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(coalesce(k.h, CASE WHEN t.doc_id IS NULL THEN d.h ELSE '' END))) AS kept_sha256
+FROM d LEFT JOIN total t USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
