@@ -8,6 +8,7 @@ all words, unknown ones included, add up to one after every context.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -69,10 +70,24 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, ends: int, classes: int, common: int, longest: int = 64) -> Vocabulary:
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = (counts.where(F.octet_length("word") <= longest).orderBy(F.col("n").desc(), "word").limit(common).collect())
-    top = [(bytes(r["word"]), r["n"]) for r in top]
-    return Vocabulary([w for w, _ in top[:classes]], dict(top), total["n"] + ends, total["v"] + (ends > 0), ends)
+    """Totals over all counts, and the words above the least frequency that at most ``common`` words reach.
+
+    Frequencies are looked at in steps of 1/32 of a doubling, so that the driver gets a row a step and then at
+    most ``common`` words, whatever the number of distinct words.
+    """
+    step = F.floor(F.log2("n") * 32)
+    seen = counts.groupBy(step.alias("s"), (F.octet_length("word") <= longest).alias("fits")).agg(
+        F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect()
+    least, held = math.inf, 0
+    for s, words in sorted(((r["s"], r["words"]) for r in seen if r["fits"]), reverse=True):
+        held += words
+        if held > common:
+            break
+        least = s
+    top = counts.where((F.octet_length("word") <= longest) & (step >= least)).collect() if least < math.inf else []
+    top = sorted(((bytes(r["word"]), r["n"]) for r in top), key=lambda x: (-x[1], x[0]))
+    tokens, distinct = sum(r["n"] for r in seen), sum(r["words"] for r in seen)
+    return Vocabulary([w for w, _ in top[:classes]], dict(top), tokens + ends, distinct + (ends > 0), ends)
 
 
 @dataclass
