@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scanweave.operators.stats import with_replicates
+from scanweave.operators.stats import replicate_sums
 
 
 def _strata(df: DataFrame, in_view: str) -> DataFrame:
@@ -32,9 +32,7 @@ def _replicate_sums(d: DataFrame, keys: list[str], row_id: str, reps: int, seed:
 
     Rows are drawn once, under their view stratum; 'overall' adds the two up.
     """
-    sums = [F.sum(F.col("w") * F.col(c)).alias(c) for c in columns]
-    leaf = (with_replicates(d.select(*keys, row_id, _leaf("in_view").alias("stratum"), *columns), row_id, reps, seed)
-            .groupBy(*keys, "stratum", "rep").agg(F.sum("w").alias("w"), *sums))
+    leaf = replicate_sums(d.select(*keys, row_id, _leaf("in_view").alias("stratum"), *columns), [*keys, "stratum"], row_id, columns, reps, seed)
     up = leaf.withColumn("stratum", F.explode(F.array(F.lit("overall"), F.col("stratum"))))
     return up.groupBy(*keys, "stratum", "rep").agg(F.sum("w").alias("w"), *[F.sum(c).alias(c) for c in columns])
 

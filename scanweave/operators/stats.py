@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scanweave.functions.exprs import clip
 from scanweave.operators.quantiles import average_ranks
-from scanweave.session import spread
+from scanweave.session import ship
 
 # Cumulative Poisson(1) probabilities.
 POISSON1 = [sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) for i in range(9)]
@@ -88,14 +89,69 @@ def mixed_unit(df: DataFrame, row_id: str, rep: str, seed: int, name: str) -> Da
     """Pseudo-random number in [0, 1) from (seed, row, replicate) by quadratic mixing.
 
     Plain 64-bit arithmetic stays inside generated code; a text hash per row and
-    replicate would dominate the bootstrap. Numbers below PRIME never overflow.
+    replicate would dominate the bootstrap. Numbers below PRIME never overflow. The
+    id's remainder enters the first stage and its quotient the second, so ids far
+    apart don't share their numbers.
     """
-    d = df.selectExpr("*", f"((CAST(`{row_id}` AS BIGINT) % {PRIME}) * 48271 + {rep} * 69621 + {seed}) % {PRIME} AS _u1")
-    d = d.selectExpr("*", f"(_u1 * _u1 + {rep} * 16807 + 12345) % {PRIME} AS _u2")
+    i = f"CAST(`{row_id}` AS BIGINT)"
+    d = df.selectExpr("*", f"(({i} % {PRIME}) * 48271 + {rep} * 69621 + {seed}) % {PRIME} AS _u1")
+    d = d.selectExpr("*", f"(_u1 * _u1 + {rep} * 16807 + (({i} DIV {PRIME}) % {PRIME}) * 40692 + 12345) % {PRIME} AS _u2")
     d = d.selectExpr("*", f"(_u2 * _u2 + _u1 * 39373 + 1013904223) % {PRIME} AS _u3")
     return d.selectExpr(*[f"`{c}`" for c in df.columns], f"((_u3 * _u3 + _u2) % {PRIME}) / {PRIME} AS {name}")
 
 
+def resampling_weights(row_ids: np.ndarray, reps: int, seed: int) -> np.ndarray:
+    """(rows, reps) Poisson(1) weights: the numbers of ``mixed_unit`` and ``poisson_weight``."""
+    i, rep = row_ids.astype(np.int64)[:, None], np.arange(1, reps + 1, dtype=np.int64)
+    u1 = ((i % PRIME) * 48271 + rep * 69621 + seed) % PRIME
+    u2 = (u1 * u1 + rep * 16807 + ((i // PRIME) % PRIME) * 40692 + 12345) % PRIME
+    u3 = (u2 * u2 + u1 * 39373 + 1013904223) % PRIME
+    u = ((u3 * u3 + u2) % PRIME) / PRIME
+    return sum((u >= c).view(np.int8) for c in POISSON1).astype(np.float64)
+
+
+def replicate_sums(df: DataFrame, keys: list[str], row_id: str, columns: list[str], reps: int, seed: int) -> DataFrame:
+    """(keys, rep, w, columns): per replicate the sum of weights and the weighted sums.
+
+    Rows are read once and not multiplied: a task keeps ``reps`` running sums a
+    key and passes on only these. A null value adds nothing; a null row id is
+    row 0. ``keys`` hold few distinct values (sessions, folds, strata).
+    """
+    ship(df.sparkSession)
+    d = df.select(*keys, F.coalesce(F.col(row_id).cast("long"), F.lit(0)).alias("__row"),
+                  *[F.col(c).cast("double").alias(c) for c in columns])
+
+    def run(batches):
+        import pyarrow as pa
+        sums, first = {}, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            first = b.schema if first is None else first
+            t = b.to_pandas()
+            values = np.column_stack([np.ones(len(t)), t[columns].to_numpy(np.float64, na_value=0.0)])
+            values = np.nan_to_num(values, nan=0.0, posinf=np.inf, neginf=-np.inf)
+            group = t.groupby(keys, dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(t), int)
+            rows, ids = b.column(len(keys)).to_numpy(), np.unique(group, return_index=True)[1]
+            names = [tuple(b.column(k)[int(i)].as_py() for k in range(len(keys))) for i in ids]
+            for at in range(0, len(rows), 512):
+                w, g = resampling_weights(rows[at:at + 512], reps, seed), group[at:at + 512]
+                for k in np.unique(g):
+                    hit = g == k
+                    part = w[hit].T @ values[at:at + 512][hit]
+                    sums[names[k]] = sums[names[k]] + part if names[k] in sums else part
+        for name, total in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array([v] * reps, first.field(k).type) for k, v in enumerate(name)], pa.array(np.arange(1, reps + 1, dtype=np.int32)),
+                 *[pa.array(total[:, j]) for j in range(total.shape[1])]], names=[*keys, "rep", "w", *columns])
+
+    schema = d.select(*keys).schema.add("rep", "integer").add("w", "double")
+    for c in columns:
+        schema = schema.add(c, "double")
+    return (d.mapInArrow(run, schema).groupBy(*keys, "rep")
+            .agg(F.sum("w").alias("w"), *[F.sum(c).alias(c) for c in columns]))
+
+
 def with_replicates(df: DataFrame, row_id: str, reps: int, seed: int) -> DataFrame:
     """Each row once per replicate with its resampling weight ``w``, which may be zero.
 
@@ -103,15 +159,17 @@ def with_replicates(df: DataFrame, row_id: str, reps: int, seed: int) -> DataFra
     twice, and they add nothing to a weighted sum. The weight depends on (seed, replicate, row id) alone, so paired errors of
     two models share it and nothing is shuffled to draw it.
     """
-    d = spread(df).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    d = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     d = mixed_unit(d, row_id, "rep", seed, "_u")
     return d.selectExpr(*df.columns, "rep", f"{poisson_weight('_u')} AS w")
 
 
 def value_histogram(df: DataFrame, value: str, lo: int, hi: int, flag: str | None = None) -> DataFrame:
-    """Dense unit-bin counts lo..hi; with ``flag`` also the flagged count."""
+    """Dense unit-bin counts lo..hi; with ``flag`` also the flagged count. A value outside raises an error."""
     aggs = [F.count("*").alias("c")] + ([F.count_if(F.col(flag)).alias("pos")] if flag else [])
-    h = df.filter(F.col(value).isNotNull()).groupBy(F.floor(F.col(value) + 0.5).alias("bin")).agg(*aggs)
+    at = F.floor(F.col(value) + 0.5)
+    at = F.when((at >= lo) & (at <= hi), at).otherwise(F.raise_error(F.concat(F.lit("outside the histogram: "), F.col(value).cast("string"))).cast("long"))
+    h = df.filter(F.col(value).isNotNull()).groupBy(at.alias("bin")).agg(*aggs)
     bins = df.sparkSession.range(lo, hi + 1).withColumnRenamed("id", "bin")
     return bins.join(h, "bin", "left").fillna(0)
 
@@ -142,14 +200,15 @@ def histogram_saddle(hist: DataFrame, lo: int, hi: int, apart: int = 20) -> Data
 def roc_sweep(df: DataFrame, score: str, truth: str, thresholds: list[float]) -> DataFrame:
     """tpr, fpr and J of 'score < t' for each threshold.
 
-    Rows fold to counts per score first; a threshold then sums a table with one
-    row per score value.
+    Rows fold to counts per score, then to counts between neighbouring thresholds,
+    on the map side; what is summed up in order has one row a threshold.
     """
     v = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("v")).agg(
         F.count_if(F.col(truth)).alias("p"), F.count_if(~F.col(truth)).alias("q"))
-    bucket = F.floor(F.col("v") * 2) / 2 + 0.5
-    step = v.groupBy(bucket.alias("t")).agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    grid = df.sparkSession.createDataFrame([(float(t),) for t in thresholds], "t double")
+    cuts = sorted({float(t) for t in thresholds})
+    below = F.size(F.filter(F.array(*[F.lit(t) for t in cuts]), lambda t: t <= F.col("v")))  # the first larger threshold
+    step = v.groupBy(F.get(F.array(*[F.lit(t) for t in [*cuts, math.inf]]), below).alias("t")).agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    grid = df.sparkSession.createDataFrame([(t,) for t in cuts], "t double")
     w = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     g = grid.join(step, "t", "full").fillna(0, ["p", "q"])
     g = g.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("q").over(w))
@@ -160,33 +219,32 @@ def roc_sweep(df: DataFrame, score: str, truth: str, thresholds: list[float]) ->
 
 
 def mixture_em(hist: DataFrame, value: str, count: str, q25: float, q75: float, sd: float,
-               max_iter: int = 200, tol: float = 1e-6) -> dict:
-    """Two-component normal mixture over a value histogram.
+               max_iter: int = 200, tol: float = 1e-6, most_bins: int = 100_000) -> dict:
+    """Two-component normal mixture over a value histogram of at most ``most_bins`` rows.
 
-    Each iteration is one aggregate over the histogram; only eight sums reach
-    the driver. ``hist`` should be stored or small: it is read once per step.
+    The data have been folded to the histogram by Spark; its few rows are fitted
+    on the driver, which saves a job for each step. Starts at the quartiles with
+    half the spread (at least 1); spreads stay at or above 0.5 (fixed values).
     """
-    mu, sig, pi, before = [q25, q75], [max(sd * 0.5, 1.0)] * 2, [0.5, 0.5], -math.inf
-    x, c = F.col(value), F.col(count)
-    for step in range(max_iter):
-        dens = [F.lit(pi[i]) * F.exp(-0.5 * ((x - mu[i]) / sig[i]) ** 2) / (math.sqrt(2 * math.pi) * sig[i]) for i in (0, 1)]
-        h = hist.withColumn("_a", dens[0]).withColumn("_b", dens[1])
-        h = h.withColumn("_t", F.greatest(F.col("_a") + F.col("_b"), F.lit(1e-300)))
-        h = h.withColumn("_ra", c * F.col("_a") / F.col("_t")).withColumn("_rb", c * F.col("_b") / F.col("_t"))
-        r = h.agg(F.sum("_ra").alias("na"), F.sum("_rb").alias("nb"), F.sum(F.col("_ra") * x).alias("xa"),
-                  F.sum(F.col("_rb") * x).alias("xb"), F.sum(F.col("_ra") * x * x).alias("qa"),
-                  F.sum(F.col("_rb") * x * x).alias("qb"), F.sum(c * F.log("_t")).alias("ll")).first()
-        na, nb = max(r.na, 1e-12), max(r.nb, 1e-12)
-        mu = [r.xa / na, r.xb / nb]
-        sig = [max(math.sqrt(max(r.qa / na - mu[0] ** 2, 0.0)), 0.5), max(math.sqrt(max(r.qb / nb - mu[1] ** 2, 0.0)), 0.5)]
-        pi = [na / (na + nb), nb / (na + nb)]
-        if abs(r.ll - before) < tol:
+    rows = hist.select(F.col(value).cast("double"), F.col(count).cast("double")).orderBy(value).limit(most_bins + 1).collect()
+    if len(rows) > most_bins:
+        raise ValueError("fold the histogram to fewer bins")
+    x, c = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    mean, spread, share = np.array([q25, q75]), np.full(2, max(sd / 2, 1.0)), np.full(2, 0.5)
+    likelihood = -math.inf
+    for step in range(1, max_iter + 1):
+        joint = share * np.exp(-((x[:, None] - mean) / spread) ** 2 / 2) / (math.sqrt(2 * math.pi) * spread)
+        total = np.maximum(joint.sum(axis=1), 1e-300)
+        held = c[:, None] * joint / total[:, None]
+        mass = np.maximum(held.sum(axis=0), 1e-12)
+        mean = (held * x[:, None]).sum(axis=0) / mass
+        spread = np.maximum(np.sqrt(np.maximum((held * x[:, None] ** 2).sum(axis=0) / mass - mean ** 2, 0)), 0.5)
+        share, before, likelihood = mass / mass.sum(), likelihood, float((c * np.log(total)).sum())
+        if abs(likelihood - before) < tol:
             break
-        before = r.ll
-    if mu[0] > mu[1]:
-        mu, sig, pi = mu[::-1], sig[::-1], pi[::-1]
-    return {"mu0": mu[0], "mu1": mu[1], "sd0": sig[0], "sd1": sig[1], "pi0": pi[0], "pi1": pi[1],
-            "log_lik": r.ll, "iterations": step + 1}
+    low, high = np.argsort(mean, kind="stable")
+    return {"mu0": float(mean[low]), "mu1": float(mean[high]), "sd0": float(spread[low]), "sd1": float(spread[high]),
+            "pi0": float(share[low]), "pi1": float(share[high]), "log_lik": likelihood, "iterations": step}
 
 
 def mixture_crossover(spark, fit: dict, lo: float = 0.0, hi: float = 100.0, n: int = 10001) -> DataFrame:

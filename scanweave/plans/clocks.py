@@ -184,10 +184,18 @@ def a29(spark, sf):
             .select("session_id", "n", *[rnd(c).alias(c) for c in ("slope", "intercept", "slope_se")]))
 
 
-T_TAIL = """
-nodes AS (SELECT unnest(range(0, 20001))/20000 AS u),
-tp AS (SELECT {k}, round(greatest(0, 1 - 2*sum(CASE WHEN u IN (0, 1) THEN 0.5 ELSE 1 END * top/20000 * exp(lgamma((df+1)/2) - lgamma(df/2))/sqrt(pi()) * power(cos(top*u), df - 1))), 6) AS p
-  FROM (SELECT *, atan(abs(t)/sqrt(df)) AS top FROM {src}), nodes GROUP BY {k})"""
+def simpson_sql(f: str, a: str, b: str) -> str:
+    """Simpson's rule in 2000 steps over f(x) from a to b."""
+    at = f"({a} + ({b} - {a})*i/2000)"
+    return (f"(({b} - {a})/6000*list_sum(list_transform(range(0, 2001), lambda i: "
+            f"(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)*{f.replace('$x', at)})))")
+
+
+COS = "(CASE WHEN df = 1 THEN 1.0 WHEN cos($x) < 1e-15 THEN 0.0 ELSE exp((df - 1)*ln(cos($x))) END)"
+CHI = "(CASE WHEN df = 1 THEN exp(-$x*$x/2) WHEN $x <= 0 THEN 0.0 ELSE exp((df - 1)*(ln($x) - ln(m)) - ($x*$x - m*m)/2) END)"
+T_TAIL = f"""
+tp AS (SELECT {{k}}, round({simpson_sql(COS, "a0", "greatest(a0, top)")}/{simpson_sql(COS, "0", "top")}, 6) AS p
+  FROM (SELECT *, atan(abs(t)/sqrt(df)) AS a0, CASE WHEN df < 100 THEN pi()/2 ELSE atan(40/sqrt(df)) END AS top FROM {{src}}))"""
 SLOPE = """
 dw AS (SELECT session_id, center AS x, tau AS y, rho_peak*rho_peak AS w FROM drift), dc AS (SELECT session_id, sum(w*x)/sum(w) AS xm, sum(w*y)/sum(w) AS ym FROM dw GROUP BY 1),
 dm AS (SELECT session_id, count(*) AS n, sum(w*(x-xm)*(x-xm)) AS sxx, sum(w*(x-xm)*(y-ym)) AS sxy, sum(w*(y-ym)*(y-ym)) AS syy FROM dw JOIN dc USING (session_id) GROUP BY 1),
@@ -201,8 +209,8 @@ def a29p(spark, sf):
     d = drift(spark, sf).withColumn("w", F.col("rho_peak") * F.col("rho_peak"))
     s = weighted_slope(d, ["session_id"], "center", "tau", "w").filter("slope_se IS NOT NULL")
     t = F.abs("slope") / F.greatest("slope_se", F.lit(1e-12))
-    return s.select("session_id", "n", rnd("slope").alias("slope"), rnd("slope_se").alias("slope_se"),
-                    rnd(t_two_sided(t, F.col("n") - 2)).alias("p"))
+    return s.withColumn("p", t_two_sided(t, F.col("n") - 2)).select(
+        "session_id", "n", rnd("slope").alias("slope"), rnd("slope_se").alias("slope_se"), rnd("p").alias("p"))
 
 
 def halves(spark, sf):
@@ -279,14 +287,14 @@ def a27(spark, sf):
 @query("a27_homogeneity_p_value", f"""
 WITH {RUNS}, ok AS (SELECT *, 1/(sigma*sigma) AS w FROM rv WHERE sigma > 0), m AS (SELECT session_id, count(*) AS n, sum(w*tau)/sum(w) AS tb FROM ok GROUP BY 1),
 q AS (SELECT session_id, any_value(n) - 1.0 AS df, sum(w*(tau - tb)*(tau - tb)) AS q FROM ok JOIN m USING (session_id) GROUP BY 1),
-nodes AS (SELECT unnest(range(0, 20001))/20000 AS u),
-pv AS (SELECT session_id, greatest(0, 1 - sum(CASE WHEN u IN (0, 1) THEN 0.5 ELSE 1 END * sqrt(q)/20000 * 2*exp(-(df/2)*ln(2) - lgamma(df/2)) * power(sqrt(q)*u, df - 1) * exp(-q*u*u/2))) AS p FROM q, nodes GROUP BY 1)
+pv AS (SELECT session_id, {simpson_sql(CHI, "greatest(sqrt(q), greatest(m - 10, 0))", "(greatest(sqrt(q), m) + 10)")}/{simpson_sql(CHI, "greatest(m - 10, 0)", "(m + 10)")} AS p
+  FROM (SELECT *, sqrt(df - 1) AS m FROM q))
 SELECT session_id, round(q, 6) AS q, CAST(df AS BIGINT) AS df, round(greatest((q - df)/q, 0)*100, 6) AS i2, round(p, 6) AS p, greatest((q - df)/q, 0)*100 < 25 AND p > 0.05 AS homogeneous FROM q JOIN pv USING (session_id)""")
 def a27p(spark, sf):
     p = pooled(run_means(spark, sf), ["session_id"], "tau", "sigma")
-    pv = chi2_upper("q", "df")
-    return p.select("session_id", rnd("q").alias("q"), "df", rnd("i2").alias("i2"), rnd(pv).alias("p"),
-                    ((F.col("i2") < 25.0) & (pv > 0.05)).alias("homogeneous"))
+    p = p.withColumn("p", chi2_upper("q", "df"))
+    return p.select("session_id", rnd("q").alias("q"), "df", rnd("i2").alias("i2"), rnd("p").alias("p"),
+                    ((F.col("i2") < 25.0) & (F.col("p") > 0.05)).alias("homogeneous"))
 
 
 SESS = TEL + """,

@@ -63,11 +63,14 @@ def a09(spark, sf):
     return metrics(spark, sf).select("fold", "variant", "stratum", "n", *[rnd(c).alias(c) for c in MCOLS])
 
 
+REPLICATES = 1000  # fixed value: resamples of an interval
+
+
 def boot_sql(src, cols, reps, seed):
     return f"bw AS (SELECT *, {POIS} AS w FROM ({draw_sql(src, cols, reps, seed)}))"
 
 
-BOOT = boot_sql("sx", "fold, variant, stratum, joint_idx, (y-p)*(y-p) AS e2", 40, 11) + """,
+BOOT = boot_sql("sx", "fold, variant, stratum, joint_idx, (y-p)*(y-p) AS e2", REPLICATES, 11) + """,
 br AS (SELECT fold, variant, stratum, rep, sqrt(sum(w*e2)/sum(w)) AS r FROM bw GROUP BY 1, 2, 3, 4),
 ci AS (SELECT fold, variant, stratum, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM br GROUP BY 1, 2, 3)"""
 
@@ -75,7 +78,7 @@ ci AS (SELECT fold, variant, stratum, quantile_cont(r, 0.025) AS lo, quantile_co
 @query("a30_bootstrap_rmse_interval", f"""
 WITH {TEL}, {METRICS}, {BOOT} SELECT fold, variant, stratum, round(lo, 6) AS rmse_ci_lo, round(hi, 6) AS rmse_ci_hi FROM ci""")
 def a30(spark, sf):
-    b = bootstrap_rmse(preds(spark, sf), ["fold", "variant"], "joint_idx", 40, 11)
+    b = bootstrap_rmse(preds(spark, sf), ["fold", "variant"], "joint_idx", REPLICATES, 11)
     return b.select("fold", "variant", "stratum", rnd("rmse_ci_lo").alias("rmse_ci_lo"), rnd("rmse_ci_hi").alias("rmse_ci_hi"))
 
 
@@ -85,7 +88,7 @@ SELECT variant, stratum, max(t) FILTER (fold = 's0') AS s0, max(t) FILTER (fold
 def m15(spark, sf):
     p = preds(spark, sf)
     keys = ["fold", "variant"]
-    d = stratified_metrics(p, keys).join(bootstrap_rmse(p, keys, "joint_idx", 40, 11), [*keys, "stratum"])
+    d = stratified_metrics(p, keys).join(bootstrap_rmse(p, keys, "joint_idx", REPLICATES, 11), [*keys, "stratum"])
     d = d.withColumn("t", F.format_string("%.3f [%.3f, %.3f]", "rmse", "rmse_ci_lo", "rmse_ci_hi"))
     return d.groupBy("variant", "stratum").pivot("fold", ["s0", "s1", "s2"]).agg(F.max("t"))
 
@@ -98,14 +101,14 @@ dp AS (SELECT fold, stratum, count(*) AS n, sqrt(avg(ea)) AS rmse_a, sqrt(avg(eb
 
 
 @query("j06_m10_paired_ablation_delta", f"""
-WITH {TEL}, {PREDS}, {DELTA}, {boot_sql("ps", "fold, stratum, joint_idx, ea, eb", 40, 13)},
+WITH {TEL}, {PREDS}, {DELTA}, {boot_sql("ps", "fold, stratum, joint_idx, ea, eb", REPLICATES, 13)},
 d AS (SELECT fold, stratum, rep, sqrt(sum(w*ea)/sum(w)) - sqrt(sum(w*eb)/sum(w)) AS d FROM bw GROUP BY 1, 2, 3),
 c AS (SELECT fold, stratum, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM d GROUP BY 1, 2)
 SELECT fold, stratum, n, round(rmse_a, 6) AS rmse_a, round(rmse_b, 6) AS rmse_b, round(rmse_a - rmse_b, 6) AS delta, round(lo, 6) AS ci_lo, round(hi, 6) AS ci_hi
 FROM dp JOIN c USING (fold, stratum)""")
 def m10(spark, sf):
     e = pair_errors(preds(spark, sf), ["fold"], "joint_idx", "noscan", "full")
-    return paired_delta(e, ["fold"], "joint_idx", 40, 13).select(
+    return paired_delta(e, ["fold"], "joint_idx", REPLICATES, 13).select(
         "fold", "stratum", "n", *[rnd(c).alias(c) for c in ("rmse_a", "rmse_b", "delta", "ci_lo", "ci_hi")])
 
 
@@ -430,11 +433,10 @@ def a15(spark, sf):
 
 
 @query("a43_contribution_trend", f"""
-WITH {TEL}, {CONTRIB}, k AS (SELECT *, row_number() OVER (PARTITION BY fold, feature ORDER BY md5(concat_ws('|', 'trend', joint_idx)), joint_idx) AS rn FROM con)
-SELECT fold, feature, in_view, count(*) AS n, round(regr_slope(contribution, value), 5) AS slope, round(regr_intercept(contribution, value), 5) AS intercept FROM k WHERE rn <= 5000 GROUP BY 1, 2, 3 HAVING count(*) >= 5""")
+WITH {TEL}, {CONTRIB}
+SELECT fold, feature, in_view, count(*) AS n, round(regr_slope(contribution, value), 5) AS slope, round(regr_intercept(contribution, value), 5) AS intercept FROM con GROUP BY 1, 2, 3 HAVING count(*) >= 5""")
 def a43(spark, sf):
-    d = sample_exact(contributions(spark, sf), ["fold", "feature"], "trend", "joint_idx", 5000)
-    return d.groupBy("fold", "feature", "in_view").agg(
+    return contributions(spark, sf).groupBy("fold", "feature", "in_view").agg(
         F.count("*").alias("n"), rnd(F.regr_slope("contribution", "value"), 5).alias("slope"), rnd(F.regr_intercept("contribution", "value"), 5).alias("intercept")).filter("n >= 5")
 
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from scanweave.functions.exprs import rnd
 from scanweave.operators.quantiles import exact_quantiles
 from scanweave.operators.stats import (choose_threshold, fit_position, histogram_saddle, line_fit, log_distance,
-                                       mixture_crossover, mixture_em, roc_sweep, spearman, value_histogram, with_replicates)
+                                       mixture_crossover, mixture_em, roc_sweep, spearman, replicate_sums, value_histogram)
 from scanweave.plans.clocks import T_TAIL
 from scanweave.plans.registry import query
 from scanweave.plans.sequences import DISC, disc
 from scanweave.plans.views import AP, table, telemetry, transmitters, TEL
-from scanweave.session import spread, stored
+from scanweave.session import stored
 
 SUMMARY = """session_id, count(DISTINCT run_id) AS n_runs, count(*) AS n, round((max(us) - min(us))/3600e6, 6) AS duration_h, round(max(speed), 6) AS speed_max,
   round(avg(CASE WHEN speed > 0.05 THEN 1.0 ELSE 0.0 END), 6) AS motion_fraction, round(avg(signal), 6) AS signal_mean,
@@ -136,7 +136,7 @@ def draw_sql(src, columns, reps, seed):
     """Rows x replicates with the uniform number u of ``mixed_unit``."""
     p = 2147483647
     return f"""SELECT {columns}, rep, ((u3*u3 + u2) % {p})/{p} AS u FROM (SELECT *, (u2*u2 + u1*39373 + 1013904223) % {p} AS u3 FROM
-  (SELECT *, (u1*u1 + rep*16807 + 12345) % {p} AS u2 FROM (SELECT *, ((joint_idx % {p})*48271 + rep*69621 + {seed}) % {p} AS u1 FROM {src}, (SELECT unnest(range(1, {reps + 1})) AS rep))))"""
+  (SELECT *, (u1*u1 + rep*16807 + ((joint_idx // {p}) % {p})*40692 + 12345) % {p} AS u2 FROM (SELECT *, ((joint_idx % {p})*48271 + rep*69621 + {seed}) % {p} AS u1 FROM {src}, (SELECT unnest(range(1, {reps + 1})) AS rep))))"""
 
 
 POIS = "(CASE " + " ".join(f"WHEN u < {c!r}::DOUBLE THEN {i}" for i, c in enumerate(
@@ -144,16 +144,15 @@ POIS = "(CASE " + " ".join(f"WHEN u < {c!r}::DOUBLE THEN {i}" for i, c in enumer
 
 
 @query("a31_bootstrap_fit_parameters", f"""
-WITH {TEL}, {AP}, {FIT}, r AS ({draw_sql("ld", "session_id, signal AS s, logd AS l", 40, 7)}),
+WITH {TEL}, {AP}, {FIT}, r AS ({draw_sql("ld", "session_id, signal AS s, logd AS l", 200, 7)}),
 w AS (SELECT *, {POIS} AS w FROM r), m AS (SELECT session_id, rep, sum(w) AS n, sum(w*l) AS sx, sum(w*s) AS sy, sum(w*l*l) AS sxx, sum(w*l*s) AS sxy FROM w GROUP BY 1, 2),
 b AS (SELECT session_id, (n*sxy - sx*sy)/(n*sxx - sx*sx) AS slope, (sy - (n*sxy - sx*sy)/(n*sxx - sx*sx)*sx)/n AS icept FROM m)
 SELECT session_id, round(quantile_cont(slope, 0.025), 6) AS slope_lo, round(quantile_cont(slope, 0.975), 6) AS slope_hi,
   round(stddev_samp(icept), 6) AS intercept_sd FROM b GROUP BY 1""")
 def a31(spark, sf):
-    d = with_replicates(with_logd(spark, sf).select("session_id", "joint_idx", "signal", "logd"), "joint_idx", 40, 7)
-    w, l, s = F.col("w"), F.col("logd"), F.col("signal")
-    m = d.groupBy("session_id", "rep").agg(F.sum(w).alias("n"), F.sum(w * l).alias("sx"), F.sum(w * s).alias("sy"),
-                                           F.sum(w * l * l).alias("sxx"), F.sum(w * l * s).alias("sxy"))
+    l, s = F.col("logd"), F.col("signal")
+    d = with_logd(spark, sf).select("session_id", "joint_idx", l.alias("sx"), s.alias("sy"), (l * l).alias("sxx"), (l * s).alias("sxy"))
+    m = replicate_sums(d, ["session_id"], "joint_idx", ["sx", "sy", "sxx", "sxy"], 200, 7).withColumnRenamed("w", "n")
     slope = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
     b = stored(m.select("session_id", slope.alias("slope"), ((F.col("sy") - slope * F.col("sx")) / F.col("n")).alias("icept")))
     q = exact_quantiles(b, ["session_id"], "slope", {"slope_lo": 0.025, "slope_hi": 0.975})
@@ -193,7 +192,7 @@ sp AS (SELECT session_id, stratum, feature, count(*) AS n, CASE WHEN count(*) >=
 
 
 def strata(spark, sf):
-    t = spread(telemetry(spark, sf))
+    t = telemetry(spark, sf)
     s = t.withColumn("stratum", F.explode(F.array_compact(F.array(
         F.lit("all"), F.when(F.col("speed") > 0.5, "moving"), F.when(F.col("x_m") < 1, "edge")))))
     lng = s.select("session_id", "stratum", F.col("signal").alias("y"), F.inline(F.array(*[
@@ -214,7 +213,8 @@ def a14p(spark, sf):
     from scanweave.functions.tails import t_two_sided
     r = strata(spark, sf).filter("rho IS NOT NULL AND abs(rho) < 1")
     t = F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))
-    return r.select("session_id", "stratum", "feature", "n", rnd("rho").alias("rho"), rnd(t_two_sided(t, F.col("n") - 2)).alias("p"))
+    return r.withColumn("p", t_two_sided(t, F.col("n") - 2)).select(
+        "session_id", "stratum", "feature", "n", rnd("rho").alias("rho"), rnd("p").alias("p"))
 
 
 @query("w29_headline_feature", f"""
@@ -234,7 +234,6 @@ SELECT {keys}, bin, count(*) AS n, round(quantile_cont({y}, 0.25), 4) AS q1, rou
 
 def binned(df, keys, x, y, nb):
     """Conditional quartiles of y over equal-width, right-closed bins of x."""
-    df = spread(df)
     lim = stored(exact_quantiles(df, keys, x, {"lo": 0.01, "hi": 0.99}))
     w = (F.col("hi") - F.col("lo")) / nb
     b = df.join(lim, keys).filter((F.col(x) > F.col("lo")) & (F.col(x) <= F.col("hi")))
@@ -278,13 +277,13 @@ p2 AS (SELECT bin AS b FROM pk, p1 WHERE abs(bin - a) >= 20 ORDER BY s DESC, bin
 sad AS (SELECT (SELECT a FROM p1) AS peak_1, (SELECT b FROM p2) AS peak_2, (SELECT bin FROM sm, p1, p2 WHERE bin > least(a, b) AND bin < greatest(a, b) ORDER BY s, bin LIMIT 1) AS saddle)"""
 # Confidence pulled towards a low and a high mode, integer valued.
 SHAPED = """
-shaped AS (SELECT disc.*, CASE WHEN confidence IS NULL THEN NULL WHEN disc THEN floor(confidence/4) + 10 ELSE floor(value/5) + 70 END AS cv FROM disc)"""
+shaped AS (SELECT disc.*, CASE WHEN confidence IS NULL THEN NULL WHEN disc THEN floor(confidence/4) + 10 ELSE least(floor(value/5) + 70, 100) END AS cv FROM disc)"""
 
 
 def shaped(spark, sf):
     d = disc(spark, sf)
     cv = F.when(F.col("confidence").isNotNull(), F.when(F.col("disc"), F.floor(F.col("confidence") / 4) + 10.0)
-                .otherwise(F.floor(F.col("value") / 5) + 70.0))
+                .otherwise(F.least(F.floor(F.col("value") / 5) + 70.0, F.lit(100.0))))
     return d.withColumn("cv", cv.cast("double"))
 
 
@@ -328,7 +327,7 @@ def mixture(spark, sf):
     m = h.agg(F.percentile("bin", F.array(F.lit(0.25), F.lit(0.75)), F.col("c")).alias("q"),
               (F.sum(F.col("bin") * F.col("c")) / F.sum("c")).alias("mean"),
               (F.sum(F.col("bin") * F.col("bin") * F.col("c")) / F.sum("c")).alias("sq")).first()
-    return mixture_em(h, "bin", "c", float(m.q[0]), float(m.q[1]), (m.sq - m.mean ** 2) ** 0.5, 60)
+    return mixture_em(h, "bin", "c", float(m.q[0]), float(m.q[1]), (m.sq - m.mean ** 2) ** 0.5)
 
 
 EM = """
@@ -339,7 +338,7 @@ UNION ALL
 SELECT i + 1, xa/na, xb/nb, greatest(sqrt(greatest(qa/na - (xa/na)*(xa/na), 0)), 0.5), greatest(sqrt(greatest(qb/nb - (xb/nb)*(xb/nb), 0)), 0.5), na/(na+nb), nb/(na+nb), l, ll FROM
  (SELECT i, ll, sum(c*a/t) AS na, sum(c*b/t) AS nb, sum(c*a/t*x) AS xa, sum(c*b/t*x) AS xb, sum(c*a/t*x*x) AS qa, sum(c*b/t*x*x) AS qb, sum(c*ln(t)) AS l FROM
   (SELECT *, greatest(a + b, 1e-300) AS t FROM (SELECT e.i, e.ll, x, c, p0*exp(-0.5*((x-m0)/s0)*((x-m0)/s0))/(sqrt(2*pi())*s0) AS a, p1*exp(-0.5*((x-m1)/s1)*((x-m1)/s1))/(sqrt(2*pi())*s1) AS b
-    FROM em e, hv WHERE e.i < 60 AND (e.i < 2 OR abs(e.ll - e.pl) >= 1e-6))) GROUP BY i, ll))"""
+    FROM em e, hv WHERE e.i < 200 AND (e.i < 2 OR abs(e.ll - e.pl) >= 1e-6))) GROUP BY i, ll))"""
 
 
 @query("a25_two_component_mixture", f"""

@@ -187,11 +187,41 @@ def test_pooling_matches_published_numbers(spark):
     assert signal.pooled(d.limit(1), [], "t", "s").count() == 0
 
 
-def test_tail_probabilities():
-    assert tails.chi2_sf(5.991464547, 2) == pytest.approx(0.05, abs=1e-5)
-    assert tails.chi2_sf(3.841458821, 1) == pytest.approx(0.05, abs=1e-5)
-    assert tails.t_sf2(2.228138852, 10) == pytest.approx(0.05, abs=1e-5)
-    assert tails.t_sf2(12.7062047, 1) == pytest.approx(0.05, abs=1e-5)
+def test_tail_probabilities(spark):
+    """Upper 5 % points from tables, for small and very large degrees of freedom."""
+    chi = [(3.841458821, 1, 0.05), (5.991464547, 2, 0.05), (18.307038053, 10, 0.05), (553.1268, 500, 0.05), (100736.6, 100_000, 0.05),
+           (0.0, 7, 1.0), (499.0, 499, 0.4916), (199.0, 199, 0.4867)]
+    t = [(12.7062047, 1, 0.05), (2.228138852, 10, 0.05), (1.9647198, 500, 0.05), (1.95998, 100_000, 0.05), (1.959964, 10**12, 0.05), (0.0, 5, 1.0)]
+    rows = spark.createDataFrame([(float(x), d, p) for x, d, p in chi], "x double, d long, p double").select("p", tails.chi2_upper("x", "d").alias("got")).collect()
+    assert all(r.got == pytest.approx(r.p, abs=1e-4) for r in rows), rows
+    rows = spark.createDataFrame([(float(x), d, p) for x, d, p in t], "x double, d long, p double").select("p", tails.t_two_sided("x", "d").alias("got")).collect()
+    assert all(r.got == pytest.approx(r.p, abs=1e-5) for r in rows), rows
+
+
+def test_resampling_weights_of_distant_ids(spark):
+    """The task-side weights are those of the SQL; ids a prime apart share no numbers."""
+    ids = [5, 5 + stats.PRIME, 5 + 2 * stats.PRIME, 2**40 + 17]
+    sql = stats.with_replicates(spark.createDataFrame([(i,) for i in ids], "id long"), "id", 300, 3).toPandas()
+    own = stats.resampling_weights(np.array(ids), 300, 3)
+    for k, i in enumerate(ids):
+        assert sql[sql.id == i].sort_values("rep").w.tolist() == own[k].tolist()
+    assert all(abs(np.corrcoef(own[a], own[b])[0, 1]) < 0.25 for a in range(4) for b in range(a))
+
+
+def test_replicate_sums_equal_exploded_rows(spark):
+    d = spark.range(500).selectExpr("id", "IF(id % 3 = 0, NULL, id % 2) AS k", "IF(id % 7 = 0, NULL, CAST(id AS DOUBLE)) AS v")
+    want = {(r.k, r.rep): (r.w, r.v) for r in stats.with_replicates(d, "id", 20, 9).groupBy("k", "rep").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("v")).alias("v")).collect()}
+    got = {(r.k, r.rep): (r.w, r.v) for r in stats.replicate_sums(d, ["k"], "id", ["v"], 20, 9).collect()}
+    assert got == want
+
+
+def test_roc_of_any_thresholds_and_histogram_bounds(spark):
+    d = spark.createDataFrame([(10.0, True), (10.1, True), (10.2, False), (11.0, False)], "s double, t boolean")
+    got = [(r.t, r.tpr, r.fpr) for r in stats.roc_sweep(d, "s", "t", [10.3, 10.1]).orderBy("t").collect()]
+    assert got == [(10.1, 0.5, 0.0), (10.3, 1.0, 0.5)]
+    with pytest.raises(Exception, match="outside"):
+        stats.value_histogram(d, "s", 0, 10).collect()
+
 
 
 def test_bootstrap_weights_behave_like_poisson(spark):
