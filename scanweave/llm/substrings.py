@@ -137,34 +137,49 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.cumsum(first) - 1
 
 
+def _slices(batch, most: int = 4 << 20):
+    """Parts of an Arrow batch with about ``most`` bytes of text each; one long text is a part by itself."""
+    _, off = text_bytes(batch.column(2))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _find_anchors(parts: int, local_hot: int):
     """Documents -> anchors by hash part; those that a batch has very often are marked and answered on the spot."""
     def run(batches):
-        for b in batches:
-            raw, off = text_bytes(b.column(2))
-            doc, tag = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            place, h = anchors(raw, off)
-            if not len(place):
-                continue
-            row = np.searchsorted(off, place, "right") - 1
-            pos = (place - off[row]).astype(np.int64)
-            o = np.argsort(h, kind="stable")
-            start, run_ = _runs(h[o])
-            often = np.zeros(len(h), bool)
-            often[o] = np.diff(np.append(start, len(h)))[run_] > local_hot
-            part = ((h >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
-            d, t = doc[row].astype(np.int64), tag[row].astype(np.uint32)
-            k = ~often
-            low = (h & np.uint64((1 << 48) - 1))
-            marks = np.unique(h[often])
-            mark_part = ((marks >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
-            n = len(marks)
-            yield _rows(((p, packed(lo.astype("<u4"), hi.astype("<u2"), dd, tt, pp)) for p, (lo, hi, dd, tt, pp) in _by_part(
-                np.concatenate([part[k], mark_part]), np.concatenate([low[k], marks & np.uint64((1 << 48) - 1)]) & np.uint64(0xFFFFFFFF),
-                np.concatenate([low[k], marks & np.uint64((1 << 48) - 1)]) >> np.uint64(32), np.concatenate([d[k], np.zeros(n, np.int64)]),
-                np.concatenate([t[k], np.zeros(n, np.uint32)]), np.concatenate([pos[k], np.full(n, -1, np.int64)]))), _ANCHORS)
-            if often.any():  # any part can pass these on
-                yield _rows([(int(part[often][0]), packed(d[often], t[often], pos[often], np.ones(int(often.sum()), np.uint8)))], _FLAGS)
+        for whole in batches:
+            for b in _slices(whole):
+                yield from find(b)
+
+    def find(b):
+        raw, off = text_bytes(b.column(2))
+        doc, tag = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+        place, h = anchors(raw, off)
+        if not len(place):
+            return
+        row = np.searchsorted(off, place, "right") - 1
+        pos = (place - off[row]).astype(np.int64)
+        del place
+        o = np.argsort(h, kind="stable")
+        start, run_ = _runs(h[o])
+        often = np.zeros(len(h), bool)
+        often[o] = np.diff(np.append(start, len(h)))[run_] > local_hot
+        del o, run_
+        d, t = doc[row].astype(np.int64), tag[row].astype(np.uint32)
+        marks = np.unique(h[often])
+        k, n = ~often, len(marks)
+        hashes = np.concatenate([h[k], marks])
+        part = ((hashes >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
+        yield _rows(((p, packed(*c)) for p, c in _by_part(
+            part, (hashes & np.uint64(0xFFFFFFFF)).astype("<u4"), ((hashes >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2"),
+            np.concatenate([d[k], np.zeros(n, np.int64)]), np.concatenate([t[k], np.zeros(n, np.uint32)]),
+            np.concatenate([pos[k], np.full(n, -1, np.int64)]))), _ANCHORS)
+        if n:  # any part can pass these on
+            yield _rows([(int(part[-1]), packed(d[often], t[often], pos[often], np.ones(int(often.sum()), np.uint8)))], _FLAGS)
+
     return run
 
 
@@ -272,15 +287,15 @@ def _contexts(parts: int):
 
     Of equal contexts in this part only those of the least document go on: the others are surely repeats.
     """
-    def send(batch_rows, spans):
+    def send(batch_rows, spans, windows):
         raws, lefts, rights, docs, tags, places, hots = batch_rows
         m = np.frombuffer(b"".join(raws), np.uint8)
         base = np.concatenate([[0], np.cumsum([len(r) for r in raws])])
         at = np.concatenate([p + b for p, b in zip(places, base)])
         left, right, doc, tag, pos, hot = (np.concatenate(x) for x in (lefts, rights, docs, tags, places, hots))
         pad = np.concatenate([np.zeros(SIDE, np.uint8), m, np.zeros(LENGTH, np.uint8)])
-        for cut in range(0, len(at), 1 << 16):
-            s = slice(cut, cut + (1 << 16))
+        for cut in range(0, len(at), 1 << 14):
+            s = slice(cut, cut + (1 << 14))
             ctx = np.lib.stride_tricks.sliding_window_view(pad, SIDE + LENGTH)[at[s]]
             span = np.arange(SIDE + LENGTH)
             ctx = np.where((span >= SIDE - left[s][:, None]) & (span < SIDE + right[s][:, None]), ctx, 0).astype(np.uint8)
@@ -288,7 +303,7 @@ def _contexts(parts: int):
             yield from _send_contexts(ctx[warm], left[s][warm], right[s][warm], doc[s][warm], tag[s][warm], pos[s][warm], spans)
             h = np.flatnonzero(hot[s])
             if len(h):
-                yield from _send_windows(ctx[h], left[s][h], right[s][h], doc[s][h], tag[s][h], pos[s][h], spans)
+                _add_windows(ctx[h], left[s][h], right[s][h], doc[s][h], tag[s][h], pos[s][h], spans, windows)
 
     def _send_contexts(ctx, left, right, doc, tag, pos, spans):
         if not len(ctx):
@@ -301,24 +316,27 @@ def _contexts(parts: int):
         yield _rows(((p, packed(d, t, x, le.astype(np.uint8), ri.astype(np.uint8), c)) for p, (d, t, x, le, ri, c) in (
             (p, (doc[i], tag[i], pos[i], left[i], right[i], ctx[i].T.ravel())) for p, (i,) in _by_part(part, k))), _TEXTS)
 
-    def _send_windows(ctx, left, right, doc, tag, pos, spans):
+    def _add_windows(ctx, left, right, doc, tag, pos, spans, windows):
         for shift in range(WINDOWS):
             k = np.flatnonzero((left >= SIDE - shift) & (right >= shift + LENGTH - SIDE))
-            if not len(k):
-                continue
-            h1, h2 = _double_hash(ctx[k, shift:shift + LENGTH], np.zeros(len(k)))
-            _, first = _settle(h1, h2, doc[k])
-            start = pos[k] - SIDE + shift
-            spans.append((doc[k][~first], tag[k][~first], start[~first], start[~first] + LENGTH))
-            part = (h1[first] % np.uint64(parts)).astype(np.int32)
-            yield _rows(((p, packed(*c)) for p, c in _by_part(part, h1[first], h2[first], doc[k][first], tag[k][first], start[first])), _WINDOWS_KIND)
+            if len(k):
+                windows.append((*_double_hash(ctx[k, shift:shift + LENGTH], np.zeros(len(k))), doc[k], tag[k], pos[k] - SIDE + shift))
+        if sum(len(w[0]) for w in windows) > 1 << 18:
+            _settle_windows(windows, spans)
+
+    def _settle_windows(windows, spans):
+        """Of equal windows in this part only those of the least document stay."""
+        h1, h2, d, t, start = (np.concatenate(c) for c in zip(*windows))
+        _, first = _settle(h1, h2, d)
+        spans.append((d[~first], t[~first], start[~first], start[~first] + LENGTH))
+        windows[:] = [(h1[first], h2[first], d[first], t[first], start[first])]
 
     def run(batches):
         for texts, columns in _gathered(batches):
             at, columns = _lookup(columns)
             if not at:
                 continue
-            spans, rows, held = [], [[] for _ in range(7)], 0
+            spans, windows, rows, held = _Spans(), [], [[] for _ in range(7)], 0
             for b in texts:
                 raw, off = text_bytes(b.column(2))
                 for i, (d, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
@@ -333,17 +351,39 @@ def _contexts(parts: int):
                     for c, x in zip(rows, (one.tobytes(), np.minimum(SIDE, pos), np.minimum(LENGTH, len(one) - pos), np.full(n, d, np.int64), np.full(n, t, np.uint32), pos, hot)):
                         c.append(x)
                     held += len(one)
-                if held > 1 << 24:
-                    yield from send(rows, spans)
+                if held > 1 << 22:
+                    yield from send(rows, spans, windows)
                     rows, held = [[] for _ in range(7)], 0
             if rows[0]:
-                yield from send(rows, spans)
-            found = [np.concatenate(c) for c in zip(*spans)] if spans else []
-            if found and len(found[0]):
-                yield _rows([(-1, packed(*_merged(*found)))], _SPANS)
+                yield from send(rows, spans, windows)
+            if windows:
+                _settle_windows(windows, spans)
+                h1 = windows[0][0]
+                yield _rows(((p, packed(*c)) for p, c in _by_part((h1 % np.uint64(parts)).astype(np.int32), *windows[0])), _WINDOWS_KIND)
+            if spans.rows:
+                yield _rows([(-1, packed(*spans.merged()))], _SPANS)
     return run
 
 
+class _Spans:
+    """Spans of documents, merged whenever many have come together."""
+
+    def __init__(self, most: int = 1 << 18):
+        self.parts, self.rows, self.most = [], 0, most
+
+    def append(self, columns) -> None:
+        if len(columns[0]):
+            self.parts.append(columns)
+            self.rows += len(columns[0])
+            if self.rows > self.most:
+                self.parts = [self.merged()]
+                self.rows = len(self.parts[0][0])
+                self.most = max(self.most, 2 * self.rows)
+
+    def merged(self):
+        return _merged(*(np.concatenate(c) for c in zip(*self.parts)))
+
+
 def _merged(doc, tag, start, end):
     """The union of spans of each document, in maximal pieces."""
     o = np.lexsort((start, tag, doc))
@@ -361,7 +401,7 @@ def _merged(doc, tag, start, end):
     return doc[first], tag[first], start[first], (reach - lift)[last]
 
 
-def _resolve(doc_parts: int, chunk: int = 1 << 23):
+def _resolve(doc_parts: int, chunk: int = 1 << 20):
     """Contexts and windows of one part -> spans that also start in a smaller document, by document part."""
     def mixed(ctx, left, right, doc, tag, pos):
         """Suffix-sort contexts of one or more anchors and compare neighbours."""
@@ -384,10 +424,10 @@ def _resolve(doc_parts: int, chunk: int = 1 << 23):
         again = doc[row] > np.minimum.reduceat(doc[row], start)[run_]
         row, at = row[again], at[again]
         s = pos[row] - SIDE + at
-        yield doc[row], tag[row], s, s + LENGTH
+        yield _merged(doc[row], tag[row], s, s + LENGTH)
 
     def run(batches):
-        contexts, windows, spans = [], [], []
+        contexts, windows, spans = [], [], _Spans()
         for b in batches:
             for kind, data in zip(b.column(1).to_pylist(), b.column(2)):
                 c = unpacked(data.as_py())
@@ -422,11 +462,11 @@ def _resolve(doc_parts: int, chunk: int = 1 << 23):
                 while to < len(k) and anchor[to] == anchor[to - 1]:
                     to += 1
                 i = k[at:to]
-                spans.extend(mixed(ctx[i], left[i], right[i], d[i], t[i], pos[i]))
+                for found in mixed(ctx[i], left[i], right[i], d[i], t[i], pos[i]):
+                    spans.append(found)
                 at = to
-        spans = [s for s in spans if len(s[0])]
-        if spans:
-            found = _merged(*(np.concatenate(c) for c in zip(*spans)))
+        if spans.rows:
+            found = spans.merged()
             yield _rows(((p, packed(*c)) for p, c in _by_part(_doc_part(found[0], doc_parts), *found)), _SPANS)
     return run
 
@@ -458,7 +498,7 @@ def _cut(n_columns: int, names: list[str]):
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None,
-                   part_bytes: int = 24 << 20, local_hot: int = 64, group_hot: int = 20_000) -> DataFrame:
+                   part_bytes: int = 12 << 20, local_hot: int = 256, group_hot: int = 20_000) -> DataFrame:
     """Columns ``keep`` of every row, with n_bytes, n_removed, n_spans, kept_sha256 and kept (binary).
 
     Removed is each byte covered by a string of 50 bytes that also starts in a document with a smaller id, judged
