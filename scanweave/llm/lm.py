@@ -274,9 +274,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         whole = np.log10(v.tokens + v.distinct + 1)
         rest, end = np.log10(max(v.rest, 1.0)), np.log10(v.ends + 1)
         for b in batches:
-            words = [t.lower().split() for t in texts(b.column(2))]
-            for at in range(0, len(words), 256):
-                group = words[at:at + 256]
+            whole_texts = texts(b.column(2))
+            for at in range(0, len(whole_texts), 256):
+                group = [t.lower().split() for t in whole_texts[at:at + 256]]
                 c, y, own = _classes(group, v, code, m.place.shape[0])
                 lm = np.bincount(own, m.log_probabilities(c, y), len(group)) / np.log(10)
                 row, known, base, inner, rare, rare_n, rare_row = [], [], [], [], [], [], []
