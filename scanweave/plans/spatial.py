@@ -142,12 +142,12 @@ def u02(spark, sf):
                     *[rnd(c).alias(c) for c in ("iou", "pct_a_in_b", "pct_b_in_a")])
 
 
-LAGS = [0.5, 1.0, 2.0, 3.0, 5.0, 10.0]
-VARIO = """
+LAGS = [0.5, 1.0, 2.0, 3.0, 5.0, 10.0, 20.0]  # fixed values, metres
+VARIO = f"""
 pairs AS (SELECT a.session_id, sqrt((a.x_m-b.x_m)*(a.x_m-b.x_m)+(a.y_m-b.y_m)*(a.y_m-b.y_m)) AS d, (a.signal-b.signal)*(a.signal-b.signal) AS s2
   FROM tel a JOIN tel b ON a.session_id = b.session_id AND a.joint_idx < b.joint_idx),
 gam AS (SELECT session_id, h AS lag, count(*) AS n_pairs, CASE WHEN count(*) >= 30 THEN avg(s2)/2 END AS gamma
-  FROM pairs JOIN (SELECT unnest([0.5, 1, 2, 3, 5, 10])::DOUBLE AS h) l ON d BETWEEN h - 0.25*h AND h + 0.25*h GROUP BY 1, 2)"""
+  FROM pairs JOIN (SELECT unnest({LAGS})::DOUBLE AS h) l ON d BETWEEN h - 0.25*h AND h + 0.25*h GROUP BY 1, 2)"""
 
 
 @query("j10_a18_semivariogram", f"WITH {TEL}, {VARIO} SELECT session_id, lag, n_pairs, round(gamma, 5) AS gamma FROM gam")
