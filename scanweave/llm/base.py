@@ -61,8 +61,11 @@ def stored(df: DataFrame) -> DataFrame:
 def released(spark: SparkSession) -> None:
     """Lets Spark drop shuffle files of finished steps that no frame refers to any more."""
     import gc
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    import time
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def fold(column, of: int):

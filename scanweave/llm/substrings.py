@@ -3,7 +3,7 @@
 Every string of ``LENGTH`` bytes has an anchor: the gram of ``GRAM`` bytes with the least hash in it. So two equal
 strings have the same anchor at the same place. Documents give the anchors of all their windows; those that
 occur in two documents are looked at further, with their context: the bytes of all windows around the anchor.
-Equal contexts settle each other at once. Contexts that share an anchor but differ are suffix-sorted together,
+Equal contexts (96 bits of hashes agree) settle each other at once. Contexts that share an anchor but differ are suffix-sorted together,
 and neighbours with ``LENGTH`` bytes in common are equal strings. What tasks send each other are compressed
 columns, one row for a batch and a target part.
 """
@@ -49,6 +49,26 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
     return _mixed(h16[:-8] * _power(8) + h8[16:])
 
 
+def context_hashes(raw: np.ndarray, off: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """48 bits of a hash of the context of the anchor at each place: the bytes up to ``SIDE`` before its start and
+    up to ``LENGTH`` after it, as far as its text goes. Whole contexts of 76 bytes are hashed eight bytes at a time,
+    those cut by a text's end one by one."""
+    import xxhash
+    row = np.searchsorted(off, place, "right") - 1
+    lo, hi = np.maximum(off[row], place - SIDE), np.minimum(off[row + 1], place + LENGTH)
+    out = np.empty(len(place), np.uint64)
+    full = np.flatnonzero(hi - lo == SIDE + LENGTH)
+    if len(full):
+        windows = np.lib.stride_tricks.sliding_window_view(raw, SIDE + LENGTH)
+        for a in range(0, len(full), 1 << 14):
+            at = full[a:a + (1 << 14)]
+            out[at] = _double_hash(windows[lo[at]], np.full(len(at), SIDE))[0]
+    whole = raw.tobytes() if len(full) < len(place) else b""
+    for i in np.flatnonzero(hi - lo != SIDE + LENGTH).tolist():
+        out[i] = xxhash.xxh64_intdigest(whole[lo[i]:hi[i]], int(place[i] - lo[i]))
+    return out & np.uint64((1 << 48) - 1)
+
+
 def _sliding(x: np.ndarray, n: int, f) -> np.ndarray:
     """f over each n (at least 16, less than 32) neighbours."""
     for d in (1, 2, 4, 8):
@@ -162,7 +182,6 @@ def _find_anchors(parts: int, local_hot: int):
             return
         row = np.searchsorted(off, place, "right") - 1
         pos = (place - off[row]).astype(np.int64)
-        del place
         o = np.argsort(h, kind="stable")
         start, run_ = _runs(h[o])
         often = np.zeros(len(h), bool)
@@ -171,12 +190,14 @@ def _find_anchors(parts: int, local_hot: int):
         d, t = doc[row].astype(np.int64), tag[row].astype(np.uint32)
         marks = np.unique(h[often])
         k, n = ~often, len(marks)
+        c = np.concatenate([context_hashes(raw, off, place[k]), np.zeros(n, np.uint64)])
         hashes = np.concatenate([h[k], marks])
         part = ((hashes >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
-        yield _rows(((p, packed(*c)) for p, c in _by_part(
+        yield _rows(((p, packed(*x)) for p, x in _by_part(
             part, (hashes & np.uint64(0xFFFFFFFF)).astype("<u4"), ((hashes >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2"),
             np.concatenate([d[k], np.zeros(n, np.int64)]), np.concatenate([t[k], np.zeros(n, np.uint32)]),
-            np.concatenate([pos[k], np.full(n, -1, np.int64)]))), _ANCHORS)
+            np.concatenate([pos[k], np.full(n, -1, np.int64)]),
+            (c & np.uint64(0xFFFFFFFF)).astype("<u4"), (c >> np.uint64(32)).astype("<u2"))), _ANCHORS)
         if n:  # any part can pass these on
             yield _rows([(int(part[-1]), packed(d[often], t[often], pos[often], np.ones(int(often.sum()), np.uint8)))], _FLAGS)
 
@@ -195,20 +216,29 @@ def _shared_anchors(doc_parts: int, group_hot: int):
                 else:
                     got.setdefault(part, []).append(columns)
         for columns in got.values():
-            lo, hi, d, t, pos = (np.concatenate(c) for c in zip(*columns))
+            lo, hi, d, t, pos, c_lo, c_hi = (np.concatenate(c) for c in zip(*columns))
             h = lo.astype(np.uint64) | (hi.astype(np.uint64) << np.uint64(32))
-            o = np.lexsort((d, h))
-            h, d, t, pos = h[o], d[o], t[o], pos[o]
+            c = c_lo.astype(np.uint64) | (c_hi.astype(np.uint64) << np.uint64(32))
+            o = np.lexsort((d, c, h))
+            h, c, d, t, pos = h[o], c[o], d[o], t[o], pos[o]
             real = pos >= 0
             start, run_ = _runs(h)
             big = np.iinfo(np.int64).max
             least = np.minimum.reduceat(np.where(real, d, big), start)
             most = np.maximum.reduceat(np.where(real, d, -big), start)
             hot = np.logical_or.reduceat(~real, start) | (np.diff(np.append(start, len(h))) > group_hot)
-            keep = real & (hot | (most > least))[run_]
+            # of equal contexts all but those of the least document are repeats; if contexts differ, one of each goes on
+            first = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+            again = d > d[first][np.cumsum(first) - 1]
+            differ = np.add.reduceat(first.astype(np.int64), start) > 1
+            known = real & ~hot[run_] & again
+            if known.any():
+                found = _merged(d[known], t[known], np.maximum(0, pos[known] - SIDE), pos[known] + LENGTH)  # the text's end cuts it later
+                yield _rows(((p, packed(*x)) for p, x in _by_part(_doc_part(found[0], doc_parts), *found)), _SPANS)
+            keep = real & (hot | (differ & (most > least)))[run_] & ~known
             if keep.any():
-                c = d[keep], t[keep], pos[keep], hot[run_][keep].astype(np.uint8)
-                yield _rows(((p, packed(*x)) for p, x in _by_part(_doc_part(c[0], doc_parts), *c, order_by=c[0])), _FLAGS)
+                x = d[keep], t[keep], pos[keep], hot[run_][keep].astype(np.uint8)
+                yield _rows(((p, packed(*y)) for p, y in _by_part(_doc_part(x[0], doc_parts), *x, order_by=x[0])), _FLAGS)
     return run
 
 
@@ -486,6 +516,7 @@ def _cut(n_columns: int, names: list[str]):
                     if (d, t) in at:
                         a, z = at[d, t]
                         _, _, s, e = _merged(*(c[a:z] for c in columns))
+                        e = np.minimum(e, len(one))
                         count, gone = len(s), int((e - s).sum())
                         edges = [0, *np.stack([s, e], axis=1).ravel().tolist(), len(one)]
                         left = b"".join(one[x:y] for x, y in zip(edges[::2], edges[1::2]))
@@ -498,7 +529,7 @@ def _cut(n_columns: int, names: list[str]):
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None,
-                   part_bytes: int = 12 << 20, local_hot: int = 256, group_hot: int = 20_000) -> DataFrame:
+                   part_bytes: int = 8 << 20, local_hot: int = 256, group_hot: int = 20_000) -> DataFrame:
     """Columns ``keep`` of every row, with n_bytes, n_removed, n_spans, kept_sha256 and kept (binary).
 
     Removed is each byte covered by a string of 50 bytes that also starts in a document with a smaller id, judged
@@ -521,7 +552,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = base.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()[0]
     parts = parts_for(total, part_bytes)
     some = base.select("__doc", "__tag", "__text").where("__doc is not null")
-    flags = stored(some.mapInArrow(_find_anchors(parts, local_hot), _ROW).repartition(parts, "part").mapInArrow(_shared_anchors(parts, group_hot), _ROW))
+    shared = stored(some.mapInArrow(_find_anchors(parts, local_hot), _ROW).repartition(parts, "part").mapInArrow(_shared_anchors(parts, group_hot), _ROW))
+    flags, sure = shared.where(F.col("kind") == _FLAGS), shared.where(F.col("kind") == _SPANS)
     released(spark)
     sent = some.mapInArrow(_send_texts(parts), _ROW)
     contexts = sent.unionByName(flags).repartition(parts, "part").mapInArrow(_contexts(parts), _ROW)
@@ -534,7 +566,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = base.select(*[f"__{i}" for i in range(len(kept))]).schema
     for name, kind in zip(extra, ("long", "long", "long", "string", "binary")):
         schema = schema.add(f"+{name}", kind)
-    out = all_rows.unionByName(spans).repartition(parts, "part").mapInArrow(_cut(len(kept), schema.names), schema)
+    out = all_rows.unionByName(spans).unionByName(sure).repartition(parts, "part").mapInArrow(_cut(len(kept), schema.names), schema)
     return out.select(*[F.col(f"`__{i}`").alias(c) for i, c in enumerate(kept)], *[F.col(f"`+{n}`").alias(n) for n in extra])
 
 
