@@ -199,7 +199,7 @@ def _find_anchors(parts: int, local_hot: int):
             np.concatenate([pos[k], np.full(n, -1, np.int64)]),
             (c & np.uint64(0xFFFFFFFF)).astype("<u4"), (c >> np.uint64(32)).astype("<u2"))), _ANCHORS)
         if n:  # any part can pass these on
-            yield _rows([(int(part[-1]), packed(d[often], t[often], pos[often], np.ones(int(often.sum()), np.uint8)))], _FLAGS)
+            yield _rows([(int(part[0]), packed(d[often], t[often], pos[often], np.ones(int(often.sum()), np.uint8)))], _FLAGS)
 
     return run
 
