@@ -48,6 +48,10 @@ class ChunkTokenizer:
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.most, self.longest, self.known, self.heads = most, longest, {"": None}, {"": None}
 
+    def forget(self) -> None:
+        """Gives back what has been remembered: a worker goes on to other work."""
+        self.known, self.heads = {"": None}, {"": None}
+
     def whole(self, text: str) -> bytes:
         return np.array(self.encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -137,6 +141,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                     [ids.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                      pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder.forget()
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
             .mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long"))
