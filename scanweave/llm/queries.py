@@ -82,7 +82,7 @@ def op3_word_piece_counts(spark, sf_dir):
     import public_tokenizers
 
     from scanweave.llm.wordpieces import token_counts
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), every=True)
 
 
 @query

@@ -159,6 +159,50 @@ def test_op3_texts(spark, docs, odd):
     assert wordpieces.token_counts(odd.limit(0), PIECES).count() == 0
 
 
+def _all_greedy(w, pieces, longest, by_bytes):
+    """Longest matches over all pieces of the file on the start sign and the word; bytes where none matches."""
+    n, at, w = 0, 0, wordpieces.START + w
+    while at < len(w):
+        z = next((z for z in range(min(len(w), at + longest), at, -1) if w[at:z] in pieces), None)
+        if z is None and not by_bytes:
+            return 0
+        n, at = n + (1 if z else len(w[at].encode())), z or at + 1
+    return n
+
+
+def test_op3_small_vocabularies_with_bytes():
+    rng = random.Random(12)
+    for _ in range(300):
+        make = lambda: {"".join(rng.choice("abc▁") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 12))}
+        pieces = make() | {"▁" + p for p in make()} | ({"▁"} if rng.random() < 0.5 else set())
+        a = wordpieces.Automaton([p[1:] for p in pieces if p[0] == "▁"], list(pieces), True)
+        for _ in range(20):
+            w = "".join(rng.choice("abcdé日▁") for _ in range(rng.randint(1, 14)))
+            assert a.count(w) == _all_greedy(w, pieces, 9, True), (w, pieces)
+
+
+def test_op3_every_piece_of_the_file(spark, docs, odd):
+    import sentencepiece
+    m = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    pieces = {m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))}
+    longest = max(map(len, pieces))
+    more = [(-1, "2024 12 ñu ßfheit 日本 a\U0001f600b"), (-2, "x" * 5000 + "\U0001f600"), (-3, "▁▁a b▁c ▁")]
+    d = docs.select("doc_id", "text").limit(20).unionByName(odd.where("doc_id is not null and length(text) < 10000").select("doc_id", "text"))
+    d = stored(d.unionByName(spark.createDataFrame(more, "doc_id long, text string")))
+    got = Counter((r.doc_id, r.n_words, r.n_tokens, r.n_unknown) for r in wordpieces.token_counts(d, PIECES, every=True).collect())
+    want, words = Counter(), {}
+    for r in d.collect():
+        w = [x.decode() for x in r.text.encode().split()]
+        for x in w:
+            if x not in words:
+                words[x] = _all_greedy(x, pieces, longest, True)
+        want[(r.doc_id, len(w), sum(words[x] for x in w), 0)] += 1
+    assert got == want
+    assert words["2024"] == 5 == len(m.encode("2024")) and words["a\U0001f600b"] == 6 - (("\U0001f600" in pieces) * 3)
+    few = {r.doc_id: (r.n_tokens, r.n_unknown) for r in llm.QUERIES["op3_word_piece_counts"](spark, SF).collect()}
+    assert all(few[r.doc_id] == (sum(words[x.decode()] for x in r.text.encode().split()), 0) for r in docs.limit(20).collect())
+
+
 # ---- op4 -----------------------------------------------------------------------------------------------------
 
 def test_op4_chunks_are_the_tokenizer():
