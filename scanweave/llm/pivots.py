@@ -31,9 +31,27 @@ def apart(pivots: np.ndarray, cosine: float) -> np.ndarray:
     return p[keep]
 
 
+def spread(pivots: np.ndarray, cosine: float, prefix: int, enough: int = 32) -> np.ndarray:
+    """The pivots by which vectors are described: those apart by 0.7, or by the next larger bound that leaves ``enough``.
+
+    Vectors that all point much the same way leave hardly any at 0.7. Bounds stay below the ``cosine`` of a link, so
+    that no dense group splits; where none leaves enough, the one that leaves most counts. With no more than ``prefix``
+    pivots every vector would have all of them, which says nothing: then one stays, and all pairs of a label meet.
+    """
+    best = apart(pivots, 0.7)
+    for bound in np.arange(0.75, cosine, 0.05):
+        if len(best) >= min(enough, len(pivots)):
+            break
+        more = apart(pivots, bound)
+        best = more if len(more) > len(best) else best
+    return best if len(best) > prefix else best[:1]
+
+
 def _verified(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, key: tuple[int, int], cosine: float, same: bool):
     """Row pairs with at least the cosine that count under this key: their two smallest shared pivots are the key.
 
+    With a single pivot the key is that pivot twice.
+
     Products of a block serve as a filter; what passes is computed again pair by pair in double precision.
     """
     nx, ny = np.sqrt((x ** 2).sum(axis=1)), np.sqrt((y ** 2).sum(axis=1))
@@ -47,7 +65,7 @@ def _verified(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, key:
         c = np.einsum("nd,nd->n", x[p], y[q]) / (nx[p] * ny[q])
         shared = np.where((px[p][:, :, None] == py[q][:, None, :]).any(axis=2), px[p], np.iinfo(np.int64).max)
         two = np.sort(shared, axis=1)[:, :2]
-        keep[a:a + (1 << 16)] = (c >= cosine) & (two[:, 0] == key[0]) & (two[:, 1] == key[1])
+        keep[a:a + (1 << 16)] = (c >= cosine) & (two[:, 0] == key[0]) & (two[:, -1] == key[1])
     return i[keep], j[keep]
 
 
@@ -71,14 +89,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     """(vec_id, n_links, component_id, kept) of every row: links have equal labels and at least ``cosine``.
 
     A vector is described by its ``prefix`` nearest of a number of pivots that grows as the root of the rows (to
-    ``most_pivots``, drawn from the vectors by a hash, none close to another). Inverted lists are kept for each pair of pivots of that
+    ``most_pivots``, drawn from the vectors by a hash, see ``spread``). Inverted lists are kept for each pair of pivots of that
     prefix, so that vectors meet if they share two. A list is compared in blocks of ``block`` rows, each pair of
     blocks in its own group; the tasks give counts and local roots, not pairs, and a pair counts only under its
     two smallest shared pivots. Equal vectors are one row with a size.
 
     Null labels and null, zero, non-finite or oddly long vectors link with nothing and are kept alone. A row with a
     null id is left out; rows that repeat an id and vector count each. Found links are verified, so none is below
-    the cosine; pairs with fewer than two shared pivots are not found (recall is measured in the tests).
+    the cosine; pairs with fewer than two shared pivots are not found (recall is measured in the tests), unless there is one
+    pivot only.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -89,7 +108,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     n = cls.count()
     count = int(min(most_pivots, max(32, 4 * n ** 0.5)))
     pivots = matrix(cls.orderBy(F.xxhash64("cid"), "cid").limit(count).select("vec").toArrow().column(0)) if n else np.zeros((0, 1))
-    pivots = apart(pivots, 0.7)
+    pivots = spread(pivots, cosine, prefix)
     shared = spark.sparkContext.broadcast(pivots)  # most_pivots vectors
 
     def describe(batches):

@@ -309,6 +309,52 @@ def test_op6_links(spark):
     assert pivots.near_duplicates(d.limit(0)).count() == 0
 
 
+def _op6_against_all_pairs(spark, x, label, **kw):
+    """Found links over all links; components of the found ones never join what is not linked."""
+    d = stored(spark.createDataFrame([(i, [float(a) for a in v], b) for i, (v, b) in enumerate(zip(x, label))],
+                                     "vec_id long, embedding array<double>, label int"))
+    got = {r.vec_id: r for r in pivots.near_duplicates(d, **kw).collect()}
+    u = np.array(x) / np.linalg.norm(x, axis=1)[:, None]
+    link = (u @ u.T >= 0.93) & (np.array(label)[:, None] == np.array(label)[None, :])
+    np.fill_diagonal(link, False)
+    assert len(got) == len(x) and all(got[i].n_links <= link[i].sum() for i in got)
+    return sum(r.n_links for r in got.values()) / max(1, link.sum()), got
+
+
+def test_op6_two_near_equal_vectors(spark):
+    recall, got = _op6_against_all_pairs(spark, [[1.0, 0.0, 0.0], [1.0, 0.1, 0.0]], [1, 1])
+    assert recall == 1 and [(got[i].n_links, got[i].component_id, got[i].kept) for i in (0, 1)] == [(1, 0, True), (1, 0, False)]
+    recall, got = _op6_against_all_pairs(spark, [[1.0, 0.0, 0.0], [1.0, 0.1, 0.0]], [1, 2])
+    assert [got[i].n_links for i in (0, 1)] == [0, 0]
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_op6_one_dense_group(spark, block):
+    rng = np.random.default_rng(7)
+    c = rng.normal(size=64)
+    x = [c + rng.normal(size=64) * s for s in rng.uniform(0, 0.3, 150)]
+    assert len(pivots.spread(np.array(x), 0.93, 5)) == 1
+    recall, got = _op6_against_all_pairs(spark, x, [1] * 150, block=block)
+    assert recall == 1
+
+
+def test_op6_three_groups_leave_one_pivot(spark):
+    rng = np.random.default_rng(8)
+    x = [c + rng.normal(size=64) * 0.1 for c in rng.normal(size=(3, 64)) for _ in range(40)]
+    assert len(pivots.spread(np.array(x), 0.93, 5)) == 1
+    assert _op6_against_all_pairs(spark, x, [i % 2 for i in range(120)])[0] == 1
+
+
+def test_op6_vectors_that_all_point_one_way(spark):
+    rng = np.random.default_rng(9)
+    mean, y = 2 * np.ones(64), rng.normal(size=(500, 64))
+    copies = [mean + v + rng.normal(size=64) * 0.3 for v in y[:100]]
+    x = np.concatenate([mean + y, copies])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    assert np.median(u @ u.T) > 0.75 and len(pivots.apart(x[:100], 0.7)) < 6 < 32 <= len(pivots.spread(x[:100], 0.93, 5))
+    assert _op6_against_all_pairs(spark, x, [1] * len(x))[0] >= 0.9
+
+
 # ---- op7, op8 ------------------------------------------------------------------------------------------------
 
 def test_op7_held_out_accuracy(spark, docs):
