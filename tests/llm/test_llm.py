@@ -523,6 +523,36 @@ def test_pipeline_stages_against_brute_force(spark, docs):
     assert f.select("doc_id").distinct().count() == c.count()
 
 
+def test_pipeline_packing_follows_the_mix(spark):
+    rng = random.Random(14)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(200)]
+    data = [(i, " ".join(rng.choices(words, k=rng.randint(5, 120))), "b" if i % 4 == 0 else "a") for i in range(12_000)]
+    d = stored(spark.createDataFrame(data, "doc_id long, text string, source string"))
+    got = corpus_pipeline.best_fit_packing(spark, d, SF).toPandas()
+    assert sorted(got.doc_id) == list(range(12_000))
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 2048
+    got["b"] = got.doc_id % 4 == 0
+    place = got.sequence_id.rank(method="dense", pct=True)
+    weight = 0.25 ** 0.5 / (0.25 ** 0.5 + 0.75 ** 0.5)  # 0.366, against 0.25 of the rows; b runs out after 0.68
+    for a, z in ((0, 0.2), (0.2, 0.4), (0.4, 0.6)):
+        assert abs(got.b[(place > a) & (place <= z)].mean() - weight) < 0.04
+    assert got.b[place > 0.85].mean() < 0.02
+    assert got.sequence_id.nunique() <= math.ceil(got.length.sum() / 2048 * 1.02) + 1
+
+
+def test_pipeline_packing_of_odd_rows_in_order(spark, odd):
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    want = Counter(map(tuple, packing.pack(odd, BPE).select(*key).collect()))
+    for kw in ({}, {"range_items": 3}, {"range_items": 2, "part_items": 7}):
+        got = packing.pack_in_order(odd, mixing.mix(odd), BPE, **kw).collect()
+        assert Counter(tuple(r[k] for k in key) for r in got) == want
+        fill = Counter()
+        for r in got:
+            fill[r.sequence_id] += r.length
+        assert max(fill.values()) <= 2048 and len({(r.sequence_id, r.offset) for r in got}) == len(got)
+
+
 def test_pipeline_odd(spark, odd):
     d = odd
     for name, stage in corpus_pipeline.STAGES:
