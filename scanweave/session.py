@@ -24,6 +24,7 @@ def build_session(master: str | None = None, app: str = "scanweave",
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no stack trace per expression
          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.ui.enabled", "false"))
     if master:
         b = (b.master(master).config("spark.driver.memory", driver_memory)
