@@ -91,10 +91,18 @@ def op9_suffix_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+@query
+def op11_quality_rules(spark, sf_dir):
+    from scanweave.llm.rules import apply_rules
+    return apply_rules(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def _sql() -> None:
     from scanweave.llm.mixing import OP2_SQL
     from scanweave.llm.substrings import OP9_SQL
-    SQL.update(op2_mix_sources=OP2_SQL, op9_suffix_dedup=OP9_SQL)
+    from scanweave.llm.rules import OP11_SQL
+    SQL.update(op11_quality_rules=OP11_SQL, op2_mix_sources=OP2_SQL, op9_suffix_dedup=OP9_SQL)
 
 
 _sql()
