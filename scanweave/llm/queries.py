@@ -98,11 +98,24 @@ def op11_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query
+def op12_pivot_table_clusters(spark, sf_dir):
+    from scanweave.llm.pivot_table import cluster
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    from scanweave.llm.runs import collapse_runs, run_digests, with_planted_runs
+    return run_digests(collapse_runs(with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
 def _sql() -> None:
     from scanweave.llm.mixing import OP2_SQL
     from scanweave.llm.substrings import OP9_SQL
     from scanweave.llm.rules import OP11_SQL
-    SQL.update(op11_quality_rules=OP11_SQL, op2_mix_sources=OP2_SQL, op9_suffix_dedup=OP9_SQL)
+    from scanweave.llm.pivot_table import OP12_SQL
+    SQL.update(op12_pivot_table_clusters=OP12_SQL, op11_quality_rules=OP11_SQL, op2_mix_sources=OP2_SQL, op9_suffix_dedup=OP9_SQL)
 
 
 _sql()

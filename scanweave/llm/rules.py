@@ -160,7 +160,7 @@ def apply_rules(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), id_co
     m = m.withColumn("base_failed", (F.col("n_words") < least_words)
                      | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")))
     for name, (over, under, _, _) in MEASURES.items():
-        m = m.withColumn(name, F.when(F.col(under) > 0, F.floor(1000 * F.col(over) / F.col(under))).cast("long"))
+        m = m.withColumn(name, F.when(F.col(under) > 0, F.floor(1000 * F.col(over) / F.greatest(F.col(under), F.lit(1)))).cast("long"))
     m = stored(m)
     limits = stored(fences(sketches(m.where("not base_failed"), by), by, spreads))
     groups = stored(resolved(m.select(*by).distinct(), limits, by, least_rows))
@@ -175,7 +175,7 @@ def apply_rules(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), id_co
                   .drop("_salt", "_s"))
     fine = ~F.col("base_failed")
     for name, (_, _, _, both) in MEASURES.items():
-        room = F.floor(spreads * WORD_SPREAD / F.sqrt("n_words")) if both else F.lit(0)
+        room = F.floor(spreads * WORD_SPREAD / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))) if both else F.lit(0)
         fine = fine & (F.col(name) >= F.coalesce(F.col(f"{name}_low") - room, name)) & (F.col(name) <= F.coalesce(F.col(f"{name}_high") + room, name))
     return joined.withColumn("kept", F.coalesce(fine, ~F.col("base_failed"))).drop(*[f"g_{c}" for c in by])
 
