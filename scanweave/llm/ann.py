@@ -114,6 +114,23 @@ def assigned(index: ListIndex, x: np.ndarray, replicas: int, border: float) -> n
     return out
 
 
+def pa_top():
+    import pyarrow as pa
+    return pa.list_(pa.struct([("far", pa.float64()), ("least", pa.int64()), ("cid", pa.int64())]))
+
+
+def products(x: np.ndarray, y: np.ndarray, row: np.ndarray, col: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """Inner products of pairs of rows, added up component by component as in the final score: ties are exact."""
+    out = np.zeros(len(row))
+    for at in range(0, len(row), step):
+        a, b = x[row[at:at + step]], y[col[at:at + step]]
+        total = np.zeros(len(a))
+        for d in range(x.shape[1]):
+            total += a[:, d] * b[:, d]
+        out[at:at + step] = total
+    return out
+
+
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20,
             list_size: int = 512, most_lists: int = 4096, sample: int = 16384, replicas: int = 2, border: float = 0.1,
             recall: float = 0.96, list_block: int = 4096, query_block: int = 1024) -> DataFrame:
@@ -150,7 +167,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
             if len(x):
                 row, at = np.nonzero(assigned(shared.value, shared.value.vectors(x), replicas, border))
                 got = b.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), got.column(0), got.column(1)], names=["list", "cid", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *got.columns], names=["list", "cid", "vec", "class_id"])
 
     def probe(batches):
         import pyarrow as pa
@@ -165,7 +182,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     kind = f"list int, cid long, vec {dict(cls.dtypes)['vec']}"
     asked = stored(v.where(is_query).join(cls.select("cid", F.col("vec").alias("v2"), "class_id"), F.col("vec") == F.col("v2"))
                    .select("vec_id", "cid", "vec"))
-    posted = stored(cls.select("cid", "vec").mapInArrow(place, kind))
+    posted = stored(cls.select("cid", "vec", "class_id").mapInArrow(place, f"{kind}, class_id long"))
     probed = stored(asked.dropDuplicates(["cid"]).select("cid", "vec").mapInArrow(probe, kind))
     blocks = (posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / list_block).cast("int").alias("nv"))
               .join(probed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("nq")), "list"))
@@ -174,31 +191,38 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     def dealt(rows, own, n_own, other, n_other):
         return rows.join(blocks, "list").select(
             "list", F.pmod(F.xxhash64("cid"), F.col(n_own)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)).alias(other), "cid", "vec")
+            F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)).alias(other), *[c for c in rows.columns if c != "list"])
+
+    kind_top = pa_top()
 
     def search(key, left, right):
         import pyarrow as pa
         if not left.num_rows or not right.num_rows:
-            return pa.table({"q": pa.array([], pa.int64()), "list": pa.array([], pa.int32()),
-                             "top": pa.array([], pa.list_(pa.struct([("far", pa.float64()), ("cid", pa.int64())])))})
-        qid = left.column("cid").to_numpy()
-        cid = right.column("cid").to_numpy()
-        s = np.einsum("id,jd->ij", matrix(left.column("vec")), matrix(right.column("vec")), optimize=True)
+            return pa.table({"q": pa.array([], pa.int64()), "list": pa.array([], pa.int32()), "top": pa.array([], kind_top)})
+        qid, cid, least = (c.to_numpy() for c in (left.column("cid"), right.column("cid"), right.column("class_id")))
+        x, y = matrix(left.column("vec")), matrix(right.column("vec"))
+        s = np.einsum("id,jd->ij", x, y, optimize=True)
         take = min(k + 1, len(cid))
-        part = np.argpartition(-s, take - 1, axis=1)
-        edge = np.take_along_axis(s, part[:, take - 1:take], axis=1)
-        row, col = np.nonzero(s >= edge)  # ties with the last one stay
-        top = pa.StructArray.from_arrays([pa.array(-s[row, col]), pa.array(cid[col])], names=["far", "cid"])
+        edge = np.partition(s, len(cid) - take, axis=1)[:, len(cid) - take]
+        near = 1e-12 * np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1).max())  # more than rounding can do
+        row, col = np.nonzero(s >= (edge - near)[:, None])
+        far = -products(x, y, row, col)
+        o = np.lexsort((cid[col], least[col], far, row))
+        row, col, far = row[o], col[o], far[o]
+        first = np.searchsorted(row, np.arange(len(qid)))
+        keep = np.arange(len(row)) - first[row] < take
+        row, col, far = row[keep], col[keep], far[keep]
+        top = pa.StructArray.from_arrays([pa.array(far), pa.array(least[col]), pa.array(cid[col])], names=["far", "least", "cid"])
         cuts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(qid)))])
         return pa.Table.from_arrays([pa.array(qid), pa.array(np.full(len(qid), key[0].as_py(), np.int32)),
                                      pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), top)], names=["q", "list", "top"])
 
     keys = ["list", "vb", "qb"]
     hits = (dealt(probed, "qb", "nq", "vb", "nv").groupBy(*keys).cogroup(dealt(posted, "vb", "nv", "qb", "nq").groupBy(*keys))
-            .applyInArrow(search, "q long, list int, top array<struct<far:double,cid:long>>"))
+            .applyInArrow(search, "q long, list int, top array<struct<far:double,least:long,cid:long>>"))
 
-    def merged(df, *by):  # a vector may come from each of its lists, its product with other last digits
-        return df.groupBy(*by).agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, (k + 1) * replicas).alias("top"))
+    def merged(df, *by):  # a vector may come from each of its lists, with the same product
+        return df.groupBy(*by).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("top")))), 1, k + 1).alias("top"))
 
     best = merged(merged(hits, "q", "list"), "q")
     # one product a pair, added up in one order
