@@ -147,8 +147,10 @@ _ROW = "part int, kind int, data binary"
 _ANCHORS, _FLAGS, _TEXTS, _WINDOWS_KIND, _SPANS = 0, 1, 2, 3, 4
 
 
-def _doc_part(doc: np.ndarray, parts: int) -> np.ndarray:
-    return (_mixed(doc.astype(np.uint64) * _ODD + np.uint64(7)) % np.uint64(parts)).astype(np.int32)
+def _doc_part(doc: np.ndarray, tag: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each text, by id and tag: texts of one repeated id, or of none, go to many parts."""
+    key = doc.astype(np.uint64) * _ODD ^ tag.astype(np.uint64) * _WEIGHTS[62]
+    return (_mixed(key + np.uint64(7)) % np.uint64(parts)).astype(np.int32)
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +214,7 @@ def _shared_anchors(doc_parts: int, group_hot: int):
             for part, kind, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 columns = unpacked(data.as_py())
                 if kind == _FLAGS:
-                    yield _rows(((p, packed(*c)) for p, c in _by_part(_doc_part(columns[0], doc_parts), *columns)), _FLAGS)
+                    yield _rows(((p, packed(*c)) for p, c in _by_part(_doc_part(columns[0], columns[1], doc_parts), *columns)), _FLAGS)
                 else:
                     got.setdefault(part, []).append(columns)
         for columns in got.values():
@@ -234,11 +236,11 @@ def _shared_anchors(doc_parts: int, group_hot: int):
             known = real & ~hot[run_] & again
             if known.any():
                 found = _merged(d[known], t[known], np.maximum(0, pos[known] - SIDE), pos[known] + LENGTH)  # the text's end cuts it later
-                yield _rows(((p, packed(*x)) for p, x in _by_part(_doc_part(found[0], doc_parts), *found)), _SPANS)
+                yield _rows(((p, packed(*x)) for p, x in _by_part(_doc_part(found[0], found[1], doc_parts), *found)), _SPANS)
             keep = real & (hot | (differ & (most > least)))[run_] & ~known
             if keep.any():
                 x = d[keep], t[keep], pos[keep], hot[run_][keep].astype(np.uint8)
-                yield _rows(((p, packed(*y)) for p, y in _by_part(_doc_part(x[0], doc_parts), *x, order_by=x[0])), _FLAGS)
+                yield _rows(((p, packed(*y)) for p, y in _by_part(_doc_part(x[0], x[1], doc_parts), *x, order_by=x[0])), _FLAGS)
     return run
 
 
@@ -248,9 +250,9 @@ def _send_texts(doc_parts: int):
         import pyarrow as pa
         import zstandard
         for b in batches:
-            doc = np.nan_to_num(b.column(0).to_numpy(zero_copy_only=False)).astype(np.int64)
-            out = []
-            for p, (row,) in _by_part(_doc_part(doc, doc_parts), np.arange(len(doc))):
+            doc = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)  # ids stay whole numbers beside a null
+            tag, out = b.column(1).to_numpy(zero_copy_only=False), []
+            for p, (row,) in _by_part(_doc_part(doc, tag, doc_parts), np.arange(len(doc))):
                 for at in range(0, len(row), 2048):
                     sink = pa.BufferOutputStream()
                     one = b.take(pa.array(row[at:at + 2048]))
@@ -497,7 +499,7 @@ def _resolve(doc_parts: int, chunk: int = 1 << 20):
                 at = to
         if spans.rows:
             found = spans.merged()
-            yield _rows(((p, packed(*c)) for p, c in _by_part(_doc_part(found[0], doc_parts), *found)), _SPANS)
+            yield _rows(((p, packed(*c)) for p, c in _by_part(_doc_part(found[0], found[1], doc_parts), *found)), _SPANS)
     return run
 
 
