@@ -76,9 +76,9 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(bag: np.ndarray, label: np.ndarray, langs: list[str], bits: int, dim: int = 12, steps: int = 800,
+def fit(bag: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, langs: list[str], bits: int, dim: int = 12, steps: int = 800,
         rate: float = 4.0, seed: int = 7, lost: float = 0.001) -> LanguageModel:
-    """Stochastic gradient descent on (texts, buckets) counts; every fifth text calibrates.
+    """Stochastic gradient descent on (buckets, counts) of each text; every fifth text calibrates.
 
     The temperature minimises the log loss of the calibration texts. The threshold rejects no more than ``lost``
     of those that are predicted rightly, with a margin of a half.
@@ -87,15 +87,17 @@ def fit(bag: np.ndarray, label: np.ndarray, langs: list[str], bits: int, dim: in
     order = rng.permutation(len(bag))
     held = order[::5] if len(bag) >= 50 else order
     train = np.setdiff1d(order, held) if len(bag) >= 50 else order
-    emb = rng.normal(0, 1 / dim, (bag.shape[1], dim)).astype(np.float32)
+    emb = rng.normal(0, 1 / dim, (1 << bits, dim)).astype(np.float32)
     w, b = np.zeros((dim, len(langs)), np.float32), np.zeros(len(langs), np.float32)
     queue = np.zeros(0, np.int64)
     for done in range(steps):
         if len(queue) < 16:
             queue = np.concatenate([queue, rng.permutation(train)])
         rows, queue = queue[:16], queue[16:]
-        used = np.flatnonzero(bag[rows].any(axis=0))
-        x = bag[np.ix_(rows, used)]
+        used = np.unique(np.concatenate([bag[r][0] for r in rows]))
+        x = np.zeros((len(rows), len(used)), np.float32)
+        for k, r in enumerate(rows):
+            x[k, np.searchsorted(used, bag[r][0])] = bag[r][1]
         x /= np.maximum(1, x.sum(axis=1, keepdims=True))
         h = x @ emb[used]
         g = softmax(h @ w + b).astype(np.float32)
@@ -104,9 +106,9 @@ def fit(bag: np.ndarray, label: np.ndarray, langs: list[str], bits: int, dim: in
         gh = g @ w.T
         w -= h.T @ g
         b -= g.sum(axis=0)
-        emb[used] -= (x.T @ gh) * np.float32(bag.shape[1] ** 0.5 / 8)
+        emb[used] -= (x.T @ gh) * np.float32((1 << bits) ** 0.5 / 8)
     model = LanguageModel(list(langs), emb @ w, b.astype(np.float64), bits)
-    z = bag[held] @ model.table / np.maximum(1, bag[held].sum(axis=1, keepdims=True)) + b
+    z = np.array([n @ model.table[at] / max(1.0, float(n.sum())) for at, n in (bag[r] for r in held)]) + b
     y = label[held]
     loss = {t: -np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in np.geomspace(0.1, 10, 41)}
     model.temperature = float(min(loss, key=loss.get))
@@ -118,21 +120,24 @@ def fit(bag: np.ndarray, label: np.ndarray, langs: list[str], bits: int, dim: in
 
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           sample: int = 3000, bits: int = 14) -> LanguageModel:
-    """A model of the rows where ``usable``, from about ``sample`` of them in expectation.
+    """A model of the rows where ``usable``, from about ``sample`` different texts, twice as many at most.
 
-    Every language gives the same expected number, drawn by a hash of the id; rows without text or language
-    don't count. Only the subword counts of the sample leave the executors, at most 2**bits a text. With no
-    rows there is no language and the model is empty.
+    Every language gives the same expected number, drawn by a hash of the text; rows without text or language don't
+    count, ids play no part. A text that stands in several rows counts once a language, so that repeated rows can't
+    fill the sample. Only the subword counts of the sample leave the executors, at most 2**bits
+    a text. With no rows there is no language and the model is empty.
     """
     ship(docs.sparkSession)
     d = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counts = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    d = d.withColumn("h", F.xxhash64("text", F.lit("language sample")))
+    counts = {r["lang"]: max(1, r["n"]) for r in d.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return LanguageModel(bits=bits)
     langs, each = sorted(counts), sample / len(counts)
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, each / counts[k]))])
-    drawn = d.where(F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    drawn = (d.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+             .dropDuplicates(["lang", "h"]).orderBy("h", "lang").limit(2 * sample))
 
     def run(batches):
         import pyarrow as pa
@@ -143,16 +148,13 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
                 k = np.flatnonzero(bag)
                 at.append(k.astype("<i4").tobytes()), n.append(bag[k].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.binary()), pa.array(n, pa.binary()), b.column(2)],
-                                             names=["lang", "at", "n", "doc_id"])
+                                             names=["lang", "at", "n", "h"])
 
-    rows = drawn.select("lang", "text", F.col("doc_id").cast("string")).mapInArrow(
-        run, "lang string, at binary, n binary, doc_id string").orderBy("doc_id", "lang").collect()
-    if not rows:
+    got = drawn.select("lang", "text", "h").mapInArrow(run, "lang string, at binary, n binary, h long").orderBy("h", "lang").toArrow()
+    if not got.num_rows:
         return LanguageModel(bits=bits)
-    bag = np.zeros((len(rows), 1 << bits), np.float32)
-    for k, r in enumerate(rows):
-        bag[k, np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["n"], "<f4")
-    return fit(bag, np.array([langs.index(r["lang"]) for r in rows]), langs, bits)
+    bag = [(np.frombuffer(a.as_py(), "<i4"), np.frombuffer(n.as_py(), "<f4")) for a, n in zip(got.column("at"), got.column("n"))]
+    return fit(bag, np.array([langs.index(x) for x in got.column("lang").to_pylist()]), langs, bits)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
