@@ -564,4 +564,4 @@ def test_pipeline_odd(spark, odd):
 
 
 def test_every_query_is_registered():
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in llm.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in llm.QUERIES} == set(range(1, 14))
