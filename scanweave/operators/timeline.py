@@ -3,9 +3,10 @@
 A window partitioned by a session alone runs one session in one task. Every
 function here windows over (keys, chunk) and repairs the chunk borders from a
 per-chunk summary, so a key that holds a third of all rows is spread over all
-its chunks. ``chunk`` must grow with the sort order: a time bucket of the sort
-clock (``exprs.time_bucket``), or ``range_chunks`` where even one instant of one
-key may be hot. The summary has one row per (keys, chunk).
+its chunks. ``chunk`` must grow with the sort order: a chunk of about equally many
+rows (``density_chunks``), a time bucket of the sort clock
+(``exprs.time_bucket``), or ``range_chunks`` where even one instant of one key
+may be hot. The summary has one row per (keys, chunk).
 """
 
 from __future__ import annotations
@@ -13,9 +14,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scanweave.functions.exprs import col
-from scanweave.session import ensure_checkpoint_dir
+from scanweave.session import ensure_checkpoint_dir, stored
 
 CHUNK = "_chunk"
+LEAST_ROWS = 4096  # smaller chunks cost more than they spread
+MOST_CUTS = 4096   # cut points of one key
+
+
+def density_cuts(df: DataFrame, keys: list[str], order: str, rows_each: int | None = None) -> DataFrame | None:
+    """(keys, _cuts): points that cut each hot key's ``order`` into parts of about ``rows_each`` rows; None without one.
+
+    By default a part is a quarter of what a shuffle partition would hold, so
+    parts grow in number with data and cluster. Only keys of more rows than one
+    part are listed, which bounds the table by rows / rows_each keys and about as
+    many points. It is stored: every later use sees the same points, although the
+    sketch they come from depends on the order in which tasks finish.
+    """
+    spark = df.sparkSession
+    n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    if rows_each is None:
+        parts = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+        total, top = n.agg(F.sum("_n"), F.max("_n")).first()
+        rows_each = max(LEAST_ROWS, -(-(total or 0) // parts))
+    else:
+        top = n.agg(F.max("_n")).first()[0]
+    if (top or 0) <= rows_each:
+        return None
+    levels = min(MOST_CUTS, -(-top // rows_each))
+    hot = n.filter(F.col("_n") > rows_each)
+    part = df.select(*keys, F.col(order).alias("_o"))
+    part = part.join(F.broadcast(hot), keys) if keys else part.withColumn("_n", F.lit(top))
+    cuts = part.groupBy(*keys).agg(F.max("_n").alias("_n"), F.percentile_approx(
+        "_o", [i / levels for i in range(1, levels)], 4 * levels).alias("_c"))
+    # a smaller key takes every so many-th point only
+    every = F.greatest(F.lit(1), F.floor(levels * rows_each / F.col("_n"))).cast("int")
+    return stored(cuts.select(*keys, F.array_distinct(F.filter("_c", lambda x, i: (i + 1) % every == 0)).alias("_cuts")))
+
+
+def points_below(cuts: Column, value: Column, most: int = MOST_CUTS) -> Column:
+    """How many of the ascending ``cuts`` are at most ``value``, by halving."""
+    def halve(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        up = F.get(cuts, mid) <= value
+        open_ = s["lo"] < s["hi"]
+        return F.struct(F.when(open_ & up, mid + 1).otherwise(s["lo"]).alias("lo"),
+                        F.when(open_ & ~up, mid).otherwise(s["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(most.bit_length())), start, halve, lambda s: s["lo"]).cast("long")
+
+
+def with_chunks(df: DataFrame, keys: list[str], order: str, cuts: DataFrame | None, name: str) -> DataFrame:
+    """``df`` with the number of each row's part; rows of one ``order`` value share a part."""
+    if cuts is None:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    d = df.join(F.broadcast(cuts), keys, "left") if keys else df.withColumn("_cuts", cuts.select("_cuts").scalar())
+    return d.withColumn(name, F.coalesce(points_below(F.col("_cuts"), F.col(order)), F.lit(0))).select(*df.columns, name)
+
+
+def density_chunks(df: DataFrame, keys: list[str], order: str, name: str = "_ck", rows_each: int | None = None) -> DataFrame:
+    """``df`` with chunks of about equally many rows along ``order``, also where rows crowd at some times."""
+    return with_chunks(df, keys, order, density_cuts(df, keys, order, rows_each), name)
 
 
 def range_chunks(df: DataFrame, keys: list[str], order: list[str], n: int,

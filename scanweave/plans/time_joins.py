@@ -39,7 +39,7 @@ def views(spark, sf):
 
 def nearest(spark, sf, keep=False):
     return asof_nearest(clicks(spark, sf), views(spark, sf), ["user_id"], "us", "event_id", "right_id",
-                        3600, ["right_value"], bucket_s=86400, keep_unmatched=keep)
+                        3600, ["right_value"], keep_unmatched=keep)
 
 
 @query("j01_asof_nearest_tolerance", f"""
@@ -50,6 +50,68 @@ def j01(spark, sf):
                                      rnd("delta_t_s").alias("delta_t_s"))
 
 
+# Half the longer mean period of the two streams on each day, 20 times over as the streams are sparse.
+DAY_TOLERANCE = """
+sides AS (SELECT event_type, us // 86400000000 AS day, min(us) AS lo, max(us) AS hi, count(*) AS n FROM ev WHERE event_type IN ('click', 'view') GROUP BY 1, 2),
+dtol AS (SELECT day, 10 * max((hi - lo) // (n - 1)) AS tol FROM sides WHERE n > 1 GROUP BY 1)"""
+
+
+def day_tolerance(e):
+    """(day, tol): microseconds; one row a day."""
+    s = (e.filter("event_type IN ('click', 'view')").groupBy("event_type", F.floor(F.col("us") / (24 * HOUR)).alias("day"))
+         .agg(F.min("us").alias("lo"), F.max("us").alias("hi"), F.count("*").alias("n")).filter("n > 1"))
+    return s.groupBy("day").agg(F.max(10 * F.expr("(hi - lo) div (n - 1)")).alias("tol"))
+
+
+NEAREST_BY_DAY = """
+near AS (SELECT * FROM (SELECT l.*, right_id, right_us, row_number() OVER (PARTITION BY event_id ORDER BY abs(us - right_us),
+      CASE WHEN right_us <= us THEN 0 ELSE 1 END, CASE WHEN right_us <= us THEN -right_id ELSE right_id END) AS rn
+  FROM l JOIN r ON l.{k} = r.{k} AND abs(us - right_us) <= tol) WHERE rn = 1)"""
+
+
+@query("j01_asof_day_tolerance", f"""
+WITH ev AS (SELECT *, epoch_us(ts) AS us FROM events), {DAY_TOLERANCE},
+l AS (SELECT event_id, user_id % 3 AS g, us, tol FROM ev LEFT JOIN dtol ON day = us // 86400000000 WHERE event_type = 'click'),
+r AS (SELECT event_id AS right_id, user_id % 3 AS g, us AS right_us FROM ev WHERE event_type = 'view'), {NEAREST_BY_DAY.format(k="g")}
+SELECT event_id, g, tol, right_id, round((us - right_us) / 1e6, 6) AS delta_t_s FROM near""")
+def j01_day(spark, sf):
+    e = events(spark, sf)
+    l = (e.filter("event_type = 'click'").select("event_id", (F.col("user_id") % 3).alias("g"), "us",
+                                                 F.floor(F.col("us") / (24 * HOUR)).alias("day")).join(day_tolerance(e), "day", "left").drop("day"))
+    r = e.filter("event_type = 'view'").select((F.col("user_id") % 3).alias("g"), "us", F.col("event_id").alias("right_id"))
+    return (asof_nearest(l, r, ["g"], "us", "event_id", "right_id", F.col("tol"))
+            .select("event_id", "g", "tol", "right_id", rnd("delta_t_s").alias("delta_t_s")))
+
+
+# Clock offset of each day in seconds, as an estimator would give it: applied before anything is joined.
+OFFSET = "((us // 86400000000) % 7 - 3) * 20"
+
+
+@query("j01_joint_table", f"""
+WITH ev AS (SELECT *, epoch_us(ts) AS us FROM events), {DAY_TOLERANCE},
+moved AS (SELECT event_id, user_id, us AS raw_us, {OFFSET} AS offset_s, us - {OFFSET} * 1000000 AS us FROM ev WHERE event_type = 'click'),
+spans AS (SELECT user_id, us // 86400000000 AS run_day, min(us) - 43200000000 AS w0, max(us) + 43200000000 AS w1
+  FROM ev WHERE event_type = 'purchase' GROUP BY 1, 2),
+inrun AS (SELECT m.*, max(run_day) AS run_day FROM moved m JOIN spans s ON m.user_id = s.user_id AND m.us BETWEEN w0 AND w1 GROUP BY ALL),
+l AS (SELECT i.*, tol FROM inrun i LEFT JOIN dtol ON day = us // 86400000000),
+r AS (SELECT event_id AS right_id, user_id, us AS right_us, value AS right_value FROM ev WHERE event_type = 'view'), {NEAREST_BY_DAY.format(k="user_id")}
+SELECT event_id, user_id, run_day, raw_us, CAST(offset_s AS BIGINT) AS offset_s, us, tol AS tolerance_us, n.right_id, n.right_us, r.right_value,
+  round((us - n.right_us) / 1e6, 6) AS delta_t_s FROM near n JOIN r USING (user_id, right_id)""")
+def j01_joint(spark, sf):
+    e = events(spark, sf)
+    offset = (F.floor(F.col("us") / (24 * HOUR)) % 7 - 3) * 20
+    moved = (e.filter("event_type = 'click'").withColumn("offset_s", offset).withColumn("raw_us", F.col("us"))
+             .withColumn("us", F.col("us") - F.col("offset_s") * 1_000_000).select("event_id", "user_id", "raw_us", "offset_s", "us"))
+    wide = spans(spark, sf).select("user_id", F.col("day").alias("run_day"), (F.col("s_us") - 12 * HOUR).alias("w0"), (F.col("e_us") + 12 * HOUR).alias("w1"))
+    run = assign_last_span(moved, wide, ["user_id"], "us", "w0", "w1", "run_day", ["run_day"], "event_id", 86400)
+    l = moved.join(run.select("event_id", "run_day"), "event_id").withColumn("day", F.floor(F.col("us") / (24 * HOUR)))
+    l = l.join(day_tolerance(e), "day", "left")
+    l = l.select("event_id", "user_id", "run_day", "raw_us", "offset_s", "us", "tol")
+    j = asof_nearest(l, views(spark, sf), ["user_id"], "us", "event_id", "right_id", F.col("tol"), ["right_value"])
+    return j.select("event_id", "user_id", "run_day", "raw_us", "offset_s", "us", F.col("tol").alias("tolerance_us"), "right_id",
+                    "right_us", "right_value", rnd("delta_t_s").alias("delta_t_s"))
+
+
 @query("a37_match_statistics", f"""
 WITH {NEAREST}, m AS (SELECT l.user_id, l.us // 86400000000 AS day, n.right_id,
    (n.us - n.right_us) / 1e6 AS dt FROM l LEFT JOIN near n USING (event_id))

@@ -83,8 +83,36 @@ def test_asof_against_pandas_on_a_hot_key(spark):
     want = pd.merge_asof(l, r.assign(t=r.us), on="us", by="k", direction="nearest", tolerance=200_000)
     got = asof.asof_nearest(spark.createDataFrame(l), spark.createDataFrame(r), ["k"], "us", "id", "rid", 0.2).select("id", "rid")
     assert rows(got, "id") == [(int(a), int(b)) for a, b in zip(want.id, want.rid) if not math.isnan(b)]
-    salted = asof.asof_nearest(spark.createDataFrame(l), spark.createDataFrame(r), ["k"], "us", "id", "rid", 0.2, salts=4).select("id", "rid")
-    assert rows(salted, "id") == rows(got, "id")
+    for rows_each in (7, 60):  # hot keys in many parts
+        cut = asof.asof_nearest(spark.createDataFrame(l), spark.createDataFrame(r), ["k"], "us", "id", "rid", 0.2, rows_each=rows_each).select("id", "rid")
+        assert rows(cut, "id") == rows(got, "id")
+
+
+def test_asof_tolerance_of_each_row_with_crowds_and_gaps(spark):
+    rng = random.Random(5)
+    spot = [0, 0, 10**6, 10**6 + 1, 5 * 10**9]  # crowds far apart, parts without a right row
+    l = [(i, i % 2, rng.choice(spot) + rng.randrange(40), rng.choice([None, 0, 3, 10**7, 10**10])) for i in range(300)]
+    r = [(i, i % 2, rng.choice(spot[:4]) + rng.randrange(40)) for i in range(200)]
+    left, right = spark.createDataFrame(l, "id long, k int, us long, tol long"), spark.createDataFrame(r, "rid long, k int, us long")
+    want = []
+    for i, k, t, tol in l:
+        near = [(abs(t - u), u > t, -j if u <= t else j, j) for j, kk, u in r if kk == k and tol is not None and abs(t - u) <= tol]
+        want.append((i, min(near)[3] if near else None))
+    for rows_each in (5, 40, 10**6):
+        got = asof.asof_nearest(left, right, ["k"], "us", "id", "rid", F.col("tol"), rows_each=rows_each, keep_unmatched=True)
+        assert rows(got.select("id", "rid"), "id") == want
+
+
+def test_density_chunks_are_even_where_rows_crowd(spark):
+    d = spark.range(40_000).select("id", (F.col("id") % 10 < 7).alias("hot"),
+                                   F.when(F.col("id") % 5 < 4, F.col("id") % 100).otherwise(F.col("id") * 10**6).alias("us"))
+    for keys, each in ((["hot"], 500), ([], 900)):
+        c = timeline.density_chunks(d, keys, "us", "ck", each)
+        n = [x["count"] for x in c.groupBy(*keys, "ck").count().collect()]
+        assert sum(n) == 40_000 and max(n) <= 3 * each
+        order = c.groupBy(*keys, "ck").agg(F.min("us").alias("a"), F.max("us").alias("z")).orderBy(*keys, "ck").collect()
+        assert all(x.z < y.a for x, y in zip(order, order[1:]) if x.ck < y.ck)
+    assert timeline.density_cuts(d.limit(0), ["hot"], "us") is None and timeline.density_cuts(d, ["hot"], "us", 10**6) is None
 
 
 def test_interval_overlap_last_wins_and_bounds_are_closed(spark):
