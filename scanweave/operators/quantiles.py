@@ -9,61 +9,98 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from scanweave.operators.timeline import density_chunks, running_total
+from scanweave.session import stored
 
 ACCURACY = 10_000  # percentile_approx is off by at most n / ACCURACY ranks
+GRID = 500  # parts of a bracket that is narrowed
+
+
+def _with_brackets(src: DataFrame, keys: list[str], brackets: DataFrame) -> DataFrame:
+    """Rows with the brackets of their key; without keys there is one row of them."""
+    if keys:
+        return src.join(brackets, keys)
+    return src.withColumn("_s", brackets.select(F.struct("*").alias("s")).scalar()).select("_v", "_s.*")
+
+
+def _inside(i: int) -> Column:
+    return (F.col("_v") >= F.col("_lo")[i]) & (F.col("_v") <= F.col("_hi")[i])
+
+
+def _narrowed(src: DataFrame, keys: list[str], brackets: DataFrame, levels: list[float]) -> DataFrame:
+    """Brackets around the same ranks, cut to about five of GRID parts of the rows in them; one reading.
+
+    A bracket of fewer rows than ten a part stays as it is.
+    """
+    grid = GRID
+    d = _with_brackets(src, keys, brackets)
+    at = [j / grid for j in range(1, grid)]
+    aggs = [F.first("_n").alias("_n"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi")]
+    for i in range(len(levels)):
+        aggs += [F.percentile_approx(F.when(_inside(i), F.col("_v")), at, ACCURACY).alias(f"_q{i}"),
+                 F.count_if(_inside(i)).alias(f"_m{i}"), F.count_if(F.col("_v") < F.col("_lo")[i]).alias(f"_b{i}")]
+    lo, hi = [], []
+    for i, p in enumerate(levels):
+        share = (F.lit(p) * (F.col("_n") - 1) - F.col(f"_b{i}")) / F.col(f"_m{i}")
+        j = F.floor(share * grid).cast("int")  # between the j-th and the next of the grid's values
+        q = F.col(f"_q{i}")
+        j = F.when(F.col(f"_m{i}") >= 10 * grid, j)
+        lo.append(F.when(j >= 3, F.get(q, j - 3)).otherwise(F.col("_lo")[i]))
+        hi.append(F.when(j + 2 < grid - 1, F.get(q, j + 2)).otherwise(F.col("_hi")[i]))
+    return d.groupBy(*keys).agg(*aggs).select(*keys, "_n", F.array(*lo).alias("_lo"), F.array(*hi).alias("_hi"))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], most: int = 1_000_000) -> DataFrame:
     """Linear-interpolation quantiles per key; ``probs`` maps output name to level.
 
-    For each level two approximate quantiles a safe distance apart enclose the
-    wanted ranks. One pass counts the rows below each bracket, and only the rows
-    inside (a few in ten thousand, folded by value) are shuffled and ranked. A
-    group of at most ACCURACY rows is its own bracket.
+    A first reading brackets each wanted rank between two approximate quantiles
+    a safe distance apart (a group of at most ACCURACY rows is its own bracket);
+    brackets that may hold more than ``most`` rows are narrowed by further
+    readings, each of which leaves about one row in a hundred. The last reading
+    counts what lies below and folds the values inside, both before the shuffle:
+    no other row travels, and no task ranks more than ``most`` values a level.
+    A rank outside its bracket, which would mean a broken sketch, is an error.
     """
     src = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
     levels, safe = list(probs.values()), 3 / ACCURACY
     edges = [e for p in levels for e in (max(p - safe, 0.0), min(p + safe, 1.0))]
-    cuts = src.groupBy(*keys).agg(F.percentile_approx("_v", edges, ACCURACY).alias("_c"), F.min("_v").alias("_lo"),
-                                  F.max("_v").alias("_hi"), (F.count("*") <= ACCURACY).alias("_small"))
-    fields = []
-    for i, p in enumerate(levels):
-        lo = F.lit(True) if p - safe <= 0 else F.col("_small")
-        hi = F.lit(True) if p + safe >= 1 else F.col("_small")
-        lo = F.when(lo, F.col("_lo")).otherwise(F.get("_c", F.lit(2 * i)))
-        hi = F.when(hi, F.col("_hi")).otherwise(F.get("_c", F.lit(2 * i + 1)))
-        fields += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
-    cuts = cuts.select(*keys, *fields)
-    if keys:
-        d = src.join(cuts, keys)
-    else:
-        one = cuts.select(F.struct("*").alias("s")).scalar()
-        d = src.withColumn("_s", one).select("_v", "_s.*")
-    inside = lambda i: (F.col("_v") >= F.col(f"_lo{i}")) & (F.col("_v") <= F.col(f"_hi{i}"))
-    below = d.groupBy(*keys).agg(F.count("*").alias("_n"), *[
-        F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_b{i}") for i in range(len(levels))])
-    hit = F.array(*[F.when(inside(i), F.lit(i)) for i in range(len(levels))])
-    near = inside(0)
+    first = src.groupBy(*keys).agg(F.percentile_approx("_v", edges, ACCURACY).alias("_c"), F.min("_v").alias("_min"),
+                                   F.max("_v").alias("_max"), F.count("*").alias("_n"))
+    small = F.col("_n") <= ACCURACY
+    lo = [F.when(small | F.lit(p - safe <= 0), F.col("_min")).otherwise(F.get("_c", F.lit(2 * i))) for i, p in enumerate(levels)]
+    hi = [F.when(small | F.lit(p + safe >= 1), F.col("_max")).otherwise(F.get("_c", F.lit(2 * i + 1))) for i, p in enumerate(levels)]
+    brackets = stored(first.select(*keys, "_n", F.array(*lo).alias("_lo"), F.array(*hi).alias("_hi")))
+    top = brackets.agg(F.max("_n")).first()[0] or 0
+    held = top if top <= ACCURACY else 2 * safe * top
+    while held > most:
+        brackets = stored(_narrowed(src, keys, brackets, levels))
+        held /= 100
+    d = _with_brackets(src, keys, brackets)
+    near = _inside(0)
     for i in range(1, len(levels)):
-        near = near | inside(i)
-    vals = (d.filter(near).select(*keys, "_v", F.explode(hit).alias("_i")).filter("_i IS NOT NULL")
-            .groupBy(*keys, "_i", "_v").agg(F.count("*").alias("_k")))
-    run = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    vals = vals.withColumn("_cum", F.sum("_k").over(run))
-    if keys:
-        vals = vals.join(below, keys)
-    else:
-        vals = vals.withColumn("_s", below.select(F.struct("*").alias("s")).scalar()).select("_i", "_v", "_k", "_cum", "_s.*")
+        near = near | _inside(i)
+    g = d.groupBy(*keys, F.when(near, F.col("_v")).alias("_g")).agg(F.count("*").alias("_k"), *[
+        F.count_if(F.col("_v") < F.col("_lo")[i]).alias(f"_b{i}") for i in range(len(levels))], *[
+        F.coalesce(F.bool_or(_inside(i)), F.lit(False)).alias(f"_in{i}") for i in range(len(levels))])
+    whole = Window.partitionBy(*keys)
+    run = whole.orderBy("_g").rowsBetween(Window.unboundedPreceding, 0)
+    cols = [F.sum("_k").over(whole).alias("_n")]
+    for i in range(len(levels)):
+        last = F.sum(f"_b{i}").over(whole) + F.sum(F.when(F.col(f"_in{i}"), F.col("_k")).otherwise(0)).over(run)
+        cols.append(last.alias(f"_last{i}"))
+    g = g.select(*keys, "_g", "_k", *[f"_in{i}" for i in range(len(levels))], *cols)
     out = []
     for i, (name, p) in enumerate(probs.items()):
         pos = F.lit(p) * (F.col("_n") - 1)
-        first, last = F.col(f"_b{i}") + F.col("_cum") - F.col("_k"), F.col(f"_b{i}") + F.col("_cum")
-        at = lambda r: F.max(F.when((F.col("_i") == i) & (r >= first) & (r < last), F.col("_v")))
-        lo, hi = at(F.floor(pos)), at(F.ceil(pos))
-        frac = F.max(pos - F.floor(pos))
-        out.append((lo + (hi - lo) * frac).alias(name))
-    return vals.groupBy(*keys).agg(*out)
+        last = F.col(f"_last{i}")
+        at = lambda r: F.max(F.when(F.col(f"_in{i}") & (r >= last - F.col("_k")) & (r < last), F.col("_g")))
+        a, b = at(F.floor(pos)), at(F.ceil(pos))
+        missed = F.when(F.max("_n") > 0, F.raise_error(F.lit(f"a rank of {name} lies outside its bracket")).cast("double"))
+        a, b = F.coalesce(a, missed), F.coalesce(b, missed)
+        out.append((a + (b - a) * F.max(pos - F.floor(pos))).alias(name))
+    return g.groupBy(*keys).agg(*out)  # without keys and rows one row of nulls
 
 
 def default_bins(spark: SparkSession) -> int:
@@ -98,15 +135,13 @@ def with_value_bins(df: DataFrame, keys: list[str], value: str, bins: int, name:
     return d.selectExpr(*[f"`{c}`" for c in df.columns], f"CAST(_b0 * {m} + {_locate('_part', m - 1, v)} AS BIGINT) AS {name}")
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, name: str, bins: int | None = None) -> DataFrame:
-    """(keys, value, average rank) for each distinct value; copies share one rank."""
-    src = df.select(*keys, value).filter(F.col(value).isNotNull())
-    d = (with_value_bins(src, keys, value, bins or default_bins(df.sparkSession))
-         .groupBy(*keys, "_bin", value).agg(F.count("*").alias("_c")))
-    per_bin = d.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_s"))
-    upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    per_bin = per_bin.select(*keys, "_bin", F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_base"))
-    run = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return (d.withColumn("_cum", F.sum("_c").over(run)).join(per_bin, [*keys, "_bin"])
-            .select(*keys, value,
-                    (F.col("_base") + F.col("_cum") - (F.col("_c") - 1) / 2).alias(name)))
+def average_ranks(counts: DataFrame, keys: list[str], value: str, weight: str, name: str) -> DataFrame:
+    """(keys, value, average rank) from the number of rows of each distinct value; copies share one rank.
+
+    ``counts`` has a row a distinct value and should be stored. Groups with very
+    many values are cut in parts of even density, and a part's offset is the
+    running total of the parts before it.
+    """
+    d = density_chunks(counts.select(*keys, value, weight), keys, value, "_ck")
+    d = running_total(d, keys, [value], weight, "_ck", "_cum")
+    return d.select(*keys, value, (F.col("_cum") - (F.col(weight) - 1) / 2).alias(name))

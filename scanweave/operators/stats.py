@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scanweave.functions.exprs import clip
 from scanweave.operators.quantiles import average_ranks
-from scanweave.session import ship
+from scanweave.session import ship, stored
 
 # Cumulative Poisson(1) probabilities.
 POISSON1 = [sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) for i in range(9)]
@@ -60,14 +60,18 @@ def fit_position(points: DataFrame, keys: list[str], centre: tuple[Column, Colum
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, min_n: int = 2) -> DataFrame:
     """Rank correlation with average ranks over pairwise complete rows.
 
-    Equal (x, y) rows are folded to a count first, so heavy ties neither travel
-    nor gather; ranks come back by an equality join on the distinct values.
+    The rows are read once and folded to a count per (x, y), which is stored;
+    both columns are ranked together, as one long table of their distinct values.
     """
-    p = (df.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).filter("_x IS NOT NULL AND _y IS NOT NULL")
-         .groupBy(*keys, "_x", "_y").agg(F.count("*").alias("_w")))
-    raw = df.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).filter("_x IS NOT NULL AND _y IS NOT NULL")
-    p = p.join(average_ranks(raw, keys, "_x", "_rx"), [*keys, "_x"]).join(
-        average_ranks(raw, keys, "_y", "_ry"), [*keys, "_y"])
+    p = stored(df.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).filter("_x IS NOT NULL AND _y IS NOT NULL")
+               .groupBy(*keys, "_x", "_y").agg(F.count("*").alias("_w")))
+    long = p.select(*keys, "_w", F.inline(F.array(F.struct(F.lit(0).alias("_col"), F.col("_x").cast("double").alias("_val")),
+                                                  F.struct(F.lit(1).alias("_col"), F.col("_y").cast("double").alias("_val")))))
+    counts = stored(long.groupBy(*keys, "_col", "_val").agg(F.sum("_w").alias("_n")))
+    ranks = average_ranks(counts, [*keys, "_col"], "_val", "_n", "_r")
+    side = lambda c, v, r: ranks.filter(F.col("_col") == c).select(*keys, F.col("_val").alias(v), F.col("_r").alias(r))
+    p = p.withColumn("_x", F.col("_x").cast("double")).withColumn("_y", F.col("_y").cast("double"))
+    p = p.join(side(0, "_x", "_rx"), [*keys, "_x"]).join(side(1, "_y", "_ry"), [*keys, "_y"])
     W, X, Y = F.col("_w"), F.col("_rx"), F.col("_ry")
     g = p.groupBy(*keys).agg(F.sum("_w").alias("n"), F.sum(W * X).alias("sx"), F.sum(W * Y).alias("sy"),
                              F.sum(W * X * X).alias("sxx"), F.sum(W * Y * Y).alias("syy"), F.sum(W * X * Y).alias("sxy"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -46,7 +47,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     sc.setCheckpointDir(folder)
-    return folder
+    return sc.getCheckpointDir()
 
 
 _SHIPPED: set[str] = set()
@@ -70,9 +71,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def stored(df):
-    """The frame written once to the checkpoint folder and read back from there.
+    """The frame written once as Parquet into the checkpoint folder and read from there.
 
-    For an expensive intermediate that several later steps read.
+    For an intermediate that several later steps read, each only the columns it needs. Cuts the lineage, survives
+    lost executors, and its size is known to the joins after it. The files go when the session ends.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)

@@ -158,12 +158,51 @@ def test_quantiles_match_numpy(spark, n):
     assert quantiles.exact_quantiles(d, [], "v", {"m": 0.5}).first().m == pytest.approx(np.median(v))
 
 
-def test_average_ranks_match_pandas(spark):
-    v = np.random.default_rng(1).integers(0, 40, 500).astype(float)
-    d = spark.createDataFrame(pd.DataFrame({"k": 1, "v": v}))
-    got = dict(rows(quantiles.average_ranks(d, ["k"], "v", "r", 36).select("v", "r")))
+def test_quantiles_narrow_their_brackets(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "ACCURACY", 400)
+    monkeypatch.setattr(quantiles, "GRID", 40)
+    narrowed = []
+    one = quantiles._narrowed
+    monkeypatch.setattr(quantiles, "_narrowed", lambda *a: (narrowed.append(1), one(*a))[1])
+    d = spark.range(60_000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 7 == 0, 3.5).otherwise(
+        F.pmod(F.xxhash64("id"), F.lit(10**6)) / 7).alias("v"))
+    probs = {"a": 0.001, "b": 0.5, "c": 0.9999, "d": 1.0}
+    p = d.toPandas()
+    for keys, groups in ((["k"], [p[p.k == i].v for i in (0, 1)]), ([], [p.v])):
+        got = quantiles.exact_quantiles(d, keys, "v", probs, most=300).collect()
+        got = sorted(got, key=lambda r: r[0]) if keys else got
+        for r, g in zip(got, groups):
+            for name, q in probs.items():
+                assert r[name] == pytest.approx(np.percentile(g, 100 * q), abs=1e-9)
+    assert narrowed
+    assert quantiles.exact_quantiles(d.limit(0), ["k"], "v", probs).count() == 0
+    assert quantiles.exact_quantiles(d.limit(0), [], "v", {"m": 0.5}).collect()[0].m is None
+
+
+def test_quantiles_send_no_row_outside_the_brackets(spark):
+    d = spark.range(200_000).select((F.col("id") * 7919 % 200_000).cast("double").alias("v"))
+    plan = quantiles.exact_quantiles(d, [], "v", {"m": 0.5})
+    assert plan.first().m == 99_999.5
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in text and text.count("Range (") == 1  # one reading after the brackets, folded before it moves
+
+
+def test_a_missed_rank_is_an_error(spark, monkeypatch):
+    d = spark.range(30_000).select(F.col("id").cast("double").alias("v"))
+    whole = F.percentile_approx
+    monkeypatch.setattr(quantiles.F, "percentile_approx", lambda c, e, a: F.transform(whole(c, e, a), lambda x: x + 100.0))
+    with pytest.raises(Exception, match="outside its bracket"):
+        quantiles.exact_quantiles(d, [], "v", {"m": 0.5}).collect()
+
+
+def test_average_ranks_match_pandas(spark, monkeypatch):
+    v = np.random.default_rng(1).integers(0, 400, 5000).astype(float)
+    d = spark.createDataFrame(pd.DataFrame({"k": 1, "v": v})).groupBy("k", "v").count()
     want = pd.Series(v).rank()
-    assert all(got[x] == r for x, r in zip(v, want))
+    for least in (4096, 16):  # one part, many parts
+        monkeypatch.setattr(timeline, "LEAST_ROWS", least)
+        got = dict(rows(quantiles.average_ranks(d, ["k"], "v", "count", "r").select("v", "r")))
+        assert all(got[x] == r for x, r in zip(v, want))
 
 
 def test_spearman_with_ties_and_nulls(spark):
