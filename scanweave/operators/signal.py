@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scanweave.functions.exprs import clip, col, hash_unit, time_bucket
 from scanweave.operators.timeline import last_known, neighbours
+from scanweave.session import stored
 
 
 def grid_bounds(a: DataFrame, b: DataFrame, keys: list[str], us: str, step_s: float) -> DataFrame:
@@ -150,25 +151,117 @@ def peak(rho: DataFrame, keys: list[str], exclude: int) -> DataFrame:
         .otherwise((F.col("rho") - F.greatest("_o", F.lit(0.0))) / F.col("rho")).alias("prominence"))
 
 
+def _block_sums(segment: int, length: int, max_lag: int, keys: list[str], fields: list[str]):
+    """Starts and series of one segment -> per replicate the sums that blocks add by themselves, and the ends of
+    each block for the seams."""
+    lags = np.arange(-max_lag, max_lag + 1)
+
+    def run(starts: pd.DataFrame, series: pd.DataFrame) -> pd.DataFrame:
+        if not len(starts) or not len(series):
+            return pd.DataFrame(columns=fields)
+        base = int(starts["_seg"].iloc[0]) * segment
+        a, b = np.zeros(segment + length), np.zeros(segment + length)
+        at = series["k"].to_numpy() - base
+        a[at], b[at] = series["z_a"].to_numpy(), series["z_b"].to_numpy()
+        size = starts["_size"].to_numpy()
+        place = (starts["_s"].to_numpy() - base)[:, None] + np.arange(length)
+        real = np.arange(length) < size[:, None]
+        x, y = np.where(real, a[place], 0.0), np.where(real, b[place], 0.0)
+        cross = np.stack([(x[:, max(l, 0):length + min(l, 0)] * y[:, max(-l, 0):length - max(l, 0)]).sum(axis=1) for l in lags], axis=1)
+        # the first and the last entries of the whole replicate, for the means over shifted ranges
+        left = starts["_n"].to_numpy() - starts["_i"].to_numpy() * length  # entries from the block's start to the end
+        far = np.arange(length)[None, :] - left[:, None]
+        ends = []
+        for v in (x, y):
+            first = np.zeros((len(x), max_lag + 1))
+            own = starts["_i"].to_numpy() == 0
+            first[own, 1:] = np.cumsum(v[own, :max_lag], axis=1)
+            last = np.stack([np.where(far >= -l, v, 0.0).sum(axis=1) for l in range(max_lag + 1)], axis=1)
+            ends += [first, last]
+        sums = np.concatenate([size[:, None], x.sum(axis=1)[:, None], y.sum(axis=1)[:, None], (x * x).sum(axis=1)[:, None],
+                               (y * y).sum(axis=1)[:, None], cross, *ends], axis=1)
+        rep, where = np.unique(starts["rep"].to_numpy(), return_inverse=True)
+        total = np.zeros((len(rep), sums.shape[1]))
+        np.add.at(total, where, sums)
+        edge = np.concatenate([x[:, :max_lag], y[:, :max_lag], x[:, length - max_lag:], y[:, length - max_lag:]], axis=1)
+        out = pd.DataFrame({"rep": np.concatenate([rep, starts["rep"].to_numpy()]),
+                            "_i": np.concatenate([np.full(len(rep), -1), starts["_i"].to_numpy()]),
+                            "v": [*total, *edge]})
+        for k in keys:
+            out[k] = starts[k].iloc[0]
+        return out[fields]
+    return run
+
+
+def _seam_sums(max_lag: int, width: int, keys: list[str], fields: list[str]):
+    """Ends of neighbouring blocks of one replicate -> the lag products that reach from one block into the next."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["rep", "_i"])
+        rep, i, e = pdf["rep"].to_numpy(), pdf["_i"].to_numpy(), np.stack(pdf["v"].to_numpy())
+        pairs = np.flatnonzero((i[1:] == i[:-1] + 1) & (rep[1:] == rep[:-1]))
+        head_a, head_b = e[pairs + 1, :max_lag], e[pairs + 1, max_lag:2 * max_lag]
+        tail_a, tail_b = e[pairs, 2 * max_lag:3 * max_lag], e[pairs, 3 * max_lag:]
+        one = np.zeros((len(pairs), width))
+        for l in range(1, max_lag + 1):
+            one[:, 5 + max_lag + l] = (head_a[:, :l] * tail_b[:, max_lag - l:]).sum(axis=1)
+            one[:, 5 + max_lag - l] = (tail_a[:, max_lag - l:] * head_b[:, :l]).sum(axis=1)
+        reps, where = np.unique(rep[pairs], return_inverse=True)
+        total = np.zeros((len(reps), width))
+        np.add.at(total, where, one)
+        out = pd.DataFrame({"rep": reps, "_i": np.full(len(reps), -1), "v": list(total)})
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[fields]
+    return run
+
+
 def block_bootstrap(sig: DataFrame, keys: list[str], reps: int, length: int, max_lag: int,
-                    exclude: int, seed: str, block: int = 4096) -> DataFrame:
+                    exclude: int, seed: str, segment: int = 8192, seams: int = 512, reps_each: int = 16) -> DataFrame:
     """One lag estimate per replicate of moving-block resampling.
 
-    Block starts come from a hash of (seed, key, replicate, block number). Every
-    replicate is just another key of the cross-correlation, so no task ever
-    holds a whole series.
+    Block starts come from a hash of (seed, key, replicate, block number), and a
+    replicate is z-scored anew. Its correlation needs sums only: those that a
+    block adds by itself, and the products across a seam, which the ``max_lag``
+    entries at both ends of neighbouring blocks decide. So the series moves once,
+    in segments with a halo of one block, whatever the number of replicates;
+    replicates move as starts and block ends, not as resampled series. A task
+    sees one segment, or ``seams`` blocks of ``reps_each`` replicates. ``max_lag`` is at most ``length``.
     """
-    n = sig.groupBy(*keys).agg((F.max("k") + 1).alias("_n")).filter(F.col("_n") > length)
+    if max_lag > length:
+        raise ValueError("a lag may reach into the next block only")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in sig.select(*keys).schema]
+    fields, kind = [*keys, "rep", "_i", "v"], ", ".join([*kinds, "rep int", "_i int", "v array<double>"])
+    n = sig.groupBy(*keys).agg((F.max("k") + 1).cast("long").alias("_n")).filter(F.col("_n") > length)
     starts = (n.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
               .withColumn("_i", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_n") / length) - 1).cast("int"))))
-              .withColumn("_s", F.floor(hash_unit(seed, *keys, "rep", "_i") * (F.col("_n") - length + 1))))
-    places = (starts.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
-              .select(*keys, "rep", (F.col("_s") + F.col("_j")).alias("k"),
-                      (F.col("_i") * length + F.col("_j")).cast("long").alias("_p"), "_n")
-              .filter("_p < _n"))
-    drawn = places.join(sig.select(*keys, "k", "z_a", "z_b"), [*keys, "k"]).drop("k", "_n")
-    drawn = zscore(drawn.withColumnRenamed("_p", "k"), [*keys, "rep"], ["z_a", "z_b"])
-    return peak(cross_correlation(drawn, [*keys, "rep"], max_lag, block), [*keys, "rep"], exclude)
+              .withColumn("_s", F.floor(hash_unit(seed, *keys, "rep", "_i") * (F.col("_n") - length + 1)))
+              .withColumn("_size", F.least(F.lit(length), F.col("_n") - F.col("_i") * length).cast("int"))
+              .withColumn("_seg", F.floor(F.col("_s") / segment)))
+    series = sig.select(*keys, "k", "z_a", "z_b", F.explode(F.sequence(
+        F.greatest(F.floor((F.col("k") - length + 1) / segment), F.lit(0)), F.floor(F.col("k") / segment))).alias("_seg"))
+    parts = stored(starts.groupBy(*keys, "_seg").cogroup(series.groupBy(*keys, "_seg"))
+                   .applyInPandas(_block_sums(segment, length, max_lag, keys, fields), kind))
+    width = 5 + (2 * max_lag + 1) + 4 * (max_lag + 1)
+    # block i meets i - 1 and i + 1: the first of a group of seams is in the group before too
+    group = F.array_distinct(F.array(F.floor(F.col("_i") / seams), F.floor(F.greatest(F.col("_i") - 1, F.lit(0)) / seams)))
+    ends = parts.filter("_i >= 0").select("*", F.explode(group).alias("_g"))
+    ends = ends.withColumn("_h", F.floor(F.col("rep") / reps_each))
+    across = ends.groupBy(*keys, "_h", "_g").applyInPandas(_seam_sums(max_lag, width, keys, fields), kind)
+    every = parts.filter("_i < 0").unionByName(across).select(*keys, "rep", F.posexplode("v").alias("p", "x"))
+    sums = (every.groupBy(*keys, "rep", "p").agg(F.sum("x").alias("x")).groupBy(*keys, "rep")
+            .agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("v")))
+    d = sums.withColumn("lag", F.explode(F.sequence(F.lit(-max_lag).cast("long"), F.lit(max_lag).cast("long"))))
+    v, far = F.col("v"), F.abs("lag").cast("int")
+    at = lambda offset, i: F.get(v, offset + i)
+    firsts = 5 + 2 * max_lag + 1
+    fa, la, fb, lb = (at(firsts + j * (max_lag + 1), far) for j in range(4))
+    up = F.col("lag") >= 0
+    sum_a, sum_b = v[1] - F.when(up, fa).otherwise(la), v[2] - F.when(up, lb).otherwise(fb)
+    ma, mb, size = v[1] / v[0], v[2] / v[0], v[0]
+    sd = F.sqrt(F.greatest(v[3] / size - ma * ma, F.lit(0.0))) * F.sqrt(F.greatest(v[4] / size - mb * mb, F.lit(0.0)))
+    product = at(5 + max_lag, F.col("lag").cast("int")) - ma * sum_b - mb * sum_a + (size - far) * ma * mb
+    rho = d.filter(far <= size - 1).select(*keys, "rep", "lag", F.when(sd > 0, product / size / sd).otherwise(0.0).alias("rho"))
+    return peak(rho, [*keys, "rep"], exclude)
 
 
 def pooled(df: DataFrame, keys: list[str], tau: str, sigma: str) -> DataFrame:

@@ -222,42 +222,74 @@ def roc_sweep(df: DataFrame, score: str, truth: str, thresholds: list[float]) ->
                     (F.col("tp") / F.col("pos") - F.col("fp") / F.col("neg")).alias("j"))
 
 
-def mixture_em(hist: DataFrame, value: str, count: str, q25: float, q75: float, sd: float,
-               max_iter: int = 200, tol: float = 1e-6, most_bins: int = 100_000) -> dict:
-    """Two-component normal mixture over a value histogram of at most ``most_bins`` rows.
+# Fixed values of the mixture fit: steps at most, least gain in log likelihood, least spread.
+EM_STEPS, EM_GAIN, EM_SPREAD = 200, 1e-6, 0.5
 
-    The data have been folded to the histogram by Spark; its few rows are fitted
-    on the driver, which saves a job for each step. Starts at the quartiles with
-    half the spread (at least 1); spreads stay at or above 0.5 (fixed values).
+
+def mixture_em(hist: DataFrame, value: str, count: str) -> DataFrame:
+    """One row with the two-component normal mixture of a value histogram: mu, sd and pi of the low (0) and the high
+    (1) component, log_lik and steps.
+
+    The histogram, one row a bin, is packed into one array; the steps are a fold
+    over their numbers, and each a fold over the bins that adds up what belongs
+    to the high component: its share, mean and square. The low one has the rest.
+    Starts at the quartiles, with half the overall spread (at least 1) and even
+    shares. Once a step gains less than EM_GAIN the state stays as it is.
     """
-    rows = hist.select(F.col(value).cast("double"), F.col(count).cast("double")).orderBy(value).limit(most_bins + 1).collect()
-    if len(rows) > most_bins:
-        raise ValueError("fold the histogram to fewer bins")
-    x, c = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-    mean, spread, share = np.array([q25, q75]), np.full(2, max(sd / 2, 1.0)), np.full(2, 0.5)
-    likelihood = -math.inf
-    for step in range(1, max_iter + 1):
-        joint = share * np.exp(-((x[:, None] - mean) / spread) ** 2 / 2) / (math.sqrt(2 * math.pi) * spread)
-        total = np.maximum(joint.sum(axis=1), 1e-300)
-        held = c[:, None] * joint / total[:, None]
-        mass = np.maximum(held.sum(axis=0), 1e-12)
-        mean = (held * x[:, None]).sum(axis=0) / mass
-        spread = np.maximum(np.sqrt(np.maximum((held * x[:, None] ** 2).sum(axis=0) / mass - mean ** 2, 0)), 0.5)
-        share, before, likelihood = mass / mass.sum(), likelihood, float((c * np.log(total)).sum())
-        if abs(likelihood - before) < tol:
-            break
-    low, high = np.argsort(mean, kind="stable")
-    return {"mu0": float(mean[low]), "mu1": float(mean[high]), "sd0": float(spread[low]), "sd1": float(spread[high]),
-            "pi0": float(share[low]), "pi1": float(share[high]), "log_lik": likelihood, "iterations": step}
-
-
-def mixture_crossover(spark, fit: dict, lo: float = 0.0, hi: float = 100.0, n: int = 10001) -> DataFrame:
-    """Grid point where the low component's posterior is closest to one half."""
-    x = F.lit(lo) + F.col("id") * ((hi - lo) / (n - 1))
-    d = [F.lit(fit[f"pi{i}"]) * F.exp(-0.5 * ((x - fit[f"mu{i}"]) / fit[f"sd{i}"]) ** 2) / fit[f"sd{i}"] for i in (0, 1)]
-    post = d[0] / F.greatest(d[0] + d[1], F.lit(1e-300))
-    return spark.range(n).select(x.alias("x"), F.abs(post - 0.5).alias("gap"), "id").agg(
-        F.min_by("x", F.struct("gap", "id")).alias("threshold"))
+    c, x = F.col(count).cast("double"), F.col(value).cast("double")
+    packed = hist.agg(F.array_sort(F.collect_list(F.struct(x.alias("x"), c.alias("c")))).alias("bins"), F.sum(c).alias("n"),
+                      F.sum(c * x).alias("sx"), F.sum(c * x * x).alias("sxx"),
+                      F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)), F.col(count)).alias("q"))
+    spread = F.greatest(F.sqrt(F.greatest(F.col("sxx") / F.col("n") - (F.col("sx") / F.col("n")) ** 2, F.lit(0.0))) / 2, F.lit(1.0))
+    zero = F.lit(0.0)
+    start = F.struct(F.col("q")[0].alias("mu0"), F.col("q")[1].alias("mu1"), spread.alias("sd0"), spread.alias("sd1"), F.lit(0.5).alias("pi1"),
+                     F.lit(float("-inf")).alias("log_lik"), F.lit(0).alias("steps"), F.lit(False).alias("settled"))
+
+    def bell(x, mu, sd):
+        return F.exp(-(((x - mu) / sd) ** 2) / 2) / (sd * math.sqrt(2 * math.pi))
+
+    def belongs(s):
+        """Count, sum and sum of squares of the high component, and the log likelihood, under state ``s``."""
+        def add(t, b):
+            low, high = (1 - s["pi1"]) * bell(b["x"], s["mu0"], s["sd0"]), s["pi1"] * bell(b["x"], s["mu1"], s["sd1"])
+            both = F.greatest(low + high, F.lit(1e-300))
+            part = b["c"] * high / both
+            rest = b["c"] * low / both
+            return F.struct((t["n1"] + part).alias("n1"), (t["x1"] + part * b["x"]).alias("x1"), (t["q1"] + part * b["x"] * b["x"]).alias("q1"),
+                            (t["n0"] + rest).alias("n0"), (t["x0"] + rest * b["x"]).alias("x0"), (t["q0"] + rest * b["x"] * b["x"]).alias("q0"),
+                            (t["ll"] + b["c"] * F.log(both)).alias("ll"))
+        return F.aggregate("bins", F.struct(*[zero.alias(k) for k in ("n1", "x1", "q1", "n0", "x0", "q0", "ll")]), add)
+
+    def renewed(s, t):
+        def moments(k):
+            mean = t[f"x{k}"] / F.greatest(t[f"n{k}"], F.lit(1e-12))
+            var = t[f"q{k}"] / F.greatest(t[f"n{k}"], F.lit(1e-12)) - mean * mean
+            return mean.alias(f"mu{k}"), F.greatest(F.sqrt(F.greatest(var, zero)), F.lit(EM_SPREAD)).alias(f"sd{k}")
+        (m0, s0), (m1, s1) = moments(0), moments(1)
+        return F.struct(m0, m1, s0, s1, (t["n1"] / (t["n0"] + t["n1"])).alias("pi1"), t["ll"].alias("log_lik"), (s["steps"] + 1).alias("steps"),
+                        (F.abs(t["ll"] - s["log_lik"]) < EM_GAIN).alias("settled"))
+
+    def step(s, _):
+        # one evaluation of the sums, whatever number of fields is made of them
+        return F.when(s["settled"], s).otherwise(F.transform(F.array(belongs(s)), lambda t: renewed(s, t))[0])
+
+    fit = packed.where("n > 0").select(F.aggregate(F.sequence(F.lit(1), F.lit(EM_STEPS)), start, step).alias("f"))
+    turned = F.col("f.mu1") < F.col("f.mu0")
+    pick = lambda a, b: F.when(turned, b).otherwise(a)
+    return fit.select(pick(F.col("f.mu0"), F.col("f.mu1")).alias("mu0"), pick(F.col("f.mu1"), F.col("f.mu0")).alias("mu1"),
+                      pick(F.col("f.sd0"), F.col("f.sd1")).alias("sd0"), pick(F.col("f.sd1"), F.col("f.sd0")).alias("sd1"),
+                      pick(1 - F.col("f.pi1"), F.col("f.pi1")).alias("pi0"), pick(F.col("f.pi1"), 1 - F.col("f.pi1")).alias("pi1"),
+                      F.col("f.log_lik").alias("log_lik"), F.col("f.steps").alias("steps"))
+
+
+def mixture_crossover(fit: DataFrame, lo: float = 0.0, hi: float = 100.0, n: int = 10001) -> DataFrame:
+    """``fit`` with the grid point at which a value belongs to either component most evenly, the first of equals."""
+    x = F.lit(lo) + F.col("_i") * ((hi - lo) / (n - 1))
+    bell = lambda k: F.col(f"pi{k}") * F.exp(-(((x - F.col(f"mu{k}")) / F.col(f"sd{k}")) ** 2) / 2) / F.col(f"sd{k}")
+    gap = F.abs(bell(0) / F.greatest(bell(0) + bell(1), F.lit(1e-300)) - 0.5)
+    grid = fit.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_i"))
+    best = F.min_by(x, F.struct(gap, F.col("_i"))).alias("threshold")
+    return grid.groupBy(*fit.columns).agg(best)
 
 
 def choose_threshold(saddle: Column, mixture: Column, roc: Column, j: Column, j_floor: float,

@@ -237,7 +237,7 @@ def w18(spark, sf):
 
 BOOT = GRID + """,
 bn AS (SELECT session_id, max(k) + 1 AS n FROM sig GROUP BY 1 HAVING max(k) + 1 > 48),
-br AS (SELECT session_id, n, unnest(range(1, 21)) AS rep FROM bn),
+br AS (SELECT session_id, n, unnest(range(1, 501)) AS rep FROM bn),
 bi AS (SELECT *, unnest(range(0, CAST(ceil(n/48) AS BIGINT))) AS i FROM br),
 bs AS (SELECT *, CAST(floor(CAST(('0x' || substr(md5(concat_ws('|', 'blocks', session_id, rep, i)), 1, 8)) AS UBIGINT)/4294967296.0*(n - 48 + 1)) AS BIGINT) AS s FROM bi),
 bp AS (SELECT session_id, rep, s + j AS sk, i*48 + j AS k FROM (SELECT *, unnest(range(0, 48)) AS j FROM bs) WHERE i*48 + j < n),
@@ -249,18 +249,27 @@ bd2 AS (SELECT session_id, rep, k, (z_a - avg(z_a) OVER p)/stddev_pop(z_a) OVER
 
 
 @query("a32_moving_block_bootstrap", f"""
-WITH {BOOT}, pt AS (SELECT session_id, median(tau) AS t0 FROM peaks GROUP BY 1)
-SELECT session_id, count(*) AS n_reps, round(stddev_samp(tau), 6) AS sigma, round(quantile_cont(tau, 0.025), 6) AS ci_lo,
+WITH {BOOT}, {rho_sql("sig", "session_id", 24, "z")}, {peak_sql("session_id", 4, "z")}, tau AS (SELECT b.session_id, b.tau, z.tau AS t0 FROM peaks b JOIN zpeaks z USING (session_id))
+SELECT session_id, count(*) AS n_reps, round(max(t0), 6) AS tau_point, round(stddev_samp(tau), 6) AS sigma, round(quantile_cont(tau, 0.025), 6) AS ci_lo,
   round(quantile_cont(tau, 0.975), 6) AS ci_hi, round(sqrt(avg((tau - t0)*(tau - t0))), 6) AS rmse_about_point,
-  round(avg(CASE WHEN abs(tau - t0) <= 2 THEN 1.0 ELSE 0.0 END), 6) AS modal_fraction FROM peaks JOIN pt USING (session_id) GROUP BY 1""")
+  round(avg(CASE WHEN abs(tau - t0) <= 2 THEN 1.0 ELSE 0.0 END), 6) AS modal_fraction, round(stddev_samp(tau) FILTER (abs(tau - t0) <= 2), 6) AS modal_sigma,
+  round(quantile_cont(tau, 0.025) FILTER (abs(tau - t0) <= 2), 6) AS modal_lo, round(quantile_cont(tau, 0.975) FILTER (abs(tau - t0) <= 2), 6) AS modal_hi
+FROM tau GROUP BY 1""")
 def a32(spark, sf):
-    b = stored(block_bootstrap(pair(spark, sf), ["session_id"], 20, 48, 24, 4, "blocks", 512).select("session_id", "rep", "tau"))
-    q = exact_quantiles(b, ["session_id"], "tau", {"ci_lo": 0.025, "t0": 0.5, "ci_hi": 0.975})
+    d = pair(spark, sf)
+    point = peak(cross_correlation(d, ["session_id"], 24, 256), ["session_id"], 4).select("session_id", F.col("tau").alias("t0"))
+    b = block_bootstrap(d, ["session_id"], 500, 48, 24, 4, "blocks").select("session_id", "rep", "tau").join(point, "session_id")
     dev = F.col("tau") - F.col("t0")
-    return b.join(q, "session_id").groupBy("session_id").agg(
-        F.count("*").alias("n_reps"), rnd(F.stddev_samp("tau")).alias("sigma"), rnd(F.first("ci_lo")).alias("ci_lo"),
-        rnd(F.first("ci_hi")).alias("ci_hi"), rnd(F.sqrt(F.avg(dev * dev))).alias("rmse_about_point"),
-        rnd(F.avg((F.abs(dev) <= 2).cast("double"))).alias("modal_fraction"))
+    b = stored(b.withColumn("dev", dev).withColumn("near", F.when(F.abs(dev) <= 2, F.col("tau"))))
+    q = exact_quantiles(b, ["session_id"], "tau", {"ci_lo": 0.025, "ci_hi": 0.975})
+    m = exact_quantiles(b, ["session_id"], "near", {"modal_lo": 0.025, "modal_hi": 0.975})
+    s = b.groupBy("session_id").agg(
+        F.count("*").alias("n_reps"), rnd(F.max("t0")).alias("tau_point"), rnd(F.stddev_samp("tau")).alias("sigma"),
+        rnd(F.sqrt(F.avg(F.col("dev") * F.col("dev")))).alias("rmse_about_point"),
+        rnd(F.count("near") / F.count("*")).alias("modal_fraction"), rnd(F.stddev_samp("near")).alias("modal_sigma"))
+    both = s.join(q, "session_id").join(m, "session_id", "left")
+    return both.select("session_id", "n_reps", "tau_point", "sigma", rnd("ci_lo").alias("ci_lo"), rnd("ci_hi").alias("ci_hi"), "rmse_about_point",
+                       "modal_fraction", "modal_sigma", rnd("modal_lo").alias("modal_lo"), rnd("modal_hi").alias("modal_hi"))
 
 
 RUNS = TEL + """,

@@ -174,31 +174,43 @@ def j16(spark, sf):
         "config", "fold", rnd("in_view").alias("in_view_rmse"), rnd("overall").alias("overall_rmse"))
 
 
+# Which gain stands for which configuration: fold, stratum, and the pair of variants it is the difference of.
+GAINS = {"locked": ("s1", "overall", "real"), "h1": ("s0", "in_view", "real"), "h2": ("s1", "in_view", "real"), "h3": ("s2", "in_view", "real"),
+         "h1_randval": ("s0", "in_view", "placebo"), "h2_randval": ("s1", "in_view", "placebo"), "second_default": ("s2", "overall", "real"),
+         "second_h1": ("s0", "overall", "real"), "buffer": ("s2", "in_view", "placebo")}
+
+
 @query("m13_verdict_rules", f"""
 WITH {TEL}, {METRICS}, d AS (SELECT fold, stratum, max(rmse) FILTER (variant = 'noscan') - max(rmse) FILTER (variant = 'full') AS real,
   max(rmse) FILTER (variant = 'base') - max(rmse) FILTER (variant = 'nogeo') AS placebo FROM met GROUP BY 1, 2),
-r AS (SELECT count(*) FILTER (stratum = 'in_view' AND real >= 0.5) AS passes, count(*) FILTER (stratum = 'in_view' AND real >= 1) AS clearing,
-  count(*) FILTER (stratum = 'overall' AND real > 0) AS pos, count(*) FILTER (stratum = 'overall' AND real < 0) AS neg,
-  max(real) FILTER (stratum = 'in_view' AND fold = 's1') AS r1, max(placebo) FILTER (stratum = 'in_view' AND fold = 's1') AS p1 FROM d),
-v AS (SELECT *, CASE WHEN passes >= 2 THEN 'GREEN' WHEN 3 - passes >= 2 THEN 'RED' ELSE 'YELLOW' END AS settings,
-  CASE WHEN r1 - p1 >= 0.5 THEN 'REAL_SIGNAL' WHEN p1 >= 0.5 THEN 'MARGINAL_DISTRIBUTION' ELSE 'NOT_SIGNAL' END AS control,
-  CASE WHEN clearing >= 2 THEN 'HELPS' WHEN clearing = 0 THEN 'NULL' ELSE 'MIXED' END AS within FROM r)
-SELECT passes, clearing, pos, neg, settings, control, within, CASE CAST(settings = 'GREEN' AS INT) + CAST(control = 'REAL_SIGNAL' AS INT) + CAST(within = 'HELPS' AS INT)
-  WHEN 3 THEN 'ROBUST' WHEN 0 THEN 'ILLUSORY' ELSE 'PARTIAL' END AS combined FROM v""")
+g AS (SELECT {", ".join(f"max({kind}) FILTER (fold = '{f}' AND stratum = '{s}') AS {name}" for name, (f, s, kind) in GAINS.items())},
+  count(*) FILTER (stratum = 'in_view' AND real >= 1.0) AS clearing, count(*) FILTER (stratum = 'overall' AND real > 0) AS n_up,
+  count(*) FILTER (stratum = 'overall' AND real < 0) AS n_down FROM d),
+v AS (SELECT *, CASE (SELECT count(*) FROM (VALUES (h1), (h2), (h3)) t(x) WHERE x >= 0.5) WHEN 3 THEN 'GREEN' WHEN 2 THEN 'GREEN' ELSE 'RED' END AS settings,
+  CASE WHEN h2 >= h2_randval + 0.5 THEN 'REAL_SIGNAL' WHEN h2_randval >= 0.5 THEN 'MARGINAL_DISTRIBUTION_DRIVEN' ELSE 'NOT_SIGNAL' END AS control,
+  CASE WHEN greatest(second_default, second_h1) >= 0.5 THEN 'FRAMEWORK_ROBUST' WHEN greatest(second_default, second_h1) < 0 THEN 'FRAMEWORK_FRAGILE' ELSE 'FRAMEWORK_PARTIAL' END AS framework,
+  CASE WHEN greatest(locked, h1, h2, h3) > 1 THEN 'RECOVERABLE_HYPERPARAMS' WHEN greatest(abs(h1_randval - h1), abs(h2_randval - h2)) > 0.5 AND greatest(h1_randval, h2_randval) > 1
+    THEN 'RECOVERABLE_VALIDATION_PROTOCOL' ELSE 'PIVOT_JUSTIFIED' END AS protocol,
+  CASE WHEN clearing >= 3 THEN 'WITHIN-SESSION-HELPS' WHEN clearing = 0 THEN 'WITHIN-SESSION-NULL' ELSE 'MIXED' END AS within,
+  CASE WHEN buffer >= 0.5 AND h1 >= 0.5 THEN 'R-4 IS A ROBUST EXEMPLAR' WHEN buffer >= 0.5 OR h1 >= 0.5 THEN 'R-4 IS PARTIALLY ROBUST' ELSE 'R-4 IS ILLUSORY' END AS exemplar FROM g)
+SELECT clearing, n_up, n_down, settings, control, framework, protocol, within, exemplar,
+  CASE WHEN settings = 'GREEN' AND control = 'REAL_SIGNAL' AND framework = 'FRAMEWORK_ROBUST' THEN 'ROBUST_POSITIVE'
+    WHEN settings = 'GREEN' OR control = 'REAL_SIGNAL' OR framework = 'FRAMEWORK_ROBUST' THEN 'PARTIALLY_ROBUST' ELSE 'ILLUSORY' END AS combined FROM v""")
 def m13(spark, sf):
     w = metrics(spark, sf).groupBy("fold", "stratum").pivot("variant", list(VARIANTS)).agg(F.max("rmse"))
-    w = w.withColumn("real", F.col("noscan") - F.col("full")).withColumn("placebo", F.col("base") - F.col("nogeo"))
-    inv, ov = F.col("stratum") == "in_view", F.col("stratum") == "overall"
-    s1 = inv & (F.col("fold") == "s1")
-    r = w.agg(F.count_if(inv & (F.col("real") >= 0.5)).alias("passes"), F.count_if(inv & (F.col("real") >= 1)).alias("clearing"),
-              F.count_if(ov & (F.col("real") > 0)).alias("pos"), F.count_if(ov & (F.col("real") < 0)).alias("neg"),
-              F.max(F.when(s1, F.col("real"))).alias("r1"), F.max(F.when(s1, F.col("placebo"))).alias("p1"))
-    r = (r.withColumn("settings", F.when(F.col("passes") >= 2, "GREEN").when(3 - F.col("passes") >= 2, "RED").otherwise("YELLOW"))
-         .withColumn("control", F.when(F.col("r1") - F.col("p1") >= 0.5, "REAL_SIGNAL").when(F.col("p1") >= 0.5, "MARGINAL_DISTRIBUTION").otherwise("NOT_SIGNAL"))
-         .withColumn("within", F.when(F.col("clearing") >= 2, "HELPS").when(F.col("clearing") == 0, "NULL").otherwise("MIXED")))
-    n = sum(c.cast("int") for c in (F.col("settings") == "GREEN", F.col("control") == "REAL_SIGNAL", F.col("within") == "HELPS"))
-    return r.select("passes", "clearing", "pos", "neg", "settings", "control", "within",
-                    rules.count_verdict(n, 3, ("ROBUST", "PARTIAL", "ILLUSORY")).alias("combined"))
+    w = w.select("fold", "stratum", (F.col("noscan") - F.col("full")).alias("real"), (F.col("base") - F.col("nogeo")).alias("placebo"))
+    over = F.col("stratum") == "overall"
+    g = w.agg(*[F.max(F.when((F.col("fold") == f) & (F.col("stratum") == s), F.col(kind))).alias(name) for name, (f, s, kind) in GAINS.items()],
+              F.count_if(~over & (F.col("stratum") == "in_view") & (F.col("real") >= rules.CLEARS_DB)).alias("clearing"),
+              F.count_if(over & (F.col("real") > 0)).alias("n_up"), F.count_if(over & (F.col("real") < 0)).alias("n_down"))
+    of = lambda *names: [F.col(n) for n in names]
+    v = g.select("*", rules.settings_verdict(of("h1", "h2", "h3")).alias("settings"), rules.control_verdict(*of("h2", "h2_randval")).alias("control"),
+                 rules.framework_verdict(of("second_default", "second_h1")).alias("framework"),
+                 rules.pivot_verdict(of("locked", "h1", "h2", "h3"), of("h1_randval", "h2_randval"), of("h1", "h2")).alias("protocol"),
+                 rules.within_verdict(F.col("clearing")).alias("within"), rules.exemplar_verdict(of("buffer", "h1")).alias("exemplar"))
+    n = sum((F.col(c) == best).cast("int") for c, best in (("settings", rules.SETTINGS[0]), ("control", rules.CONTROL[0]), ("framework", rules.FRAMEWORK[0])))
+    return v.select("clearing", "n_up", "n_down", "settings", "control", "framework", "protocol", "within", "exemplar",
+                    rules.count_verdict(n, 3, rules.COMBINED).alias("combined"))
 
 
 @query("o07_choose_fold_near_median", f"""

@@ -323,11 +323,7 @@ def a23y(spark, sf):
 
 
 def mixture(spark, sf):
-    h = stored(value_histogram(shaped(spark, sf), "cv", 0, 100).filter("c > 0"))
-    m = h.agg(F.percentile("bin", F.array(F.lit(0.25), F.lit(0.75)), F.col("c")).alias("q"),
-              (F.sum(F.col("bin") * F.col("c")) / F.sum("c")).alias("mean"),
-              (F.sum(F.col("bin") * F.col("bin") * F.col("c")) / F.sum("c")).alias("sq")).first()
-    return mixture_em(h, "bin", "c", float(m.q[0]), float(m.q[1]), (m.sq - m.mean ** 2) ** 0.5)
+    return mixture_em(value_histogram(shaped(spark, sf), "cv", 0, 100).filter("c > 0"), "bin", "c")
 
 
 EM = """
@@ -349,11 +345,10 @@ gp AS (SELECT x, i, abs(a/greatest(a+b, 1e-300) - 0.5) AS gap FROM (SELECT x, i,
 SELECT (SELECT round(x, 3)::DOUBLE FROM gp ORDER BY gap, i LIMIT 1) AS threshold, round(lo, 4) AS mu0, round(hi, 4) AS mu1, round(slo, 4) AS sd0, round(shi, 4) AS sd1, round(plo, 5) AS pi0, round(phi, 5) AS pi1,
   round(least(slo, shi)/greatest(hi - lo, 1e-9), 5) AS overlap_ratio FROM o""")
 def a25(spark, sf):
-    fit = mixture(spark, sf)
-    t = mixture_crossover(spark, fit)
-    lit = lambda v, d: rnd(F.lit(float(v)), d)
-    return t.select(rnd("threshold", 3).alias("threshold"), *[lit(fit[k], 5 if k.startswith("pi") else 4).alias(k) for k in ("mu0", "mu1", "sd0", "sd1", "pi0", "pi1")],
-                    lit(min(fit["sd0"], fit["sd1"]) / max(abs(fit["mu1"] - fit["mu0"]), 1e-9), 5).alias("overlap_ratio"))
+    f = mixture_crossover(mixture(spark, sf))
+    overlap = F.least("sd0", "sd1") / F.greatest(F.col("mu1") - F.col("mu0"), F.lit(1e-9))
+    return f.select(rnd("threshold", 3).alias("threshold"), *[rnd(k, 5 if k.startswith("pi") else 4).alias(k) for k in ("mu0", "mu1", "sd0", "sd1", "pi0", "pi1")],
+                    rnd(overlap, 5).alias("overlap_ratio"))
 
 
 @query("a26_threshold_decision", f"""

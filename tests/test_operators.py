@@ -392,13 +392,33 @@ def test_rules(spark):
     assert got == ["complementary", "scan_removable", "geometry_removable", "unclear", "incomplete"]
 
 
+def test_verdict_rules(spark):
+    def one(verdict, *values):
+        row = spark.createDataFrame([values], ", ".join(f"c{i} double" for i in range(len(values))))
+        return row.select(verdict(*[F.col(c) for c in row.columns])).first()[0]
+    settings = lambda *g: rules.settings_verdict(list(g))
+    assert [one(settings, *v) for v in ((0.5, 0.5, -1.0), (0.4, 0.5, 1.0), (0.4, 0.5, None))] == ["GREEN", "GREEN", "RED"]
+    assert [one(rules.control_verdict, *v) for v in ((1.0, 0.5), (1.0, 0.7), (0.1, 0.1))] == ["REAL_SIGNAL", "MARGINAL_DISTRIBUTION_DRIVEN", "NOT_SIGNAL"]
+    framework = lambda *g: rules.framework_verdict(list(g))
+    assert [one(framework, *v) for v in ((0.5, -1.0), (-0.1, -0.2), (0.1, -0.2), (-0.1, None))] == [
+        "FRAMEWORK_ROBUST", "FRAMEWORK_FRAGILE", "FRAMEWORK_PARTIAL", "FRAMEWORK_PARTIAL"]
+    pivot = lambda *g: rules.pivot_verdict(list(g[:3]), list(g[3:]), list(g[1:3]))
+    assert [one(pivot, *v) for v in ((0.0, 1.1, 0.0, 0.0, 0.0), (0.0, 0.6, 0.0, 1.2, 0.0), (0.0, 0.8, 0.0, 1.2, 0.0), (1.0, 1.0, 1.0, 0.4, 0.2))] == [
+        "RECOVERABLE_HYPERPARAMS", "RECOVERABLE_VALIDATION_PROTOCOL", "PIVOT_JUSTIFIED", "PIVOT_JUSTIFIED"]
+    assert [one(rules.within_verdict, float(n)) for n in (0, 1, 2, 3, 5)] == ["WITHIN-SESSION-NULL", "MIXED", "MIXED", "WITHIN-SESSION-HELPS", "WITHIN-SESSION-HELPS"]
+    exemplar = lambda *g: rules.exemplar_verdict(list(g))
+    assert [one(exemplar, *v) for v in ((0.5, 0.5), (0.4, 0.5), (0.1, None))] == ["R-4 IS A ROBUST EXEMPLAR", "R-4 IS PARTIALLY ROBUST", "R-4 IS ILLUSORY"]
+
+
 def test_mixture_finds_two_modes(spark):
     rng = np.random.default_rng(0)
     v = np.round(np.r_[rng.normal(20, 4, 3000), rng.normal(80, 6, 5000)]).clip(0, 100)
     h = stats.value_histogram(spark.createDataFrame(pd.DataFrame({"v": v})), "v", 0, 100).filter("c > 0").cache()
-    fit = stats.mixture_em(h, "bin", "c", float(np.percentile(v, 25)), float(np.percentile(v, 75)), float(v.std()), 80)
-    assert fit["mu0"] == pytest.approx(20, abs=1) and fit["mu1"] == pytest.approx(80, abs=1)
-    assert 30 < stats.mixture_crossover(spark, fit).first().threshold < 60
+    fit = stats.mixture_crossover(stats.mixture_em(h, "v" if "v" in h.columns else "bin", "c")).first()
+    assert fit.mu0 == pytest.approx(20, abs=1) and fit.mu1 == pytest.approx(80, abs=1) and fit.steps < 200
+    assert fit.sd0 == pytest.approx(4, abs=0.5) and fit.pi0 == pytest.approx(3 / 8, abs=0.02) and fit.pi0 + fit.pi1 == pytest.approx(1)
+    assert 30 < fit.threshold < 60
+    assert stats.mixture_em(h.limit(0), "bin", "c").count() == 0
     s = stats.histogram_saddle(stats.value_histogram(spark.createDataFrame(pd.DataFrame({"v": v})), "v", 0, 100), 0, 100).first()
     assert 25 < s.saddle < 70
 
