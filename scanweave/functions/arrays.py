@@ -52,6 +52,71 @@ class Beams:
         cuts = [-(-s * self.active // n) for s in range(n + 1)]
         return [F.slice(d, a + 1, b - a) for a, b in zip(cuts, cuts[1:])]
 
+    def sector_slots(self, bounds: list[tuple[float, float]]) -> list[tuple[int, int]]:
+        """First and last slot of each sector lo <= angle < hi; the last sector has its upper bound too. A sector
+        without a slot is (0, -1)."""
+        out = []
+        for i, (lo, hi) in enumerate(bounds):
+            end = hi + 1e-6 if i == len(bounds) - 1 else hi - 1e-9
+            hit = [k for k in range(self.active) if lo - 1e-9 <= self.start + self.step * k <= end]
+            out.append((hit[0], hit[-1]) if hit else (0, -1))
+        return out
+
+    def near_slots(self, centre_deg: Column, half_deg: float, limits: tuple[float, float] | None = None) -> list[tuple[Column, Column]]:
+        """Runs of slots within ``half_deg`` of a direction on the circle, inside ``limits`` if there are any.
+
+        A cone may reach over the end of the angles, so it is looked up at the direction and one turn to either side;
+        with a half width below 180 degrees the runs don't overlap. A run that is empty ends before it begins.
+        """
+        a, z = self.slots_between(*limits) if limits else (0, self.active - 1)
+        runs = []
+        for turn in (-360.0, 0.0, 360.0):
+            at = centre_deg + turn - self.start
+            runs.append((F.greatest(F.ceil((at - half_deg) / self.step), F.lit(a)).cast("int"),
+                         F.least(F.floor((at + half_deg) / self.step), F.lit(z)).cast("int")))
+        return runs
+
+
+WORD = 64
+
+
+def bitmap(d: str | Column, cond, slots: int) -> Column:
+    """Slots for which ``cond`` holds, as an array of 64-bit words."""
+    def word(w):
+        bits = F.transform(F.slice(col(d), w * WORD + 1, WORD), lambda x, b: F.when(
+            cond(x), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    return F.transform(F.sequence(F.lit(0), F.lit(-(-slots // WORD) - 1)), word)
+
+
+def mask_words(usable: list[bool]) -> Column:
+    """A mask of slots as the same kind of words."""
+    words = []
+    for w in range(0, len(usable), WORD):
+        v = sum(1 << b for b, u in enumerate(usable[w:w + WORD]) if u)
+        words.append(v - (1 << WORD) if v >> (WORD - 1) else v)
+    return F.array(*[F.lit(v).cast("long") for v in words])
+
+
+def both(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x.bitwiseAND(y))
+
+
+def bits_between(words: Column, lo: Column, hi: Column) -> Column:
+    """How many bits are set from slot ``lo`` to slot ``hi``, one bit count a word."""
+    def counted(x, w):
+        a, z = F.greatest(lo - w * WORD, F.lit(0)), F.least(hi - w * WORD, F.lit(WORD - 1))
+        run = F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), F.lit(WORD - 1) - (z - a)), a)
+        return F.when(a <= z, F.bit_count(x.bitwiseAND(run))).otherwise(0)
+    return F.aggregate(F.transform(words, counted), F.lit(0), lambda s, n: s + n)
+
+
+def kept_slots(d: str | Column, usable: list[bool] | None) -> Column:
+    """A scan with the slots of the mask's blind spots set to the sentinel of no return."""
+    if usable is None:
+        return col(d)
+    return F.zip_with(F.slice(col(d), 1, len(usable)), F.array(*[F.lit(u) for u in usable]), lambda x, u: F.when(u, x).otherwise(F.lit(0)))
+
 
 def readings(d: str | Column) -> Column:
     """Valid readings of a scan, sentinels removed."""
@@ -80,17 +145,6 @@ def array_quantile(sorted_: Column, p: float) -> Column:
     return F.when(F.size(sorted_) > 0, a + (b - a) * (pos - lo))
 
 
-def cone_share(d: Column, beams: Beams, bearing_deg: Column, half_deg: float, near_mm: int) -> Column:
-    """Share of valid readings below ``near_mm`` within a cone around the bearing.
-
-    Bearings lie inside the scanner's view, so the cone is one run of slots.
-    """
-    lo = F.greatest(F.ceil((bearing_deg - half_deg - beams.start) / beams.step), F.lit(0)).cast("int")
-    hi = F.least(F.floor((bearing_deg + half_deg - beams.start) / beams.step), F.lit(beams.active - 1)).cast("int")
-    cone = readings(F.slice(d, lo + 1, F.greatest(hi - lo + 1, F.lit(0))))
-    return share(cone, lambda x: x < near_mm)
-
-
 def cosine(a: str | Column, b: str | Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(col(x), col(y), lambda p, q: p.cast("double") * q.cast("double")),
                                    F.lit(0.0), lambda s, v: s + v)

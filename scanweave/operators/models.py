@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 from math import factorial
 
 import numpy as np
@@ -64,22 +66,24 @@ def score(model: PipelineModel, rows: DataFrame, features: list[str], target: st
 
 
 def ablation(folds: DataFrame, fold_names: list[str], variants: dict[str, list[str]], target: str, keep: list[str],
-             configs: dict[str, Settings]) -> DataFrame:
+             configs: dict[str, Settings], at_once: int = 4) -> DataFrame:
     """Predictions of every fold x variant x setting as one table.
 
-    The grid is a short driver loop of distributed fits; rows never leave the
-    executors and metrics are one aggregate over the result.
+    The grid is a list of distributed fits, ``at_once`` of which share the
+    cluster; rows never leave the executors and metrics are one aggregate over
+    the result.
     """
-    out = None
-    for fold in fold_names:
+    grid = [(f, v, c) for f in fold_names for v in variants for c in configs]
+
+    def fitted(point):
+        fold, variant, config = point
         rows = folds.filter(F.col("fold") == fold)
-        for variant, features in variants.items():
-            for config, s in configs.items():
-                m = fit_booster(rows, features, target, s)
-                p = score(m, rows.filter("split = 'test'"), features, target, keep).withColumns(
-                    {"fold": F.lit(fold), "variant": F.lit(variant), "config": F.lit(config)})
-                out = p if out is None else out.unionByName(p)
-    return out
+        m = fit_booster(rows, variants[variant], target, configs[config])
+        return score(m, rows.filter("split = 'test'"), variants[variant], target, keep).withColumns(
+            {"fold": F.lit(fold), "variant": F.lit(variant), "config": F.lit(config)})
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return reduce(DataFrame.unionByName, pool.map(fitted, grid))
 
 
 def fit_inventory(predictions: DataFrame) -> DataFrame:
@@ -178,10 +182,19 @@ def long_contributions(wide: DataFrame, features: list[str], keep: list[str]) ->
 
 
 # ---- regions ------------------------------------------------------------
-def kmeans_centroids(df: DataFrame, k: int, seeds: list[int], x: str = "x_m", y: str = "y_m") -> list[tuple[int, float, float]]:
-    """Best of several parallel k-means starts; labels 1..k ordered by centroid x, then y."""
-    d = VectorAssembler(inputCols=[x, y], outputCol="_x").transform(df.select(x, y).dropna())
-    best = min((KMeans(k=k, seed=s, featuresCol="_x", maxIter=50, tol=1e-6).fit(d) for s in seeds), key=lambda m: m.summary.trainingCost)
+def kmeans_centroids(df: DataFrame, k: int, seeds: list[int], x: str = "x_m", y: str = "y_m", rounds: int = 200) -> list[tuple[int, float, float]]:
+    """Best of several parallel k-means starts; labels 1..k ordered by centroid x, then y.
+
+    Rows of one position are folded to a weight first, once for all starts.
+    """
+    p = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().groupBy("x", "y").agg(F.count("*").cast("double").alias("w"))
+    d = stored(p)
+    d = VectorAssembler(inputCols=["x", "y"], outputCol="_x").transform(d).select("_x", "w").persist()
+    try:
+        best = min((KMeans(k=k, seed=s, featuresCol="_x", weightCol="w", maxIter=rounds, tol=1e-6).fit(d) for s in seeds),
+                   key=lambda m: m.summary.trainingCost)
+    finally:
+        d.unpersist()
     pts = sorted((float(c[0]), float(c[1])) for c in best.clusterCenters())
     return [(i, px, py) for i, (px, py) in enumerate(pts, 1)]
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scanweave.functions.exprs import col, hash_order
-from scanweave.operators.quantiles import default_bins, with_value_bins
-from scanweave.operators.timeline import row_position
+from scanweave.operators.timeline import density_chunks, row_position
 
 
 def hash_rank(df: DataFrame, keys: list[str], seed: str, row_id: str, name: str = "rn", total: str = "n",
@@ -21,9 +22,34 @@ def hash_rank(df: DataFrame, keys: list[str], seed: str, row_id: str, name: str
     return d.drop("_h")
 
 
-def sample_exact(df: DataFrame, keys: list[str], seed: str, row_id: str, size: int) -> DataFrame:
-    """At most ``size`` rows per key without replacement."""
-    return hash_rank(df, keys, seed, row_id).filter(F.col("rn") <= size).drop("rn", "n")
+def sample_exact(df: DataFrame, keys: list[str], seed: str, row_id: str, size: int, most_keys: int = 100_000) -> DataFrame:
+    """At most ``size`` rows per key without replacement: those with the smallest hashes.
+
+    The share of rows wanted from a key tells how small a hash must be: rows
+    above that mark, eight standard deviations beyond the share, never leave
+    their task. About ``size`` rows a key are shuffled and ranked, at any size of
+    the input. Should a mark ever leave too few rows, that is an error. Beyond
+    ``most_keys`` keys, whose counts would be too many to send to every task,
+    each task sends its ``size`` first rows of a key instead.
+    """
+    d = df.withColumn("_h", hash_order(seed, row_id))
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    few = counts.limit(most_keys + 1).count() <= most_keys
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", row_id))
+    if not few:
+        return d.withColumn("_rn", rank).filter(F.col("_rn") <= size).select(*df.columns)
+    if keys:
+        on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        named = F.broadcast(counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n"))
+        d = d.join(named, on)
+    else:
+        d = d.withColumn("_n", counts.select("_n").scalar())
+    mark = (size + 8 * math.sqrt(size) + 16) / F.col("_n")
+    unit = F.conv(F.substring("_h", 1, 12), 16, 10).cast("double") / float(16 ** 12)
+    d = d.filter(unit < mark)
+    enough = F.count("*").over(Window.partitionBy(*keys)) >= F.least(F.lit(size), F.col("_n"))
+    d = d.withColumn("_rn", F.when(enough, rank).otherwise(F.raise_error(F.lit("a hash mark left too few rows")).cast("int")))
+    return d.filter(F.col("_rn") <= size).select(*df.columns)
 
 
 def evenly_spaced(df: DataFrame, keys: list[str], order: list[str], chunk: str | Column, size: int) -> DataFrame:
@@ -61,13 +87,17 @@ def group_out_folds(df: DataFrame, folds: DataFrame, group: str, us: str, row_id
     """One frame of (fold, split) for leave-one-group-out evaluation.
 
     ``folds`` has (fold, group, role in train/test, keep_every); a training
-    group is thinned first where keep_every > 1, then cut by time.
+    group is thinned first where keep_every > 1, then cut by time. The rows of a
+    group are numbered once: which of them a fold keeps, and where its tail
+    begins, follows from number and count.
     """
-    d = df.join(folds, group)
-    test = d.filter("role = 'test'").withColumn("split", F.lit("test"))
-    train = decimate(d.filter("role = 'train'"), ["fold", group], [us, row_id], chunk, F.col("keep_every"))
-    train = tail_split(train, ["fold", group], [us, row_id], chunk, val_frac)
-    return test.unionByName(train).drop("role", "keep_every")
+    d = row_position(df, [group], [us, row_id], chunk, "_rn", "_n").join(folds, group)
+    every = F.col("keep_every")
+    rn, n = F.floor((F.col("_rn") - 1) / every) + 1, F.ceil(F.col("_n") / every)
+    n_val = F.greatest(F.lit(1), F.least(n - 1, F.bround(n * val_frac).cast("long")))
+    test = F.col("role") == "test"
+    split = F.when(test, "test").when(rn > n - n_val, "val").otherwise("train")
+    return d.filter(test | ((F.col("_rn") - 1) % every == 0)).withColumn("split", split).drop("role", "keep_every", "_rn", "_n")
 
 
 def random_validation(df: DataFrame, keys: list[str], seed: str, row_id: str, val_frac: float = 0.10) -> DataFrame:
@@ -103,9 +133,9 @@ def block_shuffle(df: DataFrame, keys: list[str], seed: str, row_id: str, block:
     return ranked.drop(*block).join(donors, [*keys, "_rn"]).drop("_rn").select(*df.columns)
 
 
-def equal_chunks(df: DataFrame, along: str, row_id: str, parts: int) -> DataFrame:
-    """Labels 1..parts of equal size along a value; the first parts take the remainder."""
-    d = with_value_bins(df, [], along, default_bins(df.sparkSession))
+def equal_chunks(df: DataFrame, along: str, row_id: str, parts: int, rows_each: int | None = None) -> DataFrame:
+    """Labels 1..parts of equal size along a value, ties by id; the first parts take the remainder."""
+    d = density_chunks(df, [], along, "_bin", rows_each, tie=row_id)
     d = row_position(d, [], [along, row_id], "_bin").drop("_bin")
     base, extra = F.floor(F.col("n") / parts), F.col("n") % parts
     big = extra * (base + 1)

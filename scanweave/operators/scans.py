@@ -4,16 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from scanweave.functions.arrays import (Beams, array_mean, array_quantile, bearing, cone_share, readings, share)
+from scanweave.functions.arrays import (Beams, array_mean, array_quantile, bearing, bitmap, bits_between, both, kept_slots,
+                                        mask_words, readings, share, valid)
 from scanweave.operators.sampling import hash_rank
 
 
 def scan_scalars(df: DataFrame, beams: Beams, near_mm: int, far_mm: int, clip_mm: int,
-                 distances: str = "distances") -> DataFrame:
-    """One projection with all scalar features of a scan."""
+                 distances: str = "distances", usable: list[bool] | None = None,
+                 view: tuple[float, float] | None = None) -> DataFrame:
+    """One projection with all scalar features of a scan.
+
+    Slots outside the mask ``usable`` count as no reading; the front cone ends at
+    the valid sector ``view``. Shares of no return and of invalid readings are
+    those of the raw scan.
+    """
     d = F.slice(F.col(distances), 1, beams.active)
-    front = beams.part(F.col(distances), -30, 30)
-    v = df.withColumn("_v", F.array_sort(readings(d))).withColumn("_f", readings(front)).withColumn("_d", d)
+    seen = F.slice(kept_slots(distances, usable), 1, beams.active)
+    lo, hi = (-30.0, 30.0) if view is None else (max(-30.0, view[0]), min(30.0, view[1]))
+    front = beams.part(kept_slots(distances, usable), lo, hi)
+    v = df.withColumn("_v", F.array_sort(readings(seen))).withColumn("_f", readings(front)).withColumn("_d", d)
     n = F.greatest(F.size("_v"), F.lit(1))
     vv, ff = F.col("_v"), F.col("_f")
     clipped = lambda a: F.transform(a, lambda x: F.least(x, F.lit(clip_mm)))
@@ -26,10 +35,19 @@ def scan_scalars(df: DataFrame, beams: Beams, near_mm: int, far_mm: int, clip_mm
     }).drop("_v", "_f", "_d")
 
 
-def sector_features(df: DataFrame, beams: Beams, n: int, near_mm: int, distances: str = "distances") -> DataFrame:
-    """Mean and close fraction per angular sector; null where a sector has no reading."""
+def sector_features(df: DataFrame, beams: Beams, sectors: int | list[tuple[float, float]], near_mm: int, distances: str = "distances",
+                    usable: list[bool] | None = None) -> DataFrame:
+    """Mean and close fraction per angular sector; null where a sector has no reading.
+
+    ``sectors`` is a number of equal ones, or their bounds in degrees.
+    """
+    d = kept_slots(distances, usable)
+    if isinstance(sectors, int):
+        parts = beams.sectors(d, sectors)
+    else:
+        parts = [F.slice(d, a + 1, z - a + 1) for a, z in beams.sector_slots(sectors)]
     cols = {}
-    for i, s in enumerate(beams.sectors(F.col(distances), n), 1):
+    for i, s in enumerate(parts, 1):
         r = readings(s)
         cols[f"n_s{i}"] = F.size(r)
         cols[f"mean_s{i}"] = array_mean(r)
@@ -45,9 +63,32 @@ def target_geometry(df: DataFrame, ap_x: Column, ap_y: Column, view_deg: float,
     return d.withColumn("in_view", F.abs(F.degrees("bearing")) <= view_deg)
 
 
-def near_share_toward(df: DataFrame, beams: Beams, half_deg: float, near_mm: int, name: str) -> DataFrame:
-    return df.withColumn(name, F.when(F.col("in_view"), cone_share(
-        F.col("distances"), beams, F.degrees("bearing"), half_deg, near_mm)))
+def scan_bitmaps(df: DataFrame, beams: Beams, near_mm: int, usable: list[bool] | None = None, distances: str = "distances") -> DataFrame:
+    """``ok_bits`` and ``near_bits``: which slots have a valid reading, and one nearer than ``near_mm``, in the mask.
+
+    Worked out once a scan; rows that refer to it carry two words for 64 slots.
+    """
+    d = F.slice(F.col(distances), 1, beams.active)
+    mask = mask_words((usable or [True] * beams.active)[:beams.active])
+    return df.withColumn("ok_bits", both(bitmap(d, valid, beams.active), mask)).withColumn(
+        "near_bits", both(bitmap(d, lambda x: valid(x) & (x < near_mm), beams.active), mask))
+
+
+def near_share_toward(df: DataFrame, beams: Beams, half_deg: float, name: str, limits: tuple[float, float] | None = None) -> DataFrame:
+    """Share of near readings among the valid ones within ``half_deg`` of the bearing, on the circle.
+
+    ``df`` has the bitmaps of its scan. Null out of view and where no slot of the cone has a reading.
+    """
+    runs = beams.near_slots(F.degrees("bearing"), half_deg, limits)
+    count = lambda bits: sum(bits_between(F.col(bits), lo, hi) for lo, hi in runs)
+    d = df.withColumn("_ok", count("ok_bits")).withColumn("_near", count("near_bits"))
+    return d.withColumn(name, F.when(F.col("in_view") & (F.col("_ok") > 0), F.col("_near") / F.col("_ok"))).drop("_ok", "_near")
+
+
+def usable_slots(masks: DataFrame) -> list[bool]:
+    """A learned mask on the driver: one flag a slot, as many as a scan has."""
+    rows = {r.slot: r.usable for r in masks.select("slot", "usable").collect()}
+    return [bool(rows.get(i, False)) for i in range(max(rows, default=-1) + 1)]
 
 
 def explode_beams(df: DataFrame, keep: list[str], weight: str | None = None) -> DataFrame:

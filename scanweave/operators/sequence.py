@@ -7,22 +7,28 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from scanweave.functions.exprs import clip, col, time_bucket, wrap_angle
 from scanweave.operators.intervals import points_in_intervals
 from scanweave.operators.quantiles import exact_quantiles
-from scanweave.operators.timeline import neighbours
+from scanweave.operators.timeline import density_chunks, neighbours
+from scanweave.session import stored
 
 
-def sample_gaps(df: DataFrame, keys: list[str], us: str, tie: str, chunk_s: float) -> DataFrame:
+def chunk_of(us: str, chunk: float | str) -> Column:
+    """Chunks of a fixed number of seconds, or a column that has them (``timeline.density_chunks``)."""
+    return F.col(chunk) if isinstance(chunk, str) else time_bucket(us, chunk)
+
+
+def sample_gaps(df: DataFrame, keys: list[str], us: str, tie: str, chunk: float | str) -> DataFrame:
     """Seconds since the previous row of the key as ``dt_s``."""
     d = df.withColumn("_t", F.col(us))
-    d = neighbours(d, keys, [us, tie], ["_t"], time_bucket(us, chunk_s))
+    d = neighbours(d, keys, [us, tie], ["_t"], chunk_of(us, chunk))
     return d.withColumn("dt_s", (F.col("_t") - F.col("prev__t")) / 1e6).drop("_t", "prev__t")
 
 
-def angular_rate(df: DataFrame, keys: list[str], us: str, tie: str, heading: str, chunk_s: float,
+def angular_rate(df: DataFrame, keys: list[str], us: str, tie: str, heading: str, chunk: float | str,
                  limit: float | None = None, lo: float = 0.0, hi: float | None = None,
                  name: str = "turn_rate") -> DataFrame:
     """Wrapped heading change per second; null without a usable previous row."""
     d = df.withColumn("_t", F.col(us)).withColumn("_h", F.col(heading))
-    d = neighbours(d, keys, [us, tie], ["_t", "_h"], time_bucket(us, chunk_s))
+    d = neighbours(d, keys, [us, tie], ["_t", "_h"], chunk_of(us, chunk))
     dt = (F.col("_t") - F.col("prev__t")) / 1e6
     ok = dt > lo if hi is None else (dt > lo) & (dt < hi)
     rate = F.when(ok, wrap_angle(F.col("_h") - F.col("prev__h")) / F.when(dt != 0, dt))
@@ -31,19 +37,34 @@ def angular_rate(df: DataFrame, keys: list[str], us: str, tie: str, heading: str
     return d.withColumn(name, rate).drop("_t", "_h", "prev__t", "prev__h")
 
 
-def rolling_mean(df: DataFrame, keys: list[str], us: str, value: str, window_s: float,
-                 chunk_s: float, name: str) -> DataFrame:
+def rolling_mean(df: DataFrame, keys: list[str], us: str, value: str, window_s: float, name: str,
+                 rows_each: int | None = None, digits: int = 12) -> DataFrame:
     """Mean over (t - window, t] of the key's clock; rows of one instant are peers.
 
-    A row within one window of its bucket's end is copied to the next bucket,
-    so each bucket is complete on its own.
+    A row enters at its time and leaves one window later, so a running sum over
+    entries and exits is the window's sum: linear in the rows, however many a
+    window holds. It runs inside chunks of even density and takes up the sum of
+    the chunks before. Sums are decimal, of values rounded to ``digits`` places:
+    nothing is lost to cancellation, and the order of rows doesn't matter.
     """
-    span = int(round(window_s * 1_000_000)) - 1
-    width = int(round(max(chunk_s, window_s) * 1_000_000))
-    d = df.withColumn("_own", F.floor(F.col(us) / width))
-    d = d.withColumn("_b", F.explode(F.sequence("_own", F.floor((F.col(us) + span) / width))))
-    w = Window.partitionBy(*keys, "_b").orderBy(us).rangeBetween(-span, 0)
-    return (d.withColumn(name, F.avg(value).over(w)).filter("_b = _own").drop("_b", "_own"))
+    span = int(round(window_s * 1_000_000))
+    df = stored(df)  # read as entries, as exits, and for the density of both
+    lcols = [c for c in df.columns if c not in keys]
+    v = F.col(value).cast(f"decimal({16 + digits},{digits})")
+    n = F.col(value).isNotNull().cast("int")
+    enter = df.select(*keys, F.col(us).alias("_t"), v.alias("_v"), n.alias("_c"), F.struct(*lcols).alias("_l"))
+    leave = df.filter(F.col(value).isNotNull()).select(*keys, (F.col(us) + span).alias("_t"), (-v).cast(enter.schema["_v"].dataType).alias("_v"), (-n).alias("_c"),
+                      F.lit(None).cast(enter.schema["_l"].dataType).alias("_l"))
+    d = density_chunks(enter.unionByName(leave), keys, "_t", "_ck", rows_each)
+    part = [*keys, "_ck"]
+    upto = Window.partitionBy(*part).orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
+    base = d.groupBy(*part).agg(F.sum("_v").alias("_bv"), F.sum("_c").alias("_bc")).select(
+        *part, F.coalesce(F.sum("_bv").over(before), F.lit(0)).alias("_bv"), F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_bc"))
+    d = (d.withColumn("_sv", F.coalesce(F.sum("_v").over(upto), F.lit(0))).withColumn("_sc", F.sum("_c").over(upto))
+         .filter("_l IS NOT NULL").join(base, part))
+    total, held = F.col("_sv") + F.col("_bv"), F.col("_sc") + F.col("_bc")
+    return d.select(*keys, "_l.*", (total.cast("double") / F.when(held > 0, held)).alias(name)).select(*df.columns, name)
 
 
 def backfill_leading(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
@@ -146,11 +167,11 @@ def discontinuities(df: DataFrame, keys: list[str], us: str, tie: str, chunk_s:
     return d.withColumn("disc", flag).drop("_t", "_x", "_y", "next__t", "next__x", "next__y")
 
 
-def motion_signature(df: DataFrame, keys: list[str], us: str, tie: str, chunk_s: float, radius: float,
+def motion_signature(df: DataFrame, keys: list[str], us: str, tie: str, chunk: float | str, radius: float,
                      lo_s: float, hi_s: float, cap_level: float = 0.99) -> DataFrame:
     """|v| + R |omega|, omega capped at a high quantile of its positive values."""
-    d = angular_rate(df, keys, us, tie, "heading_rad", chunk_s, None, lo_s, hi_s, "_w")
-    d = d.withColumn("omega", F.coalesce(F.abs("_w"), F.lit(0.0))).drop("_w")
+    d = angular_rate(df, keys, us, tie, "heading_rad", chunk, None, lo_s, hi_s, "_w")
+    d = stored(d.withColumn("omega", F.coalesce(F.abs("_w"), F.lit(0.0))).drop("_w"))
     cap = exact_quantiles(d.filter("omega > 0"), keys, "omega", {"_cap": cap_level})
     d = d.join(cap, keys, "left")
     return (d.withColumn("omega", F.least("omega", F.coalesce("_cap", "omega"))).drop("_cap")

@@ -64,17 +64,34 @@ def points_below(cuts: Column, value: Column, most: int = MOST_CUTS) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(most.bit_length())), start, halve, lambda s: s["lo"]).cast("long")
 
 
-def with_chunks(df: DataFrame, keys: list[str], order: str, cuts: DataFrame | None, name: str) -> DataFrame:
-    """``df`` with the number of each row's part; rows of one ``order`` value share a part."""
+def with_chunks(df: DataFrame, keys: list[str], order: str, cuts: DataFrame | None, name: str, apart: bool = False) -> DataFrame:
+    """``df`` with the number of each row's part; rows of one ``order`` value share a part.
+
+    With ``apart`` the rows of a cut point itself are a part of their own, with an even number.
+    """
     if cuts is None:
-        return df.withColumn(name, F.lit(0).cast("long"))
+        return df.withColumn(name, F.lit(int(apart)).cast("long"))
     d = df.join(F.broadcast(cuts), keys, "left") if keys else df.withColumn("_cuts", cuts.select("_cuts").scalar())
-    return d.withColumn(name, F.coalesce(points_below(F.col("_cuts"), F.col(order)), F.lit(0))).select(*df.columns, name)
+    below = F.coalesce(points_below(F.col("_cuts"), F.col(order)), F.lit(0))
+    if apart:
+        d = d.withColumn("_b", below)
+        below = 2 * F.col("_b") + F.when(F.get("_cuts", (F.col("_b") - 1).cast("int")) == F.col(order), 0).otherwise(1)
+    return d.withColumn(name, below.cast("long")).select(*df.columns, name)
 
 
-def density_chunks(df: DataFrame, keys: list[str], order: str, name: str = "_ck", rows_each: int | None = None) -> DataFrame:
-    """``df`` with chunks of about equally many rows along ``order``, also where rows crowd at some times."""
-    return with_chunks(df, keys, order, density_cuts(df, keys, order, rows_each), name)
+def density_chunks(df: DataFrame, keys: list[str], order: str, name: str = "_ck", rows_each: int | None = None,
+                   tie: str | None = None) -> DataFrame:
+    """``df`` with chunks of about equally many rows along ``order``, also where rows crowd at some times.
+
+    A value of ``order`` that fills chunks by itself is cut along ``tie``, if there is one.
+    """
+    cuts = density_cuts(df, keys, order, rows_each)
+    if tie is None or cuts is None:
+        return with_chunks(df, keys, order, cuts, name)
+    d = with_chunks(df, keys, order, cuts, "_own", apart=True)
+    inner = density_cuts(d.filter("_own % 2 = 0"), [*keys, "_own"], tie, rows_each)
+    d = with_chunks(d, [*keys, "_own"], tie, inner, "_sub")
+    return d.withColumn(name, F.col("_own") * (2 * MOST_CUTS) + F.col("_sub")).select(*df.columns, name)
 
 
 def range_chunks(df: DataFrame, keys: list[str], order: list[str], n: int,

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F, types as T
 from scanweave.functions.exprs import (any_of, cell, clip, finite, near, rnd, signed_duration, wrap_angle)
 from scanweave.operators import quality
 from scanweave.operators.stats import line_fit
-from scanweave.plans.registry import query
+from scanweave.plans import time_joins  # noqa: F401  (its joint table is checked here)
+from scanweave.plans.registry import SQL, query
 from scanweave.plans.statistics import FIT, with_logd
 from scanweave.plans.views import AP, TEL, events, table, telemetry, transmitters
 
@@ -145,9 +146,9 @@ def j12(spark, sf):
 @query("o01_stable_multi_key_sort", f"""
 WITH {TEL} SELECT joint_idx, session_id, row_number() OVER (ORDER BY session_id, us, joint_idx) AS position FROM tel""")
 def o01(spark, sf):
-    from scanweave.functions.exprs import time_bucket
-    from scanweave.operators.timeline import running_total
-    t = telemetry(spark, sf).withColumn("_ck", F.concat_ws("|", "session_id", F.lpad(time_bucket("us", 86400).cast("string"), 10, "0")))
+    from scanweave.operators.timeline import density_chunks, running_total
+    t = density_chunks(telemetry(spark, sf).select("joint_idx", "session_id", "us"), ["session_id"], "us")
+    t = t.withColumn("_ck", F.struct("session_id", "_ck"))
     d = running_total(t, [], ["session_id", "us", "joint_idx"], F.lit(1), "_ck", "position")
     return d.select("joint_idx", "session_id", "position").orderBy("position")
 
@@ -263,12 +264,28 @@ def q03(spark, sf):
 
 
 @query("q04_timestamp_identities", f"""
-WITH {TEL}, d AS (SELECT session_id, us/1e6 + 3600 AS local_s, us/1e6 AS utc_s, (us % 1000)/1e6 AS dt FROM tel)
-SELECT session_id, count(*) AS n, max(abs(local_s - utc_s - 3600)) <= 1e-6 AS shift_ok, count(*) FILTER (abs(dt) > 0.0005) AS n_over FROM d GROUP BY 1""")
+WITH joint AS ({SQL["j01_joint_table"]}),
+moved AS (SELECT * REPLACE (CASE WHEN event_id % 5 = 0 THEN us + 1500 ELSE us END AS us, CASE WHEN event_id % 7 = 0 THEN delta_t_s + 0.25 ELSE delta_t_s END AS delta_t_s) FROM joint),
+src AS (SELECT m.*, epoch_us(l.ts) AS l_us, epoch_us(r.ts) AS r_us FROM moved m LEFT JOIN events l ON l.event_id = m.event_id LEFT JOIN events r ON r.event_id = m.right_id)
+SELECT user_id % 3 AS g, count(*) AS n, count(*) FILTER (l_us IS DISTINCT FROM raw_us) AS n_raw_differs, count(*) FILTER (r_us IS DISTINCT FROM right_us) AS n_right_differs,
+  count(*) FILTER (l_us - offset_s*1000000 <> us) AS n_shift_off, count(*) FILTER (abs((us - r_us)/1e6 - delta_t_s) > 1e-6) AS n_delta_off,
+  count(*) FILTER (abs(us - r_us) > tolerance_us) AS n_over FROM src GROUP BY 1""")
 def q04(spark, sf):
-    d = telemetry(spark, sf).withColumn("utc_s", F.col("us") / 1e6).withColumn("local_s", F.col("utc_s") + 3600)
-    return d.groupBy("session_id").agg(F.count("*").alias("n"), (F.max(F.abs(F.col("local_s") - F.col("utc_s") - 3600)) <= 1e-6).alias("shift_ok"),
-                                       F.count_if(F.abs((F.col("us") % 1000) / 1e6) > 0.0005).alias("n_over"))
+    """Both clocks of the joint table against the streams it was made from; some of its rows are spoilt first."""
+    from scanweave.plans.registry import QUERIES
+    e = F.col("event_id")
+    j = QUERIES["j01_joint_table"](spark, sf)
+    j = j.withColumn("us", F.when(e % 5 == 0, F.col("us") + 1500).otherwise(F.col("us"))).withColumn(
+        "delta_t_s", F.when(e % 7 == 0, F.col("delta_t_s") + 0.25).otherwise(F.col("delta_t_s")))
+    src = table(spark, sf, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    j = (j.join(src.withColumnRenamed("t", "l_us"), "event_id", "left")
+         .join(src.select(F.col("event_id").alias("right_id"), F.col("t").alias("r_us")), "right_id", "left"))
+    gap = F.col("us") - F.col("r_us")
+    return j.groupBy((F.col("user_id") % 3).alias("g")).agg(
+        F.count("*").alias("n"), F.count_if(~F.col("l_us").eqNullSafe(F.col("raw_us"))).alias("n_raw_differs"),
+        F.count_if(~F.col("r_us").eqNullSafe(F.col("right_us"))).alias("n_right_differs"),
+        F.count_if(F.col("l_us") - F.col("offset_s") * 1_000_000 != F.col("us")).alias("n_shift_off"),
+        F.count_if(F.abs(gap / 1e6 - F.col("delta_t_s")) > 1e-6).alias("n_delta_off"), F.count_if(F.abs(gap) > F.col("tolerance_us")).alias("n_over"))
 
 
 @query("q05_constant_per_group", f"""

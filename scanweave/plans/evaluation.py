@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scanweave.functions.exprs import rnd, text_seed, time_bucket
+from scanweave.functions.exprs import rnd, text_seed
 from scanweave.operators import rules
 from scanweave.operators.cells import with_cells
 from scanweave.operators.evaluation import (bootstrap_rmse, dominant_group, group_importance, pair_errors, paired_delta,
@@ -13,6 +13,7 @@ from scanweave.operators.sampling import (block_shuffle, decimate, equal_chunks,
                                           principal_axis, random_validation, region_out_folds, sample_exact, tail_split,
                                           three_way_split)
 from scanweave.operators.stats import spearman
+from scanweave.operators.timeline import density_chunks
 from scanweave.plans.registry import query
 from scanweave.plans.spatial import REGION_SQL, STATS, regions, stats
 from scanweave.plans.statistics import POIS, draw_sql
@@ -24,8 +25,9 @@ VARIANTS = ("full", "noscan", "nogeo", "base")
 
 
 
-def days():
-    return time_bucket("us", 86400)
+def ordered(spark, sf, *more):
+    """Rows of each session in chunks of even density along its clock."""
+    return density_chunks(telemetry(spark, sf).select("joint_idx", "session_id", "us", *more), ["session_id"], "us")
 
 
 PREDS = """
@@ -261,18 +263,18 @@ RANKS = "ck AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY us
 @query("w22_chronological_split", f"""
 WITH {TEL}, {RANKS} SELECT joint_idx, CASE WHEN rn > n - greatest(1, least(n - 1, CAST(round_even(n*0.1, 0) AS BIGINT))) THEN 'val' ELSE 'train' END AS split FROM ck""")
 def w22(spark, sf):
-    return tail_split(telemetry(spark, sf), ["session_id"], ORDER, days(), 0.10).select("joint_idx", "split")
+    return tail_split(ordered(spark, sf), ["session_id"], ORDER, "_ck", 0.10).select("joint_idx", "split")
 
 
 @query("w22_three_way_split", f"""
 WITH {TEL}, {RANKS} SELECT joint_idx, CASE WHEN rn <= round_even(n*0.7, 0) THEN 'train' WHEN rn <= round_even(n*0.7, 0) + round_even(n*0.15, 0) THEN 'val' ELSE 'test' END AS split FROM ck""")
 def w22b(spark, sf):
-    return three_way_split(telemetry(spark, sf), ["session_id"], ORDER, days()).select("joint_idx", "split")
+    return three_way_split(ordered(spark, sf), ["session_id"], ORDER, "_ck").select("joint_idx", "split")
 
 
 @query("w23_decimate", f"WITH {TEL}, {RANKS} SELECT joint_idx FROM ck WHERE (rn - 1) % 6 = 0")
 def w23(spark, sf):
-    return decimate(telemetry(spark, sf), ["session_id"], ORDER, days(), 6).select("joint_idx")
+    return decimate(ordered(spark, sf), ["session_id"], ORDER, "_ck", 6).select("joint_idx")
 
 
 FOLDS = [(f, s, "test" if s == t else "train", 4 if f == "F-C" and s != t else 1)
@@ -286,7 +288,7 @@ folds AS (SELECT *, CASE WHEN role = 'test' THEN 'test' WHEN rn > n - greatest(1
 
 def folds(spark, sf):
     table = F.broadcast(spark.createDataFrame(FOLDS, "fold string, session_id string, role string, keep_every int"))  # nine fixed rows
-    return group_out_folds(telemetry(spark, sf), table, "session_id", "us", "joint_idx", days())
+    return group_out_folds(ordered(spark, sf, "confidence", "heading_rad"), table, "session_id", "us", "joint_idx", "_ck")
 
 
 @query("w24_leave_one_group_out", f"WITH {TEL}, {LOGO} SELECT fold, joint_idx, split FROM folds")
@@ -368,7 +370,7 @@ def o05(spark, sf):
 WITH {TEL}, {RANKS}, pos AS (SELECT session_id, CAST(floor(i*(n-1)/49) AS BIGINT) + 1 AS rn FROM (SELECT DISTINCT session_id, n FROM ck), (SELECT unnest(range(0, 50)) AS i))
 SELECT DISTINCT joint_idx, session_id FROM ck JOIN pos USING (session_id, rn)""")
 def o06(spark, sf):
-    return evenly_spaced(telemetry(spark, sf), ["session_id"], ORDER, days(), 50).select("joint_idx", "session_id")
+    return evenly_spaced(ordered(spark, sf), ["session_id"], ORDER, "_ck", 50).select("joint_idx", "session_id")
 
 
 # ---- attribution --------------------------------------------------------

@@ -9,27 +9,31 @@ from scanweave.operators.cells import outside_radius
 from scanweave.operators.evaluation import group_importance, stratified_metrics
 from scanweave.operators.models import (Settings, ablation, build_regions, contributions, fit_booster, fit_forest, fit_inventory,
                                         kmeans_centroids, long_contributions, score)
-from scanweave.operators.sampling import block_shuffle, group_out_folds, three_way_split
-from scanweave.operators.scans import near_share_toward, scan_scalars, target_geometry
+from scanweave.operators.sampling import block_shuffle, group_out_folds, random_validation, three_way_split
+from scanweave.operators.scans import near_share_toward, scan_bitmaps, scan_scalars
 from scanweave.plans.evaluation import FOLDS
 from scanweave.plans.registry import query
-from scanweave.plans.scan_queries import BEAMS, CLIP, FAR, NEAR
-from scanweave.plans.views import TEL, joint, telemetry, transmitters
+from scanweave.plans.scan_queries import BEAMS, CLIP, FAR, NEAR, scan_of
+from scanweave.plans.views import TEL, scan, table, telemetry
 from scanweave.session import stored
 
 GEOMETRY = ["dist_m", "sin_b", "cos_b", "near_toward", "in_view"]
 SCAN_FEATURES = ["mean_mm", "p90_mm", "near_frac", "open_frac", "mean_front_mm"]
 MOTION = ["speed", "value"]
 VARIANTS = {"base": ["dist_m"], "full": MOTION + GEOMETRY + SCAN_FEATURES, "noscan": MOTION + GEOMETRY, "nogeo": MOTION + SCAN_FEATURES}
-QUICK = Settings(depth=3, step=0.3, rounds=5, row_share=1.0)
+# Rounds are a bound that early stop doesn't reach: it ends a fit once a round gains less than a hundredth.
+MAIN = Settings(depth=4, step=0.2, rounds=500, row_share=1.0)
+SETTINGS = {"main": MAIN, "shallow": Settings(2, 0.3, 500, 1.0), "slow": Settings(4, 0.1, 500, 1.0), "sampled": Settings(4, 0.2, 500, 0.7)}
+STARTS = list(range(1, 11))
 KEEP = ["joint_idx", "session_id", "x_m", "y_m", "in_view"]
 
 
 def modelling_table(spark, sf):
-    d = joint(spark, sf).join(F.broadcast(transmitters(spark)), "session_id")  # three fixed rows
-    d = target_geometry(d, F.col("ap_x"), F.col("ap_y"), 110.0)
-    d = near_share_toward(scan_scalars(d, BEAMS, NEAR, FAR, CLIP), BEAMS, 15.0, NEAR, "near_toward")
-    d = d.filter("coalesce(confidence >= 35, false)")
+    """Rows with a plausible confidence and all features; those of a scan are worked out once a scan."""
+    scans = scan_bitmaps(scan_scalars(scan(spark, sf), BEAMS, NEAR, FAR, CLIP), BEAMS, NEAR)
+    scans = scans.select("scan_row", "ok_bits", "near_bits", *SCAN_FEATURES)
+    d = scan_of(spark, sf).filter("coalesce(confidence >= 35, false)").join(scans, "scan_row")
+    d = near_share_toward(d, BEAMS, 15.0, "near_toward")
     return d.select("joint_idx", "session_id", "us", "x_m", "y_m", "signal", *dict.fromkeys(MOTION + GEOMETRY + SCAN_FEATURES))
 
 
@@ -45,46 +49,48 @@ def metric_rows(p, keys):
 @query("m01_boosted_fit_early_stop")
 def m01(spark, sf):
     rows = fold_table(spark, sf).filter("fold = 'F-A'")
-    m = fit_booster(rows, VARIANTS["full"], "signal", QUICK)
+    m = fit_booster(rows, VARIANTS["full"], "signal", MAIN)
     return metric_rows(score(m, rows.filter("split = 'test'"), VARIANTS["full"], "signal", KEEP), []).withColumn("n_trees", F.lit(m.stages[-1].getNumTrees))
 
 
 @query("m02_second_learner")
 def m02(spark, sf):
     rows = fold_table(spark, sf).filter("fold = 'F-A'")
-    m = fit_forest(rows, VARIANTS["full"], "signal", Settings(depth=5, rounds=10, row_share=0.8))
+    m = fit_forest(rows, VARIANTS["full"], "signal", Settings(depth=5, rounds=100, row_share=0.8))
     return metric_rows(score(m, rows.filter("split = 'test'"), VARIANTS["full"], "signal", KEEP), [])
 
 
 @query("m03_prediction_table")
 def m03(spark, sf):
     rows = fold_table(spark, sf).filter("fold = 'F-B'")
-    m = fit_booster(rows, VARIANTS["full"], "signal", QUICK)
+    m = fit_booster(rows, VARIANTS["full"], "signal", MAIN)
     return score(m, rows.filter("split = 'test'"), VARIANTS["full"], "signal", KEEP)
 
 
 @query("m04_ablation_grid")
 def m04(spark, sf):
-    p = ablation(fold_table(spark, sf), ["F-A", "F-B", "F-C"], {v: VARIANTS[v] for v in ("base", "full")}, "signal", KEEP, {"main": QUICK})
+    p = ablation(fold_table(spark, sf), ["F-A", "F-B", "F-C"], VARIANTS, "signal", KEEP, {"main": MAIN})
     return metric_rows(p, ["fold", "variant", "config"])
 
 
 @query("m05_settings_sweep_and_buffer")
 def m05(spark, sf):
     rows = fold_table(spark, sf).filter("fold = 'F-B'")
-    p = ablation(rows, ["F-B"], {"full": VARIANTS["full"]}, "signal", KEEP, {"main": QUICK, "shallow": Settings(2, 0.3, 5, 1.0)})
+    p = ablation(rows, ["F-B"], {"full": VARIANTS["full"]}, "signal", KEEP, SETTINGS)
+    drawn = random_validation(rows.filter("split <> 'test'").drop("split"), ["session_id"], "val", "joint_idx").unionByName(rows.filter("split = 'test'"))
+    r = ablation(drawn, ["F-B"], {"full": VARIANTS["full"]}, "signal", KEEP, {f"{k}_randval": SETTINGS[k] for k in ("main", "shallow")})
     test = rows.filter("split = 'test'")
     held = test.filter("x_m BETWEEN 4 AND 9 AND y_m < 6")
     buffered = outside_radius(rows.filter("split <> 'test'"), held, [], 1.0).unionByName(test)
-    b = ablation(buffered, ["F-B"], {"full": VARIANTS["full"]}, "signal", KEEP, {"buffer": QUICK})
+    b = ablation(buffered, ["F-B"], {"full": VARIANTS["full"]}, "signal", KEEP, {"buffer": MAIN})
     placebo = block_shuffle(rows.filter("split <> 'test'"), ["session_id", "split"], "placebo", "joint_idx", SCAN_FEATURES)
-    c = ablation(placebo.unionByName(test), ["F-B"], {"full": VARIANTS["full"]}, "signal", KEEP, {"placebo": QUICK})
-    return metric_rows(p.unionByName(b).unionByName(c), ["fold", "variant", "config"])
+    c = ablation(placebo.unionByName(test), ["F-B"], {"full": VARIANTS["full"]}, "signal", KEEP, {"placebo": MAIN})
+    return metric_rows(p.unionByName(r).unionByName(b).unionByName(c), ["fold", "variant", "config"])
 
 
 def attributed(spark, sf):
     rows = fold_table(spark, sf).filter("fold = 'F-A'")
-    m = fit_booster(rows, VARIANTS["full"], "signal", QUICK)
+    m = fit_booster(rows, VARIANTS["full"], "signal", MAIN)
     return contributions(m, rows.filter("split = 'test'"), VARIANTS["full"], "signal", KEEP)
 
 
@@ -107,18 +113,37 @@ def m06g(spark, sf):
 def m07(spark, sf):
     t = telemetry(spark, sf)
     from scanweave.operators.cells import nearest_of
-    d = t.withColumn("region_id", nearest_of(kmeans_centroids(t, 5, [1, 2])))
+    d = t.withColumn("region_id", nearest_of(kmeans_centroids(t, 5, STARTS)))
     return d.groupBy("region_id").agg(F.count("*").alias("n"), rnd(F.avg("x_m")).alias("x"), rnd(F.avg("y_m")).alias("y"))
 
 
-@query("m08_region_build_with_fallback", f"""
-WITH {TEL}, m AS (SELECT avg(x_m) AS mx, avg(y_m) AS my, 0.5*atan2(2*covar_pop(x_m, y_m), covar_pop(x_m, x_m) - covar_pop(y_m, y_m)) AS a FROM tel),
-p AS (SELECT joint_idx, x_m, round((x_m-mx)*cos(a) + (y_m-my)*sin(a), 9) AS proj FROM tel, m), n AS (SELECT *, CAST(ntile(5) OVER (ORDER BY proj, joint_idx) AS INT) AS region_id FROM p)
+# Fixed value: a region of fewer rows makes the build fall back to equal chunks along the main axis.
+REGION_ROWS = 5000
+
+
+def built(d, row_id):
+    d, method = build_regions(d, 5, REGION_ROWS, row_id, STARTS)
+    return d.groupBy("region_id").agg(F.count("*").alias("n"), rnd(F.min("x_m")).alias("x_lo"), rnd(F.max("x_m")).alias("x_hi")).withColumn("method", F.lit(method))
+
+
+@query("m08_region_build_with_fallback", """
+WITH c AS (SELECT c_custkey, CAST(c_acctbal AS DOUBLE)/100 AS x_m, CAST(c_custkey*37 % 240 AS DOUBLE)/10 AS y_m FROM customer),
+m AS (SELECT avg(x_m) AS mx, avg(y_m) AS my, 0.5*atan2(2*covar_pop(x_m, y_m), covar_pop(x_m, x_m) - covar_pop(y_m, y_m)) AS a FROM c),
+p AS (SELECT c_custkey, x_m, round((x_m-mx)*cos(a) + (y_m-my)*sin(a), 9) AS proj FROM c, m), n AS (SELECT *, CAST(ntile(5) OVER (ORDER BY proj, c_custkey) AS INT) AS region_id FROM p)
 SELECT region_id, count(*) AS n, round(min(x_m), 6) AS x_lo, round(max(x_m), 6) AS x_hi, 'principal_axis' AS method FROM n GROUP BY 1""")
 def m08(spark, sf):
-    t = telemetry(spark, sf).select("joint_idx", "x_m", "y_m")
-    d, method = build_regions(t, 5, 10 ** 9, "joint_idx", [1])
-    return d.groupBy("region_id").agg(F.count("*").alias("n"), rnd(F.min("x_m")).alias("x_lo"), rnd(F.max("x_m")).alias("x_hi")).withColumn("method", F.lit(method))
+    """Customers are too few for regions of their own up to scale 0.1."""
+    c = table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal").cast("double") / 100).alias("x_m"),
+                                            ((F.col("c_custkey") * 37 % 240).cast("double") / 10).alias("y_m"))
+    return built(c, "c_custkey")
+
+
+@query("m08_region_build_kmeans")
+def m08k(spark, sf):
+    """Line items fill five regions from scale 0.01 on."""
+    l = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"),
+                                            F.col("l_quantity").cast("double").alias("x_m"), (F.col("l_discount").cast("double") * 400).alias("y_m"))
+    return built(l, "line_id")
 
 
 @query("m09_session_effect")
@@ -126,7 +151,7 @@ def m09(spark, sf):
     d = three_way_split(modelling_table(spark, sf), ["session_id"], ["us", "joint_idx"], time_bucket("us", 86400))
     d = stored(d.withColumn("is_s0", (F.col("session_id") == "s0").cast("tinyint")).withColumn("is_s1", (F.col("session_id") == "s1").cast("tinyint")))
     feats = VARIANTS["noscan"] + ["is_s0", "is_s1"]
-    m = fit_booster(d, feats, "signal", QUICK)
+    m = fit_booster(d, feats, "signal", MAIN)
     lng = long_contributions(contributions(m, d.filter("split = 'test'"), feats, "signal", ["joint_idx"]), feats, ["joint_idx"]).withColumn("fold", F.lit("all"))
     g = [(f, "session" if f.startswith("is_s") else "other") for f in feats]
     return group_importance(lng, F.broadcast(spark.createDataFrame(g, "feature string, grp string")))  # nine fixed rows

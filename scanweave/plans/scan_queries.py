@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scanweave.functions.arrays import Beams, cosine, masked, rmse
+from scanweave.functions.arrays import Beams, cosine, kept_slots, masked, rmse
 from scanweave.functions.exprs import cell, rnd
 from scanweave.operators.cells import with_cells
 from scanweave.operators.quantiles import exact_quantiles
 from scanweave.operators.scans import (beam_masks, beam_profiles, beam_statistics, common_heading, near_share_toward,
-                                       profile_distance, scan_scalars, sector_features, split_half, target_geometry)
+                                       profile_distance, scan_bitmaps, scan_scalars, sector_features, split_half,
+                                       target_geometry, usable_slots)
 from scanweave.plans.registry import query
 from scanweave.session import stored
 from scanweave.plans.views import AP, JOINT, SCAN, TEL, events, joint, scan, table, telemetry, transmitters
@@ -88,23 +89,30 @@ def v05(spark, sf):
 
 
 CONE = f"""
-cone AS (SELECT joint_idx, count(*) FILTER (mm < 1000)/count(*) AS near_toward FROM (SELECT joint_idx, bearing, generate_subscripts(distances, 1) - 1 AS slot,
-  unnest(distances) AS mm FROM geo WHERE in_view) WHERE {OK} AND abs((-110 + 3.5*slot) - degrees(bearing)) <= 15 GROUP BY 1)"""
+cone AS (SELECT joint_idx, count(*) FILTER (mm < 1000)/count(*) AS near_toward FROM geo CROSS JOIN (SELECT count(*) AS n_scan FROM embeddings) c
+  JOIN beam ON beam.scan_row = geo.joint_idx % c.n_scan WHERE in_view AND {OK} AND abs((-110 + 3.5*slot) - degrees(bearing)) <= 15 GROUP BY 1)"""
+
+
+def scan_of(spark, sf):
+    """Telemetry with the number of the scan each row refers to, and the transmitter's geometry."""
+    n = table(spark, sf, "embeddings").select(F.count("*")).scalar()
+    return geometry(telemetry(spark, sf).withColumn("scan_row", F.col("joint_idx") % n), spark)
 
 
 def cone(spark, sf):
-    return near_share_toward(geometry(joint(spark, sf), spark), BEAMS, 15.0, NEAR, "near_toward")
+    bits = scan_bitmaps(scan(spark, sf), BEAMS, NEAR).select("scan_row", "ok_bits", "near_bits")
+    return near_share_toward(scan_of(spark, sf).join(bits, "scan_row"), BEAMS, 15.0, "near_toward")
 
 
 @query("v04_cone_aggregate", f"""
-WITH {JOINT}, {AP}, {GEO.format(src="joint")}, {CONE}
+WITH {TEL}, {SCAN}, {AP}, {GEO.format(src="tel")}, {CONE}
 SELECT g.joint_idx, round(near_toward, 6) AS near_toward FROM geo g LEFT JOIN cone USING (joint_idx)""")
 def v04(spark, sf):
     return cone(spark, sf).select("joint_idx", rnd("near_toward").alias("near_toward"))
 
 
 @query("q08_geometry_identities", f"""
-WITH {JOINT}, {AP}, {GEO.format(src="joint")}, {CONE}
+WITH {TEL}, {SCAN}, {AP}, {GEO.format(src="tel")}, {CONE}
 SELECT count(*) AS n, max(abs(sin_b*sin_b + cos_b*cos_b - 1)) < 1e-9 AS unit_circle, count(*) FILTER (NOT in_view) AS n_out,
   count(*) FILTER (NOT in_view AND near_toward IS NOT NULL) AS n_bad FROM geo LEFT JOIN cone USING (joint_idx)""")
 def q08(spark, sf):
@@ -189,6 +197,59 @@ def pair_profiles(spark, sf):
     return profile_distance(a, b, ["cx", "cy"], 20).join(best, ["cx", "cy"])
 
 
+# A scanner that sees the whole circle, its valid sector, uneven sectors, and the mask that its beams' statistics give.
+RING, VIEW, BOUNDS = Beams(-180.0, 5.625, 64), (-25.0, 160.0), [(-180.0, -120.5), (-120.5, -40.0), (-40.0, 40.0), (40.0, 174.375)]
+MASK = f"""
+{BEAM_STATS.strip()},
+mask AS (SELECT slot FROM bs WHERE NOT (zero_frac > 0.06 OR coalesce(median_mm < 1500 AND sd_mm < 1200, false) OR slot >= 60)),
+seen AS (SELECT beam.*, -180 + 5.625*slot AS deg, {OK} AND slot IN (SELECT slot FROM mask) AS ok FROM beam)"""
+
+
+def learned_mask(spark, sf):
+    return usable_slots(beam_masks(beam_statistics(scan(spark, sf), []), 0.06, 1500, 1200, 60))
+
+
+@query("f03_masked_readings", f"""
+WITH {SCAN}, {MASK} SELECT scan_row, count(*) FILTER (ok) AS n_present, CAST(sum(mm) FILTER (ok) AS BIGINT) AS total, count(*) FILTER ({OK}) AS n_unmasked FROM seen GROUP BY 1""")
+def f03_masked(spark, sf):
+    d = scan(spark, sf).select("scan_row", F.arrays_zip(masked(kept_slots("distances", learned_mask(spark, sf))).alias("a"), masked("distances").alias("b")).alias("z"))
+    d = d.select("scan_row", F.inline("z"))
+    return d.groupBy("scan_row").agg(F.count("a").alias("n_present"), F.sum("a").alias("total"), F.count("b").alias("n_unmasked"))
+
+
+@query("v01_masked_scan_scalars", f"""
+WITH {SCAN}, {MASK} SELECT scan_row, count(*) FILTER (ok) AS n_valid, round(avg(mm) FILTER (ok), 6) AS mean_mm, round(quantile_cont(mm, 0.9) FILTER (ok), 6) AS p90_mm,
+ round(count(*) FILTER (ok AND mm < 1000)/greatest(count(*) FILTER (ok), 1), 6) AS near_frac, round(count(*) FILTER (ok AND mm > 4000)/greatest(count(*) FILTER (ok), 1), 6) AS open_frac,
+ round(avg(mm) FILTER (ok AND deg BETWEEN -25 AND 30), 6) AS mean_front_mm FROM seen GROUP BY 1""")
+def v01_masked(spark, sf):
+    d = scan_scalars(scan(spark, sf), RING, NEAR, FAR, CLIP, usable=learned_mask(spark, sf), view=VIEW)
+    return d.select("scan_row", F.col("n_valid").cast("long").alias("n_valid"), *[
+        rnd(c).alias(c) for c in ("mean_mm", "p90_mm", "near_frac", "open_frac", "mean_front_mm")])
+
+
+@query("v03_sectors_from_bounds", f"""
+WITH {SCAN}, {MASK} SELECT scan_row, """ + ", ".join(
+    f"count(*) FILTER (ok AND deg >= {lo} AND deg {'<=' if i == len(BOUNDS) else '<'} {hi}) AS n_s{i}, round(avg(mm) FILTER (ok AND deg >= {lo} AND deg {'<=' if i == len(BOUNDS) else '<'} {hi}), 6) AS mean_s{i}, "
+    f"round(count(*) FILTER (ok AND mm < 1000 AND deg >= {lo} AND deg {'<=' if i == len(BOUNDS) else '<'} {hi})/nullif(count(*) FILTER (ok AND deg >= {lo} AND deg {'<=' if i == len(BOUNDS) else '<'} {hi}), 0), 6) AS near_s{i}"
+    for i, (lo, hi) in enumerate(BOUNDS, 1)) + " FROM seen GROUP BY 1")
+def v03_bounds(spark, sf):
+    d = sector_features(scan(spark, sf), RING, BOUNDS, NEAR, usable=learned_mask(spark, sf))
+    return d.select("scan_row", *[c for i in range(1, len(BOUNDS) + 1) for c in (
+        F.col(f"n_s{i}").cast("long").alias(f"n_s{i}"), rnd(f"mean_s{i}").alias(f"mean_s{i}"), rnd(f"near_s{i}").alias(f"near_s{i}"))])
+
+
+@query("v04_circular_cone_in_sector", f"""
+WITH {TEL}, {SCAN}, {AP}, {GEO.format(src="tel")}, {MASK}, hit AS (SELECT joint_idx, count(*) FILTER (mm < 1000)/count(*) AS near_toward, count(*) AS n_slots
+  FROM geo CROSS JOIN (SELECT count(*) AS n_scan FROM embeddings) c JOIN seen ON seen.scan_row = geo.joint_idx % c.n_scan
+  WHERE ok AND deg BETWEEN -25 AND 160 AND abs(deg - degrees(bearing) - 360*round((deg - degrees(bearing))/360)) <= 40 GROUP BY 1)
+SELECT g.joint_idx, round(near_toward, 6) AS near_toward, abs(degrees(bearing)) > 140 AS wraps FROM geo g LEFT JOIN hit USING (joint_idx)""")
+def v04_ring(spark, sf):
+    bits = scan_bitmaps(scan(spark, sf), RING, NEAR, learned_mask(spark, sf)).select("scan_row", "ok_bits", "near_bits")
+    d = scan_of(spark, sf).withColumn("in_view", F.lit(True)).join(bits, "scan_row")
+    d = near_share_toward(d, RING, 40.0, "near_toward", VIEW)
+    return d.select("joint_idx", rnd("near_toward").alias("near_toward"), (F.abs(F.degrees("bearing")) > 140).alias("wraps"))
+
+
 @query("a21_beam_profile_comparison", f"""
 WITH {JOINT}, {PROFILE} SELECT cx, cy, hb, n_a, n_b, n_beams, round(rmse, 5) AS rmse, round(cosine, 6) AS cosine FROM cmp JOIN pick USING (cx, cy)""")
 def a21(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scanweave.functions.exprs import PI, clip, rnd, time_bucket
 from scanweave.operators.sequence import (angular_rate, backfill_leading, discontinuities, episode_mask,
                                           motion_signature, rolling_mean, sample_gaps, stop_episodes, true_runs)
-from scanweave.operators.timeline import neighbours
+from scanweave.operators.timeline import density_chunks, neighbours
 from scanweave.plans.registry import query
 from scanweave.plans.views import scan, telemetry, TEL, SCAN
 
@@ -29,7 +29,8 @@ WITH {TEL}, d AS (SELECT session_id, (us - lag(us) OVER (PARTITION BY session_id
 SELECT session_id, count(*) FILTER (dt > 600) AS n_gaps, round(sum(dt) FILTER (dt > 600), 4) AS gap_s,
   round(max(dt), 6) AS longest_s FROM d GROUP BY 1""")
 def w02(spark, sf):
-    d = sample_gaps(telemetry(spark, sf), ["session_id"], "us", "joint_idx", DAY)
+    t = density_chunks(telemetry(spark, sf).select("session_id", "us", "joint_idx"), ["session_id"], "us")
+    d = sample_gaps(t, ["session_id"], "us", "joint_idx", "_ck")
     gap = F.when(F.col("dt_s") > 600, F.col("dt_s"))
     return d.groupBy("session_id").agg(F.count(gap).alias("n_gaps"), rnd(F.sum(gap), 4).alias("gap_s"),
                                        rnd(F.max("dt_s")).alias("longest_s"))
@@ -44,8 +45,8 @@ rate AS (SELECT *, CASE WHEN dt > 0 THEN least(greatest(dw/dt*60, -pi()), pi())
 
 def turn(spark, sf):
     # The stream is sparse, so the rate is per minute here.
-    t = telemetry(spark, sf)
-    d = angular_rate(t, ["session_id"], "us", "joint_idx", "heading_rad", DAY)
+    t = density_chunks(telemetry(spark, sf), ["session_id"], "us")
+    d = angular_rate(t, ["session_id"], "us", "joint_idx", "heading_rad", "_ck").drop("_ck")
     return d.withColumn("turn_rate", clip(F.col("turn_rate") * 60, -PI, PI))
 
 
@@ -59,7 +60,7 @@ def w03(spark, sf):
 WITH {TEL}, {RATE} SELECT joint_idx, session_id, round(avg(turn_rate) OVER (PARTITION BY session_id ORDER BY us
   RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW), 6) AS turn_rate_mean FROM rate""")
 def w04(spark, sf):
-    d = rolling_mean(turn(spark, sf), ["session_id"], "us", "turn_rate", 6 * 3600, DAY, "m")
+    d = rolling_mean(turn(spark, sf).select("joint_idx", "session_id", "us", "turn_rate"), ["session_id"], "us", "turn_rate", 6 * 3600, "m")
     return d.select("joint_idx", "session_id", rnd("m").alias("turn_rate_mean"))
 
 

@@ -1,6 +1,7 @@
 """Hand cases: ties, nulls, empty and single-row groups, hot keys, second formulations."""
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from scanweave.functions import arrays, exprs, tails
-from scanweave.operators import asof, cells, evaluation, models, quality, quantiles, rules, sampling, sequence, signal, stats, timeline
+from scanweave.operators import asof, cells, evaluation, models, quality, quantiles, rules, sampling, scans, sequence, signal, stats, timeline
 from scanweave.sources import tables, text
 
 
@@ -125,10 +126,57 @@ def test_interval_overlap_last_wins_and_bounds_are_closed(spark):
 
 def test_rolling_mean_crosses_chunks(spark):
     d = spark.createDataFrame([(i, "k", i * 300_000, float(i)) for i in range(20)], "id long, k string, us long, v double")
-    got = rows(sequence.rolling_mean(d, ["k"], "us", "v", 0.6, 1.0, "m").select("id", "m"), "id")
+    got = rows(sequence.rolling_mean(d, ["k"], "us", "v", 0.6, "m", 3).select("id", "m"), "id")
     assert got == [(i, float(i) if i == 0 else i - 0.5) for i in range(20)]
 
 
+def test_rolling_mean_against_brute_force_with_crowds_nulls_and_ties(spark):
+    rng = random.Random(3)
+    data = [(i, i % 2, rng.choice([0, 50_000, 10**6]) + rng.randrange(30) * 1000, rng.choice([None, 1e5, 0.1, -3.25, 1e-6])) for i in range(400)]
+    d = spark.createDataFrame(data, "id long, k int, us long, v double")
+    want = []
+    for i, k, t, _ in data:
+        w = [v for _, kk, u, v in data if kk == k and t - 20_000 < u <= t and v is not None]
+        want.append((i, pytest.approx(math.fsum(w) / len(w), abs=1e-9) if w else None))
+    for rows_each in (9, 10**6):
+        got = sequence.rolling_mean(d, ["k"], "us", "v", 0.02, "m", rows_each).select("id", "m")
+        assert rows(got, "id") == want
+    assert sequence.rolling_mean(d.limit(0), ["k"], "us", "v", 0.02, "m").count() == 0
+
+
+def test_sample_sends_only_rows_below_the_mark(spark):
+    d = spark.range(60_000).select("id", (F.col("id") % 3 == 0).alias("g"))
+    for keys in (["g"], []):
+        want = rows(sampling.hash_rank(d, keys, "s", "id").filter("rn <= 200").select("id"), "id")
+        assert rows(sampling.sample_exact(d, keys, "s", "id", 200).select("id"), "id") == want
+        assert rows(sampling.sample_exact(d, keys, "s", "id", 200, most_keys=0).select("id"), "id") == want
+    small = spark.createDataFrame([(1, None), (2, None), (3, True)], "id long, g boolean")
+    assert rows(sampling.sample_exact(small, ["g"], "s", "id", 2).select("id"), "id") == [(1,), (2,), (3,)]
+    plan = sampling.sample_exact(d, ["g"], "s", "id", 200)
+    plan.collect()
+    moved = [int(m) for m in re.findall(r"shuffle records written: (\d+)", plan._jdf.queryExecution().executedPlan().toString())]
+    assert all(m < 2000 for m in moved)
+
+
+def test_chunks_grow_in_number_with_the_rows(spark):
+    from scanweave.plans.views import telemetry
+    n = [timeline.density_chunks(telemetry(spark, f"/root/testdata/{sf}").select("session_id", "us"), ["session_id"], "us")
+         .select("session_id", "_ck").distinct().count() for sf in ("sf0.01", "sf0.1")]
+    assert n[1] >= 5 * n[0] >= 15
+
+
+def test_folds_number_the_rows_of_a_group_once(spark):
+    t = spark.range(1000).select("id", (F.col("id") % 2).alias("g"), (F.col("id") * 7 % 1000).alias("us"))
+    f = spark.createDataFrame([("A", 0, "test", 1), ("A", 1, "train", 3), ("B", 1, "train", 1)], "fold string, g long, role string, keep_every int")
+    got = sampling.group_out_folds(t, f, "g", "us", "id", F.lit(0))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 2  # the rows and the chunks' sums
+    n = {(r.fold, r.split): r["count"] for r in got.groupBy("fold", "split").count().collect()}
+    assert n == {("A", "test"): 500, ("A", "train"): 150, ("A", "val"): 17, ("B", "train"): 450, ("B", "val"): 50}
+    late = got.filter("fold = 'A' AND g = 1").groupBy("split").agg(F.min("us").alias("a"), F.max("us").alias("z")).collect()
+    edge = {r.split: (r.a, r.z) for r in late}
+    assert edge["train"][1] < edge["val"][0]
+
+
 def test_backfill_only_before_first_value(spark):
     d = spark.createDataFrame([("k", 1, None), ("k", 2, 5.0), ("k", 3, None), ("e", 1, None)], "k string, t long, v double")
     assert rows(sequence.backfill_leading(d, ["k"], ["t"], "v").select("k", "t", "v"), "k", "t") == [
@@ -441,3 +489,59 @@ def test_regions_fall_back_to_axis(spark):
     assert how in ("kmeans", "principal_axis") and r.select("region_id").distinct().count() == 5
     r, how = models.build_regions(d, 5, 1000, "id", [1])
     assert how == "principal_axis" and sorted(x["count"] for x in r.groupBy("region_id").count().collect()) == [10] * 5
+
+
+def test_bitmaps_count_slots_over_words_masks_and_wraps(spark):
+    rng = random.Random(2)
+    beams = arrays.Beams(-180.0, 2.0, 180)  # three words, the whole circle
+    data = [(i, [rng.choice([0, 65535, 200, 900, 1500]) for _ in range(190)], rng.uniform(-180, 180)) for i in range(60)]
+    usable = [rng.random() < 0.8 for _ in range(190)]
+    d = spark.createDataFrame(data, "id long, distances array<int>, deg double").withColumn("bearing", F.radians("deg")).withColumn("in_view", F.lit(True))
+    for mask in (None, usable):
+        for limits in (None, (-50.0, 174.0)):
+            b = scans.scan_bitmaps(d, beams, 1000, mask)
+            got = rows(scans.near_share_toward(b, beams, 33.0, "s", limits).select("id", F.round("s", 9).alias("s")), "id")
+            for (i, mm, deg), (_, s) in zip(data, got):
+                cone = [mm[k] for k in range(180) if (mask is None or mask[k]) and mm[k] not in (0, 65535)
+                        and abs((-180 + 2 * k - deg + 180) % 360 - 180) <= 33 and (limits is None or limits[0] <= -180 + 2 * k <= limits[1])]
+                assert s == (round(sum(x < 1000 for x in cone) / len(cone), 9) if cone else None)
+    w = spark.range(1).select(arrays.bits_between(arrays.mask_words([True] * 130), F.lit(60), F.lit(129)).alias("a"),
+                              arrays.bits_between(arrays.mask_words([True] * 130), F.lit(5), F.lit(4)).alias("b")).first()
+    assert w.a == 70 and w.b == 0
+
+
+def test_sector_bounds_are_half_open_but_the_last():
+    b = arrays.Beams(-10.0, 5.0, 5)
+    assert b.sector_slots([(-10, 0), (0, 10)]) == [(0, 1), (2, 4)] and b.sector_slots([(-90, -20), (-10, -10)]) == [(0, -1), (0, 0)]
+
+
+def test_early_stop_ends_a_fit_before_its_bound(spark):
+    d = spark.range(3000).select("id", (F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"),
+                                 F.when(F.col("id") % 10 == 0, "val").otherwise("train").alias("split"))
+    d = d.withColumn("y", F.col("a") * 2 + F.col("b") ** 2 + F.pmod(F.xxhash64("id"), F.lit(100)) / 50).cache()
+    m = models.fit_booster(d, ["a", "b"], "y", models.Settings(depth=4, step=0.2, rounds=500, row_share=1.0))
+    assert 5 < m.stages[-1].getNumTrees < 100
+    p = models.ablation(d.withColumn("fold", F.lit("f")).withColumn("split", F.when(F.col("id") % 7 == 0, "test").otherwise(F.col("split"))),
+                        ["f"], {"one": ["a"], "two": ["a", "b"]}, "y", ["id"], {"x": models.Settings(3, 0.3, 500, 1.0)})
+    r = {x.variant: x.e for x in p.groupBy("variant").agg(F.sqrt(F.avg(F.col("residual") ** 2)).alias("e")).collect()}
+    assert r["two"] < 1.5 < 4 < r["one"]
+
+
+def test_equal_chunks_of_one_value_have_even_tasks(spark):
+    d = spark.range(30_000).select("id", F.lit(1.5).alias("v"))
+    c = timeline.density_chunks(d, [], "v", "ck", 1000, tie="id")
+    n = [r["count"] for r in c.groupBy("ck").count().collect()]
+    assert sum(n) == 30_000 and max(n) <= 2000
+    mixed = spark.range(20_000).select("id", F.when(F.col("id") % 2 == 0, 0.5).otherwise(F.col("id") / 20_000).alias("v"))
+    got = rows(sampling.equal_chunks(mixed, "v", "id", 7, 700).select("id", "part"), "id")
+    p = mixed.toPandas().sort_values(["v", "id"]).reset_index(drop=True)
+    want = sorted((int(i), k + 1) for k, part in enumerate(np.array_split(p.id.to_numpy(), 7)) for i in part)
+    assert got == want
+
+
+def test_many_starts_of_kmeans_fold_positions(spark):
+    rng = np.random.default_rng(4)
+    xy = np.concatenate([rng.normal(c, 0.3, (200, 2)).round(1) for c in ((0, 0), (5, 1), (2, 8))])
+    got = models.kmeans_centroids(spark.createDataFrame(pd.DataFrame(xy, columns=["x_m", "y_m"])), 3, list(range(1, 11)))
+    assert [k for k, _, _ in got] == [1, 2, 3]
+    assert np.allclose([[x, y] for _, x, y in got], sorted(xy[i:i + 200].mean(axis=0).tolist() for i in (0, 200, 400)), atol=1e-6)

@@ -8,6 +8,8 @@ from check import compare, duck
 
 SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
+#: Streams of the smallest scale are too sparse for these.
+MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -37,4 +39,4 @@ def test_entry_runs(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     status, _, note = compare(spark, con, name, QUERIES[name], SQL.get(name), SF)
-    assert status in ("ok", "rows", "EMPTY"), note
+    assert status in ("ok", "rows") or status == "EMPTY" and name in MAY_BE_EMPTY, note
