@@ -114,16 +114,32 @@ def test_op2_windows_and_whole(spark, docs, odd):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
-def test_op2_less_than_one_block_from_the_share(spark):
-    w = spark.createDataFrame([("a", 0.5), ("b", 0.3), ("c", 0.15), ("d", 0.05)], "source string, weight double")
-    plan = mixing.period_schedule(w, 40).orderBy("slot").collect()
-    assert [r.slot for r in plan] == list(range(40))
-    share, done = {r.source: r.quota / 40 for r in plan}, Counter()
+@pytest.mark.parametrize("weights,within", [
+    ({"a": 0.9, "b": 0.1}, 1), ({"a": 0.98, "b": 0.01, "c": 0.005, "d": 0.005}, 1), ({"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}, 1),
+    ({"a": 3.0, "b": 2.0, "c": 2.0}, 2), ({f"s{i}": (i + 1) ** 0.5 for i in range(23)}, 2), ({"a": 1.0}, 1), ({"a": 10_000.0, "b": 3.0}, 2)])
+def test_op2_less_than_a_block_from_the_target_weights(spark, weights, within):
+    w = spark.createDataFrame(list(weights.items()), "source string, weight double")
+    shared, total = mixing.shares(w), sum(weights.values())
+    length, periods = mixing.period_length(min(weights.values()) / total, 1000), 8
+    plan = mixing.schedule(shared, periods, length).orderBy("slot").collect()
+    assert [r.slot for r in plan] == list(range(periods * length))
+    share, done, order = {k: v / total for k, v in weights.items()}, Counter(), {}
     for t, r in enumerate(plan, 1):
+        assert r.release <= r.slot < r.deadline and r.block == done[r.source]
         done[r.source] += 1
-        assert all(abs(done[s] - share[s] * t) < 1 for s in share)
-    with pytest.raises(Exception, match="more sources"):
-        mixing.period_schedule(w, 3).collect()
+        assert all(abs(done[s] - share[s] * t) < within + 1e-6 for s in share)
+    exact = {k: v * periods * length / total for k, v in weights.items()}
+    assert all(abs(done[k] - exact[k]) < 1 for k in exact)
+
+
+def test_op2_many_sources_and_bad_weights(spark):
+    d = spark.range(2400).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 1200).cast("string")).alias("source"))
+    got = mixing.mix(d, block=1)
+    assert got.select("slot").distinct().count() == 2400 and got.agg(F.max("slot")).first()[0] < 6000
+    with pytest.raises(Exception, match="above 0"):
+        mixing.shares(spark.createDataFrame([("a", 0.0), ("b", 1.0)], "source string, weight double")).collect()
+    with pytest.raises(Exception, match="no weight for source s1"):
+        mixing.mix(d.where("source in ('s0', 's1')"), spark.createDataFrame([("s0", 1.0)], "source string, weight double")).collect()
 
 
 # ---- op3 -----------------------------------------------------------------------------------------------------
