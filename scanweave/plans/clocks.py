@@ -235,17 +235,19 @@ def w18(spark, sf):
                     rnd(F.col("t1") - F.col("t2")).alias("diff"), ci_overlap("t1", "s1", "t2", "s2").alias("agree"))
 
 
+# Lag sums of each replicate as inner products of its shifted lists.
 BOOT = GRID + """,
 bn AS (SELECT session_id, max(k) + 1 AS n FROM sig GROUP BY 1 HAVING max(k) + 1 > 48),
 br AS (SELECT session_id, n, unnest(range(1, 501)) AS rep FROM bn),
 bi AS (SELECT *, unnest(range(0, CAST(ceil(n/48) AS BIGINT))) AS i FROM br),
 bs AS (SELECT *, CAST(floor(CAST(('0x' || substr(md5(concat_ws('|', 'blocks', session_id, rep, i)), 1, 8)) AS UBIGINT)/4294967296.0*(n - 48 + 1)) AS BIGINT) AS s FROM bi),
 bp AS (SELECT session_id, rep, s + j AS sk, i*48 + j AS k FROM (SELECT *, unnest(range(0, 48)) AS j FROM bs) WHERE i*48 + j < n),
-bd AS (SELECT bp.session_id, rep, bp.k, sig.z_a, sig.z_b FROM bp JOIN sig ON sig.session_id = bp.session_id AND sig.k = bp.sk)""" + "," + rho_sql(
-    "bd2", "session_id, rep") + "," + peak_sql("session_id, rep")
-BOOT = BOOT.replace("bst AS", "st AS").replace("JOIN sig ON sig.session_id = bp.session_id AND sig.k = bp.sk)", """JOIN sig ON sig.session_id = bp.session_id AND sig.k = bp.sk),
-bd2 AS (SELECT session_id, rep, k, (z_a - avg(z_a) OVER p)/stddev_pop(z_a) OVER p AS z_a, (z_b - avg(z_b) OVER p)/stddev_pop(z_b) OVER p AS z_b FROM bd
-  WINDOW p AS (PARTITION BY session_id, rep))""")
+bd AS (SELECT bp.session_id, rep, bp.k, sig.z_a, sig.z_b FROM bp JOIN sig ON sig.session_id = bp.session_id AND sig.k = bp.sk),
+bl AS (SELECT session_id, rep, count(*) AS n, avg(z_a) AS ma, avg(z_b) AS mb, stddev_pop(z_a) AS sa, stddev_pop(z_b) AS sb, list(z_a ORDER BY k) AS a, list(z_b ORDER BY k) AS b
+  FROM bd GROUP BY 1, 2),
+bz AS (SELECT session_id, rep, n, sa*sb AS sd, list_transform(a, lambda x: x - ma) AS a, list_transform(b, lambda x: x - mb) AS b FROM bl),
+rho AS (SELECT session_id, rep, lag, CASE WHEN sd > 0 THEN CASE WHEN lag >= 0 THEN list_inner_product(a[1 + lag:], b[:n - lag]) ELSE list_inner_product(a[:n + lag], b[1 - lag:]) END/n/sd ELSE 0 END AS rho
+  FROM bz, (SELECT unnest(range(-24, 25)) AS lag) l),""" + peak_sql("session_id, rep")
 
 
 @query("a32_moving_block_bootstrap", f"""
