@@ -62,8 +62,8 @@ def rolling_mean(df: DataFrame, keys: list[str], us: str, value: str, window_s:
     base = d.groupBy(*part).agg(F.sum("_v").alias("_bv"), F.sum("_c").alias("_bc")).select(
         *part, F.coalesce(F.sum("_bv").over(before), F.lit(0)).alias("_bv"), F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_bc"))
     d = (d.withColumn("_sv", F.coalesce(F.sum("_v").over(upto), F.lit(0))).withColumn("_sc", F.sum("_c").over(upto))
-         .filter("_l IS NOT NULL").join(base, part))
-    total, held = F.col("_sv") + F.col("_bv"), F.col("_sc") + F.col("_bc")
+         .filter("_l IS NOT NULL").join(base, part, "left"))  # a null key is one chunk, with nothing before it
+    total, held = F.col("_sv") + F.coalesce("_bv", F.lit(0)), F.col("_sc") + F.coalesce("_bc", F.lit(0))
     return d.select(*keys, "_l.*", (total.cast("double") / F.when(held > 0, held)).alias(name)).select(*df.columns, name)
 
 
