@@ -260,7 +260,8 @@ def block_bootstrap(sig: DataFrame, keys: list[str], reps: int, length: int, max
     ma, mb, size = v[1] / v[0], v[2] / v[0], v[0]
     sd = F.sqrt(F.greatest(v[3] / size - ma * ma, F.lit(0.0))) * F.sqrt(F.greatest(v[4] / size - mb * mb, F.lit(0.0)))
     product = at(5 + max_lag, F.col("lag").cast("int")) - ma * sum_b - mb * sum_a + (size - far) * ma * mb
-    rho = d.filter(far <= size - 1).select(*keys, "rep", "lag", F.when(sd > 0, product / size / sd).otherwise(0.0).alias("rho"))
+    # nine digits: lags that tie but for rounding are told apart by their size alone, as in ``peak``
+    rho = d.filter(far <= size - 1).select(*keys, "rep", "lag", F.round(F.when(sd > 1e-9, product / size / sd).otherwise(0.0), 9).alias("rho"))
     return peak(rho, [*keys, "rep"], exclude)
 
 

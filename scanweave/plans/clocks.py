@@ -246,7 +246,7 @@ bd AS (SELECT bp.session_id, rep, bp.k, sig.z_a, sig.z_b FROM bp JOIN sig ON sig
 bl AS (SELECT session_id, rep, count(*) AS n, avg(z_a) AS ma, avg(z_b) AS mb, stddev_pop(z_a) AS sa, stddev_pop(z_b) AS sb, list(z_a ORDER BY k) AS a, list(z_b ORDER BY k) AS b
   FROM bd GROUP BY 1, 2),
 bz AS (SELECT session_id, rep, n, sa*sb AS sd, list_transform(a, lambda x: x - ma) AS a, list_transform(b, lambda x: x - mb) AS b FROM bl),
-rho AS (SELECT session_id, rep, lag, CASE WHEN sd > 0 THEN CASE WHEN lag >= 0 THEN list_inner_product(a[1 + lag:], b[:n - lag]) ELSE list_inner_product(a[:n + lag], b[1 - lag:]) END/n/sd ELSE 0 END AS rho
+rho AS (SELECT session_id, rep, lag, CASE WHEN sd > 1e-9 THEN round(CASE WHEN lag >= 0 THEN list_inner_product(a[1 + lag:], b[:n - lag]) ELSE list_inner_product(a[:n + lag], b[1 - lag:]) END/n/sd, 9) ELSE 0 END AS rho
   FROM bz, (SELECT unnest(range(-24, 25)) AS lag) l),""" + peak_sql("session_id, rep")
 
 
