@@ -127,6 +127,7 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     fill the sample. Only the subword counts of the sample leave the executors, at most 2**bits
     a text. With no rows there is no language and the model is empty.
     """
+    import pyarrow as pa
     ship(docs.sparkSession)
     d = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
@@ -146,15 +147,18 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
             at, n = [], []
             for bag in bags(raw, off, bits):
                 k = np.flatnonzero(bag)
-                at.append(k.astype("<i4").tobytes()), n.append(bag[k].astype("<f4").tobytes())
+                at.append(k.astype("<u2").tobytes()), n.append(np.minimum(bag[k], 65_535).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.binary()), pa.array(n, pa.binary()), b.column(2)],
                                              names=["lang", "at", "n", "h"])
 
     got = drawn.select("lang", "text", "h").mapInArrow(run, "lang string, at binary, n binary, h long").orderBy("h", "lang").toArrow()
     if not got.num_rows:
         return LanguageModel(bits=bits)
-    bag = [(np.frombuffer(a.as_py(), "<i4"), np.frombuffer(n.as_py(), "<f4")) for a, n in zip(got.column("at"), got.column("n"))]
-    return fit(bag, np.array([langs.index(x) for x in got.column("lang").to_pylist()]), langs, bits)
+    bag = [(np.frombuffer(a.as_py(), "<u2"), np.frombuffer(n.as_py(), "<u2")) for a, n in zip(got.column("at"), got.column("n"))]
+    label = np.array([langs.index(x) for x in got.column("lang").to_pylist()])
+    del got
+    pa.default_memory_pool().release_unused()  # the driver keeps no copy while it trains
+    return fit(bag, label, langs, bits)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
