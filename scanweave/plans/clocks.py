@@ -363,17 +363,18 @@ def w32(spark, sf):
 @query("f15_quality_flags", f"""
 WITH {RUNS}, s AS (SELECT r.*, count(*) AS n, 86400e6*count(*)/(max(us) - min(us)) AS per_day, avg(speed) FILTER (joint_idx % 2 = 0) - avg(speed) FILTER (joint_idx % 2 = 1) AS hd
   FROM rv r JOIN tel t USING (session_id, run_id) GROUP BY ALL)
-SELECT run_id, concat_ws('|', CASE WHEN per_day < 2.2 THEN 'low_rate' END, CASE WHEN sigma > 2.8 THEN 'unstable' END,
-  CASE WHEN abs(hd) > 0.1 THEN 'halves_disagree' END) AS flags FROM s""")
+SELECT run_id, concat_ws('|', CASE WHEN per_day < 2.2 THEN 'low_rate' END, CASE WHEN round(sigma, 9) > 2.8 THEN 'unstable' END,
+  CASE WHEN round(abs(hd), 9) > 0.1 THEN 'halves_disagree' END) AS flags FROM s""")
 def f15(spark, sf):
+    """Sums of doubles hang on the order of rows: compared to nine digits, a value on a threshold is not above it."""
     t = telemetry(spark, sf)
     even = F.col("joint_idx") % 2 == 0
     s = t.groupBy("run_id").agg(
         (86400e6 * F.count("*") / (F.max("us") - F.min("us"))).alias("per_day"),
         (F.stddev_samp("value") / F.sqrt(F.count("*"))).alias("sigma"),
         (F.avg(F.when(even, F.col("speed"))) - F.avg(F.when(~even, F.col("speed")))).alias("hd"))
-    return s.select("run_id", joined_flags([(F.col("per_day") < 2.2, "low_rate"), (F.col("sigma") > 2.8, "unstable"),
-                                            (F.abs("hd") > 0.1, "halves_disagree")]).alias("flags"))
+    return s.select("run_id", joined_flags([(F.col("per_day") < 2.2, "low_rate"), (rnd("sigma", 9) > 2.8, "unstable"),
+                                            (rnd(F.abs("hd"), 9) > 0.1, "halves_disagree")]).alias("flags"))
 
 
 @query("j18_attach_retention", f"""
