@@ -238,8 +238,8 @@ WITH {TEL}, lagged AS (SELECT *, heading_rad - lag(heading_rad) OVER w AS dh, (u
   FROM tel WINDOW w AS (PARTITION BY session_id ORDER BY us, joint_idx)),
 o AS (SELECT *, CASE WHEN dt > 60 AND dt < 3600 THEN abs((dh + pi() - 2*pi()*floor((dh + pi())/(2*pi())) - pi())/dt) ELSE 0 END AS w FROM lagged),
 cap AS (SELECT session_id, quantile_cont(w, 0.99) AS cap FROM o WHERE w > 0 GROUP BY 1)
-SELECT joint_idx, round(least(w, cap), 9) AS omega, round(abs(speed) + 0.25*least(w, cap), 8) AS signature
-FROM o JOIN cap USING (session_id)""")
+SELECT joint_idx, round(least(w, coalesce(cap, w)), 9) AS omega, round(abs(speed) + 0.25*least(w, coalesce(cap, w)), 8) AS signature
+FROM o LEFT JOIN cap USING (session_id)""")
 def w11(spark, sf):
     d = motion_signature(telemetry(spark, sf), ["session_id"], "us", "joint_idx", DAY, 0.25, 60, 3600)
     return d.select("joint_idx", rnd("omega", 9).alias("omega"), rnd("signature", 8).alias("signature"))
