@@ -101,6 +101,51 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     return g.groupBy(*keys).agg(*out)  # without keys and rows one row of nulls
 
 
+def values_at(df: DataFrame, wanted: list[tuple[int, int]], most: int = 100_000) -> list[tuple[float, int]]:
+    """The value at each (group, rank from 1) of ``df(_g, _v)`` without nulls, and how many rows of the group lie below it.
+
+    A reading counts the rows in and below the bracket of each rank, the next one narrows brackets of over ``most``
+    rows between approximate quantiles. Values inside the last brackets are folded to counts and ranked exactly.
+    For a few ranks: a few numbers of each reach the driver.
+    """
+    inside = lambda k: (F.col("_g") == wanted[k][0]) & ((F.col("_v") >= lo[k]) & (F.col("_v") <= hi[k]) if k in lo else F.lit(True))
+    lo, hi, fixed = {}, {}, set()
+    every = range(len(wanted))
+    while True:
+        counts = df.agg(*[F.count_if(inside(k)).alias(f"m{k}") for k in every], *[
+            F.count_if((F.col("_g") == wanted[k][0]) & (F.col("_v") < lo[k]) if k in lo else F.lit(False)).alias(f"b{k}") for k in every]).first()
+        m, below = [counts[f"m{k}"] for k in every], [counts[f"b{k}"] for k in every]
+        missed = [k for k in every if not below[k] < wanted[k][1] <= below[k] + m[k]]
+        if any(k not in lo for k in missed):
+            raise ValueError("a group has fewer rows than a rank wanted of it")
+        if missed:  # a sketch that was off: all rows of the group are ranked
+            for k in missed:
+                del lo[k], hi[k]
+            fixed.update(missed)
+            continue
+        wide = [k for k in every if m[k] > most and k not in fixed and not (k in lo and lo[k] == hi[k])]
+        if not wide:
+            break
+        share = {k: (wanted[k][1] - below[k] - 0.5) / m[k] for k in wide}
+        got = df.agg(*[F.percentile_approx(F.when(inside(k), F.col("_v")), [max(share[k] - 3 / ACCURACY, 0.0), min(share[k] + 3 / ACCURACY, 1.0)],
+                                           ACCURACY).alias(f"q{k}") for k in wide]).first()
+        for k in wide:
+            new = tuple(got[f"q{k}"])
+            if k in lo and new == (lo[k], hi[k]):
+                fixed.add(k)
+            lo[k], hi[k] = new
+    out = {k: (lo[k], below[k]) for k in every if k in lo and lo[k] == hi[k]}
+    rest = [k for k in every if k not in out]
+    if rest:
+        d = df.select("_v", F.explode(F.array_compact(F.array(*[F.when(inside(k), F.lit(k)) for k in rest]))).alias("_k"))
+        d = d.groupBy("_k", "_v").agg(F.count("*").alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy("_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+        need = F.coalesce(*[F.when(F.col("_k") == k, F.lit(wanted[k][1] - below[k])) for k in rest])
+        d = d.withColumn("_up", upto).filter((F.col("_up") >= need) & (F.col("_up") - F.col("_n") < need))
+        out |= {r["_k"]: (r["_v"], below[r["_k"]] + r["_up"] - r["_n"]) for r in d.collect()}
+    return [out[k] for k in every]
+
+
 def average_ranks(counts: DataFrame, keys: list[str], value: str, weight: str, name: str) -> DataFrame:
     """(keys, value, average rank) from the number of rows of each distinct value; copies share one rank.
 

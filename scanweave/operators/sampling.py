@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scanweave.functions.exprs import col, hash_order
-from scanweave.operators.timeline import density_chunks, row_position
+from scanweave.operators.quantiles import values_at
+from scanweave.operators.timeline import row_position
 
 
 def hash_rank(df: DataFrame, keys: list[str], seed: str, row_id: str, name: str = "rn", total: str = "n",
@@ -134,14 +135,27 @@ def block_shuffle(df: DataFrame, keys: list[str], seed: str, row_id: str, block:
 
 
 def equal_chunks(df: DataFrame, along: str, row_id: str, parts: int, rows_each: int | None = None) -> DataFrame:
-    """Labels 1..parts of equal size along a value, ties by id; the first parts take the remainder."""
-    d = density_chunks(df, [], along, "_bin", rows_each, tie=row_id)
-    d = row_position(d, [], [along, row_id], "_bin").drop("_bin")
-    base, extra = F.floor(F.col("n") / parts), F.col("n") % parts
-    big = extra * (base + 1)
-    part = F.when(F.col("rn") <= big, F.ceil(F.col("rn") / (base + 1))).otherwise(
-        extra + F.ceil((F.col("rn") - big) / F.when(base > 0, base)))
-    return d.withColumn("part", part.cast("int")).drop("rn", "n")
+    """Labels 1..parts of equal size along a value, ties by id; the first parts take the remainder.
+
+    Only the last row of each part is looked for, first its value, then its id among the rows of that value; a row's
+    label is the number of these it comes after. The rows themselves are read a few times and never move.
+    A null or NaN stands with the infinity at its end of the order. ``rows_each`` bounds the values ranked at once.
+    """
+    v = F.coalesce(F.col(along).cast("double"), F.lit(float("-inf")))
+    v = F.when(F.isnan(v), F.lit(float("inf"))).otherwise(v)
+    i = F.coalesce(F.col(row_id).cast("long"), F.lit(-(1 << 63)))
+    n, most = df.count(), rows_each or 100_000
+    ends = [k * (n // parts) + min(k, n % parts) for k in range(1, parts)]
+    wanted = [(0, r) for r in ends if 0 < r < n]
+    if not wanted:
+        return df.withColumn("part", (F.lit(1) + sum(r == 0 for r in ends)).cast("int"))
+    at = values_at(df.select(F.lit(0).alias("_g"), v.alias("_v")), wanted, most)
+    tied = sorted({x for x, _ in at})
+    group = F.coalesce(*[F.when(v == x, F.lit(k)) for k, x in enumerate(tied)])
+    rest = [(tied.index(x), r - below) for (x, below), (_, r) in zip(at, wanted)]
+    ids = values_at(df.select(group.alias("_g"), i.alias("_v")).filter("_g IS NOT NULL"), rest, most)
+    after = [(v > x) | ((v == x) & (i > last)) for (x, _), (last, _) in zip(at, ids)]
+    return df.withColumn("part", sum((a.cast("int") for a in after), F.lit(1 + sum(r == 0 for r in ends))).cast("int"))
 
 
 def principal_axis(df: DataFrame, x: str = "x_m", y: str = "y_m") -> tuple[Column, tuple]:

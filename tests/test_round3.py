@@ -1,6 +1,7 @@
 """Registered queries on small tables of odd shape, against their SQL."""
 import datetime
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -42,3 +43,29 @@ def test_motion_signature_of_a_dense_session(spark, folder):
     """A session without a gap of a minute has no rate and no cap; its rows stay."""
     got, want = both(spark, "w11_motion_signature", folder([(i, i, 0, i) for i in range(9)] + [(9 + i, 100 * i, 1, i) for i in range(9)]))
     assert got == want and len(got) == 18
+
+
+def test_an_id_under_several_keys_is_drawn_once(monkeypatch):
+    from scanweave.operators import stats
+    drawn, plain = [], stats.resampling_weights
+    monkeypatch.setattr(stats, "resampling_weights", lambda ids, *a: drawn.extend(ids) or plain(ids, *a))
+    ids, group = np.repeat(np.arange(700), 4), np.tile(np.arange(4), 700)
+    values = np.random.default_rng(3).normal(size=(2800, 2))
+    got = stats.drawn_sums(ids, group, values, 4, 20, 9).reshape(20, 4, 2)
+    assert len(drawn) == 700
+    for k in range(4):
+        assert np.allclose(got[:, k], plain(np.arange(700), 20, 9).T @ values[group == k])
+
+
+def test_equal_chunks_move_no_rows(spark):
+    """Crowded values, nulls, infinities and few rows: as a plain ntile, by a plan without an exchange of rows."""
+    from pyspark.sql import Window, functions as F
+    from scanweave.operators import sampling
+    odd = {3: None, 5: float("inf"), 6: float("-inf"), 8: None, 9: 0.5}
+    for n in (0, 1, 3, 6, 7, 2000):
+        data = [(i * 7919 % 10007, odd.get(i, float(i * i % 11))) for i in range(n)]
+        d = spark.createDataFrame(data, "id long, v double").coalesce(1)
+        plan = sampling.equal_chunks(d, "v", "id", 7, 50)
+        want = d.withColumn("part", F.ntile(7).over(Window.orderBy(F.coalesce("v", F.lit(float("-inf"))), "id")))
+        assert sorted(map(tuple, plan.select("id", "part").collect())) == sorted(map(tuple, want.select("id", "part").collect()))
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
