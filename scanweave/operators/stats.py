@@ -114,11 +114,21 @@ def resampling_weights(row_ids: np.ndarray, reps: int, seed: int) -> np.ndarray:
     return sum((u >= c).view(np.int8) for c in POISSON1).astype(np.float64)
 
 
+def drawn_sums(row_ids: np.ndarray, group: np.ndarray, values: np.ndarray, groups: int, reps: int, seed: int) -> np.ndarray:
+    """(reps, groups * columns): weighted sums of each group; an id that comes in several groups is drawn once."""
+    ids, line = np.unique(row_ids, return_inverse=True)
+    wide = np.zeros((len(ids), groups, values.shape[1]))
+    np.add.at(wide, (line, group), values)
+    wide = wide.reshape(len(ids), -1)
+    return sum(resampling_weights(ids[at:at + 512], reps, seed).T @ wide[at:at + 512] for at in range(0, len(ids), 512))
+
+
 def replicate_sums(df: DataFrame, keys: list[str], row_id: str, columns: list[str], reps: int, seed: int) -> DataFrame:
     """(keys, rep, w, columns): per replicate the sum of weights and the weighted sums.
 
     Rows are read once and not multiplied: a task keeps ``reps`` running sums a
-    key and passes on only these. A null value adds nothing; a null row id is
+    key and passes on only these. An id's weights are drawn once a batch, under
+    however many keys it comes. A null value adds nothing; a null row id is
     row 0. ``keys`` hold few distinct values (sessions, folds, strata).
     """
     ship(df.sparkSession)
@@ -136,14 +146,11 @@ def replicate_sums(df: DataFrame, keys: list[str], row_id: str, columns: list[st
             values = np.column_stack([np.ones(len(t)), t[columns].to_numpy(np.float64, na_value=0.0)])
             values = np.nan_to_num(values, nan=0.0, posinf=np.inf, neginf=-np.inf)
             group = t.groupby(keys, dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(t), int)
-            rows, ids = b.column(len(keys)).to_numpy(), np.unique(group, return_index=True)[1]
-            names = [tuple(b.column(k)[int(i)].as_py() for k in range(len(keys))) for i in ids]
-            for at in range(0, len(rows), 512):
-                w, g = resampling_weights(rows[at:at + 512], reps, seed), group[at:at + 512]
-                for k in np.unique(g):
-                    hit = g == k
-                    part = w[hit].T @ values[at:at + 512][hit]
-                    sums[names[k]] = sums[names[k]] + part if names[k] in sums else part
+            first_of = np.unique(group, return_index=True)[1]
+            names = [tuple(b.column(k)[int(i)].as_py() for k in range(len(keys))) for i in first_of]
+            total = drawn_sums(b.column(len(keys)).to_numpy(), group, values, len(names), reps, seed)
+            for k, part in enumerate(np.split(total, len(names), axis=1)):
+                sums[names[k]] = sums[names[k]] + part if names[k] in sums else part
         for name, total in sums.items():
             yield pa.RecordBatch.from_arrays(
                 [*[pa.array([v] * reps, first.field(k).type) for k, v in enumerate(name)], pa.array(np.arange(1, reps + 1, dtype=np.int32)),
