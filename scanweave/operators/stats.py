@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scanweave.functions.exprs import clip
 from scanweave.operators.quantiles import average_ranks
+from scanweave.operators.timeline import density_chunks
 from scanweave.session import ship, stored
 
 # Cumulative Poisson(1) probabilities.
@@ -75,10 +76,58 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, min_n: int = 2) ->
     W, X, Y = F.col("_w"), F.col("_rx"), F.col("_ry")
     g = p.groupBy(*keys).agg(F.sum("_w").alias("n"), F.sum(W * X).alias("sx"), F.sum(W * Y).alias("sy"),
                              F.sum(W * X * X).alias("sxx"), F.sum(W * Y * Y).alias("syy"), F.sum(W * X * Y).alias("sxy"))
+    return g.select(*keys, "n", _rho(min_n).alias("rho"))
+
+
+def _rho(min_n: int) -> Column:
+    """The correlation from n and the sums of two columns; null below ``min_n`` rows or without variance."""
     n = F.col("n")
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
     var = (F.col("sxx") - F.col("sx") ** 2 / n) * (F.col("syy") - F.col("sy") ** 2 / n)
-    return g.select(*keys, "n", F.when((n >= min_n) & (var > 0), cov / F.sqrt(var)).alias("rho"))
+    return F.when((n >= min_n) & (var > 0), cov / F.sqrt(var))
+
+
+def _count_ranks(rows: DataFrame, part: list[str], value: str, cells: list[str], name: str) -> DataFrame:
+    """(part, _ck, value, ``name``): the average rank of each value in each cell, an array; ``cells`` hold rows of a cell.
+
+    ``rows`` is cut in chunks ``_ck`` along the value; the rows below a chunk come from one row a chunk.
+    """
+    sums = [F.sum(c).alias(c) for c in cells]
+    below = Window.partitionBy(*part).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy(*part, "_ck").agg(*sums).select(*part, "_ck", F.array(*[F.coalesce(F.sum(c).over(below), F.lit(0)) for c in cells]).alias("_base"))
+    upto = Window.partitionBy(*part, "_ck").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.groupBy(*part, "_ck", value).agg(*sums).join(base, [*part, "_ck"]).select(*part, "_ck", value, F.array(*[
+        F.col("_base")[k] + F.sum(c).over(upto) - (F.col(c) - 1) / 2 for k, c in enumerate(cells)]).alias(name))
+
+
+def spearman_by_stratum(df: DataFrame, keys: list[str], strata: dict[str, Column], features: dict[str, str], y: str, min_n: int = 2) -> DataFrame:
+    """(keys, stratum, feature, n, rho): what ``spearman`` gives for each feature with ``y`` within each stratum.
+
+    A row stays one row: it goes to its place along ``y`` once, and all strata and features count their own rows on
+    that one order. Ranks of the features come from the counts of their distinct values.
+    """
+    xs, ss = [f"_x{j}" for j in range(len(features))], [f"_s{i}" for i in range(len(strata))]
+    cells = [(i, j, f"_i{i}_{j}") for i in range(len(strata)) for j in range(len(features))]
+    d = df.filter(F.col(y).isNotNull()).select(*keys, F.col(y).cast("double").alias("_y"), *[
+        F.col(c).cast("double").alias(x) for x, c in zip(xs, features.values())], *[
+        F.coalesce(c.cast("long"), F.lit(0).cast("long")).alias(s) for s, c in zip(ss, strata.values())])
+    d = stored(density_chunks(d, keys, "_y", "_ck"))
+    own = {c: F.when(F.col(xs[j]).isNotNull(), F.col(ss[i])).otherwise(0) for i, j, c in cells}
+    ry = _count_ranks(d.select(*keys, "_ck", "_y", *[v.alias(c) for c, v in own.items()]), keys, "_y", [c for _, _, c in cells], "_ry")
+    p = d.join(ry, [*keys, "_ck", "_y"]).drop("_ck")
+    values = d.select(*keys, *ss, F.inline(F.array(*[F.struct(F.lit(j).alias("_f"), F.col(x).alias("_v")) for j, x in enumerate(xs)])))
+    counts = stored(values.filter("_v IS NOT NULL").groupBy(*keys, "_f", "_v").agg(*[F.sum(s).alias(s) for s in ss]))
+    rx = _count_ranks(density_chunks(counts, [*keys, "_f"], "_v", "_ck"), [*keys, "_f"], "_v", ss, "_r")
+    for j, x in enumerate(xs):
+        p = p.join(rx.filter(F.col("_f") == j).select(*keys, F.col("_v").alias(x), F.col("_r").alias(f"_r{j}")), [*keys, x], "left")
+    names = [(s, f) for s in strata for f in features]
+    p = p.select(*keys, F.inline(F.filter(F.array(*[F.struct(
+        F.lit(s).alias("stratum"), F.lit(f).alias("feature"), (F.col(xs[j]).isNotNull() & (F.col(ss[i]) > 0)).alias("_in"),
+        F.col(f"_r{j}")[i].alias("_rx"), F.col("_ry")[k].alias("_ry")) for k, ((i, j, _), (s, f)) in enumerate(zip(cells, names))]), lambda c: c["_in"])))
+    X, Y = F.col("_rx"), F.col("_ry")
+    g = p.groupBy(*keys, "stratum", "feature").agg(
+        F.count("*").alias("n"), F.sum(X).alias("sx"), F.sum(Y).alias("sy"), F.sum(X * X).alias("sxx"), F.sum(Y * Y).alias("syy"), F.sum(X * Y).alias("sxy"))
+    return g.select(*keys, "stratum", "feature", "n", _rho(min_n).alias("rho"))
 
 
 def poisson_weight(u: str) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scanweave.functions.exprs import rnd
 from scanweave.operators.quantiles import exact_quantiles
 from scanweave.operators.stats import (choose_threshold, fit_position, histogram_saddle, line_fit, log_distance,
-                                       mixture_crossover, mixture_em, roc_sweep, spearman, replicate_sums, value_histogram)
+                                       mixture_crossover, mixture_em, roc_sweep, spearman, spearman_by_stratum, replicate_sums, value_histogram)
 from scanweave.plans.clocks import T_TAIL
 from scanweave.plans.registry import query
 from scanweave.plans.sequences import DISC, disc
@@ -192,13 +192,9 @@ sp AS (SELECT session_id, stratum, feature, count(*) AS n, CASE WHEN count(*) >=
 
 
 def strata(spark, sf):
-    t = telemetry(spark, sf)
-    s = t.withColumn("stratum", F.explode(F.array_compact(F.array(
-        F.lit("all"), F.when(F.col("speed") > 0.5, "moving"), F.when(F.col("x_m") < 1, "edge")))))
-    lng = s.select("session_id", "stratum", F.col("signal").alias("y"), F.inline(F.array(*[
-        F.struct(F.lit(n).alias("feature"), F.col(c).alias("x"))
-        for n, c in (("speed", "speed"), ("confidence", "confidence"), ("heading", "heading_rad"))])))
-    return spearman(lng, ["session_id", "stratum", "feature"], "x", "y", 170)
+    where = {"all": F.lit(True), "moving": F.col("speed") > 0.5, "edge": F.col("x_m") < 1}
+    features = {"speed": "speed", "confidence": "confidence", "heading": "heading_rad"}
+    return spearman_by_stratum(telemetry(spark, sf), ["session_id"], where, features, "signal", 170)
 
 
 @query("a14_spearman_by_stratum", f"WITH {TEL}, {STRATA} SELECT session_id, stratum, feature, n, round(rho, 6) AS rho FROM sp")
@@ -222,7 +218,8 @@ WITH {TEL}, {STRATA} SELECT stratum, session_id, feature, round(rho, 6) AS rho F
  (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY abs(rho) DESC, session_id, feature) AS rn FROM sp WHERE rho IS NOT NULL) WHERE rn = 1""")
 def w29(spark, sf):
     r = strata(spark, sf).filter("rho IS NOT NULL")
-    return r.groupBy("stratum").agg(F.max_by(F.struct("session_id", "feature", "rho"), F.abs("rho")).alias("m")).select(
+    first = F.struct((-F.abs("rho")).alias("o"), "session_id", "feature", "rho")
+    return r.groupBy("stratum").agg(F.min(first).alias("m")).select(
         "stratum", "m.session_id", "m.feature", rnd("m.rho").alias("rho"))
 
 

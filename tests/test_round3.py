@@ -69,3 +69,24 @@ def test_equal_chunks_move_no_rows(spark):
         want = d.withColumn("part", F.ntile(7).over(Window.orderBy(F.coalesce("v", F.lit(float("-inf"))), "id")))
         assert sorted(map(tuple, plan.select("id", "part").collect())) == sorted(map(tuple, want.select("id", "part").collect()))
         assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rank_correlation_by_stratum_multiplies_no_rows(spark, monkeypatch):
+    """As the plain one on rows repeated by stratum and feature; what is stored has a row a row."""
+    from pyspark.sql import functions as F
+    from scanweave.operators import stats
+    rng = np.random.default_rng(2)
+    n = 12_000
+    pick = lambda v: None if rng.random() < 0.1 else float(v)
+    data = [("a" if i % 3 else "b", pick(rng.integers(0, 40)), pick(rng.normal()), pick(round(rng.normal(), 2 if i % 2 else 9))) for i in range(n)]
+    d = spark.createDataFrame(data, "k string, u double, v double, y double").cache()
+    where = {"all": F.lit(True), "low": F.col("u") < 20, "none": F.col("u") > 99}
+    sizes, plain = [], stats.stored
+    monkeypatch.setattr(stats, "stored", lambda f: sizes.append(f.count()) or plain(f))
+    got = {r[:3]: r[3:] for r in map(tuple, stats.spearman_by_stratum(d, ["k"], where, {"u": "u", "v": "v"}, "y").collect())}
+    assert max(sizes) <= n + 41 * 2
+    long = d.select("k", "y", F.explode(F.array(*[F.when(c, s) for s, c in where.items()])).alias("s"), "u", "v").filter("s IS NOT NULL")
+    long = long.select("k", "y", "s", F.inline(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("x")) for f in "uv"])))
+    want = {r[:3]: r[3:] for r in map(tuple, stats.spearman(long, ["k", "s", "f"], "x", "y").collect())}
+    assert got.keys() == want.keys() and len(got) == 8
+    assert all(a[0] == want[k][0] and abs(a[1] - want[k][1]) < 1e-9 for k, a in got.items())
