@@ -76,3 +76,18 @@ def test_pipeline_keeps_the_values_of_clashing_columns(spark):
         rows = out.collect()
         assert len(rows) > 20 and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
         d = out
+
+
+def test_toxicity_thresholds_count_all_labelled_rows(spark, monkeypatch):
+    """More labelled rows than the sample: every one that was not learned from counts once."""
+    words = ["calm river stone", "vile hateful slur"]
+    d = spark.createDataFrame([(i, f"{words[i % 5 == 0]} word{i % 17} text {i}", int(i % 5 == 0)) for i in range(900)], "doc_id long, text string, toxic int")
+    model = langid.train(d.withColumn("lang", F.lit("en")), F.lit(True))
+    fitted, counted, fit, calibrate = [], [], toxicity.fit, toxicity._calibrate
+    monkeypatch.setattr(toxicity, "fit", lambda rows, *a, **k: (fitted.append(len(rows)), fit(rows, *a, **k))[1])
+    monkeypatch.setattr(toxicity, "_calibrate", lambda m, z, y, langs, w: (counted.append((w.sum(), w[y == 1].sum())), calibrate(m, z, y, langs, w)))
+    got = toxicity.train(d.select("doc_id", "text"), d.select("doc_id", "toxic"), F.col("doc_id") % 10 != 9, model, sample=100)
+    learned = fitted[0] - len(range(0, fitted[0], 4))
+    assert 40 <= fitted[0] < 300 and counted[-1][0] == 810 - learned and 100 < counted[-1][1] < 180
+    scored = toxicity.score(d, got, model).collect()
+    assert sum(r.predicted == r.toxic for r in scored) > 890
