@@ -10,7 +10,6 @@ from math import factorial
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -182,30 +181,96 @@ def long_contributions(wide: DataFrame, features: list[str], keep: list[str]) ->
 
 
 # ---- regions ------------------------------------------------------------
-def kmeans_centroids(df: DataFrame, k: int, seeds: list[int], x: str = "x_m", y: str = "y_m", rounds: int = 200) -> list[tuple[int, float, float]]:
-    """Best of several parallel k-means starts; labels 1..k ordered by centroid x, then y.
+def grid_position(c: str, step: float):
+    """Whole number of grid steps nearest to a position, halves upwards; null if it is null, NaN or infinite."""
+    v = F.col(c).cast("double")
+    return F.when(F.abs(v) < float("inf"), F.floor(v * round(1 / step) + 0.5))
 
-    Rows of one position are folded to a weight first, once for all starts.
+
+def lloyd_round(positions: DataFrame, starts: dict[int, np.ndarray]) -> dict[int, tuple[int, np.ndarray]]:
+    """One round of k-means for each start: the cost against its centroids and the centroids that follow.
+
+    Positions (x, y, w) are whole numbers and all sums are exact. Ties go to the centroid named first; a centroid is
+    the rounded-down mean of its rows and stays where it is without any.
     """
-    p = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().groupBy("x", "y").agg(F.count("*").cast("double").alias("w"))
-    d = stored(p)
-    d = VectorAssembler(inputCols=["x", "y"], outputCol="_x").transform(d).select("_x", "w").persist()
+    def tally(batches):
+        total = {s: [[0] * 5 for _ in c] for s, c in starts.items()}
+        for b in batches:
+            x, y, w = (b[c].to_numpy() for c in ("x", "y", "w"))
+            for s, centroids in starts.items():
+                d = np.stack([(x - px) ** 2 + (y - py) ** 2 for px, py in centroids])
+                label, d = d.argmin(axis=0), d.min(axis=0)
+                for k in range(len(centroids)):
+                    at = label == k
+                    v = w[at]
+                    for i, q in enumerate((1, x[at], y[at], d[at] >> 30, d[at] & (1 << 30) - 1)):
+                        total[s][k][i] += int((v * q).sum())
+        rows = [(s, k, *map(str, t)) for s, c in total.items() for k, t in enumerate(c)]
+        yield pd.DataFrame(rows, columns=["s", "k", "n", "sx", "sy", "high", "low"])
+
+    sums = [F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("n", "sx", "sy", "high", "low")]
+    found = positions.mapInPandas(tally, "s int, k int, n string, sx string, sy string, high string, low string").groupBy("s", "k").agg(*sums).collect()
+    cost, after = dict.fromkeys(starts, 0), {s: c.copy() for s, c in starts.items()}
+    for r in found:
+        cost[r.s] += (int(r.high) << 30) + int(r.low)
+        if r.n:
+            after[r.s][r.k] = int(r.sx) // int(r.n), int(r.sy) // int(r.n)
+    return {s: (cost[s], after[s]) for s in starts}
+
+
+def kmeans_grid(df: DataFrame, k: int, seeds: list[int], x: str, y: str, rounds: int, step: float) -> list[tuple[int, int, int]]:
+    """``kmeans_centroids`` in grid steps."""
+    p = df.select(grid_position(x, step).alias("x"), grid_position(y, step).alias("y")).dropna()
+    d = stored(p.groupBy("x", "y").agg(F.count("*").alias("w"))).persist()
     try:
-        best = min((KMeans(k=k, seed=s, featuresCol="_x", weightCol="w", maxIter=rounds, tol=1e-6).fit(d) for s in seeds),
-                   key=lambda m: m.summary.trainingCost)
+        if d.filter(F.greatest(F.abs("x"), F.abs("y")) > 1_000_000_000).head(1):
+            raise ValueError("positions beyond 10^9 grid steps: take a larger step")
+        named = lambda s: F.md5(F.concat_ws(":", F.lit(str(s)), F.col("x").cast("string"), F.col("y").cast("string")))
+        first = reduce(DataFrame.unionByName, [d.select(F.lit(s).alias("s"), named(s).alias("h"), "x", "y").orderBy("h").limit(k) for s in seeds]).collect()
+        going = {s: np.array([(r.x, r.y) for r in sorted((r for r in first if r.s == s), key=lambda r: r.h)]) for s in seeds}
+        ended = {}
+        for _ in range(rounds if first else 0):
+            moved = {}
+            for s, (cost, after) in lloyd_round(d, going).items():
+                ended[s] = cost, after
+                if (after != going[s]).any():
+                    moved[s] = after
+            going = moved
+            if not going:
+                break
     finally:
         d.unpersist()
-    pts = sorted((float(c[0]), float(c[1])) for c in best.clusterCenters())
-    return [(i, px, py) for i, (px, py) in enumerate(pts, 1)]
+    best = min(ended, key=lambda s: (ended[s][0], s)) if ended else None
+    return [(i, px, py) for i, (px, py) in enumerate(sorted(map(tuple, ended[best][1].tolist())), 1)] if ended else []
 
 
-def build_regions(df: DataFrame, k: int, min_rows: int, row_id: str, seeds: list[int]) -> tuple[DataFrame, str]:
-    """Region per row: k-means, or equal chunks along the main axis if a region is too small."""
-    centroids = kmeans_centroids(df, k, seeds)
-    d = df.withColumn("region_id", nearest_of(centroids).cast("int"))
-    smallest = d.groupBy("region_id").count().agg(F.min("count"), F.count("*")).first()
-    if smallest[0] is not None and smallest[0] >= min_rows and smallest[1] == k:
-        return d, "kmeans"
+def kmeans_centroids(df: DataFrame, k: int, seeds: list[int], x: str = "x_m", y: str = "y_m", rounds: int = 200,
+                     step: float = 1e-6) -> list[tuple[int, float, float]]:
+    """Best of several k-means starts; labels 1..k ordered by centroid x, then y.
+
+    Positions are rounded to a grid of ``step`` and folded to a weight, once for all starts; up to 10^9 steps from
+    0 all is exact, so the result doesn't hang on the order of the rows. A start has the ``k`` positions with the
+    smallest md5 of "seed:x:y" in grid steps, in that order, and ends when no centroid moves or after ``rounds``.
+    The best has the smallest sum of squared distances in its last round, ties to the smaller seed. A round is one
+    job for all starts that still move. Null, NaN and infinite positions take no part.
+    """
+    return [(i, px * step, py * step) for i, px, py in kmeans_grid(df, k, seeds, x, y, rounds, step)]
+
+
+def build_regions(df: DataFrame, k: int, min_rows: int, row_id: str, seeds: list[int], step: float = 1e-6) -> tuple[DataFrame, str]:
+    """Region per row: k-means, or equal chunks along the main axis if a region is too small.
+
+    In k-means rows are dealt by their grid positions, ties to the smaller label; a row without a position has none.
+    Fewer than ``k * min_rows`` rows can't fill the regions, and nothing is fitted.
+    """
+    g = df.withColumns({"_gx": grid_position("x_m", step), "_gy": grid_position("y_m", step)})
+    if g.filter("_gx IS NOT NULL AND _gy IS NOT NULL").count() >= k * min_rows:
+        centroids = kmeans_grid(df, k, seeds, "x_m", "y_m", 200, step)
+        label = F.when(F.col("_gx").isNotNull() & F.col("_gy").isNotNull(), nearest_of(centroids, "_gx", "_gy").cast("int"))
+        d = g.withColumn("region_id", label).drop("_gx", "_gy")
+        smallest = d.filter("region_id IS NOT NULL").groupBy("region_id").count().agg(F.min("count"), F.count("*")).first()
+        if smallest[0] >= min_rows and smallest[1] == k:
+            return d, "kmeans"
     proj, _ = principal_axis(df)
     d = equal_chunks(df.withColumn("_proj", F.round(proj, 9)), "_proj", row_id, k)
     return d.withColumnRenamed("part", "region_id").drop("_proj"), "principal_axis"

@@ -126,13 +126,41 @@ def built(d, row_id):
     return d.groupBy("region_id").agg(F.count("*").alias("n"), rnd(F.min("x_m")).alias("x_lo"), rnd(F.max("x_m")).alias("x_hi")).withColumn("method", F.lit(method))
 
 
-@query("m08_region_build_with_fallback", """
-WITH c AS (SELECT c_custkey, CAST(c_acctbal AS DOUBLE)/100 AS x_m, CAST(c_custkey*37 % 240 AS DOUBLE)/10 AS y_m FROM customer),
+def _regions_sql(rows, k=5, starts=10, rounds=200):
+    """``build_regions`` of ``rows(id, x_m, y_m)``: k-means on a grid of a millionth, or equal chunks along the main axis."""
+    ks = range(k)
+    each = lambda text, sep=", ": sep.join(text.format(j=j) for j in ks)
+    down = "({a} - (({a} % {n}) + {n}) % {n}) // {n}"  # rounded down, below 0 as well
+    mean = lambda c: ", ".join("CAST(coalesce(" + down.format(a=f"sum({c}i * w) FILTER (j = {j})", n=f"sum(w) FILTER (j = {j})")
+                               + f", any_value({c}{j})) AS BIGINT) AS n{c}{j}" for j in ks)
+    return f"""
+WITH RECURSIVE c AS (SELECT *, isfinite(x_m) AND isfinite(y_m) AS ok FROM ({rows})),
+g AS MATERIALIZED (SELECT *, CASE WHEN ok THEN CAST(floor(x_m * 1000000 + 0.5) AS BIGINT) END AS xi, CASE WHEN ok THEN CAST(floor(y_m * 1000000 + 0.5) AS BIGINT) END AS yi FROM c),
+pos AS MATERIALIZED (SELECT xi, yi, count(*) AS w FROM g WHERE ok AND (SELECT count(*) FROM g WHERE ok) >= {k * REGION_ROWS} GROUP BY 1, 2),
+named AS (SELECT s, xi, yi, row_number() OVER (PARTITION BY s ORDER BY md5(concat_ws(':', s, xi, yi))) - 1 AS j FROM pos, range(1, {starts + 1}) t(s) QUALIFY j < {k}),
+lloyd AS (
+    SELECT s, 0 AS r, true AS moves, CAST(0 AS HUGEINT) AS cost, {each("max(xi) FILTER (j = {j}) AS x{j}, max(yi) FILTER (j = {j}) AS y{j}")} FROM named GROUP BY s
+    UNION ALL
+    SELECT s, r + 1, {each("coalesce(nx{j} <> x{j} OR ny{j} <> y{j}, false)", " OR ")}, cost, {each("nx{j}, ny{j}")}
+    FROM (SELECT s, any_value(r) AS r, sum(CAST(d // 8 AS HUGEINT) * w) AS cost, {each("any_value(x{j}) AS x{j}, any_value(y{j}) AS y{j}")}, {mean("x")}, {mean("y")}
+          FROM (SELECT *, d % 8 AS j FROM (SELECT l.*, xi, yi, w, least({each("8 * ((xi - x{j}) * (xi - x{j}) + (yi - y{j}) * (yi - y{j})) + {j}")}) AS d
+                FROM lloyd l, pos WHERE moves AND r < {rounds})) GROUP BY s)),
+best AS (SELECT * FROM (SELECT * FROM lloyd QUALIFY row_number() OVER (PARTITION BY s ORDER BY r DESC) = 1) ORDER BY cost, s LIMIT 1),
+cent AS (SELECT list({{'x': x, 'y': y}} ORDER BY x, y) AS p FROM (SELECT unnest([{each("x{j}")}]) AS x, unnest([{each("y{j}")}]) AS y FROM best) WHERE x IS NOT NULL),
+near AS (SELECT x_m, CAST(least({", ".join(f"8 * ((xi - p[{j}].x) * (xi - p[{j}].x) + (yi - p[{j}].y) * (yi - p[{j}].y)) + {j}" for j in range(1, k + 1))}) % 8 AS INT) AS region_id FROM g, cent),
+byk AS (SELECT region_id, count(*) AS n, round(min(x_m), 6) AS x_lo, round(max(x_m), 6) AS x_hi, 'kmeans' AS method FROM near GROUP BY 1),
+good AS (SELECT count(*) = {k} AND min(n) >= {REGION_ROWS} AS yes FROM byk WHERE region_id IS NOT NULL),
 m AS (SELECT avg(x_m) AS mx, avg(y_m) AS my, 0.5*atan2(2*covar_pop(x_m, y_m), covar_pop(x_m, x_m) - covar_pop(y_m, y_m)) AS a FROM c),
-p AS (SELECT c_custkey, x_m, round((x_m-mx)*cos(a) + (y_m-my)*sin(a), 9) AS proj FROM c, m), n AS (SELECT *, CAST(ntile(5) OVER (ORDER BY proj, c_custkey) AS INT) AS region_id FROM p)
-SELECT region_id, count(*) AS n, round(min(x_m), 6) AS x_lo, round(max(x_m), 6) AS x_hi, 'principal_axis' AS method FROM n GROUP BY 1""")
+p AS (SELECT id, x_m, round((x_m-mx)*cos(a) + (y_m-my)*sin(a), 9) AS proj FROM c, m),
+n AS (SELECT *, CAST(ntile({k}) OVER (ORDER BY proj NULLS FIRST, id NULLS FIRST) AS INT) AS region_id FROM p)
+SELECT b.* FROM byk b, good WHERE yes
+UNION ALL SELECT region_id, count(*) AS n, round(min(x_m), 6) AS x_lo, round(max(x_m), 6) AS x_hi, 'principal_axis' AS method FROM n, good WHERE NOT yes GROUP BY 1"""
+
+
+@query("m08_region_build_with_fallback", _regions_sql(
+    "SELECT c_custkey AS id, CAST(c_acctbal AS DOUBLE)/100 AS x_m, CAST(c_custkey*37 % 240 AS DOUBLE)/10 AS y_m FROM customer"))
 def m08(spark, sf):
-    """Customers are too few for regions of their own up to scale 0.1."""
+    """Customers are too few for regions of their own up to scale 0.1; from 25,000 on k-means may hold."""
     c = table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal").cast("double") / 100).alias("x_m"),
                                             ((F.col("c_custkey") * 37 % 240).cast("double") / 10).alias("y_m"))
     return built(c, "c_custkey")

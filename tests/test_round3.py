@@ -90,3 +90,32 @@ def test_rank_correlation_by_stratum_multiplies_no_rows(spark, monkeypatch):
     want = {r[:3]: r[3:] for r in map(tuple, stats.spearman(long, ["k", "s", "f"], "x", "y").collect())}
     assert got.keys() == want.keys() and len(got) == 8
     assert all(a[0] == want[k][0] and abs(a[1] - want[k][1]) < 1e-9 for k, a in got.items())
+
+
+def regions_of(spark, tmp_path, balance):
+    """Query and SQL of the region build on 30,000 customers with the given balance."""
+    import duckdb
+    spark.range(30_000).selectExpr("id AS c_custkey", f"{balance} AS c_acctbal").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    df = QUERIES["m08_region_build_with_fallback"](spark, str(tmp_path))
+    cur = con.execute(SQL["m08_region_build_with_fallback"])
+    return canon(df.columns, [tuple(r) for r in df.collect()]), canon([d[0] for d in cur.description], cur.fetchall())
+
+
+@pytest.mark.parametrize("balance, method, rows", [
+    ("if(id % 1000 = 7, null, (id % 5) * 2500.25D - 600)", "kmeans", 6),  # a group below 0, rows without a balance
+    ("if(id % 1000 = 7, null, if(id < 29000, id % 9, 9000 + id % 7) * 1D)", "principal_axis", 5)])
+def test_regions_of_many_customers_as_in_sql(spark, tmp_path, balance, method, rows):
+    got, want = regions_of(spark, tmp_path, balance)
+    assert got == want and len(got) == rows and all(method in map(str, r) for r in got)
+
+
+def test_kmeans_does_not_hang_on_the_order_of_rows(spark):
+    from pyspark.sql import functions as F
+    from scanweave.operators import models
+    d = spark.range(4000).select((F.col("id") * 7919 % 4001 / 37).alias("x_m"), (F.col("id") * 31 % 97 / -7).alias("y_m"))
+    odd = spark.createDataFrame([(None, 1.0), (float("nan"), 1.0), (1.0, float("inf"))], "x_m double, y_m double")
+    got = models.kmeans_centroids(d, 4, [1, 2, 3])
+    assert len(got) == 4 and got == models.kmeans_centroids(d.unionByName(odd).orderBy("y_m").repartition(13), 4, [1, 2, 3])
+    assert models.kmeans_centroids(odd, 4, [1]) == [] and len(models.kmeans_centroids(d.limit(3), 4, [1])) == 3
