@@ -63,7 +63,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token pieces of all documents in sequences of at most 2048 tokens, which follow the mix: sequence ids are
     in the order of its slots, so that read by them each source has its target weight until it runs out. The mix of
-    the same rows is the same again, whatever the order of the files.
+    the same rows is the same again, whatever the order of the files. Ranges of the mix are packed best-fit, and
+    sequences with room are merged up a tree of neighbouring ranges.
     """
     return packing.pack_in_order(docs, mixing.mix(docs), VOCABULARY)
 

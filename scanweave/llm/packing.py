@@ -169,25 +169,45 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+_FIELDS = ["doc_id", "piece", "start", "length", "ids_crc32", "offset"]
 _MEMBERS = "array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
+_BINS = f"part long, bin long, fill long, open boolean, members {_MEMBERS}"
 
 
-def _pack_level(items: DataFrame, level: int, capacity: int, carry: int) -> DataFrame:
+def _open(fills: list[int], left: np.ndarray, carry: int) -> np.ndarray:
+    """Which bins could hold the smallest item; of more than ``carry`` only the emptiest."""
+    can = np.flatnonzero(left >= min(fills))
+    out = np.zeros(len(left), bool)
+    out[can[np.argsort(-left[can], kind="stable")[:carry]]] = True
+    return out
+
+
+def _bins_table(part: int, bins: np.ndarray, fill: np.ndarray, opened: np.ndarray, sizes: list[int], fields: list):
+    import pyarrow as pa
+    members = pa.StructArray.from_arrays(fields, names=_FIELDS)
+    return pa.Table.from_arrays(
+        [pa.array([part] * len(bins), pa.int64()), pa.array(bins, pa.int64()), pa.array(fill, pa.int64()), pa.array(opened),
+         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), members)],
+        names=["part", "bin", "fill", "open", "members"])
+
+
+def _pack_level(items: DataFrame, level: int, capacity: int, carry: int, ordered: bool = False) -> DataFrame:
     """Best fit of the items (part, fill, members) of each part; (part, bin, fill, open, members).
 
     Bins that could hold the part's smallest item stay open and go up a level as items, but no more than the
-    ``carry`` emptiest; the others are emitted.
+    ``carry`` emptiest; the others are emitted. ``ordered``: items have a bin already, their place in an order; they
+    are packed in that order, and what they make up has the bin of its largest item.
     """
     def run(key, group):
         import pyarrow as pa
+        if ordered:
+            group = group.sort_by("bin")
         part, fills, members = key[0].as_py(), group.column("fill").to_pylist(), group.column("members").combine_chunks()
         if isinstance(members, pa.ChunkedArray):
             members = members.chunk(0)
         begin, flat = np.asarray(members.offsets), members.values
         bins = best_fit(fills, capacity)
         left = np.array([capacity - sum(fills[i] for i in b) for b in bins])
-        can = np.flatnonzero(left >= min(fills))
-        opened = set(can[np.argsort(-left[can], kind="stable")[:carry]].tolist())
         take, shift, sizes = [], [], []
         for b in bins:
             at = n = 0
@@ -199,51 +219,64 @@ def _pack_level(items: DataFrame, level: int, capacity: int, carry: int) -> Data
         rows = flat.take(pa.array(take, pa.int64()))
         fields = [rows.field(k) for k in range(5)]
         offset = pa.array(np.asarray(rows.field(5)) + np.array(shift, np.int64))
-        moved = pa.StructArray.from_arrays([*fields, offset], names=["doc_id", "piece", "start", "length", "ids_crc32", "offset"])
-        return pa.Table.from_arrays(
-            [pa.array([part] * len(bins), pa.int64()), pa.array(np.arange(len(bins)) | (level << 56) | (part << 28), pa.int64()),
-             pa.array(capacity - left, pa.int64()), pa.array([k in opened for k in range(len(bins))]),
-             pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), moved)],
-            names=["part", "bin", "fill", "open", "members"])
+        ids = group.column("bin").to_numpy()[[b[0] for b in bins]] if ordered else np.arange(len(bins)) | (level << 56) | (part << 28)
+        return _bins_table(part, ids, capacity - left, _open(fills, left, carry), sizes, [*fields, offset])
 
-    return items.groupBy("part").applyInArrow(run, f"part long, bin long, fill long, open boolean, members {_MEMBERS}")
+    return items.groupBy("part").applyInArrow(run, _BINS)
 
 
-def _pack_ranges(items: DataFrame, capacity: int, range_items: int) -> DataFrame:
-    """Best fit of the ranges of each part; in its range a sequence stands where its largest piece stands in the order."""
+def _pack_ranges(items: DataFrame, capacity: int, range_items: int, carry: int) -> DataFrame:
+    """Best fit of the ranges of each part; (part, bin, fill, open, members). A bin's number is the place of its
+    largest piece in the order, and stays open as in ``_pack_level``, by its range's smallest piece."""
     order = ["slot", "place", "doc_id", "piece", "ids_crc32", "length"]
 
     def run(key, group):
         import pyarrow as pa
         t = group.sort_by([(c, "ascending") for c in order])
-        length = t.column("length").to_numpy()
-        bins = []
+        part, length = key[0].as_py(), t.column("length").to_numpy()
+        bins, opened = [], []
         for span in np.array_split(np.arange(len(length)), max(1, round(len(length) / range_items))):
-            at = int(span[0])
-            packed = sorted(best_fit(length[span].tolist(), capacity))  # the first of a bin is its largest
-            bins.extend([at + i for i in b] for b in packed)
+            fills = length[span].tolist()
+            packed = best_fit(fills, capacity)
+            opened.append(_open(fills, np.array([capacity - sum(fills[i] for i in b) for b in packed]), carry))
+            bins.extend([int(span[0]) + i for i in b] for b in packed)  # the first of a bin is its largest
         row = np.array([i for b in bins for i in b], np.int64)
         n = np.array([len(b) for b in bins], np.int64)
         first = np.concatenate([[0], np.cumsum(n)[:-1]])
         before = np.cumsum(length[row]) - length[row]
-        ids = np.repeat((key[0].as_py() << 32) + np.arange(len(bins)), n)
-        got = t.select(["doc_id", "piece", "start", "length", "ids_crc32"]).take(pa.array(row))
-        return got.append_column("sequence_id", pa.array(ids, pa.int64())).append_column(
-            "offset", pa.array(before - np.repeat(before[first], n), pa.int64()))
+        got = t.select(_FIELDS[:5]).take(pa.array(row)).combine_chunks()
+        fields = [got.column(c).combine_chunks() for c in _FIELDS[:5]] + [pa.array(before - np.repeat(before[first], n), pa.int64())]
+        fields = [f.chunk(0) if isinstance(f, pa.ChunkedArray) else f for f in fields]
+        return _bins_table(part, (part << 32) + row[first], np.add.reduceat(length[row], first), np.concatenate(opened), n, fields)
 
-    return items.groupBy("part").applyInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return items.groupBy("part").applyInArrow(run, _BINS)
+
+
+def _up_the_tree(packed: DataFrame, parts: int, level: int, capacity: int, fan_in: int, carry: int, ordered: bool) -> DataFrame:
+    """All bins, after open ones of ``fan_in`` neighbouring parts at a time were packed again, up to one part."""
+    done = None
+    while True:
+        last = parts == 1
+        closed = packed if last else packed.where(~F.col("open"))
+        done = closed if done is None else done.unionByName(closed)
+        if last:
+            return done
+        items = packed.where("open").select(F.floor(F.col("part") / fan_in).alias("part"), "bin", "fill", "members")
+        parts, level = -(-parts // fan_in), level + 1
+        packed = stored(_pack_level(items, level, capacity, carry, ordered))
 
 
-def pack_in_order(docs: DataFrame, places: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
-                  size: int = 2048, range_items: int = 1024, part_items: int = 32_768) -> DataFrame:
+def pack_in_order(docs: DataFrame, places: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048,
+                  range_items: int = 1024, part_items: int = 32_768, fan_in: int = 16, carry: int = 2048) -> DataFrame:
     """What ``pack`` returns, but along the order of ``places(doc_id, slot, place_in_block)``.
 
     The pieces are cut into consecutive ranges of that order of about ``range_items``, whose number grows with the
-    data; a task has a part of about ``part_items``. A range is packed best-fit by itself, so that a sequence has pieces of one range only, and sequence ids
-    follow the order: by range, then by the place of the sequence's largest piece. The price is up to a few
-    sequences a range that could be fuller. Documents that repeat an id stand at its first place, those without an
-    id or place come last. An empty table gives an empty result.
+    data; a task has a part of about ``part_items``. A range is packed best-fit by itself. Its bins that could hold its
+    smallest piece stay open: those of a part's ranges, then of ``fan_in`` neighbouring parts at a time, are packed
+    again with whole bins as items, up to one part. Best fit leaves no two of a range's bins that fit into one, so
+    that few sequences have pieces of several ranges. Sequence ids follow the order: a sequence stands where
+    the largest piece of its fullest bin stands. Documents that repeat an id stand at its first place, those without
+    an id or place come last. An empty table gives an empty result.
     """
     at = places.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("slot", "place_in_block")).alias("at"))
     last = F.lit((1 << 63) - 1)
@@ -252,7 +285,16 @@ def pack_in_order(docs: DataFrame, places: DataFrame, vocabulary: str, id_col: s
         F.coalesce("at.place_in_block", F.lit(0)).alias("place")))
     ranges = cut.repartitionByRange(parts_for(cut.count(), part_items), "slot", "place", "doc_id", "piece", "ids_crc32")
     # stored: sampled bounds must not change when a task is rerun
-    return _pack_ranges(stored(ranges.withColumn("part", F.spark_partition_id().cast("long"))), size, range_items)
+    ranges = stored(ranges.withColumn("part", F.spark_partition_id().cast("long")))
+    parts = (ranges.agg(F.max("part")).first()[0] or 0) + 1
+    packed = stored(_pack_ranges(ranges, size, range_items, carry))
+    packed = packed.where(~F.col("open")).unionByName(stored(_pack_level(packed.where("open"), 1, size, carry, True)))
+    return _members(_up_the_tree(packed, parts, 1, size, fan_in, carry, True))
+
+
+def _members(bins: DataFrame) -> DataFrame:
+    return (bins.select(F.col("bin").alias("sequence_id"), F.explode("members").alias("m"))
+            .select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset"))
 
 
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048,
@@ -275,21 +317,8 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     member = F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset")))
     items = rest.select(F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).alias("part"),
                         F.col("length").alias("fill"), member.alias("members"))
-    closed, level = [], 1
-    while True:
-        packed = stored(_pack_level(items, level, size, carry))
-        last = parts == 1
-        closed.append(packed if last else packed.where(~F.col("open")))
-        if last:
-            break
-        parts = -(-parts // fan_in)
-        items = packed.where("open").select(F.floor(F.col("part") / fan_in).alias("part"), "fill", "members")
-        level += 1
-    done = closed[0]
-    for c in closed[1:]:
-        done = done.unionByName(c)
+    packed = stored(_pack_level(items, 1, size, carry))
+    done = _up_the_tree(packed, parts, 1, size, fan_in, carry, False)
     full = cut.where(F.col("length") == size).select(
         "*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return (done.select(F.col("bin").alias("sequence_id"), F.explode("members").alias("m"))
-            .select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset")
-            .unionByName(full))
+    return _members(done).unionByName(full)

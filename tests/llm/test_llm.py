@@ -569,6 +569,22 @@ def test_pipeline_packing_of_odd_rows_in_order(spark, odd):
         assert max(fill.values()) <= 2048 and len({(r.sequence_id, r.offset) for r in got}) == len(got)
 
 
+def test_pipeline_packing_merges_open_bins_up_a_tree(spark, monkeypatch):
+    """Two pieces make a sequence and a range has three: what is left over is merged, over several levels, in order."""
+    sizes = [700] * 157 + [2048, 900, 500]
+    cut = stored(spark.createDataFrame([(i, 0, 0, n, 7) for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    monkeypatch.setattr(packing, "pieces", lambda *a: cut)
+    places = cut.select("doc_id", F.col("doc_id").alias("slot"), F.lit(0).alias("place_in_block"))
+    for kw in ({"range_items": 3}, {"range_items": 3, "part_items": 9, "fan_in": 2}):
+        got = packing.pack_in_order(cut, places, BPE, **kw).toPandas()
+        assert sorted(got.doc_id) == list(range(160))
+        for _, g in got.sort_values("offset").groupby("sequence_id"):
+            assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 2048
+        assert got.sequence_id.nunique() <= 82  # 80 at least; by ranges of three alone over 100
+        heads = got[got.offset == 0].sort_values("sequence_id").doc_id
+        assert heads.is_monotonic_increasing and heads.is_unique
+
+
 def test_pipeline_odd(spark, odd):
     d = odd
     for name, stage in corpus_pipeline.STAGES:
