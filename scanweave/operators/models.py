@@ -64,6 +64,21 @@ def score(model: PipelineModel, rows: DataFrame, features: list[str], target: st
     return d.select(*keep, F.col(target).alias("y"), "p", (F.col(target) - F.col("p")).alias("residual"))
 
 
+def fit_points(points: list[tuple[dict[str, str], DataFrame, list[str], Settings]], target: str, keep: list[str], at_once: int = 4) -> DataFrame:
+    """Predictions of the 'test' rows by a fit of each point (labels, rows, features, settings) as one table.
+
+    The fits are distributed; ``at_once`` of them share the cluster, and as one ends the next begins. Rows are read
+    several times, so they should be stored.
+    """
+    def fitted(point):
+        labels, rows, features, s = point
+        m = fit_booster(rows, features, target, s)
+        return score(m, rows.filter("split = 'test'"), features, target, keep).withColumns({k: F.lit(v) for k, v in labels.items()})
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return reduce(DataFrame.unionByName, pool.map(fitted, points))
+
+
 def ablation(folds: DataFrame, fold_names: list[str], variants: dict[str, list[str]], target: str, keep: list[str],
              configs: dict[str, Settings], at_once: int = 4) -> DataFrame:
     """Predictions of every fold x variant x setting as one table.
@@ -72,17 +87,8 @@ def ablation(folds: DataFrame, fold_names: list[str], variants: dict[str, list[s
     cluster; rows never leave the executors and metrics are one aggregate over
     the result.
     """
-    grid = [(f, v, c) for f in fold_names for v in variants for c in configs]
-
-    def fitted(point):
-        fold, variant, config = point
-        rows = folds.filter(F.col("fold") == fold)
-        m = fit_booster(rows, variants[variant], target, configs[config])
-        return score(m, rows.filter("split = 'test'"), variants[variant], target, keep).withColumns(
-            {"fold": F.lit(fold), "variant": F.lit(variant), "config": F.lit(config)})
-
-    with ThreadPoolExecutor(at_once) as pool:
-        return reduce(DataFrame.unionByName, pool.map(fitted, grid))
+    return fit_points([({"fold": f, "variant": v, "config": c}, folds.filter(F.col("fold") == f), variants[v], configs[c])
+                       for f in fold_names for v in variants for c in configs], target, keep, at_once)
 
 
 def fit_inventory(predictions: DataFrame) -> DataFrame:

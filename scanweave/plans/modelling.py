@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scanweave.functions.exprs import rnd, time_bucket
 from scanweave.operators.cells import outside_radius
 from scanweave.operators.evaluation import group_importance, stratified_metrics
-from scanweave.operators.models import (Settings, ablation, build_regions, contributions, fit_booster, fit_forest, fit_inventory,
+from scanweave.operators.models import (Settings, ablation, build_regions, contributions, fit_booster, fit_forest, fit_inventory, fit_points,
                                         kmeans_centroids, long_contributions, score)
 from scanweave.operators.sampling import block_shuffle, group_out_folds, random_validation, three_way_split
 from scanweave.operators.scans import near_share_toward, scan_bitmaps, scan_scalars
@@ -76,16 +76,15 @@ def m04(spark, sf):
 @query("m05_settings_sweep_and_buffer")
 def m05(spark, sf):
     rows = fold_table(spark, sf).filter("fold = 'F-B'")
-    p = ablation(rows, ["F-B"], {"full": VARIANTS["full"]}, "signal", KEEP, SETTINGS)
-    drawn = random_validation(rows.filter("split <> 'test'").drop("split"), ["session_id"], "val", "joint_idx").unionByName(rows.filter("split = 'test'"))
-    r = ablation(drawn, ["F-B"], {"full": VARIANTS["full"]}, "signal", KEEP, {f"{k}_randval": SETTINGS[k] for k in ("main", "shallow")})
-    test = rows.filter("split = 'test'")
-    held = test.filter("x_m BETWEEN 4 AND 9 AND y_m < 6")
-    buffered = outside_radius(rows.filter("split <> 'test'"), held, [], 1.0).unionByName(test)
-    b = ablation(buffered, ["F-B"], {"full": VARIANTS["full"]}, "signal", KEEP, {"buffer": MAIN})
-    placebo = block_shuffle(rows.filter("split <> 'test'"), ["session_id", "split"], "placebo", "joint_idx", SCAN_FEATURES)
-    c = ablation(placebo.unionByName(test), ["F-B"], {"full": VARIANTS["full"]}, "signal", KEEP, {"placebo": MAIN})
-    return metric_rows(p.unionByName(r).unionByName(b).unionByName(c), ["fold", "variant", "config"])
+    pool, test = rows.filter("split <> 'test'"), rows.filter("split = 'test'")
+    drawn = random_validation(pool.drop("split"), ["session_id"], "val", "joint_idx")
+    buffered = outside_radius(pool, test.filter("x_m BETWEEN 4 AND 9 AND y_m < 6"), [], 1.0)
+    placebo = block_shuffle(pool, ["session_id", "split"], "placebo", "joint_idx", SCAN_FEATURES)
+    drawn, buffered, placebo = (stored(d).unionByName(test) for d in (drawn, buffered, placebo))
+    wanted = {"slow": (rows, SETTINGS["slow"]), **{c: (rows, SETTINGS[c]) for c in ("main", "shallow", "sampled")},
+              **{f"{c}_randval": (drawn, SETTINGS[c]) for c in ("main", "shallow")}, "buffer": (buffered, MAIN), "placebo": (placebo, MAIN)}
+    p = fit_points([({"fold": "F-B", "variant": "full", "config": c}, d, VARIANTS["full"], s) for c, (d, s) in wanted.items()], "signal", KEEP)
+    return metric_rows(p, ["fold", "variant", "config"])
 
 
 def attributed(spark, sf):

@@ -119,3 +119,17 @@ def test_kmeans_does_not_hang_on_the_order_of_rows(spark):
     got = models.kmeans_centroids(d, 4, [1, 2, 3])
     assert len(got) == 4 and got == models.kmeans_centroids(d.unionByName(odd).orderBy("y_m").repartition(13), 4, [1, 2, 3])
     assert models.kmeans_centroids(odd, 4, [1]) == [] and len(models.kmeans_centroids(d.limit(3), 4, [1])) == 3
+
+
+def test_settings_sweep_is_one_list_of_fits_on_stored_rows(spark, monkeypatch):
+    """No fit waits for a group of others, and none works out its rows again at each reading."""
+    from scanweave.plans import modelling
+    seen, plain = [], modelling.fit_points
+    monkeypatch.setattr(modelling, "fit_points", lambda points, *a: seen.append(points) or plain(points[:1], *a))
+    QUERIES["m05_settings_sweep_and_buffer"](spark, "/root/testdata/sf0.001")
+    (points,) = seen
+    rows = {labels["config"]: d for labels, d, _, _ in points}
+    assert set(rows) == {"main", "shallow", "slow", "sampled", "main_randval", "shallow_randval", "buffer", "placebo"}
+    assert all("Exchange" not in d._jdf.queryExecution().executedPlan().toString() for d in rows.values())
+    ids = {c: sorted(map(tuple, d.select("joint_idx").collect())) for c, d in rows.items()}
+    assert ids["main"] == ids["main_randval"] == ids["placebo"] and set(ids["buffer"]) < set(ids["main"])
