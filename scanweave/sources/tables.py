@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from scanweave.session import ensure_checkpoint_dir
+from scanweave.functions.sha256 import Sha256
+from scanweave.session import ensure_checkpoint_dir, ship
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -52,10 +57,85 @@ def table_digest(df: DataFrame, keys: list[str], columns: list[str]) -> DataFram
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.sum(h).alias("digest"))
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of each file, computed where the file is read."""
-    return spark.read.format("binaryFile").load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+def file_digests(spark: SparkSession, path: str, block: int = 128 << 20, at_once: int = 8) -> DataFrame:
+    """SHA-256 of each file, whatever its length; a task reads about ``block`` bytes, to the next line feed at most.
+
+    Files up to ``block`` bytes are digested where they are read. Longer ones are read in splits of that length. As
+    SHA-256 runs through a file in order, its splits are taken one after the other, each by a task that goes on from the
+    hash the one before left; ``at_once`` files go on side by side. Only files of names that Hadoop unpacks (``.gz`` and
+    the like), which have no splits, are always read whole, as a row of 2 GB at most. An empty file has no row.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    columns = [F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256")]
+    out = files.filter(F.col("length") <= block).select(*columns)
+    long = files.filter(F.col("length") > block).select("path", "length").collect()
+    packed = [_literal(r.path) for r in long if r.path.endswith(_UNPACKED)]
+    if packed:
+        out = out.unionByName(spark.read.format("binaryFile").load(packed).filter(F.col("length") > block).select(*columns))
+    split = [r for r in long if not r.path.endswith(_UNPACKED)]
+    if split:
+        ship(spark)
+        reader = spark.newSession()  # the length of splits is a setting of the session
+        reader.conf.set("spark.sql.files.maxPartitionBytes", block)
+        reader.conf.set("spark.sql.files.minPartitionNum", 1)
+        with ThreadPoolExecutor(at_once) as pool:
+            found = list(pool.map(lambda r: (r.path.split("/")[-1], r.length, _digest_by_splits(reader, r.path, r.length, block)), split))
+        out = out.unionByName(spark.createDataFrame(found, "file string, length long, sha256 string"))
+    return out
+
+
+_UNPACKED = (".gz", ".bz2", ".deflate", ".lz4", ".snappy", ".zst")
+_BOM = b"\xef\xbb\xbf"
+
+
+def _literal(path: str) -> str:
+    """The path with the signs of a pattern taken as they are."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
+def _digest_by_splits(spark: SparkSession, path: str, length: int, block: int, head: bytes = b"") -> str:
+    """Reads the file's bytes as lines, which the text source passes on unchanged, and hashes them split by split.
+
+    What it leaves out is put back: the line feeds between lines, one at the end, and a byte order mark (``head``). The
+    bytes are counted against the file's length.
+    """
+    lines = spark.read.option("lineSep", "\n").text(_literal(path)).select(F.col("value").cast("binary"), "_metadata.file_block_start")
+    h = Sha256()
+    h.update(head)
+    state, n, begun = h.state, len(head), False
+    for k in range(-(-length // block)):
+        step = lines.mapInArrow(_hash_lines(state, n, begun), "state binary, n long, begun boolean, start long").rdd
+        [r] = spark.sparkContext.runJob(step, lambda rows: rows, [k])
+        if r.start not in (None, k * block):
+            raise ValueError(f"{path}: split {k} starts at {r.start}")
+        state, n, begun = bytes(r.state), r.n, r.begun
+    h = Sha256(state)
+    if length - n in (len(_BOM), len(_BOM) + 1) and not head:
+        return _digest_by_splits(spark, path, length, block, _BOM)
+    if length - n == 1:
+        h.update(b"\n")
+    elif length != n:
+        raise ValueError(f"{path}: {n} of {length} bytes read")
+    return h.hexdigest()
+
+
+def _hash_lines(state: bytes, n: int, begun: bool):
+    """The hash after the lines of one split, from the hash before them."""
+    def run(batches):
+        h, total, any_before, start = Sha256(state), n, begun, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            start = b.column(1)[0].as_py() if start is None else start
+            if any_before:
+                h.update(b"\n")
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0)), b"\n")[0].as_buffer()
+            h.update_at(joined.address, joined.size)
+            total += any_before + joined.size
+            any_before = True
+        yield pa.RecordBatch.from_arrays([pa.array([h.state], pa.binary()), pa.array([total], pa.int64()), pa.array([any_before]), pa.array([start], pa.int64())],
+                                         names=["state", "n", "begun", "start"])
+    return run
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:

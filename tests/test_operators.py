@@ -1,4 +1,6 @@
 """Hand cases: ties, nulls, empty and single-row groups, hot keys, second formulations."""
+import gzip
+import hashlib
 import math
 import random
 import re
@@ -428,6 +430,24 @@ def test_digest_ignores_order_and_sees_changes(spark):
     assert dig(d) == dig(d.orderBy(F.desc("id")).repartition(7)) != dig(d.withColumn("v", F.when(F.col("id") == 5, 0).otherwise(F.col("v"))))
 
 
+def test_file_digests_of_files_longer_than_a_row_may_be(spark, tmp_path):
+    noise = random.Random(3).randbytes(9_000)
+    files = {"noise.bin": noise, "ends.bin": noise[:4_999] + b"\n", "feeds.bin": b"\n" * 5_000, "returns.bin": b"a\r\n\r\n\r" * 700, "one_line.bin": b"\0" * 7_000,
+             "mark.txt": b"\xef\xbb\xbf" + noise[:3_000], "mark_ends.txt": b"\xef\xbb\xbf" * 2 + noise[:3_000] + b"\n\n", "odd[1]*{a} %20ü.bin": noise[5:4_000],
+             "just.bin": noise[:2_000], "over.bin": noise[:2_001], "small.bin": noise[:5]}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    want = sorted((name, len(data), hashlib.sha256(data).hexdigest()) for name, data in files.items())
+    limit = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(limit, 2_000)  # stands for the 2 GB that a row holds
+    try:
+        assert rows(tables.file_digests(spark, str(tmp_path), block=2_000), "file") == want
+    finally:
+        spark.conf.unset(limit)
+    (tmp_path / "noise.gz").write_bytes(gzip.compress(noise))
+    assert rows(tables.file_digests(spark, str(tmp_path / "noise.gz"), block=2_000))[0][2] == hashlib.sha256((tmp_path / "noise.gz").read_bytes()).hexdigest()
+
+
 def test_metrics_of_constant_target(spark):
     d = spark.createDataFrame([("f", 1.0, 2.0, True), ("f", 1.0, 0.0, True)], "fold string, y double, p double, in_view boolean")
     r = {x.stratum: x for x in evaluation.stratified_metrics(d, ["fold"]).collect()}
